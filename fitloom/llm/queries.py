@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitloom.llm import mixing, quality
+from fitloom.llm import mixing, quality, urlfilter, warc
+from fitloom.plans.scratch import Scratch
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -20,6 +21,45 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@_query
+def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    warc.register(spark)
+    path = f"{Scratch(spark, 'warc').path}/pages"
+    warc.page_records(_read(spark, sf_dir, "pages").select("page_id", "url", "html")).write.format("warc").mode("append").save(path)
+    records = spark.read.format("warc").schema("warc_type string, record_id string, refers_to string, payload_digest string, payload_length bigint, payload binary").load(path)
+    records = records.filter(F.col("warc_type").isin("response", "revisit"))
+    page = lambda urn: F.regexp_extract(urn, "(-?[0-9]+)>$", 1).try_cast("bigint")
+    # A response is measured by its payload; a revisit has only its headers.
+    own = F.col("warc_type") == "response"
+    return records.select(
+        page(F.col("record_id")).alias("page_id"),
+        F.when(own, F.length("payload")).otherwise(F.col("payload_length")).cast("long").alias("payload_bytes"),
+        F.when(own, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        F.col("warc_type").alias("record_type"),
+        page(F.col("refers_to")).alias("refers_to"),
+    )
+
+
+#: The rules that the query is asked to apply: verdict, host, path.
+RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+@_query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed are the canonical URLs of pages whose path names a document that is labelled toxic."""
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    toxic = _read(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
+    named = F.regexp_extract(urlfilter.path_of(F.col("url")), "/([0-9]+)", 1).try_cast("bigint")
+    urls = pages.select(urlfilter.canonical(F.col("url")).alias("canonical"), named.alias("doc_id")).join(toxic, "doc_id", "left_semi").select("canonical")
+    return urlfilter.judge(pages, urls, RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 @_query
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -34,6 +74,31 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition(docs).select("doc_id", *[r[n].alias(n) for n in names])
 
 
+ORACLES["op1_warc_archive"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY html) END AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, sha256(html) AS payload_digest,
+  CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM f
+"""
+
+ORACLES["op3_url_filter"] = r"""
+WITH u0 AS (SELECT page_id, url, coalesce(strpos(url, '://'), 0) AS sep FROM pages),
+u1 AS (SELECT page_id, url, CASE WHEN sep > 0 THEN substr(url, sep + 3) ELSE '' END AS rest FROM u0),
+u AS (SELECT page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+  array_to_string(list_sort(list_filter(string_split(coalesce(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), ''), '&'),
+    lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]*|ref)='))), '&') AS q FROM u1),
+k AS (SELECT page_id, host, path, CASE WHEN host <> '' THEN regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') ||
+  CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS canonical FROM u),
+l AS (SELECT DISTINCT canonical FROM k JOIN labels t ON t.toxic = 1 AND t.doc_id = try_cast(regexp_extract(path, '/([0-9]+)', 1) AS BIGINT) WHERE canonical IS NOT NULL),
+r(verdict, host, path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+b AS (SELECT k.page_id, k.host AS h, k.path AS p, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS said
+  FROM (SELECT DISTINCT page_id, host, path FROM k) k JOIN r ON (k.host = r.host OR ends_with(k.host, '.' || r.host)) AND starts_with(k.path, r.path) GROUP BY ALL)
+SELECT k.page_id, k.host, k.path, b.rule, coalesce(b.said, CASE WHEN l.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM k LEFT JOIN b ON b.page_id = k.page_id AND b.h = k.host AND b.p = k.path LEFT JOIN l ON l.canonical = k.canonical
+"""
+
 ORACLES["op2_mix_sources"] = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
