@@ -94,11 +94,11 @@ def mix(
     )
     rows = scratch.keep(rows, "sizes")
     aims = targets(rows.select("source", "size"), weights, max_copies)
-    means = rows.groupBy("source").agg((F.sum(F.col("w") * F.col("size")) / F.sum("size")).alias("mean_w"))
+    means = rows.groupBy("source").agg(F.try_divide(F.sum(F.col("w") * F.col("size")), F.sum("size")).alias("mean_w"))
     aims = scratch.keep(same_keys(aims, means, ["source"]), "targets")
 
     rows = same_keys(rows, aims.drop("weight"), ["source"])
-    expected = F.when(F.col("size") > 0, F.least(F.col("target") / F.col("source_size") * (F.col("w") / F.col("mean_w")), F.lit(float(max_copies)))).otherwise(0.0)
+    expected = F.when(F.col("size") > 0, F.least(F.col("target") / F.col("source_size") * F.coalesce(F.try_divide("w", "mean_w"), F.lit(0.0)), F.lit(float(max_copies)))).otherwise(0.0)
     rows = rows.withColumn("certain", F.floor(expected)).withColumn("p", expected - F.floor(expected))
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     able = (F.col("size") > 0) & (F.col("certain") < max_copies)
