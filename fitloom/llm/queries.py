@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitloom.llm import chat, language, mixing, quality, tokencount, urlfilter, warc
+from fitloom.llm import chat, decontaminate, language, mixing, quality, tokencount, urlfilter, warc
 from fitloom.plans.scratch import Scratch
 
 QUERIES: dict = {}
@@ -75,6 +75,13 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
+@_query
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.contamination(docs, _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -155,6 +162,21 @@ k AS (SELECT *, CASE WHEN q IS NOT NULL AND NOT drawn AND abs(size - gap) < gap
 SELECT doc_id, size, source_size, target, ((certain + CASE WHEN drawn OR coalesce(r = 1, false) THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM k
 """
 
+ORACLES["op5_decontaminate"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+t AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+k AS (SELECT item_id, ws, least(len(ws), 10) AS w FROM t WHERE len(ws) > 0),
+win AS (SELECT DISTINCT item_id, w, array_to_string(list_slice(ws, i, i + w - 1), ' ') AS g FROM (SELECT *, unnest(range(1, len(ws) - w + 2)) AS i FROM k)),
+dw AS (SELECT doc_id, i, w, array_to_string(list_slice(ws, i, i + w - 1), ' ') AS g
+  FROM (SELECT doc_id, ws, w, unnest(range(1, len(ws) - w + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT w FROM k) WHERE len(ws) >= w)),
+m AS (SELECT dw.doc_id, dw.i, dw.w, win.item_id FROM dw JOIN win ON win.g = dw.g AND win.w = dw.w),
+h AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + w)) AS p FROM m) GROUP BY doc_id),
+s AS (SELECT doc_id, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(s.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(s.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN s ON s.doc_id = d.doc_id
+"""
+
 _GRAMS = "\n".join(
     f"""g{n} AS (
   SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) > 1 AS again FROM (
