@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitloom.llm import chat, decontaminate, language, mixing, quality, tokencount, urlfilter, warc
+from fitloom.llm import chat, decontaminate, language, mixing, quality, substrings, tokencount, urlfilter, warc
 from fitloom.plans.scratch import Scratch
 
 QUERIES: dict = {}
@@ -137,6 +137,24 @@ SELECT k.page_id, k.host, k.path, b.rule, coalesce(b.said, CASE WHEN l.canonical
 FROM k LEFT JOIN b ON b.page_id = k.page_id AND b.h = k.host AND b.p = k.path LEFT JOIN l ON l.canonical = k.canonical
 """
 
+@_query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "dedup.n_words", "dedup.n_removed", F.sha2("dedup.kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op10_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 12), ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d WHERE len(ws) >= 13)),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM w),
+r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM f WHERE first < doc_id),
+k AS (SELECT d.doc_id, string_agg(x.w, ' ' ORDER BY x.p) AS kept, count(*) AS n
+  FROM d, (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM d) x LEFT JOIN r ON r.doc_id = x.doc_id AND r.p = x.p
+  WHERE x.doc_id = d.doc_id AND r.p IS NULL GROUP BY d.doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
 ORACLES["op2_mix_sources"] = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
