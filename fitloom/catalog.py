@@ -1,6 +1,11 @@
-"""The registered queries of the evidence-matching operators and their SQL."""
+"""All registered queries of the evidence-matching operators and their SQL."""
 
 from __future__ import annotations
 
+from fitloom.queries import scoring
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (scoring,):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
