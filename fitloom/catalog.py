@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from fitloom.queries import scoring
+from fitloom.queries import documents, scoring
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (scoring,):
+for _module in (scoring, documents):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
