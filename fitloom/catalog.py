@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from fitloom.queries import documents, scoring
+from fitloom.queries import documents, pages, scoring
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (scoring, documents):
+for _module in (scoring, documents, pages):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
