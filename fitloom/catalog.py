@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from fitloom.queries import documents, pages, scoring
+from fitloom.queries import documents, pages, scoring, structure
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (scoring, documents, pages):
+for _module in (scoring, documents, pages, structure):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
