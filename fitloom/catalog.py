@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from fitloom.queries import documents, pages, scoring, structure
+from fitloom.queries import documents, judgement, pages, scoring, structure
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (scoring, documents, pages, structure):
+for _module in (scoring, documents, pages, structure, judgement):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -30,3 +30,66 @@ def break_before_labels(c: Column) -> Column:
     for label in FIELD_LABELS:
         c = F.regexp_replace(c, rf"(?i)(?<=[a-zA-Z0-9.,;:)\]] )({label}\s*:)", "\n$1")
     return c
+
+
+# Words on their own that are only ever a heading, and phrases that are prose within a line.
+SAFE_WORDS = ["responsibilities", "requirements", "qualifications", "benefits", "perks"]
+PROSE = ["the role", "in this role", "day to day", "must have", "you have", "about you"]
+# How items begin, and words after which a capital goes on with the same thought.
+OPENERS = (
+    "strong solid excellent experience experienced familiarity familiar proficiency proficient knowledge understanding exposure ability comfortable demonstrated proven hands-on bachelor "
+    "bachelor's master's degree diploma fluency passion willingness must should you design develop build create implement integrate maintain own lead manage deliver deploy monitor document "
+    "mentor ensure participate collaborate partner contribute support improve optimise optimize troubleshoot debug review test write work drive analyse analyze translate help continuously "
+    "regularly actively proactively"
+).split()
+CONTINUES = (
+    "with of in on at to for and or the a an as by from using such including like into across via per about our your their its this that these those is are be been being we you they"
+).split()
+
+
+def inline_phrases() -> list[str]:
+    from fitloom.operators.posting import HEADINGS
+
+    found = {p for names in HEADINGS.values() for p in names if " " in p or p in SAFE_WORDS}
+    return sorted(found - set(PROSE), key=lambda p: (-len(p), p))
+
+
+def break_before_headings(c: Column) -> Column:
+    """Each heading within a run gets a line of its own; one right behind another is left, as nothing stands before it."""
+    phrases = "|".join(p.replace("'", "\\'") for p in inline_phrases())
+    about = r"(?-i:About\s+(?:the\s+)?[A-Z][\w&.'’-]{1,30}(?=[ :]))"
+    return F.regexp_replace(c, rf"(?i)(?!\G)(?<=(?-i:[a-z.,;:)\]]) )({about}|(?:{phrases})(?=[ :]))[ :]+", "\n$1\n")
+
+
+def _break_before(c: Column, opener: str) -> Column:
+    form = opener[0].upper() + opener[1:]
+    parts = F.split(c, rf"(?<=[a-z0-9)\]] )(?={form}\b\s)")
+
+    def add(done: Column, part: Column) -> Column:
+        word = F.lower(F.regexp_replace(F.regexp_extract(done["text"], "([^ ]*) $", 1), "[^A-Za-z']", ""))
+        apart = (done["text"] != "") & ~word.isin(CONTINUES) & (done["since"] >= FRAGMENT)
+        return F.struct(F.concat(done["text"], F.when(apart, "\n").otherwise(""), part).alias("text"), (F.when(apart, 0).otherwise(done["since"]) + F.length(part)).alias("since"))
+
+    return F.aggregate(parts, F.struct(F.lit("").alias("text"), F.lit(0).alias("since")), add, lambda done: done["text"])
+
+
+def break_between_items(c: Column) -> Column:
+    """A line for each item: at bullets that are left, finished sentences, years of experience and item openers."""
+    c = F.regexp_replace(c, r"\s*[•·●▪‣⁃]\s*", "\n")
+    c = F.regexp_replace(c, r"(?<=[a-z0-9)\]])\.\s+(?=[A-Z])", ".\n")
+    c = F.regexp_replace(c, r"(?<=[a-z),.] )(?=\d+\+?\s*(?:-\s*\d+\s*)?years?\b)", "\n")
+    for opener in OPENERS:
+        c = _break_before(c, opener)
+    return c
+
+
+def recover(docs: DataFrame) -> DataFrame:
+    """doc_id, part_no, part of every line over 300 characters, taken apart in explicit steps so that rows stay small; docs:
+    doc_id, line_no, text."""
+    runs = docs.filter(F.length(T.strip(F.col("text"))) > CONTINUOUS).select("doc_id", "line_no", T.strip(F.col("text")).alias("run"))
+    parts = runs.select("doc_id", "line_no", F.posexplode(F.split(break_before_labels(break_before_headings(F.col("run"))), "\n")).alias("p", "piece"))
+    items = F.when(F.length("piece") > 4 * FRAGMENT, break_between_items(F.col("piece"))).otherwise(F.col("piece"))
+    items = parts.select("doc_id", "line_no", "p", F.posexplode(F.split(items, "\n")).alias("i", "part"))
+    key = F.struct("doc_id", "line_no", "p").alias("doc_id")
+    merged = merge_fragments(items.select(key, "i", "part"))
+    return merged.select("doc_id.doc_id", "doc_id.line_no", "doc_id.p", "part_no", T.strip(F.col("part")).alias("part")).filter("part <> ''")

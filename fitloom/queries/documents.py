@@ -259,3 +259,14 @@ def qt13_refreshed_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """QT13, QT14."""
     anew = _docs(spark, sf_dir).filter("doc_id % 4 = 0").select("doc_id", F.lit(0).alias("seq"), F.lit("NO_ROLES_DETECTED").alias("code"))
     return D.refresh_warnings(_warnings(spark, sf_dir), anew)
+
+
+def tx10_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TX10-TX12: long lines taken apart; how many parts each gives and what they hold together."""
+    from fitloom.operators.recovery import recover
+
+    rows = recover(D.explode_lines(_docs(spark, sf_dir)))
+    return rows.groupBy("doc_id", "line_no").agg(F.count("*").alias("parts"), F.sum(F.length("part")).alias("chars"))
+
+
+QUERIES["tx10_recovery"] = tx10_recovery
