@@ -29,10 +29,12 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: list[str] = []
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return what reads it."""
         df.write.parquet(f"{self.path}/{name}")
+        self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
@@ -41,3 +43,10 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             path.getFileSystem(conf).delete(path, True)
+
+    def only(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df``, an operator's result, and delete all tables before it."""
+        before = list(self.names)
+        kept = self.keep(df, name)
+        self.drop(*before)
+        return kept
