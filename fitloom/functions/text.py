@@ -53,8 +53,8 @@ def lines(c: Column) -> Column:
 
 def normalise_posting(c: Column) -> Column:
     """One kind of line end, space, quote and bullet; no zero-width characters, trailing blanks or runs of blank lines."""
-    text = F.translate(unify_lines(c), " ‘’“”", " ''\"\"")
-    text = F.regexp_replace(text, "[​-‍﻿]", "")
+    text = F.translate(unify_lines(c), "\u00a0\u2018\u2019\u201c\u201d", " ''\"\"")
+    text = F.regexp_replace(text, "[\u200b-\u200d\ufeff]", "")
     bullet = rf"^{SPACE}*[{POSTING_BULLETS}]{SPACE}+"
     text = F.array_join(F.transform(lines(text), lambda x: F.regexp_replace(F.regexp_replace(x, r"[ \t]+$", ""), bullet, "- ")), "\n")
     return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))

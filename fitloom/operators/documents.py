@@ -25,7 +25,7 @@ MAX_CHARS, MAX_PAGES, PAGE_CHARS, USABLE_CHARS = 500_000, 15, 60, 400
 
 
 def explode_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.select("doc_id", F.posexplode(T.lines(F.translate(F.col(text), " ", " "))).alias("line_no", "text"))
+    return docs.select("doc_id", F.posexplode(T.lines(F.translate(F.col(text), "\u00a0", " "))).alias("line_no", "text"))
 
 
 def length_gate(docs: DataFrame, kind: Column) -> DataFrame:

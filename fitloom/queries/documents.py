@@ -28,13 +28,13 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same text made to carry what the normaliser takes out.
 def _messy(c):
-    return F.concat(F.lit("​• "), F.replace(c, F.lit("."), F.lit(".  \r\n– “")), F.lit("\n\n\n\n’ "))
+    return F.concat(F.lit("\u200b\u2022 "), F.replace(c, F.lit("."), F.lit(".\u00a0 \r\n\u2013 \u201c")), F.lit("\n\n\n\n\u2019 "))
 
 
 _SP = r"[ \t\n\x0B\f\r]"
 _STRIP = rf"regexp_replace({{0}}, '^{_SP}+|{_SP}+$', '', 'g')"
 _LINES = "string_split(regexp_replace({0}, '\\n$', ''), chr(10))"
-_MESSY = "'​• ' || replace(text, '.', '.  ' || chr(13) || chr(10) || '– “') || chr(10) || chr(10) || chr(10) || chr(10) || '’ '"
+_MESSY = "'\u200b• ' || replace(text, '.', '.\u00a0 ' || chr(13) || chr(10) || '– “') || chr(10) || chr(10) || chr(10) || chr(10) || '’ '"
 
 
 @_query(
