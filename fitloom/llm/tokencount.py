@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The pre-tokenizer's pattern. Its \s is Unicode's White_Space, written out, as libraries differ on U+001C to U+001F.
-BLANK = r"\t-\r\x20\x85\xA0  -     　"
+BLANK = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{BLANK}\p{{L}}\p{{N}}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
 CACHE = 400_000
 SLICE_CHARS = 2_000_000
