@@ -6,6 +6,7 @@ Everything but the downgrade is row by row. Reasons never quote a draft.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fitloom.functions import text as T
@@ -111,10 +112,11 @@ def requirements_of(valid: DataFrame) -> DataFrame:
     )
 
 
-def downgrade_gaps(requirement: DataFrame, policy: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Under MUST_BE_UNKNOWN (policy: analysis_id, absence) gaps become unknown; and a limitation for each analysis so changed."""
+def downgrade_gaps(requirement: DataFrame, policy: DataFrame) -> DataFrame:
+    """Under MUST_BE_UNKNOWN (policy: analysis_id, absence; a missing one counts as that) gaps become unknown, and every row of
+    an analysis so changed carries the limitation."""
     rows = requirement.join(policy, "analysis_id", "left")
     hit = (F.col("status") == "GAP") & (F.coalesce("absence", F.lit("MUST_BE_UNKNOWN")) == "MUST_BE_UNKNOWN")
-    notes = rows.groupBy("analysis_id").agg(F.bool_or(hit).alias("hit")).filter("hit").select("analysis_id", F.lit(GAP_LIMITATION).alias("limitation"))
-    changed = rows.withColumn("rationale", F.when(hit, GAP_RATIONALE).otherwise(F.col("rationale"))).withColumn("status", F.when(hit, "UNKNOWN").otherwise(F.col("status")))
-    return changed.drop("absence"), notes
+    rows = rows.withColumn("hit", hit).withColumn("limitation", F.when(F.bool_or("hit").over(W.partitionBy("analysis_id")), GAP_LIMITATION))
+    changed = rows.withColumn("rationale", F.when(F.col("hit"), GAP_RATIONALE).otherwise(F.col("rationale")))
+    return changed.withColumn("status", F.when(F.col("hit"), "UNKNOWN").otherwise(F.col("status"))).drop("absence", "hit")
