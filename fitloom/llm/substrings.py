@@ -1,14 +1,15 @@
 """Substring dedup: every passage of ``window`` words that an earlier document has is taken out.
 
-1. Anchors. Each window is named by one of its ``(window + 1) / 2``-word grams, that of the smallest hash (the first of
-   equals), so the same window has the same anchor in every document, and neighbouring windows mostly share theirs.
-   About a quarter of the words start an anchor. Anchors of two documents or more recur; they go into a bit filter of
+1. Anchors. Each window is named by one of its five-word grams, that of the smallest hash (the first of equals), so the
+   same window has the same anchor in every document, and neighbouring windows mostly share theirs. About a fifth of
+   the words start an anchor. Anchors of two documents or more recur; they go into a bit filter of
    bounded size (at most 16 MB). False positives cost time only.
 2. Segments. The words of the windows that share a recurring anchor are sent to the anchor's shard, in the order of
    doc_id. There the windows seen in two documents are confirmed as recurring, by their text, and compiled into
    Aho-Corasick automata of at most ``PHRASES`` phrases; the shard's segments of all documents are streamed through them
    to locate every occurrence. An occurrence in a document other than the phrase's first is removed.
-3. The ranges found meet the documents again, and their words are cut out of the whole texts.
+3. The ranges found meet the documents again, and their words are cut out of the whole texts. Only documents that may
+   have ranges (by another bit filter) are shuffled for that.
 
 Skew: anchors that hold more than ``1 / HOT_SHARE`` of all anchors (at most that many can) are sent window by window, and
 windows that hold as much are dealt out by salt, each salt with a copy of the phrase's first occurrence. A shard's memory
@@ -29,21 +30,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fitloom.llm.decontaminate import _small
-from fitloom.llm.textarrays import BASE, INVERSE, Powers, Texts, gram_ok, grams, texts_of
+from fitloom.llm.textarrays import BASE, INVERSE, Powers, Texts, gram_ok, grams, mix, texts_of
 from fitloom.plans.scratch import Scratch
 
+ANCHOR = 5
 PHRASES = 5_000
 CHUNK_ROWS = 20_000
 HOT_SHARE = 20_000
 HOT_LEAST = 2_000
 FILTER_BITS = (1 << 16, 1 << 27)
-SEGMENT = "key bigint, hot boolean, doc_id bigint, h bigint, at int, words string"
+SEGMENT = "key bigint, salt int, doc_id bigint, h bigint, at int, words string"
 
 
 def runs(t: Texts, powers: Powers, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each run of windows with one anchor: its anchor's hash, its first and last window's start, its text's index."""
-    k = (window + 1) // 2
+    k = min(ANCHOR, window)
     starts, docs = gram_ok(t.first, window)
     if not len(starts):
         none = np.zeros(0, np.int64)
@@ -95,28 +96,38 @@ def _passes(bits: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     return good
 
 
-def _segments(docs: DataFrame, window: int, bits: np.ndarray, hot: np.ndarray) -> DataFrame:
-    """Segments of recurring anchors; of hot ones, each window alone, keyed by the window's hash."""
-    shared = docs.sparkSession.sparkContext.broadcast((bits, hot))
+def _segments(docs: DataFrame, window: int, bits: np.ndarray, hot: np.ndarray, often: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
+    """Segments of recurring anchors by the anchor's hash; of hot ones each window alone, by the window's hash and a salt if
+    it is among ``often`` (hashes in order, numbers of salts). Without ``often``, only the windows of hot anchors."""
+    shared = docs.sparkSession.sparkContext.broadcast((bits, hot, often))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers(BASE, INVERSE)
-        bits, hot = shared.value
+        bits, hot, often = shared.value
         for batch in batches:
             ids, hashes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "h"))
             for t in texts_of(batch.column("text")):
                 anchor, first, last, owner = runs(t, powers, window)
                 good = _passes(bits, anchor)
-                anchor, first, last, owner = anchor[good], first[good], last[good], owner[good]
                 is_hot = np.isin(anchor, hot)
+                if often is None:
+                    good &= is_hot
+                key, first, last, owner, is_hot = anchor[good], first[good], last[good], owner[good], is_hot[good]
+                salt = np.zeros(len(key), np.int32)
                 if is_hot.any():
                     n = np.where(is_hot, last - first + 1, 1)
                     step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    anchor, first, last, owner, is_hot = (np.repeat(x, n) for x in (anchor, first, last, owner, is_hot))
+                    key, first, last, owner, is_hot = (np.repeat(x, n) for x in (key, first, last, owner, is_hot))
                     first = first + step
                     last = np.where(is_hot, first, last)
                     whole = grams(t.word_hashes(powers), window).view(np.int64)
-                    anchor = np.where(is_hot, whole[np.minimum(first, len(whole) - 1)], anchor)
+                    key = np.where(is_hot, whole[first], key)
+                    salt = np.zeros(len(key), np.int32)
+                    if often is not None and len(often[0]):
+                        at = np.minimum(np.searchsorted(often[0], key), len(often[0]) - 1)
+                        dealt = is_hot & (often[0][at] == key)
+                        doc = mix(ids[t.rows][owner[dealt]].astype(np.int64).view(np.uint64))
+                        salt[dealt] = doc % often[1][at[dealt]].astype(np.uint64)
                 raw = t.data.tobytes()
                 words = [b" ".join(raw[a:b].split()) for a, b in zip(t.word_lo[first].tolist(), t.word_hi[last + window - 1].tolist())]
                 for at in range(0, len(words), CHUNK_ROWS):
@@ -124,10 +135,10 @@ def _segments(docs: DataFrame, window: int, bits: np.ndarray, hot: np.ndarray) -
                     mine = owner[part]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(anchor[part]), pa.array(is_hot[part]), pa.array(ids[t.rows][mine], pa.int64()), pa.array(hashes[t.rows][mine], pa.int64()),
+                            pa.array(key[part]), pa.array(salt[part]), pa.array(ids[t.rows][mine], pa.int64()), pa.array(hashes[t.rows][mine], pa.int64()),
                             pa.array((first[part] - t.first[mine]).astype(np.int32)), pa.array(words[part], pa.binary()).cast(pa.string()),
                         ],
-                        ["key", "hot", "doc_id", "h", "at", "words"],
+                        ["key", "salt", "doc_id", "h", "at", "words"],
                     )
 
     return docs.select("doc_id", "h", "text").mapInArrow(run, SEGMENT)
@@ -153,29 +164,34 @@ def _locate(rows: list[tuple], carried: dict[str, int], window: int) -> tuple[li
     """Ranges to remove in a chunk of a shard, sorted by key and doc_id. carried: first documents of the chunk's first key, if
     it began in an earlier chunk. rows: key, doc_id, h, at, words, whether only to be learned from."""
     first, confirmed, last_key, of_last = dict(carried), set(), rows[-1][0], {}
+    split: dict[str, list[str]] = {}
     for key, doc, _, _, words, _ in rows:
-        for phrase in _phrases(words, window):
+        if words not in split:
+            split[words] = _phrases(words, window)
+        for phrase in split[words]:
             if first.setdefault(phrase, doc) < doc:
                 confirmed.add(phrase)
             if key == last_key:
                 of_last[phrase] = first[phrase]
     if carried and rows[0][0] == last_key:
         of_last = carried | of_last
-    out = []
+    # Equal segments of several documents are streamed once: start and first document of each phrase found.
+    found: dict[str, list[tuple[int, int]]] = {words: [] for words in split}
     for automaton in _automata(first, confirmed):
-        for _, doc, h, at, words, known in rows:
-            if known:
-                continue
+        for words, hits in found.items():
             text = f" {words} "
-            starts = sorted(text.count(" ", 0, end - size + 1) for end, (size, origin) in automaton.iter(text) if origin < doc)
-            if starts:
-                lo = prev = starts[0]
-                for s in starts[1:]:
-                    if s > prev + window:
-                        out.append((doc, h, at + lo, at + prev + window))
-                        lo = s
-                    prev = s
-                out.append((doc, h, at + lo, at + prev + window))
+            hits += [(text.count(" ", 0, end - size + 1), origin) for end, (size, origin) in automaton.iter(text)]
+    out = []
+    for _, doc, h, at, words, known in rows:
+        starts = [] if known else sorted(s for s, origin in found[words] if origin < doc)
+        if starts:
+            lo = prev = starts[0]
+            for s in starts[1:]:
+                if s > prev + window:
+                    out.append((doc, h, at + lo, at + prev + window))
+                    lo = s
+                prev = s
+            out.append((doc, h, at + lo, at + prev + window))
     return out, of_last
 
 
@@ -188,19 +204,20 @@ def repeated_ranges(docs: DataFrame, window: int = 13) -> DataFrame:
     n_anchors, n_rows = seen.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     limit = max(HOT_LEAST, n_rows // HOT_SHARE)
     hot = seen.filter(F.col("n") > limit).select("anchor").toArrow().column("anchor").to_numpy()
-    segments = _segments(rows, window, _bits(seen, n_anchors), np.sort(hot))
-    segments = segments.withColumn("known", F.lit(False)).withColumn("salt", F.lit(0))
+    bits, hot, often = _bits(seen, n_anchors), np.sort(hot), (np.zeros(0, np.int64), np.zeros(0, np.int32))
+    copies = None
     if len(hot):
-        segments = scratch.keep(segments, "segments")
-        often = segments.filter("hot").groupBy("key", "words").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).filter(F.col("n") > limit)
-        often = scratch.keep(often.withColumn("salts", F.ceil(F.col("n") / limit).cast("int")), "often")
-        salts = _small(often.groupBy("key").agg(F.max("salts").alias("salts")))
-        dealt = segments.join(salts, "key", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"), F.lit(0)))
-        copies = often.select(
-            "key", F.lit(True).alias("hot"), "doc_id", F.lit(0).cast("long").alias("h"), F.lit(0).alias("at"), "words", F.lit(True).alias("known"),
-            F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
-        )
-        segments = dealt.select(copies.columns).unionByName(copies)
+        # Few windows can be so frequent: at most 13 times the least share's inverse.
+        counted = _segments(rows, window, bits, hot, None).groupBy("key", "words").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+        counted = scratch.keep(counted.filter(F.col("n") > limit).withColumn("salts", F.ceil(F.col("n") / limit).cast("int")), "often")
+        table = counted.groupBy("key").agg(F.max("salts").alias("salts")).orderBy("key").toArrow()
+        often = (table.column("key").to_numpy(), table.column("salts").to_numpy())
+        copies = counted.select(
+            "key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "doc_id", F.lit(0).cast("long").alias("h"), F.lit(0).alias("at"), "words", F.lit(True).alias("known")
+        )
+    segments = _segments(rows, window, bits, hot, often).withColumn("known", F.lit(False))
+    if copies is not None:
+        segments = segments.unionByName(copies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buffer, carried, shard = [], {}, None
@@ -222,9 +239,9 @@ def repeated_ranges(docs: DataFrame, window: int = 13) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    shards = segments.drop("hot").repartition("key", "salt").sortWithinPartitions("key", "salt", "doc_id", F.col("known").desc())
+    shards = segments.repartition("key", "salt").sortWithinPartitions("key", "salt", "doc_id", F.col("known").desc())
     found = shards.mapInArrow(run, "doc_id bigint, h bigint, lo int, hi int")
-    return found.groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    return scratch.only(found.groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges")
 
 
 def _cut(text: bytes, ranges: list[dict] | None) -> tuple[int, int, bytes, bytes]:
@@ -249,9 +266,24 @@ def _cut(text: bytes, ranges: list[dict] | None) -> tuple[int, int, bytes, bytes
 def remove_repeats(docs: DataFrame, window: int = 13, spaced: bool = False) -> DataFrame:
     """``docs`` with ``dedup``: n_words, n_removed and kept, the words left, joined by one space; with ``spaced``, by the
     white space that stands before them, and unchanged where nothing is removed. A null text is kept as empty."""
-    ranges = repeated_ranges(docs, window).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("ranges").alias("__ranges"))
+    ranges = repeated_ranges(docs, window)
+    key = F.xxhash64("doc_id", "h").alias("anchor")
+    shared = docs.sparkSession.sparkContext.broadcast(_bits(ranges.select(key), ranges.count()))
     rows = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__doc"), F.xxhash64("text").alias("__hash"), F.col("text").alias("__text"))
-    rows = rows.join(ranges, (F.col("__doc") == F.col("__id")) & (F.col("__hash") == F.col("__h")), "left").select("__row", "__text", "__ranges")
+    rows = rows.withColumn("__key", F.xxhash64("__doc", "__hash"))
+
+    def only(may: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(_passes(shared.value, batch.column("__key").to_numpy(zero_copy_only=False)) == may))
+
+        return run
+
+    whole, maybe = (rows.mapInArrow(only(may), rows.schema) for may in (False, True))
+    ranges = ranges.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("ranges").alias("__ranges"))
+    maybe = maybe.join(ranges, (F.col("__doc") == F.col("__id")) & (F.col("__hash") == F.col("__h")), "left").select("__row", "__text", "__ranges")
+    whole = whole.select("__row", "__text").withColumn("__ranges", F.lit(None).cast(maybe.schema["__ranges"].dataType))
+    rows = whole.unionByName(maybe)
     kind = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
