@@ -39,8 +39,8 @@ from fitloom.llm.substrings import _bits, _passes
 from fitloom.llm.textarrays import BASE, INVERSE, Powers, Texts, gram_ok, grams, mix, texts_of
 from fitloom.plans.scratch import Scratch
 
-#: Set sizes up to which a bitmap has so many 64-bit words.
-WIDTHS = [(800, 4), (3200, 16), (1 << 62, 64)]
+#: Most 64-bit words of a bitmap.
+MOST_WORDS = 64
 HOT_SHARE = 20_000
 HOT_LEAST = 2_000
 BLOCK, RANGE = 256, 4096
@@ -67,17 +67,20 @@ def shingle_sets(t: Texts, powers: Powers, k: int) -> tuple[np.ndarray, np.ndarr
     return g, np.searchsorted(docs, np.arange(len(t.n_words) + 1))
 
 
-def width_of(n: int) -> int:
-    return next(w for top, w in WIDTHS if n <= top)
+def width_of(n: int, num: int, den: int) -> int:
+    """Words of a set's bitmap: a power of two, at least four bits for each element by which two similar sets can differ, so
+    that the bitmaps of less similar sets differ by more."""
+    differ = 2 * n - 2 * (-(-num * 2 * n // (num + den)))
+    return min(MOST_WORDS, 1 << max(0, (4 * differ - 1) // 64).bit_length())
 
 
-def _bitmaps(g: np.ndarray, at: np.ndarray) -> list[bytes]:
+def _bitmaps(g: np.ndarray, at: np.ndarray, num: int, den: int) -> list[bytes]:
     """Of each set, the parity of its hashes in each bit."""
     out = []
     sizes = np.diff(at)
     h = mix(g ^ np.uint64(0xA5A5A5A5A5A5A5A5))
     for d, n in enumerate(sizes.tolist()):
-        bits = 64 * width_of(n)
+        bits = 64 * width_of(n, num, den)
         ones = np.bincount((h[at[d] : at[d + 1]] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
         out.append(np.packbits(ones.astype(np.uint8), bitorder="little").tobytes())
     return out
@@ -103,7 +106,7 @@ def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(t.rows.start, len(n)), pa.array(n.astype(np.int32)), pa.array(sigs[0].view(np.int64)), pa.array(sigs[1].view(np.int64)),
-                        prefix, pa.array(_bitmaps(g, at), pa.binary()),
+                        prefix, pa.array(_bitmaps(g, at, num, den), pa.binary()),
                     ],
                     ["doc_id", "n", "sig1", "sig2", "prefix", "bits"],
                 )
@@ -261,8 +264,11 @@ def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
     before = F.concat(F.array(F.lit(0).cast("long")), F.slice("prefix", 1, F.greatest(F.size("prefix") - 1, F.lit(0))))
     index = reps.select("id", "n", F.posexplode(F.arrays_zip(F.col("prefix").alias("token"), before.alias("prev"))).alias("pos", "e"))
     index = index.select("id", "n", "pos", F.col("e.token").alias("token"), F.col("e.prev").alias("prev"))
-    # A list of one set has nothing to say.
-    index = index.withColumn("size", F.count("*").over(W.partitionBy("token"))).filter("size > 1")
+    # In the order of size, a set without a similar size right before or behind it has no partner in the list.
+    by_size = W.partitionBy("token").orderBy("n")
+    below, above = F.lag("n").over(by_size).cast("long"), F.lead("n").over(by_size).cast("long")
+    useful = F.coalesce(below * den >= F.col("n") * num, F.lit(False)) | F.coalesce(above * num <= F.col("n") * den, F.lit(False))
+    index = index.withColumns({"size": F.count("*").over(W.partitionBy("token")), "useful": useful}).filter("useful").drop("useful")
     index = scratch.keep(index, "index")
     limit = max(HOT_LEAST, index.count() // HOT_SHARE)
 
@@ -285,7 +291,7 @@ def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
     own = groups.join(joined, "id", "left").withColumn("class", F.coalesce("class", "id")).join(over, "class", "left")
     own = own.select(*sig, F.coalesce("top", "class").alias("component_id"))
     found = rows.select("doc_id", *sig).join(own, sig, "left")
-    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return scratch.only(found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "classes")
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -293,5 +299,10 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     (the least text); documents with a null doc_id or without words stay."""
     found = classes(docs.select("doc_id", "text"), k, num, den)
     gone = found.filter("n_shingles > 0 and doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    first = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return first.dropDuplicates(["doc_id", "text"]).unionByName(docs.filter("doc_id is null"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    first = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").select(*columns)
+    again = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).filter("__n > 1").select("doc_id")
+    if not again.isEmpty():
+        one = first.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        first = first.join(again, "doc_id", "left_anti").unionByName(one).select(*columns)
+    return first.unionByName(docs.filter("doc_id is null"))
