@@ -153,10 +153,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     listed = hits.select(*DOC, "seq").distinct().join(_small(found.select("seq", "items")), "seq")
     listed = listed.select(*DOC, F.explode_outer("items").alias("item")).groupBy(*DOC).agg(F.array_sort(F.collect_set("item")).alias("items"))
     rows = index.documents().join(n_hit, DOC, "left").join(listed, DOC, "left")
-    return rows.select(
+    rows = rows.select(
         "doc_id", "h", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce(F.array_join("items", ","), F.lit("")).alias("items"),
     )
+    return index.scratch.only(rows, "contamination")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
