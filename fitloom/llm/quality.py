@@ -124,7 +124,7 @@ def repetition(docs: DataFrame, text: str = "text", max_coverage: dict[int, floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = measure(batch.column("__text"), lengths).combine_chunks()
+            found = measure(batch.column("__row").field(text), lengths).combine_chunks()
             for part in found.to_batches() or []:
                 yield pa.RecordBatch.from_struct_array(
                     pa.StructArray.from_arrays(
@@ -133,7 +133,7 @@ def repetition(docs: DataFrame, text: str = "text", max_coverage: dict[int, floa
                     )
                 )
 
-    rows = docs.select(F.struct("*").alias("__row"), F.col(text).alias("__text"))
+    rows = docs.select(F.struct("*").alias("__row"))
     r = F.col("repetition")
     failed = (r["n_words"] < MIN_WORDS) | (100 * r["n_repeat_words"] > 30 * r["n_words"])
     over = F.lit(False)
