@@ -269,7 +269,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, spaced: bool = False) -> D
     ranges = repeated_ranges(docs, window)
     key = F.xxhash64("doc_id", "h").alias("anchor")
     shared = docs.sparkSession.sparkContext.broadcast(_bits(ranges.select(key), ranges.count()))
-    rows = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__doc"), F.xxhash64("text").alias("__hash"), F.col("text").alias("__text"))
+    rows = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__doc"), F.xxhash64("text").alias("__hash"))
     rows = rows.withColumn("__key", F.xxhash64("__doc", "__hash"))
 
     def only(may: bool):
@@ -281,8 +281,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, spaced: bool = False) -> D
 
     whole, maybe = (rows.mapInArrow(only(may), rows.schema) for may in (False, True))
     ranges = ranges.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("ranges").alias("__ranges"))
-    maybe = maybe.join(ranges, (F.col("__doc") == F.col("__id")) & (F.col("__hash") == F.col("__h")), "left").select("__row", "__text", "__ranges")
-    whole = whole.select("__row", "__text").withColumn("__ranges", F.lit(None).cast(maybe.schema["__ranges"].dataType))
+    maybe = maybe.join(ranges, (F.col("__doc") == F.col("__id")) & (F.col("__hash") == F.col("__h")), "left").select("__row", "__ranges")
+    whole = whole.select("__row").withColumn("__ranges", F.lit(None).cast(maybe.schema["__ranges"].dataType))
     rows = whole.unionByName(maybe)
     kind = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
@@ -290,7 +290,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, spaced: bool = False) -> D
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found = [_cut((t or "").encode(), r) for t, r in zip(part.column("__text").to_pylist(), part.column("__ranges").to_pylist())]
+                found = [_cut((t or "").encode(), r) for t, r in zip(part.column("__row").field("text").to_pylist(), part.column("__ranges").to_pylist())]
                 columns = [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[3 if spaced else 2] for f in found], pa.binary()).cast(pa.string())]
                 yield pa.RecordBatch.from_arrays([part.column("__row"), pa.StructArray.from_arrays(columns, fields=list(kind))], ["__row", "dedup"])
 
