@@ -13,9 +13,13 @@ each list; the verified links already join most sets that are highly similar. Th
 sets that it is joined with: only pairs across different classes are still compared. So a group of n near copies takes about
 n comparisons, and no link between different classes is lost.
 
-Skew: a list's rows are kept in one task, in arrays of about 100 bytes a row, unless the list is hot (over 1 / 20,000 of
-all rows); then it is dealt out by size bands, with a copy of each row for the next band. Pairs within a list are compared
-in blocks in memory, and never all written out.
+Skew: a list of more rows than a limit (1 / 20,000 of all rows, 2,000 to 10,000) is hot. Shingles with hot lists go to the end of the
+order, for all sets, so that texts with one common passage meet at rarer shingles; what is still hot is shared by sets that have
+much in common. In the first step, a hot list's sets only answer for heads: of each part of at most about the limit's rows with
+one token and band of sizes, and with one previous token too. In the second step, a hot list is dealt out by size bands (with a
+copy of each row for the next band), then into cells: each row of the band's largest class goes to one part, the other rows meet every
+part of it and each other. No task holds more than about twice the limit's rows of a list. Pairs within a list are
+compared in blocks in memory, and never all written out.
 
 Defined results: without words or text a set is empty and linked with nothing; fewer words than a shingle make one shingle
 of the whole sequence; a null doc_id has the class of its equals and never gives a class its name; rows that repeat a
@@ -42,7 +46,7 @@ from fitloom.plans.scratch import Scratch
 #: Most 64-bit words of a bitmap.
 MOST_WORDS = 64
 HOT_SHARE = 20_000
-HOT_LEAST = 2_000
+HOT_LEAST, HOT_MOST = 2_000, 10_000
 BLOCK, RANGE = 256, 4096
 
 
@@ -86,12 +90,18 @@ def _bitmaps(g: np.ndarray, at: np.ndarray, num: int, den: int) -> list[bytes]:
     return out
 
 
-def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, sig1, sig2 (of the whole set), prefix, bits."""
+def _sets(docs: DataFrame, k: int, num: int, den: int, late: np.ndarray | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """doc_id, n, sig1, sig2 (of the whole set), prefix, bits. late: ordered hashes that come last in the order. ids (id,
+    anchor): most of the other documents are passed over."""
+    context = docs.sparkSession.sparkContext
+    last = context.broadcast(late) if late is not None else None
+    shared = context.broadcast(_bits(ids, ids.count())) if ids is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers(BASE, INVERSE)
         for batch in batches:
+            if shared is not None:
+                batch = batch.filter(pa.array(_passes(shared.value, batch.column("hash").to_numpy(zero_copy_only=False))))
             for t in texts_of(batch.column("text")):
                 g, at = shingle_sets(t, powers, k)
                 n = np.diff(at)
@@ -100,6 +110,10 @@ def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 np.cumsum(mix(g + np.uint64(12345)), out=sums[1, 1:])
                 sigs = sums[:, at[1:]] - sums[:, at[:-1]]
                 head = np.where(n > 0, n + (-num * n // den) + 1, 0)
+                if last is not None and len(g):
+                    known = last.value
+                    behind = known[np.minimum(np.searchsorted(known, g), len(known) - 1)] == g
+                    g = g[np.lexsort((g, behind, np.repeat(np.arange(len(n)), n)))]
                 place = np.arange(len(g)) - np.repeat(at[:-1], n)
                 chosen = g[place < np.repeat(head, n)].view(np.int64)
                 prefix = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(head)]).astype(np.int32), chosen)
@@ -111,7 +125,8 @@ def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     ["doc_id", "n", "sig1", "sig2", "prefix", "bits"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n int, sig1 bigint, sig2 bigint, prefix array<bigint>, bits binary")
+    rows = docs.select("doc_id", "text") if ids is None else docs.filter("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("hash"), "text")
+    return rows.mapInArrow(run, "doc_id bigint, n int, sig1 bigint, sig2 bigint, prefix array<bigint>, bits binary")
 
 
 def least_overlap(n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -122,7 +137,7 @@ def least_overlap(n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarra
 def list_pairs(size: np.ndarray, pos: np.ndarray, prev: np.ndarray, bits: list[bytes], guest: np.ndarray, classes: np.ndarray | None, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Candidates i, j and the distance of their bitmaps, block by block, of one list in the order of size.
 
-    guest: rows that are only to be compared with others. classes: only pairs of different ones count.
+    guest: bits; rows with a common bit are not to be compared. classes: only pairs of different ones count.
     """
     if len(size) < 2 or classes is not None and (classes == classes[0]).all():
         return
@@ -149,7 +164,7 @@ def list_pairs(size: np.ndarray, pos: np.ndarray, prev: np.ndarray, bits: list[b
             for at in range(lo, end, RANGE):
                 j = np.arange(at, min(at + RANGE, end))
                 a, b = rows[i][:, None], rows[j][None, :]
-                good = (b > a) & (b < top[a]) & ((prev[a] != prev[b]) | (prev[a] == 0)) & ~(guest[a] & guest[b])
+                good = (b > a) & (b < top[a]) & ((prev[a] != prev[b]) | (prev[a] == 0)) & ((guest[a] & guest[b]) == 0)
                 if classes is not None:
                     good &= classes[a] != classes[b]
                 x, y = np.nonzero(good)
@@ -249,6 +264,69 @@ def _verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str, k:
     return scratch.keep(met.mapInArrow(overlap, "a bigint, b bigint").distinct(), f"{name}-links")
 
 
+def _hot_tokens(reps: DataFrame, limit: int) -> DataFrame:
+    """The tokens of more than ``limit`` prefixes: what a part of the sets has often is counted over all of them."""
+    step = max(1, limit // 256)
+    part = reps.filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(step)) == 0).select(F.explode("prefix").alias("token"))
+    often = part.groupBy("token").count().filter(F.col("count") * (2 * step) > limit).select("token")
+    every = reps.select(F.explode("prefix").alias("token")).join(F.broadcast(often), "token")
+    return every.groupBy("token").count().filter(F.col("count") > limit).select("token")
+
+
+def _close(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose bitmaps don't rule them out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "m"))
+            most = n + m - 2 * least_overlap(n, m, num, den)
+            keep = np.minimum(n, m) * den >= np.maximum(n, m) * num
+            for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())):
+                w = min(len(x), len(y)) // 8
+                x, y = (np.bitwise_xor.reduce(np.frombuffer(v, np.uint64).reshape(-1, w), axis=0) for v in (x, y))
+                keep[i] &= int(np.bitwise_count(x ^ y).sum()) <= most[i]
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    one, two = reps.selectExpr("id AS a", "n", "bits AS x"), reps.selectExpr("id AS b", "n AS m", "bits AS y")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def _heads(warm: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
+    """Pairs a, b of each set in a hot list with two heads of its part, and of the heads with the least one of all parts."""
+    keys = F.array(F.xxhash64("token", "band"), F.xxhash64("token", "band", "prev"))
+    rows = warm.select("id", F.explode(keys).alias("key"))
+    parts = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("count") / limit, F.lit(1))))).cast("long")
+    large = rows.groupBy("key").count().filter(F.col("count") > max(1, limit // 4)).select("key", parts.alias("parts"))
+    large = scratch.keep(large, "large-keys")
+    rows = rows.join(F.broadcast(large), "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    heads = rows.groupBy("key", "part").agg(F.min("id").alias("one"), F.min_by("id", F.xxhash64("id", F.lit(7))).alias("two"))
+    heads = scratch.keep(heads, "heads")
+    tops = heads.join(heads.groupBy("key").agg(F.min("one").alias("top")), "key")
+    found = rows.join(F.broadcast(heads), ["key", "part"]).select(F.col("id").alias("a"), F.explode(F.array("one", "two")).alias("b"))
+    found = found.unionByName(tops.select(F.col("top").alias("a"), F.explode(F.array("one", "two")).alias("b"))).filter("a <> b")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _dealt(rows: DataFrame, limit: int) -> DataFrame:
+    """Rows of hot lists in cells of at most about 2 * limit rows, such that every pair of different classes and near sizes meets.
+
+    rows: as for ``_candidates``, with band. A cell's number holds its kind, band and two parts. Of ``guest``, bit 1 marks
+    rows from the band below, the other bits keep rows from meeting that meet elsewhere.
+    """
+    rows = rows.withColumn("at", F.explode(F.array("band", F.col("band") + 1))).withColumn("guest", (F.col("at") > F.col("band")).cast("int"))
+    per = rows.groupBy("token", "at", "class").count().groupBy("token", "at")
+    per = per.agg(F.max_by("class", F.struct("count", "class")).alias("top"), F.max("count").alias("most"), F.sum("count").alias("all")).filter("all > most")
+    per = per.selectExpr("token", "at", "top", f"cast(ceil(most / {limit}) as long) AS s1", f"cast(ceil((all - most) / {limit}) as long) AS s2")
+    rows = rows.join(F.broadcast(per), ["token", "at"]).withColumn("salt", F.expr("pmod(xxhash64(id, 3), if(class = top, s1, s2))"))
+    cells = F.expr("""if(class = top,
+      transform(sequence(0L, s2 - 1), j -> struct(0L AS kind, salt AS i, j AS j, 4 AS bit)),
+      concat(transform(sequence(0L, s1 - 1), i -> struct(0L AS kind, i AS i, salt AS j, 8 AS bit)),
+        transform(sequence(0L, s2 - 1), j -> struct(1L AS kind, least(j, salt) AS i, greatest(j, salt) AS j, if(j = salt, 0, if(salt < j, 16, 32)) AS bit))))""")
+    rows = rows.withColumn("c", F.explode(cells))
+    cell = F.shiftleft(F.col("c.kind") * 4096 + F.col("at"), 50) + F.shiftleft(F.col("c.i"), 25) + F.col("c.j")
+    return rows.withColumns({"cell": cell, "guest": F.col("guest") + F.col("c.bit")}).drop("band", "at", "top", "s1", "s2", "salt", "c")
+
+
 def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text): sets are linked when
     den * intersection >= num * union; component_id is the smallest doc_id reachable."""
@@ -260,31 +338,44 @@ def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
     groups = scratch.keep(groups, "groups")
     reps = rows.withColumnRenamed("doc_id", "id").join(groups.filter("id is not null"), [*sig, "id"], "left_semi").dropDuplicates([*sig, "id"])
     reps = scratch.keep(reps.select("id", "n", "prefix", "bits"), "representatives")
+    total = reps.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    limit = max(HOT_LEAST, min(total // HOT_SHARE, HOT_MOST))
+    hot = scratch.keep(_hot_tokens(reps, limit), "hot")
+    late = np.sort(np.array([r.token for r in hot.collect()], np.int64).view(np.uint64))
+    if len(late):
+        met = reps.select("id", F.explode("prefix").alias("token")).join(F.broadcast(hot), "token", "left_semi").select("id").distinct()
+        met = scratch.keep(met.withColumn("anchor", F.xxhash64("id")), "late")
+        again = _sets(docs, k, num, den, late, met).withColumnRenamed("doc_id", "id").join(met.select("id"), "id", "left_semi")
+        again = again.join(groups.filter("id is not null"), [*sig, "id"], "left_semi").dropDuplicates([*sig, "id"])
+        reps = scratch.keep(reps.join(met, "id", "left_anti").unionByName(again.select(*reps.columns)), "reordered")
+        hot = scratch.keep(_hot_tokens(reps, limit), "still-hot")
 
     before = F.concat(F.array(F.lit(0).cast("long")), F.slice("prefix", 1, F.greatest(F.size("prefix") - 1, F.lit(0))))
-    index = reps.select("id", "n", F.posexplode(F.arrays_zip(F.col("prefix").alias("token"), before.alias("prev"))).alias("pos", "e"))
-    index = index.select("id", "n", "pos", F.col("e.token").alias("token"), F.col("e.prev").alias("prev"))
+    every = reps.select("id", "n", F.posexplode(F.arrays_zip(F.col("prefix").alias("token"), before.alias("prev"))).alias("pos", "e"))
+    every = every.select("id", "n", "pos", F.col("e.token").alias("token"), F.col("e.prev").alias("prev"))
     # In the order of size, a set without a similar size right before or behind it has no partner in the list.
     by_size = W.partitionBy("token").orderBy("n")
     below, above = F.lag("n").over(by_size).cast("long"), F.lead("n").over(by_size).cast("long")
     useful = F.coalesce(below * den >= F.col("n") * num, F.lit(False)) | F.coalesce(above * num <= F.col("n") * den, F.lit(False))
-    index = index.withColumns({"size": F.count("*").over(W.partitionBy("token")), "useful": useful}).filter("useful").drop("useful")
-    index = scratch.keep(index, "index")
-    limit = max(HOT_LEAST, index.count() // HOT_SHARE)
+    some_hot = not hot.isEmpty()
+    index = every.join(F.broadcast(hot), "token", "left_anti") if some_hot else every
+    index = scratch.keep(index.withColumn("useful", useful).filter("useful").drop("useful"), "index")
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) * (1 - 1e-9)).cast("long")
+    warm = scratch.keep(every.join(F.broadcast(hot), "token", "left_semi").withColumn("band", band), "hot-index") if some_hot else None
 
     def lists(about: DataFrame) -> DataFrame:
-        """The lists with what ``about`` tells of each set; hot lists in bands of sizes, each row also in the next."""
-        band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) * (1 - 1e-9)).cast("int")
-        hot = F.col("size") > limit
-        cells = F.when(hot, F.array(band, band + 1)).otherwise(F.array(F.lit(0)))
-        found = index.join(about, ["id", "n"]).withColumn("band", band).withColumn("cell", F.explode(cells))
-        return found.withColumn("guest", hot & (F.col("cell") > F.col("band"))).drop("band", "size")
+        """The lists that aren't hot, with what ``about`` tells of each set."""
+        return index.join(about, ["id", "n"]).withColumns({"cell": F.lit(0).cast("long"), "guest": F.lit(0)})
 
     bits = reps.select("id", "n", "bits")
-    near = _verified(docs, _candidates(lists(bits), num, den, across=False), scratch, "near", k, num, den)
+    pairs = _candidates(lists(bits), num, den, across=False)
+    if some_hot:
+        pairs = pairs.unionByName(_close(_heads(warm, limit, scratch), reps, num, den)).distinct()
+    near = _verified(docs, pairs, scratch, "near", k, num, den)
     joined = scratch.keep(components(near).withColumnsRenamed({"node": "id", "component": "class"}), "joined")
     about = bits.join(joined, "id", "left").withColumn("class", F.coalesce("class", "id"))
-    far = _verified(docs, _candidates(lists(about), num, den, across=True), scratch, "across", k, num, den)
+    both = lists(about).unionByName(_dealt(warm.join(about, ["id", "n"]), limit)) if some_hot else lists(about)
+    far = _verified(docs, _candidates(both, num, den, across=True), scratch, "across", k, num, den)
     # What the first step joined stays joined; links across classes join the classes.
     roots = far.join(joined.withColumnsRenamed({"id": "a", "class": "ra"}), "a", "left").join(joined.withColumnsRenamed({"id": "b", "class": "rb"}), "b", "left")
     over = components(roots.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))).withColumnsRenamed({"node": "class", "component": "top"})
