@@ -114,6 +114,12 @@ def ps09_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(labelled, "doc_id", "left_semi").select("doc_id", "title", "company")
 
 
+@_query(None)
+def ps09_header_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PS9-PS14 of every posting, with or without a label."""
+    return P.header_fields(_posting(spark, sf_dir))
+
+
 _SITE = "CASE doc_id % 5 WHEN 0 THEN 'Initech – Toronto, ON' WHEN 1 THEN 'Senior Engineer | Remote' WHEN 2 THEN 'Globex' WHEN 3 THEN 'Junior Developer' ELSE 'Vancouver, BC' END"
 
 
@@ -146,6 +152,13 @@ def ps15_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.warnings(docs, _lines(spark, sf_dir, POSTING_LINE), _listed(spark, sf_dir)).filter("code <> 'POSSIBLE_EMBEDDED_INSTRUCTIONS'").select("doc_id", "code")
 
 
+@_query(None)
+def ps15_warnings_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every code, in order."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return P.warnings(docs, _lines(spark, sf_dir, POSTING_LINE), _listed(spark, sf_dir))
+
+
 def _resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.sections(_lines(spark, sf_dir, RESUME_LINE))
 
@@ -224,6 +237,28 @@ def rs14_demonstrated_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter("name = 'Kafka' and origin = 'WORK_EXPERIENCE' or name = 'C++' and origin = 'PROJECT'").groupBy("doc_id", "name", "origin").agg(F.count("*").alias("n"))
 
 
+@_query(None)
+def rs06_roles_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RS4-RS9, RS15 of every document, with roles from its own dates."""
+    found, _, _ = R.roles(_resume(spark, sf_dir))
+    return found.select("doc_id", "role_no", "title", "company", "location", "dates.start", F.col("dates.end").alias("until"), "dates.current", "dates.confidence", "line_start", "line_end", "quote")
+
+
+@_query(None)
+def rs11_education_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RS11 with every credential."""
+    return R.education(_resume(spark, sf_dir)).select("doc_id", "seq", "credential", "institution", "dates", "line_no")
+
+
+@_query(None)
+def rs14_demonstrated_skills_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RS14 for every listed skill, in roles and in projects, with its quote."""
+    s = _resume(spark, sf_dir)
+    skill = R.listed_skills(s)
+    work = R.demonstrated(skill, R.roles(s)[1].withColumnRenamed("role_no", "entry"), "WORK_EXPERIENCE")
+    return work.unionByName(R.demonstrated(skill, R.projects(s)[1].withColumnRenamed("seq", "entry"), "PROJECT"))
+
+
 @_query(None)
 def rs16_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RS2, RS10, RS16."""
