@@ -8,6 +8,8 @@ adaptive skew join, its minimum is aggregated in parts first.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
     scratch = Scratch(edges.sparkSession, "components")
     least, most = F.least("a", "b"), F.greatest("a", "b")
     stars = scratch.keep(edges.filter("a <> b").select(most.alias("u"), least.alias("v")).distinct(), "0")
-    for i in range(1, 100):
+    for i in itertools.count(1):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

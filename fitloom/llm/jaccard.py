@@ -1,53 +1,60 @@
 """Set similarity join of documents by the Jaccard index of their word shingles, and the classes that its links make.
 
-Sets equal to each other are one representative, that of the smallest doc_id. Of each representative's shingles, in the
-order of their 64-bit hashes, the first ones (so many that two similar sets must share one) go into inverted lists.
-
-Within a list, set relations skip work. The list is in blocks by set size, and for each block only the range of sizes
-that can be similar is read. The position of the token in both sets bounds the overlap. Sets that also share their
-previous token have met in an earlier list: whole blocks with one previous token are passed over. A parity bitmap of each
-set gives an upper bound of the overlap for the rest. What passes is compared set by set, exactly.
-
-Answers are derived in two steps instead of from all pairs. First each set only answers for its most similar candidate of
-each list; the verified links already join most sets that are highly similar. Then a set takes over the answers of the
-sets that it is joined with: only pairs across different classes are still compared. So a group of n near copies takes about
-n comparisons, and no link between different classes is lost.
-
-Skew: a list of more rows than a limit (1 / 20,000 of all rows, 2,000 to 10,000) is hot. Shingles with hot lists go to the end of the
-order, for all sets, so that texts with one common passage meet at rarer shingles; what is still hot is shared by sets that have
-much in common. In the first step, a hot list's sets only answer for heads: of each part of at most about the limit's rows with
-one token and band of sizes, and with one previous token too. In the second step, a hot list is dealt out by size bands (with a
-copy of each row for the next band), then into cells: each row of the band's largest class goes to one part, the other rows meet every
-part of it and each other. No task holds more than about twice the limit's rows of a list. Pairs within a list are
-compared in blocks in memory, and never all written out.
+Sets equal to each other are one node. Distances are sizes of symmetric differences: two sets of n and m elements are linked when
+(num + den) * distance <= (den - num) * (n + m), and distances obey the triangle inequality.
+
+1. Order. Shingles are counted over all documents in a table of buckets. A set's shingles stand in the order of ascending
+   frequency (the bucket's power of two, then the hash), and the first ones, so many that two similar sets must share one, go into
+   inverted lists. A frequent shingle is in a list only for sets that have little else.
+2. Families. Sets with a common min-hash meet the head of that key, the least node; the nearest head by bitmap is compared
+   exactly, and a set within ``WIDE`` times a link's distance becomes a member, linked or not. A member is held as its difference
+   from the family's consensus (the shingles that most members have), so answers are derived from a very similar set's:
+   - a pair without a common difference is linked only if its two differences are small enough together; then both are
+     linked with the core, the member nearest to the consensus;
+   - every other link has a common difference, so only lists of differences are read, and for members that the core doesn't answer for.
+   A group of n near copies costs about the size of its differences.
+3. Lists. A list has a row per family, not per set. Rows stand in the order of size; a row reads only the range of sizes that its
+   size and position allow, in blocks, and a block whose positions are all too late is skipped whole. Families with one
+   previous token in common have met in that token's list.
+4. Across families. Roots of two families are compared exactly, if their bitmaps and radii leave a link possible. Members of the
+   smaller family then take their difference from the consensus of the larger one (one exclusive or), and step 2's rule holds again.
+
+Skew: of a shingle counted in fewer than ``HOT`` sets the list fits a task. Lists of others are first reduced to a row per family
+by a partial aggregation, then dealt into cells of two parts of at most about ``HOT`` rows each. No task holds a longer list.
 
 Defined results: without words or text a set is empty and linked with nothing; fewer words than a shingle make one shingle
 of the whole sequence; a null doc_id has the class of its equals and never gives a class its name; rows that repeat a
 doc_id with other texts are one node with several sets; other columns are left alone; an empty table gives no rows.
+doc_id must be an integer.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fitloom.llm.decontaminate import _small
 from fitloom.llm.graph import components
-from fitloom.llm.substrings import _bits, _passes
 from fitloom.llm.textarrays import BASE, INVERSE, Powers, Texts, gram_ok, grams, mix, texts_of
 from fitloom.plans.scratch import Scratch
 
 #: Most 64-bit words of a bitmap.
 MOST_WORDS = 64
-HOT_SHARE = 20_000
-HOT_LEAST, HOT_MOST = 2_000, 10_000
-BLOCK, RANGE = 256, 4096
+#: From so many sets on, a shingle's list is dealt out; a power of two.
+HOT = 8192
+#: Min-hashes of a set, and a family's reach in distances of a link.
+KEYS, WIDE = 4, 3
+#: Rows of a list that are skipped together, and pairs that are looked at together.
+BLOCK, PAIRS = 64, 400_000
+#: Powers of two of buckets that count shingles: a byte for each is broadcast, 16 MB at most.
+BUCKETS = (16, 24)
+#: Ids that are broadcast (eight bytes each, a few columns); more of them are joined by shuffle.
+FEW = 500_000
+NO_ID = -(1 << 63)
 
 
 def shingle_sets(t: Texts, powers: Powers, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,321 +86,412 @@ def width_of(n: int, num: int, den: int) -> int:
 
 
 def _bitmaps(g: np.ndarray, at: np.ndarray, num: int, den: int) -> list[bytes]:
-    """Of each set, the parity of its hashes in each bit."""
+    """Of each set, the parity of its hashes in each bit. Bitmaps of two sets differ by no more bits than the sets by elements."""
     out = []
-    sizes = np.diff(at)
     h = mix(g ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    for d, n in enumerate(sizes.tolist()):
+    for d, n in enumerate(np.diff(at).tolist()):
         bits = 64 * width_of(n, num, den)
         ones = np.bincount((h[at[d] : at[d + 1]] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
         out.append(np.packbits(ones.astype(np.uint8), bitorder="little").tobytes())
     return out
 
 
-def _sets(docs: DataFrame, k: int, num: int, den: int, late: np.ndarray | None = None, ids: DataFrame | None = None) -> DataFrame:
-    """doc_id, n, sig1, sig2 (of the whole set), prefix, bits. late: ordered hashes that come last in the order. ids (id,
-    anchor): most of the other documents are passed over."""
-    context = docs.sparkSession.sparkContext
-    last = context.broadcast(late) if late is not None else None
-    shared = context.broadcast(_bits(ids, ids.count())) if ids is not None else None
+def bit_distance(x: bytes, y: bytes) -> int:
+    """Bits by which two bitmaps differ, the longer one folded to the other's length."""
+    w = min(len(x), len(y)) // 8
+    a, b = (np.bitwise_xor.reduce(np.frombuffer(v, np.uint64).reshape(-1, w), axis=0) for v in (x, y))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _levels(docs: DataFrame, k: int) -> np.ndarray:
+    """Of each bucket of shingles, the bits of its count over all documents: 0 for none, 1 for one, 14 from 8192 on."""
+    bits = int(min(BUCKETS[1], max(BUCKETS[0], int(max(1, docs.count())).bit_length() + 2)))
+    part = 1 << 12
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers(BASE, INVERSE)
+        powers, counts = Powers(BASE, INVERSE), np.zeros(1 << bits, np.uint32)
+        for batch in batches:
+            for t in texts_of(batch.column("text")):
+                g, _ = shingle_sets(t, powers, k)
+                at, n = np.unique(g >> np.uint64(64 - bits), return_counts=True)
+                counts[at] += n.astype(np.uint32)
+        blocks = counts.reshape(-1, part)
+        some = np.flatnonzero(blocks.any(axis=1))
+        for i in range(0, len(some), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(some[i : i + 64]), pa.array([blocks[b].tobytes() for b in some[i : i + 64]])], ["block", "counts"])
+
+    def added(table: pa.Table) -> pa.Table:
+        total = np.zeros(part, np.int64)
+        for counts in table.column("counts"):
+            total += np.frombuffer(counts.as_buffer(), np.uint32)
+        level = np.frompyfunc(lambda n: int(n).bit_length(), 1, 1)(total).astype(np.uint8)
+        return pa.table({"block": table.column("block")[:1], "levels": pa.array([level.tobytes()], pa.binary())})
+
+    found = docs.select("text").mapInArrow(run, "block bigint, counts binary").groupBy("block").applyInArrow(added, "block bigint, levels binary")
+    levels = np.zeros((1 << bits) // part * part, np.uint8).reshape(-1, part)
+    for row in found.toLocalIterator():
+        levels[row["block"]] = np.frombuffer(row["levels"], np.uint8)
+    return levels.reshape(-1)
+
+
+def _sketches(docs: DataFrame, k: int, num: int, den: int, levels: np.ndarray) -> DataFrame:
+    """Of each row: doc_id, h (the text's hash), n, node (a hash of the whole set), keys (min-hashes), prefix, cold (how many of it
+    have lists that fit a task), bits."""
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
+    hot = HOT.bit_length()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, levels = Powers(BASE, INVERSE), shared.value
+        shift = np.uint64(64 - (len(levels).bit_length() - 1))
         for batch in batches:
-            if shared is not None:
-                batch = batch.filter(pa.array(_passes(shared.value, batch.column("hash").to_numpy(zero_copy_only=False))))
             for t in texts_of(batch.column("text")):
                 g, at = shingle_sets(t, powers, k)
                 n = np.diff(at)
-                sums = np.zeros((2, len(g) + 1), np.uint64)
-                np.cumsum(mix(g), out=sums[0, 1:])
-                np.cumsum(mix(g + np.uint64(12345)), out=sums[1, 1:])
-                sigs = sums[:, at[1:]] - sums[:, at[:-1]]
-                head = np.where(n > 0, n + (-num * n // den) + 1, 0)
-                if last is not None and len(g):
-                    known = last.value
-                    behind = known[np.minimum(np.searchsorted(known, g), len(known) - 1)] == g
-                    g = g[np.lexsort((g, behind, np.repeat(np.arange(len(n)), n)))]
-                place = np.arange(len(g)) - np.repeat(at[:-1], n)
-                chosen = g[place < np.repeat(head, n)].view(np.int64)
-                prefix = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(head)]).astype(np.int32), chosen)
+                some = n > 0
+                sums = np.zeros(len(g) + 1, np.uint64)
+                np.cumsum(mix(g), out=sums[1:])
+                node = mix(sums[at[1:]] - sums[at[:-1]] + n.astype(np.uint64))
+                keys = np.zeros((len(n), KEYS), np.uint64)
+                for m in range(KEYS):
+                    if len(g):
+                        keys[some, m] = np.minimum.reduceat(mix(g + np.uint64(7919 * (m + 1))), at[:-1][some])
+                bitmaps = _bitmaps(g, at, num, den)
+                level = levels[g >> shift]
+                owner = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((g, level, owner))
+                g, level = g[order], level[order]
+                head = np.where(some, n + (-num * n // den) + 1, 0)
+                chosen = np.arange(len(g)) - np.repeat(at[:-1], n) < np.repeat(head, n)
+                cold = np.bincount(owner[chosen & (level < hot)], minlength=len(n))
+                prefix = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(head)]).astype(np.int32), g[chosen].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(t.rows.start, len(n)), pa.array(n.astype(np.int32)), pa.array(sigs[0].view(np.int64)), pa.array(sigs[1].view(np.int64)),
-                        prefix, pa.array(_bitmaps(g, at, num, den), pa.binary()),
+                        *(batch.column(c).slice(t.rows.start, len(n)) for c in ("doc_id", "h")), pa.array(n.astype(np.int32)), pa.array(node.view(np.int64)),
+                        pa.ListArray.from_arrays(np.arange(0, KEYS * len(n) + 1, KEYS, np.int32), keys.reshape(-1).view(np.int64)), prefix, pa.array(cold.astype(np.int32)), pa.array(bitmaps, pa.binary()),
                     ],
-                    ["doc_id", "n", "sig1", "sig2", "prefix", "bits"],
+                    ["doc_id", "h", "n", "node", "keys", "prefix", "cold", "bits"],
                 )
 
-    rows = docs.select("doc_id", "text") if ids is None else docs.filter("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("hash"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, n int, sig1 bigint, sig2 bigint, prefix array<bigint>, bits binary")
-
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    return rows.mapInArrow(run, "doc_id bigint, h bigint, n int, node bigint, keys array<bigint>, prefix array<bigint>, cold int, bits binary")
 
-def least_overlap(n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The least overlap of similar sets of n and m elements."""
-    return -(-num * (n + m) // (num + den))
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, of a few numbers a row, marked for broadcast if it has few rows."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
 
-def list_pairs(size: np.ndarray, pos: np.ndarray, prev: np.ndarray, bits: list[bytes], guest: np.ndarray, classes: np.ndarray | None, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Candidates i, j and the distance of their bitmaps, block by block, of one list in the order of size.
 
-    guest: bits; rows with a common bit are not to be compared. classes: only pairs of different ones count.
-    """
-    if len(size) < 2 or classes is not None and (classes == classes[0]).all():
-        return
-    if (prev == prev[0]).all() and prev[0] != 0:
-        return
-    width = np.array([len(b) // 8 for b in bits])
-    top = np.searchsorted(size, size * den // num, "right")
-    folded: dict[int, np.ndarray] = {}
-    rows_of: dict[int, np.ndarray] = {}
-    for w in sorted(set(width.tolist())):
-        rows_of[w] = np.flatnonzero(width >= w)
-        parts = []
-        for i in rows_of[w].tolist():
-            x = np.frombuffer(bits[i], np.uint64)
-            parts.append(np.bitwise_xor.reduce(x.reshape(-1, w), axis=0) if len(x) > w else x)
-        folded[w] = np.stack(parts)
-    for w, rows in rows_of.items():
-        m = folded[w]
-        # Sizes grow along the rows, so those of this width come first.
-        own = int((width[rows] == w).sum())
-        for lo in range(0, own, BLOCK):
-            i = np.arange(lo, min(lo + BLOCK, own))
-            end = int(np.searchsorted(rows, top[rows[i]].max(), "left"))
-            for at in range(lo, end, RANGE):
-                j = np.arange(at, min(at + RANGE, end))
-                a, b = rows[i][:, None], rows[j][None, :]
-                good = (b > a) & (b < top[a]) & ((prev[a] != prev[b]) | (prev[a] == 0)) & ((guest[a] & guest[b]) == 0)
-                if classes is not None:
-                    good &= classes[a] != classes[b]
-                x, y = np.nonzero(good)
-                if not len(x):
-                    continue
-                a, b = rows[i[x]], rows[j[y]]
-                need = least_overlap(size[a], size[b], num, den)
-                room = np.minimum(pos[a], pos[b]) + np.minimum(size[a] - pos[a], size[b] - pos[b])
-                keep = room >= need
-                a, b, x, y, need = a[keep], b[keep], x[keep], y[keep], need[keep]
-                far = np.zeros(len(a), np.int64)
-                for c in range(w):
-                    far += np.bitwise_count(m[i[x], c] ^ m[j[y], c])
-                keep = far <= size[a] + size[b] - 2 * need
-                yield a[keep], b[keep], far[keep]
-
-
-def _candidates(lists: DataFrame, num: int, den: int, across: bool) -> DataFrame:
-    """Pairs a, b to verify. lists: token, cell, guest, pos, prev, n, id, bits, and class if ``across``."""
-
-    def of_list(rows: list[tuple]) -> tuple[list, list]:
-        if len(rows) < 2:
-            return [], []
-        size, pos, prev, ids, bits, guest, klass = zip(*sorted(rows, key=lambda r: (r[0], r[3])))
-        size, pos, prev, ids, guest = np.array(size), np.array(pos), np.array(prev), np.array(ids), np.array(guest)
-        found = list_pairs(size, pos, prev, bits, guest, np.array(klass) if across else None, num, den)
-        if across:
-            pairs = [(ids[a], ids[b]) for a, b, _ in found]
-            return (np.concatenate([p[0] for p in pairs]).tolist(), np.concatenate([p[1] for p in pairs]).tolist()) if pairs else ([], [])
-        best, mate = np.full(len(size), 1 << 60), np.full(len(size), -1)
-        for a, b, far in found:
-            for x, y in ((a, b), (b, a)):
-                # Of each x the nearest y, of equally near ones the smallest id.
-                order = np.lexsort((ids[y], far, x))
-                x, y, d = x[order], y[order], far[order]
-                new = np.concatenate([[True], x[1:] != x[:-1]])[: len(x)]
-                x, y, d = x[new], y[new], d[new]
-                better = (d < best[x]) | (d == best[x]) & (ids[y] < ids[mate[x]])
-                best[x[better]], mate[x[better]] = d[better], y[better]
-        x = np.flatnonzero(mate >= 0)
-        return ids[x].tolist(), ids[mate[x]].tolist()
+def _whole(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """wanted (doc, h, and others) with the whole set of that row of ``docs``."""
+    names = [c for c in wanted.columns if c not in ("doc", "h")]
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("h"), "text")
+    rows = rows.join(_small(wanted), ["doc", "h"]).select(*names, "text")
+    schema = T.StructType([*(wanted.schema[c] for c in names), T.StructField("set", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, key, a, b = [], None, [], []
-        names = ["n", "pos", "prev", "id", "bits", "guest", "class"]
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("token", "cell", *names[: 7 if across else 6])]
-            for token, cell, *row in zip(*columns):
-                if (token, cell) != key:
-                    x, y = of_list(rows)
-                    a, b, rows, key = a + x, b + y, [], (token, cell)
-                    if len(a) > 100_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-                        a, b = [], []
-                rows.append((*row, None) if not across else tuple(row))
-        x, y = of_list(rows)
-        if a or x:
-            yield pa.RecordBatch.from_arrays([pa.array(a + x, pa.int64()), pa.array(b + y, pa.int64())], ["a", "b"])
-
-    dealt = lists.repartition("token", "cell").sortWithinPartitions("token", "cell")
-    pairs = dealt.mapInArrow(run, "a bigint, b bigint")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str, k: int, num: int, den: int) -> DataFrame:
-    """The pairs whose sets are similar, by their whole sets."""
-    pairs = scratch.keep(pairs, f"{name}-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    ids = scratch.keep(ids.withColumn("anchor", F.xxhash64("id")), f"{name}-ids")
-    shared = docs.sparkSession.sparkContext.broadcast(_bits(ids, ids.count()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, bits = Powers(BASE, INVERSE), shared.value
+        powers = Powers(BASE, INVERSE)
         for batch in batches:
-            there = pa.array(_passes(bits, batch.column("hash").to_numpy(zero_copy_only=False)))
-            batch = batch.filter(there)
             for t in texts_of(batch.column("text")):
                 g, at = shingle_sets(t, powers, k)
-                lists = pa.ListArray.from_arrays(at.astype(np.int32), g.view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(t.rows.start, len(at) - 1), lists], ["id", "set"])
-
-    rows = docs.filter("doc_id is not null").select("doc_id", F.xxhash64(F.col("doc_id").cast("long")).alias("hash"), "text")
-    sets = rows.mapInArrow(run, "id bigint, set array<bigint>").join(ids.select("id"), "id", "left_semi")
-    sets = scratch.keep(sets, f"{name}-sets")
-    one, two = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
+                own = [batch.column(c).slice(t.rows.start, len(at) - 1) for c in names]
+                yield pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(at.astype(np.int32), g.view(np.int64))], [*names, "set"])
 
-    def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = np.intersect1d(x, y, assume_unique=True).size
-                keep[i] = den * both >= num * (len(x) + len(y) - both)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    met = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
-    return scratch.keep(met.mapInArrow(overlap, "a bigint, b bigint").distinct(), f"{name}-links")
+    return rows.mapInArrow(run, schema)
 
 
-def _hot_tokens(reps: DataFrame, limit: int) -> DataFrame:
-    """The tokens of more than ``limit`` prefixes: what a part of the sets has often is counted over all of them."""
-    step = max(1, limit // 256)
-    part = reps.filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(step)) == 0).select(F.explode("prefix").alias("token"))
-    often = part.groupBy("token").count().filter(F.col("count") * (2 * step) > limit).select("token")
-    every = reps.select(F.explode("prefix").alias("token")).join(F.broadcast(often), "token")
-    return every.groupBy("token").count().filter(F.col("count") > limit).select("token")
+def _differences(met: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` and diff, the elements of one of the sets x and y only, of rows with 2 * most >= (den + num) * distance."""
+    schema = T.StructType([*(met.schema[c] for c in keep), T.StructField("diff", T.ArrayType(T.LongType()))])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                most, good, diffs = part.column("most").to_pylist(), [], []
+                for i, (x, y) in enumerate(zip(part.column("x"), part.column("y"))):
+                    d = np.setxor1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True)
+                    if len(d) <= most[i]:
+                        good.append(i)
+                        diffs.append(d)
+                ends = np.concatenate([[0], np.cumsum([len(d) for d in diffs])]).astype(np.int32)
+                values = np.concatenate([np.zeros(0, np.int64), *diffs])
+                own = part.select(keep).take(pa.array(good, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.ListArray.from_arrays(ends, values)], [*keep, "diff"])
+
+    return met.select(*keep, "most", "x", "y").mapInArrow(run, schema)
+
+
+def _bit_distances(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """pairs (a, b, most and others) whose bitmaps differ by at most ``most``, with that distance as far."""
+    one, two = nodes.select(F.col("node").alias("a"), F.col("bits").alias("x")), nodes.select(F.col("node").alias("b"), F.col("bits").alias("y"))
+    names, schema = pairs.columns, T.StructType([*pairs.schema.fields, T.StructField("far", T.LongType())])
 
-def _close(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose bitmaps don't rule them out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = [bit_distance(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+            far = np.array(far, np.int64)
+            keep = pa.array(far <= batch.column("most").to_numpy())
+            out = batch.select(names).filter(keep)
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(far).filter(keep)], [*names, "far"])
+
+    return pairs.join(one, "a").join(two, "b").select(*names, "x", "y").mapInArrow(run, schema)
+
+
+def _xor(a: str, b: str) -> Column:
+    a, b = F.coalesce(F.col(a), F.array().cast("array<bigint>")), F.coalesce(F.col(b), F.array().cast("array<bigint>"))
+    return F.concat(F.array_except(a, b), F.array_except(b, a))
+
+
+class Families:
+    """members: node, fam (its root), n, diff (from the consensus), f (as small as the core allows: linked when f + f0 <= 0), far
+    ((den + num) * |diff| + (den - num) * n), of families of two or more. turned: fam, flip, what most members don't have as the root has it."""
+
+    def __init__(self, nodes: DataFrame, docs: DataFrame, scratch: Scratch, k: int, num: int, den: int):
+        self.nodes, self.docs, self.scratch, self.k, self.num, self.den = nodes, docs, scratch, k, num, den
+        self.total, self.free = num + den, den - num
+
+    def build(self) -> None:
+        nodes, total, free = self.nodes, self.total, self.free
+        keyed = nodes.select("node", "n", F.posexplode("keys").alias("m", "key"))
+        heads = keyed.groupBy("m", "key").agg(F.min("node").alias("b"), F.count("*").alias("size")).filter("size > 1").drop("size")
+        met = keyed.join(heads, ["m", "key"]).filter("node <> b").select(F.col("node").alias("a"), "n", "b").distinct()
+        met = met.join(nodes.select(F.col("node").alias("b"), F.col("n").alias("m")), "b")
+        most = F.expr(f"cast(floor({WIDE * free} * (cast(n AS long) + m) / {total}) AS long)")
+        met = _bit_distances(met.select("a", "b", most.alias("most")), nodes)
+        near = met.groupBy("a").agg(F.min(F.struct("far", "b", "most")).alias("s")).select("a", F.col("s.b").alias("b"), F.col("s.most").alias("most"))
+        near = self.scratch.keep(near, "nearest-heads")
+        rows = nodes.select(F.col("node").alias("a"), "doc", "h")
+        x = _whole(self.docs, rows.join(near, "a"), self.k).withColumnRenamed("set", "x")
+        heads = rows.withColumnRenamed("a", "b").join(near.select("b").distinct(), "b")
+        y = _whole(self.docs, heads, self.k).withColumnRenamed("set", "y")
+        state = self.scratch.keep(_differences(x.join(y, "b"), ["a", "b"]).dropDuplicates(["a"]), "steps-0")
+        i = 0
+        # Heads are smaller than what they head, so every path ends; each round halves it.
+        while not state.join(state.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
+            up = state.select(F.col("a").alias("b"), F.col("b").alias("top"), F.col("diff").alias("more"))
+            up = state.join(up, "b", "left").select("a", F.coalesce("top", "b").alias("b"), _xor("diff", "more").alias("diff"))
+            state, i = self.scratch.keep(up, f"steps-{i + 1}"), i + 1
+            self.scratch.drop(f"steps-{i - 1}")
+        roots = state.select(F.col("b").alias("a"), "b").distinct().withColumn("diff", F.array().cast("array<bigint>"))
+        every = state.unionByName(roots).join(nodes.select(F.col("node").alias("a"), "n"), "a").select(F.col("a").alias("node"), F.col("b").alias("fam"), "n", "diff")
+        sizes = every.groupBy("fam").agg(F.count("*").alias("size"))
+        flips = every.select("fam", F.explode("diff").alias("token")).groupBy("fam", "token").count().join(sizes, "fam").filter("2 * count > size")
+        self.turned = self.scratch.keep(flips.groupBy("fam").agg(F.collect_list("token").alias("flip")), "turned")
+        members = every.withColumn("reach", F.size("diff") * total + F.col("n") * free).join(self.turned, "fam", "left")
+        members = members.select("node", "fam", "n", "reach", _xor("diff", "flip").alias("diff"))
+        size = F.size("diff")
+        members = members.withColumn("f", (size * total - F.col("n") * free).cast("long")).withColumn("far", (size * total + F.col("n") * free).cast("long"))
+        self.members = self.scratch.keep(members, "members")
+        self.about = self.scratch.keep(
+            self.members.groupBy("fam").agg(F.count("*").alias("size"), F.min("f").alias("f0"), F.min_by("node", F.struct("f", "node")).alias("core"), F.max("far").alias("most_far"), F.max("reach").alias("reach")), "families"
+        )
+
+    def inside(self) -> DataFrame:
+        """Links a, b within families."""
+        about = self.about.select("fam", "f0", "core")
+        rows = self.members.join(about, "fam")
+        loose = F.col("f") + F.col("f0") > 0
+        star = rows.filter(~loose & (F.col("node") != F.col("core"))).select(F.col("node").alias("a"), F.col("core").alias("b"))
+        # A loose member's links, but for those with a common difference, are none.
+        some = rows.withColumn("loose", loose).groupBy("fam").agg(F.max("loose").alias("any")).filter("any").select("fam")
+        rows = rows.withColumn("loose", loose).join(some, "fam", "left_semi")
+        lists = rows.select("fam", "node", "f", "loose", F.size("diff").alias("size"), F.explode("diff").alias("token"))
+        one = lists.filter("loose").select("fam", "token", F.col("node").alias("a"), F.col("f").alias("fa"), F.col("size").alias("sa"))
+        two = lists.select("fam", "token", F.col("node").alias("b"), F.col("f").alias("fb"), F.col("size").alias("sb"), F.col("loose").alias("other"))
+        met = one.join(two, ["fam", "token"]).filter(f"a <> b AND (NOT other OR a < b) AND fa + fb <= {2 * self.total} * least(sa, sb)").select("a", "b").distinct()
+        return star.unionByName(self._checked(met, self.members.select("node", "diff", "f"), self.members.select("node", "diff", "f")))
+
+    def _checked(self, pairs: DataFrame, one: DataFrame, two: DataFrame) -> DataFrame:
+        """The pairs a, b that are linked by their differences from one consensus."""
+        met = pairs.join(one.select(F.col("node").alias("a"), F.col("diff").alias("x"), F.col("f").alias("fa")), "a")
+        met = met.join(two.select(F.col("node").alias("b"), F.col("diff").alias("y"), F.col("f").alias("fb")), "b")
+        return met.filter(F.col("fa") + F.col("fb") <= 2 * self.total * F.size(F.array_intersect("x", "y"))).select("a", "b")
+
+    def across(self, pairs: DataFrame) -> DataFrame:
+        """Links a, b of sets of two families, from candidates a, b (roots)."""
+        nodes, total, free = self.nodes, self.total, self.free
+        known = nodes.select("node", "n").join(self.about.select(F.col("fam").alias("node"), "size", "reach"), "node", "left")
+        known = known.select("node", F.coalesce("reach", F.col("n") * free).alias("reach"), F.coalesce("size", F.lit(1)).alias("size"))
+        most = F.floor((F.col("ra") + F.col("rb")) / total).cast("long").alias("most")
+        pairs = pairs.join(known.select(F.col("node").alias("a"), F.col("reach").alias("ra"), F.col("size").alias("sa")), "a")
+        pairs = pairs.join(known.select(F.col("node").alias("b"), F.col("reach").alias("rb"), F.col("size").alias("sb")), "b")
+        close = self.scratch.keep(_bit_distances(pairs.select("a", "b", "sa", "sb", most), nodes).drop("far"), "close")
+        rows = nodes.select("node", "doc", "h")
+        x = _whole(self.docs, rows.join(close.select(F.col("a").alias("node")).distinct(), "node"), self.k).select(F.col("node").alias("a"), F.col("set").alias("x"))
+        y = _whole(self.docs, rows.join(close.select(F.col("b").alias("node")).distinct(), "node"), self.k).select(F.col("node").alias("b"), F.col("set").alias("y"))
+        met = close.join(x.dropDuplicates(["a"]), "a").join(y.dropDuplicates(["b"]), "b")
+        met = self.scratch.keep(_differences(met, ["a", "b", "sa", "sb"]), "roots")
+        sizes = nodes.select("node", "n")
+        met = met.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+        met = met.withColumn("linked", F.size("diff") * total <= (F.col("na") + F.col("nb")) * free)
+        direct = met.filter("linked").select("a", "b")
+        # Linked roots don't answer for members that their own core doesn't answer for, so those pairs go on too.
+        more = met.filter("sa > 1 OR sb > 1").selectExpr("if(sa >= sb, a, b) AS big", "if(sa >= sb, b, a) AS little", "least(sa, sb) AS s", "if(sa >= sb, nb, na) AS n", "diff")
+        turned = self.turned
+        more = more.join(turned.select(F.col("fam").alias("big"), F.col("flip").alias("f1")), "big", "left").join(turned.select(F.col("fam").alias("little"), F.col("flip").alias("f2")), "little", "left")
+        more = more.withColumn("d", _xor("diff", "f1")).drop("diff", "f1")
+        alone = more.filter("s = 1").select("big", F.col("little").alias("node"), "n", F.col("d").alias("diff"))
+        group = more.filter("s > 1").withColumn("e", _xor("d", "f2")).select("big", "little", "e")
+        group = group.join(self.members.select(F.col("fam").alias("little"), "node", "n", "diff"), "little").select("big", "node", "n", _xor("diff", "e").alias("diff"))
+        guests = alone.unionByName(group).withColumn("f", (F.size("diff") * total - F.col("n") * free).cast("long"))
+        guests = guests.join(self.about.select(F.col("fam").alias("big"), "f0", "core", "most_far"), "big")
+        guests = self.scratch.keep(guests.filter("f <= most_far"), "guests")
+        star = guests.filter("f + f0 <= 0").select(F.col("node").alias("a"), F.col("core").alias("b"))
+        one = guests.filter("f + f0 > 0").select("big", F.col("node").alias("a"), F.col("f").alias("fa"), F.size("diff").alias("sa"), F.explode("diff").alias("token"))
+        two = self.members.select(F.col("fam").alias("big"), F.col("node").alias("b"), F.col("f").alias("fb"), F.size("diff").alias("sb"), F.explode("diff").alias("token"))
+        found = one.join(two, ["big", "token"]).filter(f"fa + fb <= {2 * total} * least(sa, sb)").select("big", "a", "b").distinct()
+        found = found.join(guests.select("big", F.col("node").alias("a"), F.col("diff").alias("x"), F.col("f").alias("fa")), ["big", "a"])
+        found = found.join(self.members.select(F.col("node").alias("b"), F.col("diff").alias("y"), F.col("f").alias("fb")), "b")
+        found = found.filter(F.col("fa") + F.col("fb") <= 2 * total * F.size(F.array_intersect("x", "y"))).select("a", "b")
+        return direct.unionByName(star).unionByName(found)
+
+
+def list_pairs(group: np.ndarray, fam: np.ndarray, lo: np.ndarray, hi: np.ndarray, room: np.ndarray, prev: np.ndarray, part: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates of the lists of a chunk: families of one group, whose sizes (lo to hi) and room (elements from the list's token on, at most)
+    allow a link, that don't share the previous token, and aren't in one part other than 0."""
+    order = np.lexsort((fam, group))
+    group, fam, lo, hi, room, prev, part = (x[order] for x in (group, fam, lo, hi, room, prev, part))
+    first = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (fam[1:] != fam[:-1])]))
+    same = np.minimum.reduceat(prev, first) == np.maximum.reduceat(prev, first)
+    lo, hi, room = np.minimum.reduceat(lo, first), np.maximum.reduceat(hi, first), np.maximum.reduceat(room, first)
+    group, fam, prev, part = group[first], fam[first], np.where(same, prev[first], 0), part[first]
+    order = np.lexsort((lo, group))
+    group, fam, lo, hi, room, prev, part = (x[order] for x in (group, fam, lo, hi, room, prev, part))
+    most = np.maximum(np.minimum(hi * den // num, room * (num + den) // num - lo), -1)
+    key = (group << 32) + lo
+    begin, end = np.arange(1, len(key) + 1), np.searchsorted(key, (group << 32) + most, "right")
+    rows = np.flatnonzero(end > begin)
+    if not len(rows):
+        return
+    edges = np.arange(0, len(key), BLOCK)
+    most_room, least_lo = np.maximum.reduceat(room, edges), lo[edges]
+    long = end[rows] - begin[rows] > 2 * BLOCK
+    # Long ranges go block by block: within a group sizes ascend, so a block's first size is its least.
+    spans = [(rows[~long], begin[rows[~long]], end[rows[~long]])]
+    for i in rows[long].tolist():
+        blocks = np.arange(begin[i] // BLOCK, (end[i] - 1) // BLOCK + 1)
+        good = most_room[blocks] * (num + den) >= num * (lo[i] + np.where(group[edges[blocks]] == group[i], least_lo[blocks], lo[i]))
+        blocks = blocks[good]
+        spans.append((np.full(len(blocks), i), np.maximum(blocks * BLOCK, begin[i]), np.minimum((blocks + 1) * BLOCK, end[i])))
+    at, begin, end = (np.concatenate([s[c] for s in spans]) for c in range(3))
+    done, sums = 0, np.cumsum(end - begin)
+    while done < len(at):
+        to = max(done + 1, int(np.searchsorted(sums, (sums[done - 1] if done else 0) + PAIRS, "right")))
+        n = end[done:to] - begin[done:to]
+        i = np.repeat(at[done:to], n)
+        j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[done:to], n)
+        good = (room[j] * (num + den) >= num * (lo[i] + lo[j])) & ((prev[i] != prev[j]) | (prev[i] == 0)) & ((part[i] != part[j]) | (part[i] == 0))
+        a, b = fam[i[good]], fam[j[good]]
+        yield np.minimum(a, b), np.maximum(a, b)
+        done = to
+
+
+def _candidates(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs a, b of families. lists: token, cell, part, fam, lo, hi, room, prev."""
+    names = ["token", "cell", "fam", "lo", "hi", "room", "prev", "part"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] | None = None
+
+        def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            token, cell, *rest = columns
+            if len(token) < 2:
+                return
+            group = np.cumsum(np.concatenate([[0], (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])])).astype(np.int64)
+            size = np.bincount(group)[group]
+            some = size > 1
+            if not some.any():
+                return
+            for a, b in list_pairs(group[some], *(x[some] for x in rest), num, den):
+                if len(a):
+                    order = np.lexsort((b, a))
+                    a, b = a[order], b[order]
+                    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+                    yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
+
         for batch in batches:
-            n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "m"))
-            most = n + m - 2 * least_overlap(n, m, num, den)
-            keep = np.minimum(n, m) * den >= np.maximum(n, m) * num
-            for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())):
-                w = min(len(x), len(y)) // 8
-                x, y = (np.bitwise_xor.reduce(np.frombuffer(v, np.uint64).reshape(-1, w), axis=0) for v in (x, y))
-                keep[i] &= int(np.bitwise_count(x ^ y).sum()) <= most[i]
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    one, two = reps.selectExpr("id AS a", "n", "bits AS x"), reps.selectExpr("id AS b", "n AS m", "bits AS y")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a bigint, b bigint")
-
-
-def _heads(warm: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
-    """Pairs a, b of each set in a hot list with two heads of its part, and of the heads with the least one of all parts."""
-    keys = F.array(F.xxhash64("token", "band"), F.xxhash64("token", "band", "prev"))
-    rows = warm.select("id", F.explode(keys).alias("key"))
-    parts = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("count") / limit, F.lit(1))))).cast("long")
-    large = rows.groupBy("key").count().filter(F.col("count") > max(1, limit // 4)).select("key", parts.alias("parts"))
-    large = scratch.keep(large, "large-keys")
-    rows = rows.join(F.broadcast(large), "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    heads = rows.groupBy("key", "part").agg(F.min("id").alias("one"), F.min_by("id", F.xxhash64("id", F.lit(7))).alias("two"))
-    heads = scratch.keep(heads, "heads")
-    tops = heads.join(heads.groupBy("key").agg(F.min("one").alias("top")), "key")
-    found = rows.join(F.broadcast(heads), ["key", "part"]).select(F.col("id").alias("a"), F.explode(F.array("one", "two")).alias("b"))
-    found = found.unionByName(tops.select(F.col("top").alias("a"), F.explode(F.array("one", "two")).alias("b"))).filter("a <> b")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _dealt(rows: DataFrame, limit: int) -> DataFrame:
-    """Rows of hot lists in cells of at most about 2 * limit rows, such that every pair of different classes and near sizes meets.
-
-    rows: as for ``_candidates``, with band. A cell's number holds its kind, band and two parts. Of ``guest``, bit 1 marks
-    rows from the band below, the other bits keep rows from meeting that meet elsewhere.
-    """
-    rows = rows.withColumn("at", F.explode(F.array("band", F.col("band") + 1))).withColumn("guest", (F.col("at") > F.col("band")).cast("int"))
-    per = rows.groupBy("token", "at", "class").count().groupBy("token", "at")
-    per = per.agg(F.max_by("class", F.struct("count", "class")).alias("top"), F.max("count").alias("most"), F.sum("count").alias("all")).filter("all > most")
-    per = per.selectExpr("token", "at", "top", f"cast(ceil(most / {limit}) as long) AS s1", f"cast(ceil((all - most) / {limit}) as long) AS s2")
-    rows = rows.join(F.broadcast(per), ["token", "at"]).withColumn("salt", F.expr("pmod(xxhash64(id, 3), if(class = top, s1, s2))"))
-    cells = F.expr("""if(class = top,
-      transform(sequence(0L, s2 - 1), j -> struct(0L AS kind, salt AS i, j AS j, 4 AS bit)),
-      concat(transform(sequence(0L, s1 - 1), i -> struct(0L AS kind, i AS i, salt AS j, 8 AS bit)),
-        transform(sequence(0L, s2 - 1), j -> struct(1L AS kind, least(j, salt) AS i, greatest(j, salt) AS j, if(j = salt, 0, if(salt < j, 16, 32)) AS bit))))""")
-    rows = rows.withColumn("c", F.explode(cells))
-    cell = F.shiftleft(F.col("c.kind") * 4096 + F.col("at"), 50) + F.shiftleft(F.col("c.i"), 25) + F.col("c.j")
-    return rows.withColumns({"cell": cell, "guest": F.col("guest") + F.col("c.bit")}).drop("band", "at", "top", "s1", "s2", "salt", "c")
+            columns = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
+            if kept is not None:
+                columns = [np.concatenate([x, y]) for x, y in zip(kept, columns)]
+            token, cell = columns[:2]
+            if not len(token):
+                continue
+            last = np.flatnonzero((token != token[-1]) | (cell != cell[-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield from pairs([x[:cut] for x in columns])
+            kept = [x[cut:] for x in columns]
+        if kept is not None:
+            yield from pairs(kept)
+
+    dealt = lists.select(*names).repartition("token", "cell").sortWithinPartitions("token", "cell")
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Lists of frequent shingles: a row per family, in cells of two parts, so that every two parts meet."""
+    lists = rows.groupBy("token", "fam").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("room").alias("room"), F.min("prev").alias("p"), F.max("prev").alias("q"))
+    lists = lists.withColumn("prev", F.when(F.col("p") == F.col("q"), F.col("p")).otherwise(F.lit(0))).drop("p", "q")
+    per = lists.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1").select("token", F.ceil(F.col("size") / HOT).cast("long").alias("parts"))
+    lists = lists.join(per, "token").withColumn("own", F.pmod(F.xxhash64("fam"), F.col("parts")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
+    lists = lists.select("*", other)
+    cell = F.least("own", "other") * F.lit(1 << 24) + F.greatest("own", "other") + 1
+    return lists.withColumn("cell", cell).withColumn("part", F.when(F.col("own") == F.col("other"), F.lit(0)).otherwise(F.col("own") + 1))
+
+
+def _classes(docs: DataFrame, k: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """doc_id, h, n and class (a node; null without words) of every row of ``docs`` (doc_id, text)."""
+    rows = scratch.keep(_sketches(docs, k, num, den, _levels(docs, k)), "sketches")
+    first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("h"))
+    nodes = rows.filter("n > 0").groupBy("node").agg(F.min_by(F.struct("doc_id", "h", "n", "keys", "bits"), first).alias("s"))
+    nodes = scratch.keep(nodes.select("node", F.coalesce("s.doc_id", F.lit(NO_ID)).alias("doc"), "s.h", "s.n", "s.keys", "s.bits"), "nodes")
+    families = Families(nodes, docs, scratch, k, num, den)
+    families.build()
+
+    who = nodes.select("node", "doc", "h").join(families.members.select("node", "fam"), "node", "left").select("node", "doc", "h", F.coalesce("fam", "node").alias("fam"))
+    own = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "h", "node", "n", "prefix", "cold").join(_small(scratch.keep(who, "who")), ["node", "doc", "h"])
+    before = F.concat(F.array(F.lit(0).cast("long")), F.slice("prefix", 1, F.size("prefix") - 1))
+    lists = own.select("fam", "n", "cold", F.posexplode(F.arrays_zip(F.col("prefix").alias("token"), before.alias("prev"))).alias("pos", "e"))
+    lists = lists.select(
+        F.col("e.token").alias("token"), "fam", F.col("n").alias("lo"), F.col("n").alias("hi"), (F.col("n") - F.col("pos")).alias("room"), F.col("e.prev").alias("prev"),
+        (F.col("pos") < F.col("cold")).alias("fits"),
+    )
+    short = lists.filter("fits").drop("fits").withColumns({"cell": F.lit(0).cast("long"), "part": F.lit(0).cast("long")})
+    pairs = scratch.keep(_candidates(short.unionByName(_dealt(lists.filter("NOT fits").drop("fits")).select(*short.columns)), num, den), "candidates")
+
+    links = families.inside().unionByName(families.across(pairs))
+    # Texts of one doc_id are one node.
+    named = rows.filter("n > 0 AND doc_id IS NOT NULL")
+    several = named.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("most")).filter("b <> most")
+    several = named.select("doc_id", F.col("node").alias("a")).join(several, "doc_id").select("a", "b")
+    joined = components(scratch.keep(links.unionByName(several), "links")).withColumnsRenamed({"component": "class"})
+    found = rows.select("doc_id", "h", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(joined, "node", "left")
+    return scratch.only(found.select("doc_id", "h", "n", F.coalesce("class", "node").alias("class")), "classes")
 
 
 def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text): sets are linked when
     den * intersection >= num * union; component_id is the smallest doc_id reachable."""
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = scratch.keep(_sets(docs, k, num, den), "sets")
-    sig = ["n", "sig1", "sig2"]
-    groups = rows.filter("n > 0").groupBy(*sig).agg(F.min("doc_id").alias("id"))
-    groups = scratch.keep(groups, "groups")
-    reps = rows.withColumnRenamed("doc_id", "id").join(groups.filter("id is not null"), [*sig, "id"], "left_semi").dropDuplicates([*sig, "id"])
-    reps = scratch.keep(reps.select("id", "n", "prefix", "bits"), "representatives")
-    total = reps.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    limit = max(HOT_LEAST, min(total // HOT_SHARE, HOT_MOST))
-    hot = scratch.keep(_hot_tokens(reps, limit), "hot")
-    late = np.sort(np.array([r.token for r in hot.collect()], np.int64).view(np.uint64))
-    if len(late):
-        met = reps.select("id", F.explode("prefix").alias("token")).join(F.broadcast(hot), "token", "left_semi").select("id").distinct()
-        met = scratch.keep(met.withColumn("anchor", F.xxhash64("id")), "late")
-        again = _sets(docs, k, num, den, late, met).withColumnRenamed("doc_id", "id").join(met.select("id"), "id", "left_semi")
-        again = again.join(groups.filter("id is not null"), [*sig, "id"], "left_semi").dropDuplicates([*sig, "id"])
-        reps = scratch.keep(reps.join(met, "id", "left_anti").unionByName(again.select(*reps.columns)), "reordered")
-        hot = scratch.keep(_hot_tokens(reps, limit), "still-hot")
-
-    before = F.concat(F.array(F.lit(0).cast("long")), F.slice("prefix", 1, F.greatest(F.size("prefix") - 1, F.lit(0))))
-    every = reps.select("id", "n", F.posexplode(F.arrays_zip(F.col("prefix").alias("token"), before.alias("prev"))).alias("pos", "e"))
-    every = every.select("id", "n", "pos", F.col("e.token").alias("token"), F.col("e.prev").alias("prev"))
-    # In the order of size, a set without a similar size right before or behind it has no partner in the list.
-    by_size = W.partitionBy("token").orderBy("n")
-    below, above = F.lag("n").over(by_size).cast("long"), F.lead("n").over(by_size).cast("long")
-    useful = F.coalesce(below * den >= F.col("n") * num, F.lit(False)) | F.coalesce(above * num <= F.col("n") * den, F.lit(False))
-    some_hot = not hot.isEmpty()
-    index = every.join(F.broadcast(hot), "token", "left_anti") if some_hot else every
-    index = scratch.keep(index.withColumn("useful", useful).filter("useful").drop("useful"), "index")
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) * (1 - 1e-9)).cast("long")
-    warm = scratch.keep(every.join(F.broadcast(hot), "token", "left_semi").withColumn("band", band), "hot-index") if some_hot else None
-
-    def lists(about: DataFrame) -> DataFrame:
-        """The lists that aren't hot, with what ``about`` tells of each set."""
-        return index.join(about, ["id", "n"]).withColumns({"cell": F.lit(0).cast("long"), "guest": F.lit(0)})
-
-    bits = reps.select("id", "n", "bits")
-    pairs = _candidates(lists(bits), num, den, across=False)
-    if some_hot:
-        pairs = pairs.unionByName(_close(_heads(warm, limit, scratch), reps, num, den)).distinct()
-    near = _verified(docs, pairs, scratch, "near", k, num, den)
-    joined = scratch.keep(components(near).withColumnsRenamed({"node": "id", "component": "class"}), "joined")
-    about = bits.join(joined, "id", "left").withColumn("class", F.coalesce("class", "id"))
-    both = lists(about).unionByName(_dealt(warm.join(about, ["id", "n"]), limit)) if some_hot else lists(about)
-    far = _verified(docs, _candidates(both, num, den, across=True), scratch, "across", k, num, den)
-    # What the first step joined stays joined; links across classes join the classes.
-    roots = far.join(joined.withColumnsRenamed({"id": "a", "class": "ra"}), "a", "left").join(joined.withColumnsRenamed({"id": "b", "class": "rb"}), "b", "left")
-    over = components(roots.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))).withColumnsRenamed({"node": "class", "component": "top"})
-    own = groups.join(joined, "id", "left").withColumn("class", F.coalesce("class", "id")).join(over, "class", "left")
-    own = own.select(*sig, F.coalesce("top", "class").alias("component_id"))
-    found = rows.select("doc_id", *sig).join(own, sig, "left")
-    return scratch.only(found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "classes")
+    found = _classes(docs, k, num, den, Scratch(docs.sparkSession, "jaccard"))
+    top = found.groupBy("class").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size")).filter("size > 1").drop("size")
+    found = found.join(top, "class", "left")
+    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One document of each class, that of the smallest doc_id, with the columns of ``docs``; of rows that repeat it, one
-    (the least text); documents with a null doc_id or without words stay."""
-    found = classes(docs.select("doc_id", "text"), k, num, den)
-    gone = found.filter("n_shingles > 0 and doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    first = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").select(*columns)
-    again = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).filter("__n > 1").select("doc_id")
-    if not again.isEmpty():
-        one = first.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        first = first.join(again, "doc_id", "left_anti").unionByName(one).select(*columns)
-    return first.unionByName(docs.filter("doc_id is null"))
+    """One row of each class, with the columns of ``docs``: the smallest doc_id (nulls last), then the smallest hash of the text; of
+    rows with equal doc_id and text, the one that comes first as JSON. Rows without words all stay."""
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("h")]
+    found = _classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k, num, den, Scratch(docs.sparkSession, "one-of-each"))
+    found = found.filter("n > 0").select(key[0], "h", "class")
+    # A null doc_id is the last of its class.
+    order = F.struct(F.col("doc") == NO_ID, "doc", "h")
+    best = found.groupBy("class").agg(F.min(order).alias("best"), F.count("*").alias("size")).filter("size > 1")
+    several = found.join(best, "class")
+    gone = several.filter(F.struct("doc", "h") != F.struct("best.doc", "best.h")).select("doc", "h").distinct()
+    again = several.groupBy("doc", "h").count().filter("count > 1").select("doc", "h")
+    rows = docs.select(*key, F.struct("*").alias("row")).join(_small(gone), ["doc", "h"], "left_anti")
+    one = rows.join(_small(again), ["doc", "h"], "left_semi").groupBy("doc", "h").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return rows.join(_small(again), ["doc", "h"], "left_anti").select("row").unionByName(one.select("row")).select("row.*")

@@ -2,12 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from fitloom.llm import jaccard
 from tests.llm.test_large_operators import brute_classes
 
-LIMIT = 20
+LIMIT = 16
 
 
 @pytest.fixture(scope="module")
@@ -30,18 +31,36 @@ def group():
 
 
 @pytest.mark.parametrize("k,num", [(3, 80), (5, 80), (5, 90)])
-def test_no_task_holds_a_group_of_near_copies(spark, group, k, num, monkeypatch):
-    monkeypatch.setattr(jaccard, "HOT_LEAST", LIMIT)
-    monkeypatch.setattr(jaccard, "HOT_SHARE", 1 << 40)
-    most, candidates = [], jaccard._candidates
+def test_no_task_holds_or_squares_a_group_of_near_copies(spark, group, k, num, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", LIMIT)
+    most, found, candidates = [], [], jaccard._candidates
 
     def seen(lists, *args, **names):
         most.append(lists.groupBy("token", "cell").count().agg({"count": "max"}).first()[0] or 0)
-        return candidates(lists, *args, **names)
+        pairs = candidates(lists, *args, **names)
+        found.append(pairs.count())
+        return pairs
 
     monkeypatch.setattr(jaccard, "_candidates", seen)
     docs = spark.createDataFrame(group, "doc_id long, text string").repartition(5)
     got = sorted(map(tuple, jaccard.classes(docs, k, num, 100).collect()), key=repr)
     assert got == brute_classes(group, k, num, 100)
-    # Parts are dealt by a hash, so a cell of two parts can have somewhat more than 2 * LIMIT rows.
-    assert len(most) == 2 and max(most) <= 4 * LIMIT
+    # A cell has two parts, and those are dealt by a hash; 200 near copies make 19,900 pairs.
+    assert max(most) <= 4 * LIMIT and found[0] < 2000
+
+
+def test_a_shingle_of_all_documents(spark):
+    rng = random.Random(8)
+    line = "this licence line stands in every single document of the whole table"
+    rows = [(i, " ".join([line, *(f"w{rng.randrange(5000)}" for _ in range(rng.randrange(90)))])) for i in range(300)]
+    rows += [(i + 300, text) for i, text in rows[:10]] + [(400, line), (401, line + " too")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert sorted(map(tuple, jaccard.classes(docs, 5, 80, 100).collect()), key=repr) == brute_classes(rows, 5, 80, 100)
+
+
+def test_blocks_of_late_positions_are_skipped():
+    n = 400
+    group, fam, size = np.zeros(n, np.int64), np.arange(n), np.full(n, 100)
+    room = np.where(fam < 3, 100, 40)
+    pairs = list(jaccard.list_pairs(group, fam, size, size, room, np.zeros(n, np.int64), np.zeros(n, np.int64), 80, 100))
+    assert sum(len(a) for a, _ in pairs) == 3

@@ -52,7 +52,7 @@ def docs(spark, rows):
     return spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, n_words string").repartition(5)
 
 
-def brute_classes(rows, k, num, den):
+def brute_sets(rows, k, num, den):
     sets = []
     for i, text in rows:
         w = words_of(lower(text))
@@ -69,31 +69,43 @@ def brute_classes(rows, k, num, den):
             both = len(sets[x] & sets[y])
             if both and den * both >= num * (len(sets[x]) + len(sets[y]) - both) or rows[x][0] == rows[y][0] is not None:
                 parent[find(x)] = find(y)
+    return sets, [find(x) for x in range(len(rows))]
+
+
+def brute_classes(rows, k, num, den):
+    sets, own = brute_sets(rows, k, num, den)
     names = {}
     for x, (i, _) in enumerate(rows):
         if i is not None:
-            names[find(x)] = min(i, names.get(find(x), i))
-    return sorted(((i, len(sets[x]), names.get(find(x))) for x, (i, _) in enumerate(rows)), key=repr)
+            names[own[x]] = min(i, names.get(own[x], i))
+    return sorted(((i, len(sets[x]), names.get(own[x])) for x, (i, _) in enumerate(rows)), key=repr)
+
+
+def brute_rows(rows, k, num, den):
+    """In the order of rows: id, size, class."""
+    sets, own = brute_sets(rows, k, num, den)
+    return [(i, len(sets[x]), own[x]) for x, (i, _) in enumerate(rows)]
 
 
+@pytest.mark.parametrize("hot", [1, 8192])
 @pytest.mark.parametrize("k,num", [(3, 90), (5, 80), (2, 60)])
-def test_classes_equal_brute_force(docs, rows, k, num):
-    # A null id has the class of its equals, and an id with two texts is one node; both are tested on their own.
-    known = [(i, t) for i, t in rows if i is not None and t != "same id, other text"]
-    own = docs.filter("doc_id is not null and (text is null or text <> 'same id, other text')")
-    assert sorted(map(tuple, jaccard.classes(own, k, num, 100).collect()), key=repr) == brute_classes(known, k, num, 100)
-
-
-def test_classes_of_null_ids_and_hot_lists(spark, docs, rows, monkeypatch):
-    monkeypatch.setattr(jaccard, "HOT_LEAST", 2)
-    monkeypatch.setattr(jaccard, "HOT_SHARE", 1 << 40)
-    hot = sorted(map(tuple, jaccard.classes(docs, 3, 90, 100).collect()), key=repr)
-    monkeypatch.setattr(jaccard, "HOT_LEAST", 1 << 40)
-    assert hot == sorted(map(tuple, jaccard.classes(docs, 3, 90, 100).collect()), key=repr)
-    assert (None, None) in {(r[0], r[2]) for r in hot} and len(hot) == len(rows)
-    assert jaccard.classes(docs.limit(0)).count() == 0
-    kept = jaccard.keep_one_of_each(docs, 3, 90, 100)
-    assert kept.columns == docs.columns
+def test_classes_equal_brute_force(docs, rows, k, num, hot, monkeypatch):
+    # With null ids, rows that repeat an id with the same and with another text, nulls and blanks.
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    assert sorted(map(tuple, jaccard.classes(docs, k, num, 100).collect()), key=repr) == brute_classes(rows, k, num, 100)
+
+
+def test_one_of_each_keeps_the_first(spark, docs, rows):
+    assert jaccard.classes(docs.limit(0)).count() == 0 and jaccard.keep_one_of_each(docs.limit(0)).count() == 0
+    kept = jaccard.keep_one_of_each(docs.withColumn("my col.x", F.lit(1)).withColumn("row", F.lit(2)), 3, 90, 100)
+    assert kept.columns == [*docs.columns, "my col.x", "row"]
+    want = {}
+    for (i, text), (_, n, name) in zip(rows, brute_rows(rows, 3, 90, 100)):
+        if n:
+            want.setdefault(name, set()).add((i is None, i))
+    got = [(r.doc_id is None, r.doc_id) for r in kept.collect() if words_of(r.text)]
+    assert sorted(got, key=repr) == sorted((min(v, key=lambda x: (x[0], x[1] or 0)) for v in want.values()), key=repr)
+    assert sum(not words_of(r.text) for r in kept.collect()) == sum(not words_of(t) for _, t in rows)
 
 
 def test_components_of_chains_and_stars(spark):
