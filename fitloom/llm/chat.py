@@ -8,8 +8,9 @@ gets a window of its own and is never cut.
 The template is ``<|im_start|>role\\ntext<|im_end|>\\n``. In texts and roles ``<|`` gets a backslash between its two
 characters (and ``<\\|`` one more, and so on), so no text can make a mark, and reading takes it out again.
 
-Turns are shuffled once by conversation and streamed in order, with memory of one window, whatever a conversation's
-length. Defined results: a null text or role is empty; a null conversation id is one conversation; null turns come first,
+Turns are tokenized where they are read, evenly over all tasks; then they are shuffled once by conversation and streamed in order,
+with memory of one window, whatever a conversation's length. A conversation's windows follow from one another, so one task forms
+them; that is cheap beside the tokens. Defined results: a null text or role is empty; a null conversation id is one conversation; null turns come first,
 equal ones by role and text; repeated rows are repeated turns; other columns are ignored; an empty table gives no windows.
 """
 
@@ -17,9 +18,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +54,8 @@ class _Windows:
     def __init__(self, budget: int, history: int):
         self.budget, self.history, self.no = budget, history, 0
         self.system, self.turns, self.n_old, self.first = None, [], 0, True
+        #: Prefix sums of the turns' tokens, one more than turns.
+        self.sums = [0]
 
     def add(self, role: str, turn: tuple[str, int, int | None]) -> Iterator[tuple]:
         """turn: its text in the template, its tokens, and where an assistant's text starts."""
@@ -60,15 +63,15 @@ class _Windows:
             self.system, self.first = turn, False
             return
         self.first = False
-        base = self.system[1] if self.system else 0
-        if len(self.turns) > self.n_old and base + sum(t[1] for t in self.turns) + turn[1] > self.budget:
+        room = self.budget - (self.system[1] if self.system else 0)
+        if len(self.turns) > self.n_old and self.sums[-1] + turn[1] > self.sums[0] + room:
             yield self.window()
-            sums = np.cumsum([0] + [t[1] for t in self.turns])
-            room = min(self.history, self.budget - base - turn[1])
-            at = int(np.searchsorted(sums, sums[-1] - room)) if room > 0 else len(self.turns)
-            self.turns = self.turns[at:]
+            again = min(self.history, room - turn[1])
+            at = bisect_left(self.sums, self.sums[-1] - again) if again > 0 else len(self.turns)
+            del self.turns[:at], self.sums[:at]
             self.n_old = len(self.turns)
         self.turns.append(turn)
+        self.sums.append(self.sums[-1] + turn[1])
 
     def window(self) -> tuple:
         lead = [self.system] if self.system else []
@@ -79,7 +82,7 @@ class _Windows:
             parts.append(text)
             at += len(text)
         self.no += 1
-        return self.no - 1, old, sum(t[1] for t in lead + self.turns), "".join(parts), loss
+        return self.no - 1, old, sum(t[1] for t in lead) + self.sums[-1] - self.sums[0], "".join(parts), loss
 
     def close(self) -> Iterator[tuple]:
         if len(self.turns) > self.n_old or self.system and not self.no:
@@ -90,8 +93,19 @@ def windows(conversations: DataFrame, vocabulary: str, budget: int = 2048, histo
     """A row per window: conv_id, window_no, n_repeated (leading turns that earlier windows had), n_tokens, text and loss
     (ranges of code points). A conversation's windows stand together and in order in one partition."""
 
+    names = ["conv_id", "turn", "role", "text"]
+
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter(vocabulary)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                roles, texts = ([x or "" for x in part.column(c).to_pylist()] for c in ("role", "text"))
+                turns = [f"{START}{_role(r)}\n{escape(t)}{END}" for r, t in zip(roles, texts)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counter.count_column(pa.array(turns, pa.string())))], [*names, "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, state, conv, rows, size = Counter(vocabulary), None, None, [], 0
+        state, conv, rows, size = None, None, [], 0
         schema = pa.schema([("conv_id", pa.int64()), ("window_no", pa.int32()), ("n_repeated", pa.int32()), ("n_tokens", pa.int64()), ("text", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 
         def batch_of(rows: list) -> pa.RecordBatch:
@@ -103,7 +117,7 @@ def windows(conversations: DataFrame, vocabulary: str, budget: int = 2048, histo
                 roles, texts = ([x or "" for x in part.column(c).to_pylist()] for c in ("role", "text"))
                 heads = [f"{START}{_role(r)}\n" for r in roles]
                 turns = [f"{h}{escape(t)}{END}" for h, t in zip(heads, texts)]
-                sizes = counter.count_column(pa.array(turns, pa.string())).tolist()
+                sizes = part.column("n").to_pylist()
                 for c, role, head, turn, n in zip(part.column("conv_id").to_pylist(), roles, heads, turns, sizes):
                     if state is None or c != conv:
                         found = [(conv, *w) for w in state.close()] if state else []
@@ -121,8 +135,9 @@ def windows(conversations: DataFrame, vocabulary: str, budget: int = 2048, histo
         if rows:
             yield batch_of(rows)
 
-    turns = conversations.select(F.col("conv_id").cast("bigint"), "turn", "role", "text")
-    turns = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    turns = conversations.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
+    turns = turns.mapInArrow(sized, "conv_id bigint, turn bigint, role string, text string, n bigint")
+    turns = turns.repartition("conv_id").sortWithinPartitions(*names)
     return turns.mapInArrow(run, WINDOW)
 
 

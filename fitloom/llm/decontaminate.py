@@ -2,17 +2,19 @@
 
 Index: a table of postings (doc, term, position) of all documents, written to shared storage as segments of whole
 documents, with a document's length as the posting of the empty term. A term that no test item uses can't be searched
-for and isn't stored. Search: of every window of an item the two rarest terms are taken; the list of the rarest is
-shifted by its offset and meets the list of the second at the offset that the window asks; what is left meets the lists
-of all other terms of its windows, for the documents that still have a candidate. Full runs on one diagonal are matches.
-Every step is linear in postings: lists join on document and position, never on a term alone.
+for and isn't stored. Search: of every window of an item the two rarest terms are taken; each distinct pair of such terms
+and their distance shifts the list of the rarest to meet the list of the second, once for all windows that ask it; what is left meets
+the lists of all other terms of its windows, for the documents that still have a candidate. Full runs on one diagonal are matches.
+Lists meet on document and position. The list of a rarest term is repeated for each second term and distance that windows
+ask beside it: that number follows the test items and not the corpus.
 
-Small tables (terms, pairs, candidate documents) are broadcast up to ``BROADCAST_ROWS`` rows, counted first, and joined
-by shuffle beyond that. Long documents are spread by their positions.
+Small tables (terms, pairs, candidate documents) are broadcast up to ``rows.BROADCAST_ROWS`` rows and ``rows.BROADCAST_BYTES`` bytes, counted
+first, and joined by shuffle beyond that. Long documents are spread by their positions.
 
 Defined results: null and empty texts have no words and are clean; an item without words never occurs; items with equal
 words are found together; a null item_id counts its words as hit but isn't listed; rows that repeat an id are told apart
-by their text's hash, and equal rows get equal results; empty tables give no matches; other columns are left alone.
+by their text's hash, and equal rows get equal results; empty tables give no matches; other columns are left alone, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -23,12 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fitloom.llm.rows import packed, small, spread
 from fitloom.llm.urlfilter import LOWER, UPPER
 from fitloom.plans.scratch import Scratch
 
 #: What stands between words once A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BROADCAST_ROWS = 500_000
 DOC = ["doc", "h"]
 
 
@@ -36,11 +38,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN), "")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df``, marked for broadcast if it has few rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 @dataclass
 class PositionalIndex:
     """postings: doc_id, doc (never null), h (the text's hash), n_words, term, pos from 1 on; term 0 at pos 0 for each row."""
@@ -55,7 +52,7 @@ class PositionalIndex:
         rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), words_of(F.col(text)).alias("words"))
         rows = rows.select("doc_id", "h", F.size("words").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), "words")).alias("pos", "word"))
         empty = docs.sparkSession.createDataFrame([("", 0)], "word string, term bigint")
-        known = _small(terms.select("word", "term").unionByName(empty))
+        known = small(terms.select("word", "term").unionByName(empty))
         found = rows.join(known, "word").select("doc_id", "h", "n_words", "term", "pos")
         doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
         return cls(scratch.keep(found, "postings").withColumn("doc", doc), scratch)
@@ -69,7 +66,7 @@ class PositionalIndex:
     def of_terms(self, terms: DataFrame) -> DataFrame:
         """The lists of the terms: doc, h, term, pos."""
         lists = self.postings.filter("term <> 0").select(*DOC, "term", "pos")
-        return lists.join(_small(terms.select("term").distinct()), "term", "left_semi")
+        return lists.join(small(terms.select("term").distinct()), "term", "left_semi")
 
 
 def phrases(items: DataFrame, text: str = "text", item_id: str = "item_id") -> DataFrame:
@@ -104,19 +101,21 @@ def exact_matches(index: PositionalIndex, found: DataFrame, window: int = 10) ->
     pairs = pairs.groupBy("seq", "a", "term_a", "b", "term_b").agg(F.max("w").alias("w"), F.collect_list("start").alias("starts"))
     pairs = index.scratch.keep(pairs, "pairs")
 
+    asked = pairs.select("term_a", "term_b", (F.col("b") - F.col("a")).alias("apart")).distinct()
     first = index.postings.filter("term <> 0").select(*DOC, F.col("term").alias("term_a"), F.col("pos").alias("pos_a"))
-    first = first.join(_small(pairs.drop("starts", "w")), "term_a")
-    first = first.select(*DOC, "seq", "a", "b", (F.col("pos_a") - F.col("a")).alias("diagonal"), F.col("term_b").alias("term"), (F.col("pos_a") - F.col("a") + F.col("b")).alias("pos"))
+    first = first.join(small(asked), "term_a").select(*DOC, "term_a", "pos_a", "apart", F.col("term_b").alias("term"), (F.col("pos_a") + F.col("apart")).alias("pos"))
     second = index.of_terms(pairs.select(F.col("term_b").alias("term")))
-    left = first.join(second, [*DOC, "term", "pos"], "left_semi").select(*DOC, "seq", "diagonal", "a", "b").distinct()
+    met = first.join(second, [*DOC, "term", "pos"], "left_semi").withColumnRenamed("term", "term_b")
+    windows = pairs.select("seq", "a", "b", "term_a", "term_b", (F.col("b") - F.col("a")).alias("apart"))
+    left = met.join(small(windows), ["term_a", "term_b", "apart"]).select(*DOC, "seq", (F.col("pos_a") - F.col("a")).alias("diagonal"), "a", "b").distinct()
     left = index.scratch.keep(left, "candidates")
 
     # All places of the candidates' windows.
-    wanted = left.join(_small(pairs.select("seq", "a", "b", "w", "starts")), ["seq", "a", "b"])
+    wanted = left.join(small(pairs.select("seq", "a", "b", "w", "starts")), ["seq", "a", "b"])
     wanted = wanted.withColumn("start", F.explode("starts")).select(*DOC, "seq", "diagonal", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("w") - 1)).alias("i")).distinct()
-    wanted = wanted.join(_small(places.select("seq", "i", "term", "w")), ["seq", "i"])
+    wanted = wanted.join(small(places.select("seq", "i", "term", "w")), ["seq", "i"])
     wanted = wanted.withColumn("pos", F.col("diagonal") + F.col("i"))
-    lists = index.postings.filter("term <> 0").select(*DOC, "term", "pos").join(_small(left.select(*DOC).distinct()), DOC, "left_semi")
+    lists = index.postings.filter("term <> 0").select(*DOC, "term", "pos").join(small(left.select(*DOC).distinct()), DOC, "left_semi")
     there = wanted.join(lists, [*DOC, "term", "pos"], "left_semi")
 
     run = W.partitionBy(*DOC, "seq", "diagonal")
@@ -134,9 +133,9 @@ def near_matches(index: PositionalIndex, found: DataFrame, slop: int) -> DataFra
     places = index.scratch.keep(places.withColumn("k", F.row_number().over(of_item.orderBy("n", "term"))).drop("word", "n", "known"), "near")
     cell = F.floor(F.col("pos") / (slop + 1))
     lists = index.postings.filter("term <> 0")
-    anchors = lists.join(_small(places.filter("k = 1").select("term", "seq", "all")), "term").select("doc_id", *DOC, "seq", "all", "pos")
+    anchors = lists.join(small(places.filter("k = 1").select("term", "seq", "all")), "term").select("doc_id", *DOC, "seq", "all", "pos")
     around = anchors.withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
-    around = around.join(_small(places.filter("k > 1").select("seq", "term")), "seq")
+    around = around.join(small(places.filter("k > 1").select("seq", "term")), "seq")
     others = index.of_terms(places).withColumn("cell", cell).withColumnRenamed("pos", "at")
     met = around.join(others, [*DOC, "term", "cell"]).filter(F.abs(F.col("at") - F.col("pos")) <= slop)
     met = met.groupBy("doc_id", *DOC, "seq", "pos", "all").agg(F.count_distinct("term").alias("m")).filter("m = all - 1")
@@ -150,7 +149,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     index = PositionalIndex.build(docs, terms_of(found))
     hits = index.scratch.keep(exact_matches(index, found, window), "hits")
     n_hit = hits.groupBy(*DOC).agg(F.count_distinct("pos").alias("n_hit"))
-    listed = hits.select(*DOC, "seq").distinct().join(_small(found.select("seq", "items")), "seq")
+    listed = hits.select(*DOC, "seq").distinct().join(small(found.select("seq", "items")), "seq")
     listed = listed.select(*DOC, F.explode_outer("items").alias("item")).groupBy(*DOC).agg(F.array_sort(F.collect_set("item")).alias("items"))
     rows = index.documents().join(n_hit, DOC, "left").join(listed, DOC, "left")
     rows = rows.select(
@@ -163,6 +162,5 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """The documents without a word inside an occurrence of a test window, with the columns of ``docs``."""
     hit = contamination(docs.select("doc_id", "text"), items, window).filter("n_hit > 0").select("doc_id", "h").distinct()
-    rows = docs.withColumn("__h", F.xxhash64("text"))
-    hit = hit.select(F.col("doc_id").alias("__id"), F.col("h").alias("__hit"))
-    return rows.join(hit, rows["doc_id"].eqNullSafe(hit["__id"]) & (rows["__h"] == hit["__hit"]), "left_anti").drop("__h")
+    rows = packed(docs, id=F.col("doc_id"), own=F.xxhash64("text"))
+    return spread(rows.join(hit, rows["id"].eqNullSafe(hit["doc_id"]) & (rows["own"] == hit["h"]), "left_anti"), docs)

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fitloom.llm.graph import components
+from fitloom.llm.rows import packed, small, spread
 from fitloom.llm.textarrays import BASE, INVERSE, Powers, Texts, gram_ok, grams, mix, texts_of
 from fitloom.plans.scratch import Scratch
 
@@ -52,8 +53,6 @@ KEYS, WIDE = 4, 3
 BLOCK, PAIRS = 64, 400_000
 #: Powers of two of buckets that count shingles: a byte for each is broadcast, 16 MB at most.
 BUCKETS = (16, 24)
-#: Ids that are broadcast (eight bytes each, a few columns); more of them are joined by shuffle.
-FEW = 500_000
 NO_ID = -(1 << 63)
 
 
@@ -176,16 +175,11 @@ def _sketches(docs: DataFrame, k: int, num: int, den: int, levels: np.ndarray) -
     return rows.mapInArrow(run, "doc_id bigint, h bigint, n int, node bigint, keys array<bigint>, prefix array<bigint>, cold int, bits binary")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df``, of a few numbers a row, marked for broadcast if it has few rows."""
-    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
-
-
 def _whole(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """wanted (doc, h, and others) with the whole set of that row of ``docs``."""
     names = [c for c in wanted.columns if c not in ("doc", "h")]
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("h"), "text")
-    rows = rows.join(_small(wanted), ["doc", "h"]).select(*names, "text")
+    rows = rows.join(small(wanted), ["doc", "h"]).select(*names, "text")
     schema = T.StructType([*(wanted.schema[c] for c in names), T.StructField("set", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,7 +444,7 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, scratch: Scratch) -> D
     families.build()
 
     who = nodes.select("node", "doc", "h").join(families.members.select("node", "fam"), "node", "left").select("node", "doc", "h", F.coalesce("fam", "node").alias("fam"))
-    own = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "h", "node", "n", "prefix", "cold").join(_small(scratch.keep(who, "who")), ["node", "doc", "h"])
+    own = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "h", "node", "n", "prefix", "cold").join(small(scratch.keep(who, "who")), ["node", "doc", "h"])
     before = F.concat(F.array(F.lit(0).cast("long")), F.slice("prefix", 1, F.size("prefix") - 1))
     lists = own.select("fam", "n", "cold", F.posexplode(F.arrays_zip(F.col("prefix").alias("token"), before.alias("prev"))).alias("pos", "e"))
     lists = lists.select(
@@ -492,6 +486,6 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     several = found.join(best, "class")
     gone = several.filter(F.struct("doc", "h") != F.struct("best.doc", "best.h")).select("doc", "h").distinct()
     again = several.groupBy("doc", "h").count().filter("count > 1").select("doc", "h")
-    rows = docs.select(*key, F.struct("*").alias("row")).join(_small(gone), ["doc", "h"], "left_anti")
-    one = rows.join(_small(again), ["doc", "h"], "left_semi").groupBy("doc", "h").agg(F.min_by("row", F.to_json("row")).alias("row"))
-    return rows.join(_small(again), ["doc", "h"], "left_anti").select("row").unionByName(one.select("row")).select("row.*")
+    rows = packed(docs, doc=key[0], h=key[1]).join(small(gone), ["doc", "h"], "left_anti")
+    one = rows.join(small(again), ["doc", "h"], "left_semi").groupBy("doc", "h").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return spread(rows.join(small(again), ["doc", "h"], "left_anti").select("row").unionByName(one.select("row")), docs)

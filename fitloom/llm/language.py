@@ -8,7 +8,8 @@ most letters; the score is their share.
 
 Each text is judged alone. Defined results: a null text or one without a letter is ``und`` with score 0, as is every text
 if no labelled text was given; words in a script that no language was learned in count for none, and a text of only such
-words gets the language of most training words; ties go to the first language by code point; other columns are kept.
+words gets the language of most training words; ties go to the first language by code point; other columns are kept, but one
+named ``language`` is replaced; a slice holds whole texts of up to ``SLICE_CHARS`` characters together, or one longer text.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from fitloom.llm.rows import packed, row_field, spread
 from fitloom.llm.textarrays import mix
 
 #: First code points of script ranges, and the script up to the next.
@@ -188,13 +191,14 @@ def _predict(model: Model, texts: list[str | None], spans: bool) -> list[tuple]:
 
 def identify(docs: DataFrame, model: Model, text: str = "text", spans: bool = True) -> DataFrame:
     """``docs`` with ``language``: lang, score, and spans (ranges of letter runs, start inclusive, end exclusive)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain arrays: a broadcast class would need the package where the tasks run.
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.scripts, model.usual))
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learned = shared.value
+        learned = Model(*shared.value)
         for batch in batches:
-            texts, out, at = batch.column("__text").to_pylist(), [], 0
+            texts, out, at = batch.column("row").field(text).to_pylist(), [], 0
             while at < len(texts):
                 to, size = at, 0
                 while to < len(texts) and (to == at or size + len(texts[to] or "") <= SLICE_CHARS):
@@ -202,8 +206,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", spans: bool = Tr
                     to += 1
                 out += [{"lang": a, "score": b, "spans": c} for a, b, c in _predict(learned, texts[at:to], spans)]
                 at = to
-            yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(out, kind)], ["__row", "language"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, kind)], ["row", "language"])
 
-    rows = docs.select(F.struct("*").alias("__row"), F.col(text).alias("__text"))
-    ddl = "struct<lang:string,score:double,spans:array<struct<start:int,end:int,lang:string>>>"
-    return rows.mapInArrow(run, f"__row {docs.schema.simpleString()}, language {ddl}").select("__row.*", "language")
+    found = T.StructType.fromDDL("lang string, score double, spans array<struct<start:int,end:int,lang:string>>")
+    schema = T.StructType([row_field(docs), T.StructField("language", found)])
+    return spread(packed(docs).mapInArrow(run, schema), docs, language=F.col("language"))

@@ -5,9 +5,10 @@ excess reshared by weight. A document's expected copies are its source's target
 own weight over the source's mean weight. The whole part of that is certain; for the rest, documents are ranked by
 ``(u / (1 - u)) / (p / (1 - p))``, the odds of a fixed random number over the odds of inclusion, and the lowest ranks
 are taken until the source's words reach the target. This gives samples of a fixed size with unequal probabilities.
-The last gap, smaller than one document, goes to the document that fits it best, so copies stay whole.
+The last gap, smaller than the next document in order, goes to the document that fits it best. That one is chosen by its size and
+not by its odds: of each source, one document is drawn with a bias towards sizes near the gap.
 
-The cut in the ranking is found without sorting a source: ranks fall into 1024 x 1024 buckets, two aggregations find the
+The cut in the ranking is found without sorting a source: ranks fall into 2048 x 1024 buckets, two aggregations find the
 bucket of the cut, and only that bucket's rows are put in order. Rows of a hot source are only ever pre-aggregated.
 The random number is a hash of the seed and the document's id, so reruns agree, also after lost executors.
 
@@ -18,6 +19,8 @@ gives an empty mix. Columns other than those named are left alone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,29 +44,44 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies: int = 3) -> DataFrame:
+def _ranked(sources: DataFrame, scratch: Scratch) -> DataFrame:
+    """``sources`` with rank, from 0 on, by code point, null last: sorted in ranges, so no task holds all of them."""
+    order = F.col("source").asc_nulls_last()
+    parts = scratch.keep(sources.orderBy(order).withColumn("range", F.spark_partition_id()), "sources")
+    # A row for each range.
+    before = F.sum("count").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1))
+    counts = parts.groupBy("range").count().select("range", F.coalesce(before, F.lit(0)).alias("before"))
+    own = F.row_number().over(W.partitionBy("range").orderBy(order)) - 1
+    return parts.withColumn("own", own).join(F.broadcast(counts), "range").withColumn("rank", F.col("before") + F.col("own")).drop("range", "before", "own")
+
+
+def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies: int = 3, scratch: Scratch | None = None) -> DataFrame:
     """A row per source: source_size, weight, target (words).
 
     ``sizes`` has source and size. Sources take ``weights`` in turn, by code point, null last. The sources at their limit
-    are a prefix in the order of limit over weight, so running sums over the sources find all targets at once; the
-    windows without a key hold one row per source.
+    are a prefix in the order of limit over weight. Sums over buckets of that ratio (2 % wide, so a few thousand rows) tell the
+    bucket in which the prefix ends; only the sources of that bucket are put in order.
     """
-    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = W.orderBy(F.col("source").asc_nulls_last())
+    scratch = scratch or Scratch(sizes.sparkSession, "targets")
     picks = F.array(*[F.lit(w) for w in weights])
-    s = sources.withColumn("weight", F.get(picks, (F.row_number().over(order) - 1) % len(weights)))
-    s = s.withColumn("limit", F.col("source_size") * max_copies)
-    by_ratio = W.orderBy((F.col("limit") / F.col("weight")), F.col("source").asc_nulls_last())
-    before = by_ratio.rowsBetween(W.unboundedPreceding, -1)
-    everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum("limit").over(before), F.lit(0))
-    weight_left = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    s = s.withColumn("level", left / weight_left)
-    s = s.withColumn("full", F.col("limit") / F.col("weight") < F.col("level"))
+    s = _ranked(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), scratch)
+    s = s.withColumn("weight", F.get(picks, (F.col("rank") % len(weights)).cast("int"))).withColumn("limit", F.col("source_size") * max_copies)
+    s = s.withColumn("ratio", F.col("limit") / F.col("weight"))
+    s = scratch.keep(s.withColumn("bucket", F.when(F.col("limit") > 0, F.floor(F.log2("ratio") * 32).cast("int")).otherwise(-(1 << 30))), "ratios")
+    sums = s.groupBy("bucket").agg(F.sum("limit").alias("limits"), F.sum("weight").alias("weights"), F.sum("source_size").alias("sizes"), F.max("ratio").alias("most"))
+    upto, everything = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0), W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    total, left = F.sum("sizes").over(everything), F.sum("weights").over(everything) - F.sum("weights").over(upto)
+    reached = F.sum("limits").over(upto) + F.col("most") * left >= total
+    sums = sums.select("bucket", reached.alias("reached"), total.alias("total"), (F.sum("limits").over(upto) - F.col("limits")).alias("limits"), (left + F.col("weights")).alias("left"))
+    first = sums.filter("reached").agg(F.min_by(F.struct("bucket", "total", "limits", "left"), "bucket").alias("f")).select("f.*")
+    by_ratio = W.partitionBy("bucket").orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
+    inside = s.join(F.broadcast(first), "bucket")
+    level = (F.col("total") - F.col("limits") - F.coalesce(F.sum("limit").over(by_ratio), F.lit(0))) / (F.col("left") - F.coalesce(F.sum("weight").over(by_ratio), F.lit(0)))
+    inside = inside.select("ratio", level.alias("level")).filter("ratio >= level")
     # The first source that isn't full sets the level of all that follow.
-    level = F.min(F.when(~F.col("full"), F.struct(F.col("limit") / F.col("weight"), F.col("level").alias("level")))).over(everything)["level"]
-    s = s.withColumn("shared", level)
-    target = F.when(F.col("full"), F.col("limit").cast("double")).otherwise(F.least(F.col("limit").cast("double"), F.col("weight") * F.col("shared")))
+    shared = inside.agg(F.min(F.struct("ratio", "level")).alias("s")).select("s.level").scalar()
+    limit = F.col("limit").cast("double")
+    target = F.when(shared.isNull() | (F.col("ratio") < shared), limit).otherwise(F.least(limit, F.col("weight") * shared))
     return s.select("source", "source_size", "weight", target.alias("target"))
 
 
@@ -78,22 +96,23 @@ def mix(
     text: str = "text",
     source: str = "source",
     doc_id: str = "doc_id",
-    weight: str | None = None,
+    weight: str | Callable[[Column], Column] | None = None,
     weights: tuple[int, ...] = (1, 2, 3),
     max_copies: int = 3,
     seed: str = "mix-1:",
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken of every row of ``docs``.
 
-    ``weight`` names a column of positive numbers: a document's chance goes with it. Without it, all are alike.
+    ``weight`` names a column of numbers, or makes one of a document's size: a document's chance goes with it (null, not a number or
+    below 0: none). Without it, all are alike.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
-    rows = docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), w.alias("w"), _uniform(F.col(doc_id), seed).alias("u")
-    )
+    given = F.col(f"`{weight}`") if isinstance(weight, str) else F.lit(None)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), given.cast("double").alias("w"), _uniform(F.col(doc_id), seed).alias("u"))
+    w = F.lit(1.0) if weight is None else F.col("w") if isinstance(weight, str) else weight(F.col("size")).cast("double")
+    rows = rows.withColumn("w", F.when(F.isnan(w) | (w < 0), 0.0).otherwise(F.coalesce(w, F.lit(0.0))))
     rows = scratch.keep(rows, "sizes")
-    aims = targets(rows.select("source", "size"), weights, max_copies)
+    aims = targets(rows.select("source", "size"), weights, max_copies, scratch)
     means = rows.groupBy("source").agg(F.try_divide(F.sum(F.col("w") * F.col("size")), F.sum("size")).alias("mean_w"))
     aims = scratch.keep(same_keys(aims, means, ["source"]), "targets")
 
@@ -102,13 +121,15 @@ def mix(
     rows = rows.withColumn("certain", F.floor(expected)).withColumn("p", expected - F.floor(expected))
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     able = (F.col("size") > 0) & (F.col("certain") < max_copies)
-    # A document without a fractional chance comes after all others.
-    rows = rows.withColumn("t", F.when(able & (F.col("p") > 0), odds / (1 + odds)).when(able, 1.0))
-    cell = F.least(F.floor(F.col("t") * (BUCKETS * BUCKETS)), F.lit(BUCKETS * BUCKETS - 1)).cast("int")
+    # A document without a fractional chance comes after all others, in the order of u.
+    rows = rows.withColumn("t", F.when(able & (F.col("p") > 0), odds / (1 + odds)).when(able, 1 + F.col("u")))
+    cell = F.floor(F.col("t") * (BUCKETS * BUCKETS))
     rows = rows.withColumn("b1", F.floor(cell / BUCKETS).cast("int")).withColumn("b2", (cell % BUCKETS).cast("int"))
 
-    need = rows.groupBy("source").agg((F.first("target") - F.sum(F.col("certain") * F.col("size"))).alias("need"))
-    free = rows.filter("t is not null")
+    # Where the certain copies reach the target, nothing is drawn and nothing is put in order.
+    need = rows.groupBy("source").agg((F.first("target") - F.sum(F.col("certain") * F.col("size"))).alias("need")).filter("need > 0")
+    rows = same_keys(rows, need.select("source", F.lit(True).alias("draws")), ["source"], "left")
+    free = rows.filter("t is not null and draws")
 
     def cut(parts: DataFrame, keys: list[str], bucket: str, need: DataFrame) -> DataFrame:
         """For each key, the first bucket whose words don't all fit, and what is left for it."""
@@ -140,8 +161,8 @@ def mix(
     at = F.struct(F.col("cut1"), F.col("cut2"))
     before = (here < at) | ((here == at) & F.coalesce(key <= F.col("upto"), F.lit(False)))
     # Without a cut, every able document fits.
-    rows = rows.withColumn("drawn", F.col("t").isNotNull() & (F.col("cut1").isNull() | before))
-    rows = scratch.keep(rows.drop("b1", "b2", "cut1", "cut2", "upto", "w", "mean_w"), "drawn")
+    rows = rows.withColumn("drawn", F.col("t").isNotNull() & F.coalesce("draws", F.lit(False)) & (F.col("cut1").isNull() | before))
+    rows = scratch.keep(rows.drop("b1", "b2", "cut1", "cut2", "upto", "w", "mean_w", "draws"), "drawn")
     filler = (
         rows.filter(F.col("t").isNotNull() & ~F.col("drawn") & F.col("gap").isNotNull() & (F.abs(F.col("size") - F.col("gap")) < F.col("gap")))
         .groupBy("source")
@@ -151,4 +172,4 @@ def mix(
     # Rows that repeat an id and a size are alike; one of them fills the gap.
     fills = F.col("fill").isNotNull() & ~F.col("drawn") & F.col("t").isNotNull() & F.col("doc_id").eqNullSafe(F.col("fill.id")) & (F.col("size") == F.col("fill.words"))
     copies = (F.col("certain") + F.when(F.col("drawn") | fills, 1).otherwise(0)).cast("long")
-    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return scratch.only(rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")), "mix")

@@ -2,12 +2,12 @@
 
 Rolling hashes of word n-grams of several lengths are computed in numpy over whole batches of texts. An n-gram counts
 as repeated when its hash occurs again in the same text (64-bit hashes; two of a text's n-grams share one by chance
-with odds of about 1 in 10^10 for 100,000 words). Coverage is the share of the words' bytes in repeated n-grams, so
+with odds of about 1 in 10^10 for 100,000 words). Coverage is the share of the words' characters in repeated n-grams, so
 overlapping repeats count once.
 
 Each text is judged alone: no shuffle, memory of one slice of texts. A null, empty or blank text has zero counts and
 is rejected (fewer than ``min_words`` words). Repeated rows and ties get equal results; null ids pass through; other
-columns are kept as they are.
+columns are kept as they are, but one named ``repetition`` is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,24 +18,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from fitloom.llm.rows import packed, row_field, spread
 from fitloom.llm.textarrays import Powers, BASE, INVERSE, Texts, gram_ok, grams, mix, texts_of
 
-#: Greatest share of a text's word bytes in repeated n-grams, by n. A text above any of them is rejected.
+#: Greatest share of a text's word characters in repeated n-grams, by n. A text above any of them is rejected.
 MAX_COVERAGE = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
-#: Greatest share of word bytes in lines that repeat an earlier line.
+#: Greatest share of word characters in lines that repeat an earlier line.
 MAX_LINE_COVERAGE = 0.30
 #: Greatest share of junk symbols among a text's word characters.
 MAX_SYMBOLS = 0.10
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
+#: White space, and the bytes of a character behind its first.
+NOT_COUNTED = b" \t\n\x0b\x0c\r" + bytes(range(0x80, 0xC0))
 
 FIELDS = pa.schema(
     [(name, pa.int64()) for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     + [("dup_line_share", pa.float64()), ("dup_gram_shares", pa.list_(pa.float64()))]
 )
-DDL = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, dup_line_share double, dup_gram_shares array<double>"
+DDL = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, dup_line_share double, dup_gram_shares array<double>"
 
 
 def _repeated(hashes: np.ndarray) -> np.ndarray:
@@ -62,10 +66,10 @@ def covered(t: Texts, words: np.ndarray, n: int) -> np.ndarray:
 
 
 def _lines(data: bytes) -> tuple[int, int]:
-    """Lines with a word that equal an earlier line, and their bytes that aren't white space."""
+    """Lines with a word that equal an earlier line, and their characters that aren't white space."""
     seen, n, size = set(), 0, 0
     for line in data.split(b"\n"):
-        body = line.translate(None, b" \t\n\x0b\x0c\r")
+        body = line.translate(None, NOT_COUNTED)
         if body:
             if line in seen:
                 n, size = n + 1, size + len(body)
@@ -79,17 +83,18 @@ def measure(column: pa.Array, lengths: list[int]) -> pa.Table:
     symbol = np.zeros(256, bool)
     symbol[list(SYMBOLS)] = True
     for t in texts_of(column):
-        words, sizes = t.word_hashes(powers), t.word_hi - t.word_lo
-        word_bytes = np.add.reduceat(np.append(sizes, 0), t.first[:-1]) * (t.n_words > 0) if len(sizes) else np.zeros(len(t.n_words), np.int64)
+        words = t.word_hashes(powers)
         chars = np.zeros(len(t.data) + 1, np.int64)
         np.cumsum((t.data & 0xC0) != 0x80, out=chars[1:])
+        sizes = chars[t.word_hi] - chars[t.word_lo]
         inside = np.zeros(len(words) + 1, np.int64)
-        np.cumsum(chars[t.word_hi] - chars[t.word_lo], out=inside[1:])
+        np.cumsum(sizes, out=inside[1:])
+        word_chars = np.diff(inside[t.first])
 
         def share(marked: np.ndarray) -> np.ndarray:
             sums = np.zeros(len(words) + 1, np.int64)
             np.cumsum(sizes * marked, out=sums[1:])
-            return np.diff(sums[t.first]) / np.maximum(word_bytes, 1)
+            return np.diff(sums[t.first]) / np.maximum(word_chars, 1)
 
         window = np.zeros(len(words) + 1, np.int64)
         np.cumsum(covered(t, words, REPEAT_WINDOW), out=window[1:])
@@ -100,11 +105,11 @@ def measure(column: pa.Array, lengths: list[int]) -> pa.Table:
             pa.table(
                 [
                     pa.array(t.n_words, pa.int64()),
-                    pa.array(np.diff(inside[t.first])),
+                    pa.array(word_chars),
                     pa.array(t.count(symbol[t.data])),
                     pa.array([n for n, _ in lines], pa.int64()),
                     pa.array(np.diff(window[t.first])),
-                    pa.array([size for _, size in lines], pa.float64()).to_numpy() / np.maximum(word_bytes, 1),
+                    pa.array([size for _, size in lines], pa.float64()).to_numpy() / np.maximum(word_chars, 1),
                     pa.FixedSizeListArray.from_arrays(shares.ravel(), len(lengths)).cast(pa.list_(pa.float64())),
                 ],
                 schema=FIELDS,
@@ -113,37 +118,37 @@ def measure(column: pa.Array, lengths: list[int]) -> pa.Table:
     return pa.concat_tables(parts) if parts else FIELDS.empty_table()
 
 
-def repetition(docs: DataFrame, text: str = "text", max_coverage: dict[int, float] | None = None) -> DataFrame:
-    """``docs`` with a struct column ``repetition``: counts, ``base_failed``, shares and ``kept``.
-
-    kept: not base_failed (too few words, or over 30 % of the words in repeated 8-word windows), and no share of
-    repeated n-grams, repeated lines or symbols above its limit.
-    """
+def _judged(docs: DataFrame, text: str, max_coverage: dict[int, float] | None) -> DataFrame:
+    """row and repetition."""
     limits = MAX_COVERAGE if max_coverage is None else max_coverage
     lengths = sorted(limits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = measure(batch.column("__row").field(text), lengths).combine_chunks()
-            for part in found.to_batches() or []:
-                yield pa.RecordBatch.from_struct_array(
-                    pa.StructArray.from_arrays(
-                        [batch.column("__row"), pa.StructArray.from_arrays(part.columns, fields=list(FIELDS))],
-                        names=["__row", "repetition"],
-                    )
-                )
-
-    rows = docs.select(F.struct("*").alias("__row"))
+            found = measure(batch.column("row").field(text), lengths).combine_chunks()
+            for part in found.to_batches():
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.StructArray.from_arrays(part.columns, fields=list(FIELDS))], ["row", "repetition"])
+
     r = F.col("repetition")
     failed = (r["n_words"] < MIN_WORDS) | (100 * r["n_repeat_words"] > 30 * r["n_words"])
     over = F.lit(False)
     for i, n in enumerate(lengths):
         over = over | (r["dup_gram_shares"][i] > limits[n])
     over = over | (r["dup_line_share"] > MAX_LINE_COVERAGE) | (r["n_symbols"] > MAX_SYMBOLS * r["word_chars"])
-    out = rows.mapInArrow(run, f"__row {docs.schema.simpleString()}, repetition struct<{DDL.replace(' long', ':bigint').replace(' double', ':double').replace(' array', ':array')}>")
-    return out.select("__row.*", r.withField("base_failed", failed).withField("kept", ~failed & ~over).alias("repetition"))
+    schema = T.StructType([row_field(docs), T.StructField("repetition", T.StructType.fromDDL(DDL))])
+    out = packed(docs).mapInArrow(run, schema)
+    return out.select("row", r.withField("base_failed", failed).withField("kept", ~failed & ~over).alias("repetition"))
+
+
+def repetition(docs: DataFrame, text: str = "text", max_coverage: dict[int, float] | None = None) -> DataFrame:
+    """``docs`` with a struct column ``repetition``: counts, ``base_failed``, shares and ``kept``.
+
+    kept: not base_failed (too few words, or over 30 % of the words in repeated 8-word windows), and no share of
+    repeated n-grams, repeated lines or symbols above its limit.
+    """
+    return spread(_judged(docs, text, max_coverage), docs, repetition=F.col("repetition"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass the rules, with the columns of ``docs``."""
-    return repetition(docs).filter(F.col("repetition.kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return spread(_judged(docs, "text", None).filter("repetition.kept"), docs)

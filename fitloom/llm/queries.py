@@ -26,7 +26,7 @@ def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.register(spark)
     path = f"{Scratch(spark, 'warc').path}/pages"
     warc.page_records(_read(spark, sf_dir, "pages").select("page_id", "url", "html")).write.format("warc").mode("append").save(path)
-    records = spark.read.format("warc").schema("warc_type string, record_id string, refers_to string, payload_digest string, payload_length bigint, payload binary").load(path)
+    records = warc.read(spark, path, "warc_type string, record_id string, refers_to string, payload_digest string, payload_length bigint, payload binary")
     records = records.filter(F.col("warc_type").isin("response", "revisit"))
     page = lambda urn: F.regexp_extract(urn, "(-?[0-9]+)>$", 1).try_cast("bigint")
     # A response is measured by its payload; a revisit has only its headers.
@@ -62,8 +62,9 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document of 100 words or more has twice the chance of a shorter one."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(docs, weight=lambda size: F.when(size >= 100, 2.0).otherwise(1.0)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 @_query
@@ -184,13 +185,14 @@ s1 AS (SELECT *, 3 * source_size AS lim,
 s2 AS (SELECT *, lim / w < level AS isfull FROM s1),
 s AS (SELECT source, source_size,
     CASE WHEN isfull THEN lim::DOUBLE ELSE least(lim::DOUBLE, w * (SELECT arg_min(level, lim / w) FROM s2 WHERE NOT isfull)) END AS target FROM s2),
-e AS (SELECT d.*, source_size, target, CASE WHEN size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0 END AS x
-  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+v AS (SELECT source, sum(CASE WHEN size >= 100 THEN 2 ELSE 1 END * size)::DOUBLE / sum(size)::DOUBLE AS mean_w FROM d GROUP BY source),
+e AS (SELECT d.*, source_size, target, CASE WHEN size > 0 THEN least(target / source_size * (CASE WHEN size >= 100 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END / mean_w), 3.0::DOUBLE) ELSE 0 END AS x
+  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source JOIN v ON d.source IS NOT DISTINCT FROM v.source),
 f AS (SELECT *, floor(x)::BIGINT AS certain, x - floor(x) AS p FROM e),
 g AS (SELECT *, CASE WHEN size > 0 AND certain < 3 THEN CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) ELSE 1e300 END END AS q FROM f),
 h AS (SELECT *, target - sum(certain * size) OVER (PARTITION BY source) AS need,
     CASE WHEN q IS NOT NULL THEN sum(CASE WHEN q IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY q NULLS LAST, u, doc_id, size ROWS UNBOUNDED PRECEDING) END AS run FROM g),
-i AS (SELECT *, q IS NOT NULL AND run <= need AS drawn FROM h),
+i AS (SELECT *, q IS NOT NULL AND need > 0 AND run <= need AS drawn FROM h),
 j AS (SELECT *, need - coalesce(max(CASE WHEN drawn THEN run END) OVER (PARTITION BY source), 0) AS gap FROM i),
 k AS (SELECT *, CASE WHEN q IS NOT NULL AND NOT drawn AND abs(size - gap) < gap
     THEN row_number() OVER (PARTITION BY source, q IS NOT NULL AND NOT drawn AND abs(size - gap) < gap ORDER BY abs(size - gap), q, u, doc_id) END AS r FROM j)
@@ -217,7 +219,7 @@ _GRAMS = "\n".join(
   SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) > 1 AS again FROM (
     SELECT doc_id, unnest(range(1, len(ws) - {n - 2})) AS i, list_slice(ws, unnest(range(1, len(ws) - {n - 2})), unnest(range(1, len(ws) - {n - 2})) + {n - 1}) AS g FROM d WHERE len(ws) >= {n})),
 c{n} AS (
-  SELECT w.doc_id, sum(octet_length(encode(w.w))) AS size, count(*) AS words FROM w
+  SELECT w.doc_id, sum(length(w.w)) AS size, count(*) AS words FROM w
   JOIN (SELECT DISTINCT doc_id, unnest(range(i, i + {n})) AS i FROM g{n} WHERE again) x ON x.doc_id = w.doc_id AND x.i = w.i GROUP BY w.doc_id),"""
     for n in sorted(quality.MAX_COVERAGE)
 )
@@ -225,8 +227,8 @@ ORACLES["op9_quality_rules"] = (
     r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM d),
-b AS (SELECT doc_id, sum(length(w)) AS chars, sum(octet_length(encode(w))) AS bytes FROM w GROUP BY doc_id),
-l0 AS (SELECT doc_id, line, octet_length(encode(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) AS size
+b AS (SELECT doc_id, sum(length(w)) AS chars FROM w GROUP BY doc_id),
+l0 AS (SELECT doc_id, line, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS size
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 l1 AS (SELECT doc_id, count(*) - 1 AS n, (count(*) - 1) * min(size) AS size FROM l0 GROUP BY doc_id, line),
 l AS (SELECT doc_id, sum(n) AS n, sum(size) AS size FROM l1 GROUP BY doc_id),
@@ -236,8 +238,8 @@ l AS (SELECT doc_id, sum(n) AS n, sum(size) AS size FROM l1 GROUP BY doc_id),
 m AS (
   SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(b.chars, 0)::BIGINT AS word_chars,
     len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(c8.words, 0)::BIGINT AS n_repeat_words,
-    coalesce(l.size, 0) / greatest(coalesce(b.bytes, 0), 1) AS lines"""
-    + "".join(f", coalesce(c{n}.size, 0) / greatest(coalesce(b.bytes, 0), 1) AS s{n}" for n in sorted(quality.MAX_COVERAGE))
+    coalesce(l.size, 0) / greatest(coalesce(b.chars, 0), 1) AS lines"""
+    + "".join(f", coalesce(c{n}.size, 0) / greatest(coalesce(b.chars, 0), 1) AS s{n}" for n in sorted(quality.MAX_COVERAGE))
     + " FROM d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN l ON l.doc_id = d.doc_id "
     + " ".join(f"LEFT JOIN c{n} ON c{n}.doc_id = d.doc_id" for n in sorted(quality.MAX_COVERAGE))
     + f""")

@@ -5,11 +5,14 @@
    the words start an anchor. Anchors of two documents or more recur; they go into a bit filter of
    bounded size (at most 16 MB). False positives cost time only.
 2. Segments. The words of the windows that share a recurring anchor are sent to the anchor's shard, in the order of
-   doc_id. There the windows seen in two documents are confirmed as recurring, by their text, and compiled into
-   Aho-Corasick automata of at most ``PHRASES`` phrases; the shard's segments of all documents are streamed through them
-   to locate every occurrence. An occurrence in a document other than the phrase's first is removed.
-3. The ranges found meet the documents again, and their words are cut out of the whole texts. Only documents that may
-   have ranges (by another bit filter) are shuffled for that.
+   doc_id. So every document streams past each automaton that can hold a phrase of it, and past no other: to stream all documents
+   past all automata would cost shards times corpus.
+3. Automata. A shard's rows come in chunks. A window is a phrase if two documents have it (by a 64-bit hash of its words). The
+   phrases, each with its first document, are compiled into Aho-Corasick automata of at most ``PHRASES``; in an automaton a word
+   is one character, numbered by its text, so a phrase takes ``window`` nodes. The chunk's distinct segments are streamed through,
+   and what an automaton matches, word by word, in a later document than the phrase's first is removed: a chance equality of hashes
+   compiles a phrase too many, but removes nothing.
+4. The ranges found meet the documents again, and their words are cut out of the whole texts.
 
 Skew: anchors that hold more than ``1 / HOT_SHARE`` of all anchors (at most that many can) are sent window by window, and
 windows that hold as much are dealt out by salt, each salt with a copy of the phrase's first occurrence. A shard's memory
@@ -17,7 +20,8 @@ is that of one chunk of rows and of the distinct phrases of one anchor.
 
 Defined results: a null, empty or short text has no window and keeps its words; a null doc_id is never earlier or later,
 so its words stay; rows that repeat a doc_id are one document to each other; windows are judged on the input, not on
-what is left; an empty table gives no rows; other columns are kept.
+what is left; an empty table gives no rows; other columns are kept, but one named ``dedup`` is replaced. A slice of texts holds
+whole texts, up to 1 MB together or one longer text.
 """
 
 from __future__ import annotations
@@ -29,17 +33,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fitloom.llm.textarrays import BASE, INVERSE, Powers, Texts, gram_ok, grams, mix, texts_of
+from fitloom.llm.rows import packed, row_field, small, spread
+from fitloom.llm.textarrays import BASE, INVERSE, SPACE, Powers, Texts, gram_ok, grams, mix, split, texts_of
 from fitloom.plans.scratch import Scratch
 
 ANCHOR = 5
-PHRASES = 5_000
+PHRASES = 20_000
 CHUNK_ROWS = 20_000
 HOT_SHARE = 20_000
 HOT_LEAST = 2_000
 FILTER_BITS = (1 << 16, 1 << 27)
 SEGMENT = "key bigint, salt int, doc_id bigint, h bigint, at int, words string"
+RANGE = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 
 
 def runs(t: Texts, powers: Powers, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -128,8 +135,8 @@ def _segments(docs: DataFrame, window: int, bits: np.ndarray, hot: np.ndarray, o
                         dealt = is_hot & (often[0][at] == key)
                         doc = mix(ids[t.rows][owner[dealt]].astype(np.int64).view(np.uint64))
                         salt[dealt] = doc % often[1][at[dealt]].astype(np.uint64)
-                raw = t.data.tobytes()
-                words = [b" ".join(raw[a:b].split()) for a, b in zip(t.word_lo[first].tolist(), t.word_hi[last + window - 1].tolist())]
+                raw, ends = _spaced(t)
+                words = [raw[a:b] for a, b in zip(ends[first].tolist(), ends[last + window].tolist())]
                 for at in range(0, len(words), CHUNK_ROWS):
                     part = slice(at, at + CHUNK_ROWS)
                     mine = owner[part]
@@ -144,55 +151,86 @@ def _segments(docs: DataFrame, window: int, bits: np.ndarray, hot: np.ndarray, o
     return docs.select("doc_id", "h", "text").mapInArrow(run, SEGMENT)
 
 
-def _phrases(words: str, window: int) -> list[str]:
-    parts = words.split(" ")
-    return [" ".join(parts[i : i + window]) for i in range(len(parts) - window + 1)]
+def _spaced(t: Texts) -> tuple[bytes, np.ndarray]:
+    """A slice's words, each followed by one space, and where each begins; one place more than words."""
+    sizes = t.word_hi - t.word_lo
+    ends = np.concatenate([[0], np.cumsum(sizes + 1)])
+    out = np.full(ends[-1], 32, np.uint8)
+    out[np.arange(sizes.sum()) + np.repeat(np.arange(len(sizes)), sizes)] = t.data[~SPACE[t.data]]
+    return out.tobytes(), ends
 
 
-def _automata(first: dict[str, int], confirmed: set[str]) -> Iterator[ahocorasick.Automaton]:
-    """Automata of the phrases between spaces, each with its length and its first document."""
-    todo = sorted(confirmed)
-    for at in range(0, len(todo), PHRASES):
+def _automata(phrases: list[str], first: list[int]) -> Iterator[ahocorasick.Automaton]:
+    """Automata that tell each phrase's first document."""
+    for at in range(0, len(phrases), PHRASES):
         automaton = ahocorasick.Automaton()
-        for phrase in todo[at : at + PHRASES]:
-            automaton.add_word(f" {phrase} ", (len(phrase) + 2, first[phrase]))
+        for phrase, doc in zip(phrases[at : at + PHRASES], first[at : at + PHRASES]):
+            automaton.add_word(phrase, doc)
         automaton.make_automaton()
         yield automaton
 
 
-def _locate(rows: list[tuple], carried: dict[str, int], window: int) -> tuple[list[tuple], dict[str, int]]:
-    """Ranges to remove in a chunk of a shard, sorted by key and doc_id. carried: first documents of the chunk's first key, if
-    it began in an earlier chunk. rows: key, doc_id, h, at, words, whether only to be learned from."""
-    first, confirmed, last_key, of_last = dict(carried), set(), rows[-1][0], {}
-    split: dict[str, list[str]] = {}
-    for key, doc, _, _, words, _ in rows:
-        if words not in split:
-            split[words] = _phrases(words, window)
-        for phrase in split[words]:
-            if first.setdefault(phrase, doc) < doc:
-                confirmed.add(phrase)
-            if key == last_key:
-                of_last[phrase] = first[phrase]
-    if carried and rows[0][0] == last_key:
-        of_last = carried | of_last
-    # Equal segments of several documents are streamed once: start and first document of each phrase found.
-    found: dict[str, list[tuple[int, int]]] = {words: [] for words in split}
-    for automaton in _automata(first, confirmed):
-        for words, hits in found.items():
-            text = f" {words} "
-            hits += [(text.count(" ", 0, end - size + 1), origin) for end, (size, origin) in automaton.iter(text)]
-    out = []
-    for _, doc, h, at, words, known in rows:
-        starts = [] if known else sorted(s for s, origin in found[words] if origin < doc)
-        if starts:
-            lo = prev = starts[0]
-            for s in starts[1:]:
-                if s > prev + window:
-                    out.append((doc, h, at + lo, at + prev + window))
-                    lo = s
-                prev = s
-            out.append((doc, h, at + lo, at + prev + window))
-    return out, of_last
+def _letters(t: Texts) -> str:
+    """All words of the segments as a character each, equal ones for equal words, and a character 0 behind each segment."""
+    ends = np.concatenate([[0], t.word_hi + 1])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(t.data)])
+    number = words.dictionary_encode().indices.to_numpy().astype(np.uint32) + np.uint32(1)
+    number[number >= 0xD800] += np.uint32(0x800)  # what is no character
+    out = np.zeros(len(number) + len(t.n_words), "<u4")
+    out[np.arange(len(number)) + t.doc_of_word] = number
+    return out.tobytes().decode("utf-32-le")
+
+
+def _located(chunk: pa.RecordBatch, carried: dict[int, int], window: int, powers: Powers) -> tuple[pa.RecordBatch, dict[int, int]]:
+    """Ranges to remove in a chunk of rows, sorted by key, salt and doc_id; and the first documents of the windows of its last group,
+    by hash. carried: those of the chunk before, if its last group goes on."""
+    doc, h, at, known, key, salt = (chunk.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "h", "at", "known", "key", "salt"))
+    coded = chunk.column("words").dictionary_encode()
+    segment, distinct = coded.indices.to_numpy(), coded.dictionary.cast(pa.large_binary())
+    offsets = np.frombuffer(distinct.buffers()[1], np.int64)[distinct.offset : distinct.offset + len(distinct) + 1]
+    t = split(np.frombuffer(distinct.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0], slice(0, len(distinct)))
+    most, least = np.iinfo(np.int64).max, np.iinfo(np.int64).min
+    low, high = np.full(len(distinct), most), np.full(len(distinct), least)
+    np.minimum.at(low, segment, doc)
+    np.maximum.at(high, segment, doc)
+
+    starts, owner = gram_ok(t.first, window)
+    names, where, same = np.unique(grams(t.word_hashes(powers), window)[starts], return_index=True, return_inverse=True)
+    first, latest = np.full(len(names), most), np.full(len(names), least)
+    np.minimum.at(first, same, low[owner])
+    np.maximum.at(latest, same, high[owner])
+    if carried:
+        old = np.fromiter(carried, np.uint64, len(carried))
+        place = np.minimum(np.searchsorted(names, old), len(names) - 1)
+        there = names[place] == old
+        np.minimum.at(first, place[there], np.fromiter(carried.values(), np.int64, len(carried))[there])
+    goes_on = (key == key[-1]) & (salt == salt[-1])
+    of_last = np.isin(owner, segment[goes_on])
+    kept = dict(zip(names[same[of_last]].tolist(), first[same[of_last]].tolist()))
+    if goes_on.all():
+        kept = carried | kept
+
+    recurs = np.flatnonzero(first < latest)
+    text, begins = _letters(t), t.first[:-1] + np.arange(len(distinct))
+    places = starts[where[recurs]] + owner[where[recurs]]
+    hits = [hit for automaton in _automata([text[i : i + window] for i in places.tolist()], first[recurs].tolist()) for hit in automaton.iter(text)]
+    found = np.array(sorted(hits), np.int64).reshape(-1, 2)
+    place, origin = found[:, 0] - window + 1, found[:, 1]
+    of = np.searchsorted(begins, place, "right") - 1
+    edge = np.searchsorted(of, np.arange(len(distinct) + 1))
+
+    # Every row of a segment has its hits, but for those of its own or a later document.
+    rows = np.flatnonzero(~known & (edge[segment + 1] > edge[segment]))
+    n = edge[segment[rows] + 1] - edge[segment[rows]]
+    hit = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(edge[segment[rows]], n)
+    row = np.repeat(rows, n)
+    good = origin[hit] < doc[row]
+    row, lo = row[good], (place[hit] - begins[of[hit]])[good]
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (lo[1:] > lo[:-1] + window)])[: len(row)]
+    edge = np.flatnonzero(new)
+    end = np.append(edge[1:], len(row))[: len(edge)] - 1
+    row, lo, hi = row[edge], lo[edge], lo[end] + window
+    return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(h[row]), pa.array((at[row] + lo).astype(np.int32)), pa.array((at[row] + hi).astype(np.int32))], schema=RANGE), kept
 
 
 def repeated_ranges(docs: DataFrame, window: int = 13) -> DataFrame:
@@ -220,24 +258,25 @@ def repeated_ranges(docs: DataFrame, window: int = 13) -> DataFrame:
         segments = segments.unionByName(copies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buffer, carried, shard = [], {}, None
-        schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "salt", "doc_id", "h", "at", "words", "known")]
-            for key, salt, *rest in zip(*columns):
-                if len(buffer) >= CHUNK_ROWS:
-                    out, carried = _locate(buffer, carried, window)
-                    if (key, salt) != shard:
-                        carried = {}
-                    buffer = []
-                    if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-                shard = (key, salt)
-                buffer.append(((key, salt), *rest))
-        if buffer:
-            out, _ = _locate(buffer, carried, window)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        powers, carried, last = Powers(BASE, INVERSE), {}, None
+
+        def chunks() -> Iterator[pa.RecordBatch]:
+            parts, size = [], 0
+            for batch in batches:
+                for start in range(0, batch.num_rows, CHUNK_ROWS):
+                    parts.append(batch.slice(start, CHUNK_ROWS))
+                    size += parts[-1].num_rows
+                    if size >= CHUNK_ROWS:
+                        yield pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+                        parts, size = [], 0
+            if size:
+                yield pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+        for chunk in chunks():
+            group = [(chunk.column("key")[i].as_py(), chunk.column("salt")[i].as_py()) for i in (0, -1)]
+            out, carried = _located(chunk, carried if group[0] == last else {}, window, powers)
+            last = group[1]
+            yield out
 
     shards = segments.repartition("key", "salt").sortWithinPartitions("key", "salt", "doc_id", F.col("known").desc())
     found = shards.mapInArrow(run, "doc_id bigint, h bigint, lo int, hi int")
@@ -263,46 +302,36 @@ def _cut(text: bytes, ranges: list[dict] | None) -> tuple[int, int, bytes, bytes
     return len(words), sum(gone), b" ".join(kept), b"".join(spaced)
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, spaced: bool = False) -> DataFrame:
-    """``docs`` with ``dedup``: n_words, n_removed and kept, the words left, joined by one space; with ``spaced``, by the
-    white space that stands before them, and unchanged where nothing is removed. A null text is kept as empty."""
+def _removed(docs: DataFrame, window: int, spaced: bool) -> DataFrame:
+    """row and dedup."""
     ranges = repeated_ranges(docs, window)
-    key = F.xxhash64("doc_id", "h").alias("anchor")
-    shared = docs.sparkSession.sparkContext.broadcast(_bits(ranges.select(key), ranges.count()))
-    rows = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__doc"), F.xxhash64("text").alias("__hash"))
-    rows = rows.withColumn("__key", F.xxhash64("__doc", "__hash"))
-
-    def only(may: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(_passes(shared.value, batch.column("__key").to_numpy(zero_copy_only=False)) == may))
-
-        return run
-
-    whole, maybe = (rows.mapInArrow(only(may), rows.schema) for may in (False, True))
-    ranges = ranges.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("ranges").alias("__ranges"))
-    maybe = maybe.join(ranges, (F.col("__doc") == F.col("__id")) & (F.col("__hash") == F.col("__h")), "left").select("__row", "__ranges")
-    whole = whole.select("__row").withColumn("__ranges", F.lit(None).cast(maybe.schema["__ranges"].dataType))
-    rows = whole.unionByName(maybe)
+    ranges = small(ranges.select("doc_id", "h", "ranges"))
+    rows = packed(docs, doc_id=F.col("doc_id"), h=F.xxhash64("text")).join(ranges, ["doc_id", "h"], "left").select("row", "ranges")
     kind = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found = [_cut((t or "").encode(), r) for t, r in zip(part.column("__row").field("text").to_pylist(), part.column("__ranges").to_pylist())]
+                found = [_cut((t or "").encode(), r) for t, r in zip(part.column("row").field("text").to_pylist(), part.column("ranges").to_pylist())]
                 columns = [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[3 if spaced else 2] for f in found], pa.binary()).cast(pa.string())]
-                yield pa.RecordBatch.from_arrays([part.column("__row"), pa.StructArray.from_arrays(columns, fields=list(kind))], ["__row", "dedup"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.StructArray.from_arrays(columns, fields=list(kind))], ["row", "dedup"])
+
+    schema = T.StructType([row_field(docs), T.StructField("dedup", T.StructType.fromDDL("n_words bigint, n_removed bigint, kept string"))])
+    return rows.mapInArrow(run, schema)
+
 
-    ddl = f"__row {docs.schema.simpleString()}, dedup struct<n_words:bigint,n_removed:bigint,kept:string>"
-    return rows.mapInArrow(run, ddl).select("__row.*", "dedup")
+def remove_repeats(docs: DataFrame, window: int = 13, spaced: bool = False) -> DataFrame:
+    """``docs`` with ``dedup``: n_words, n_removed and kept, the words left, joined by one space; with ``spaced``, by the
+    white space that stands before them, and unchanged where nothing is removed. A null text is kept as empty."""
+    return spread(_removed(docs, window, spaced), docs, dedup=F.col("dedup"))
 
 
 def cut_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     """``docs`` with the repeated words cut out of ``text``, ``n_chars`` following it; texts of which nothing is left go."""
-    cut = remove_repeats(docs, window, spaced=True)
-    text = F.when(F.col("dedup.n_removed") > 0, F.col("dedup.kept")).otherwise(F.col("text"))
-    cut = cut.filter("dedup.n_removed = 0 or dedup.n_removed < dedup.n_words").withColumn("text", text)
+    cut = _removed(docs, window, spaced=True).filter("dedup.n_removed = 0 or dedup.n_removed < dedup.n_words")
+    changed, own = F.col("dedup.n_removed") > 0, lambda c: F.col("row").getField(c)
+    new = {"text": F.when(changed, F.col("dedup.kept")).otherwise(own("text"))}
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("dedup.n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return cut.select(*[F.col(f"`{c}`") for c in docs.columns])
+        new["n_chars"] = F.when(changed, F.length(new["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(own("n_chars"))
+    return cut.select(*[new.get(c, own(c)).alias(c) for c in docs.columns])

@@ -7,7 +7,8 @@ symbols that survive are counted. A pair made by a merge always ranks after that
 lowest pairs at once gives what merging them one by one gives.
 
 Each text is counted alone: no shuffle; memory of one slice of texts and of up to ``CACHE`` known pre-tokens. A null or
-empty text has no tokens. Other columns are kept. The vocabulary is read on each executor from its path.
+empty text has no tokens. Other columns are kept, but one named ``n_tokens`` is replaced. The vocabulary is read on each executor
+from its path; a file whose rules aren't known here is refused.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from fitloom.llm.rows import packed, row_field, spread
 
 #: The pre-tokenizer's pattern. Its \s is Unicode's White_Space, written out, as libraries differ on U+001C to U+001F.
 BLANK = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -43,8 +47,13 @@ class Counter:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, added = spec["model"], spec.get("added_tokens", [])
-        if model["type"] != "BPE" or any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+        if model["type"] != "BPE" or any(t.get(c) for t in added for c in ("single_word", "lstrip", "rstrip", "normalized")):
             raise ValueError(f"{path}: not a byte-level BPE with plain special strings")
+        cut = spec.get("pre_tokenizer") or {}
+        if spec.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+            raise ValueError(f"{path}: only the plain byte-level pre-tokenizer without a normalizer or a space in front is known")
+        if any(model.get(c) for c in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")):
+            raise ValueError(f"{path}: only plain merges are known")
         ids = model["vocab"]
         self.byte_ids = np.array([ids[c] for c in byte_letters()], np.int64)
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
@@ -95,7 +104,7 @@ class Counter:
             self.known = {}
         cut, extra = [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
-            parts = self.special.split(text) if self.special and "<" in text else [text]
+            parts = self.special.split(text) if self.special else [text]
             extra[i] = len(parts) - 1
             cut.append([p for part in parts for p in self.pattern.findall(part)] if len(parts) > 1 else self.pattern.findall(text))
         new = sorted(set().union(*cut) - self.known.keys())
@@ -123,7 +132,7 @@ def token_counts(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(vocabulary)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(counter.count_column(batch.column("__text")), pa.int64())], ["__row", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(counter.count_column(batch.column("row").field(text)), pa.int64())], ["row", "n_tokens"])
 
-    rows = docs.select(F.struct("*").alias("__row"), F.col(text).alias("__text"))
-    return rows.mapInArrow(run, f"__row {docs.schema.simpleString()}, n_tokens bigint").select("__row.*", "n_tokens")
+    schema = T.StructType([row_field(docs), T.StructField("n_tokens", T.LongType())])
+    return spread(packed(docs).mapInArrow(run, schema), docs, n_tokens=F.col("n_tokens"))

@@ -6,8 +6,8 @@ the list, which removes false positives. Up to ``BROADCAST_BYTES`` of blocks are
 first); a larger filter is joined by block. Neither the list nor the filter passes through the driver.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, no rule and is not listed; nulls in a
-list are ignored; repeated URLs and pages are fine; an empty list blocks nothing. Hot URLs are split by the adaptive
-skew join, as the list has one row for each.
+list are ignored; repeated URLs and pages are fine; an empty list blocks nothing; very long URLs are read by position; columns
+named like the added ones are replaced. Hot URLs are split by the adaptive skew join, as the list has one row for each.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fitloom.llm.rows import packed, spread
+from fitloom.plans.scratch import Scratch
+
 BITS_PER_URL = 12
 WORDS = 8
 BROADCAST_BYTES = 32 << 20
@@ -25,20 +28,31 @@ TRACKING = r"^(utm_[a-z]*|ref)="
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _rest(url: Column) -> Column:
+    """What stands behind the first ``://``; empty without one. Found by position: no pattern has to walk a long URL."""
+    at = F.instr(url, "://")
+    return F.when(at > 0, F.substr(url, at + 3)).otherwise("")
+
+
 def host_of(url: Column) -> Column:
-    return F.translate(F.coalesce(F.regexp_extract(url, r"^(?s)(?:(?!://).)*://([^/?#]*)", 1), F.lit("")), UPPER, LOWER)
+    return F.translate(F.substring_index(F.substring_index(F.substring_index(_rest(url), "/", 1), "?", 1), "#", 1), UPPER, LOWER)
 
 
 def path_of(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(url, r"^(?s)(?:(?!://).)*://[^/?#]*([^?#]*)", 1), F.lit(""))
+    page = F.substring_index(F.substring_index(_rest(url), "?", 1), "#", 1)
+    at = F.instr(page, "/")
+    return F.when(at > 0, F.substr(page, at)).otherwise("")
 
 
 def canonical(url: Column) -> Column:
     """Host without www., path without its last slashes, and the query's other parameters in order; null without a host."""
-    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    page = F.substring_index(url, "#", 1)
+    at = F.instr(page, "?")
+    query = F.when(at > 0, F.substr(page, at + 1)).otherwise("")
     kept = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(TRACKING))), "&")
-    host = F.regexp_replace(host_of(url), r"^www\.", "")
-    page = F.concat(host, F.regexp_replace(path_of(url), "/+$", ""), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
+    host = host_of(url)
+    host = F.when(host.startswith("www."), F.substr(host, F.lit(5))).otherwise(host)
+    page = F.concat(host, F.rtrim(path_of(url), F.lit("/")), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
     return F.when(host != "", page)
 
 
@@ -73,28 +87,28 @@ def bloom(urls: DataFrame, column: str, n_blocks: int) -> DataFrame:
 
 def listed(pages: DataFrame, urls: DataFrame, column: str = "canonical") -> DataFrame:
     """``pages`` with ``listed``: whether their ``column`` is among the column of that name in ``urls``."""
-    known = urls.select(column).filter(F.col(column).isNotNull()).distinct()
-    n = known.count()
+    known = Scratch(pages.sparkSession, "url-list").keep(urls.select(column).filter(F.col(column).isNotNull()).distinct(), "known")
+    n, size = known.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(column) + 16), F.lit(0))).first()
     n_blocks = max(1, -(-n * BITS_PER_URL // (64 * WORDS)))
     blocks = bloom(known, column, n_blocks)
     if n_blocks * 8 * (WORDS + 1) <= BROADCAST_BYTES:
         blocks = F.broadcast(blocks)
-    probe = pages.withColumn("__block", _block(F.coalesce(F.col(column), F.lit("")), n_blocks))
-    probe = probe.join(blocks.withColumnRenamed("block", "__key"), F.col("__block") == F.col("__key"), "left")
-    maybe = F.col(column).isNotNull()
-    for i, bit in enumerate(_bits(F.col(column))):
+    probe = packed(pages, url=F.col(column))
+    probe = probe.withColumn("block", _block(F.coalesce("url", F.lit("")), n_blocks)).join(blocks, "block", "left")
+    maybe = F.col("url").isNotNull()
+    for i, bit in enumerate(_bits(F.col("url"))):
         maybe = maybe & F.coalesce(F.col(f"w{i}").bitwiseAND(bit) != 0, F.lit(False))
-    probe = probe.withColumn("__maybe", maybe).drop("__block", "__key", *[f"w{i}" for i in range(WORDS)])
-    exact = known.withColumnRenamed(column, "__url").withColumn("listed", F.lit(True))
-    hits = probe.filter("__maybe").join(exact, F.col(column) == F.col("__url"), "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    misses = probe.filter("not __maybe").withColumn("listed", F.lit(False))
-    return hits.drop("__maybe", "__url").unionByName(misses.drop("__maybe"))
+    # A miss has no flag, so it joins nothing; its URL still spreads it over the tasks.
+    probe = probe.select("row", "url", F.when(maybe, F.lit(1)).alias("hit"))
+    exact = known.select(F.col(column).alias("url"), F.lit(1).alias("hit"), F.lit(True).alias("there"))
+    found = probe.join(F.broadcast(exact) if size <= BROADCAST_BYTES else exact, ["url", "hit"], "left")
+    return spread(found, pages, listed=F.coalesce("there", F.lit(False)))
 
 
 def judge(pages: DataFrame, urls: DataFrame, rules: list[tuple[str, str, str]], url: str = "url") -> DataFrame:
     """``pages`` with host, path, canonical, rule, listed and verdict: the longest rule's, else block if listed, else allow."""
-    rows = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url)), "canonical": canonical(F.col(url))})
+    rows = packed(pages, host=host_of(F.col(url)), path=path_of(F.col(url)), canonical=canonical(F.col(url)))
     rows = listed(rows, urls)
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("listed"), "block").otherwise("allow")
-    return rows.withColumn("rule", rule).withColumn("verdict", F.coalesce(said, method))
+    return spread(rows, pages, host=F.col("host"), path=F.col("path"), canonical=F.col("canonical"), rule=rule, listed=F.col("listed"), verdict=F.coalesce(said, method))

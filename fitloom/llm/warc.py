@@ -1,18 +1,21 @@
 """WARC archives as a Spark data source, and pages archived with revisit records.
 
-``spark.read.format("warc")`` lists the committed archives of a folder, packs small files into partitions and splits
+``read`` gives the records of a folder: it lists the committed archives, packs small files into partitions and splits
 large ones. Filters on header columns are pushed into the reader: it parses a record's headers first and, where they
-fail or the schema has no ``payload``, jumps to the next record without inflating the rest.
+fail or the schema has no ``payload``, jumps to the next record without inflating the rest. (Spark 4.1 keeps the filters last pushed
+into a loaded source for later queries that push none, and would lose rows; so ``read`` always pushes one that all records pass.)
 
 Each record is a gzip member of its own whose extra field ``SL`` holds the member's size, so a reader can jump over a
-member and find the next one from any offset; archives of other writers are read from their start, one partition each.
-Plain ``.warc`` files are read too, one partition each, skipping by Content-Length.
+member. Beside an archive stands an index of members' offsets, one for each ``indexbytes``; only there is a file split, as a payload
+can hold anything, other archives too. Archives of other writers are read from their start, one partition each. Plain ``.warc``
+files are read too, one partition each, skipping by Content-Length. A truncated record, or one with a header of over 1 MB,
+raises ``ValueError`` with its place.
 
 A write is committed by one listing of the files that its tasks finished, so files of lost or repeated tasks are never
 read. Paths go to ``pyarrow.fs``, so they can be on any store that it knows; executors and driver must share them.
 
-Defined results: null values leave their header out and come back null; a null payload is empty; a record needs no
-columns but ``warc_type``; extra columns are ignored; an empty table writes no archive and reads back as no rows.
+Defined results: null values leave their header out and come back null, but a type, written as resource and read as unknown where
+there is none; a null payload is empty; a record needs no columns but ``warc_type``; extra columns are ignored; an empty table writes no archive and reads back as no rows.
 Control characters in header values are percent-encoded.
 """
 
@@ -52,6 +55,8 @@ EPOCH = "1970-01-01T00:00:00Z"
 #: Start of a member: gzip, deflate, an extra field of 8 bytes, no time, the subfield SL of 4 bytes.
 MARK = b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff\x08\x00SL\x04\x00"
 CHUNK = 1 << 20
+#: Behind an archive's name, that of its index.
+INDEX = ".offsets"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -94,7 +99,8 @@ def _record(row: dict) -> bytes:
 
 
 class WarcSource(ds.DataSource):
-    """Options: path; ``splitbytes`` (64 MB) for partitions; ``level`` (1) of compression when writing."""
+    """Options: path; ``splitbytes`` (64 MB) for partitions; when writing, ``level`` (1) of compression and ``indexbytes`` (8 MB)
+    between the places where an archive can be split."""
 
     @classmethod
     def name(cls) -> str:
@@ -107,7 +113,7 @@ class WarcSource(ds.DataSource):
         return WarcReader(self.options["path"], schema, int(self.options.get("splitbytes", 64 << 20)))
 
     def writer(self, schema: StructType, overwrite: bool) -> ds.DataSourceWriter:
-        return WarcWriter(self.options["path"], overwrite, int(self.options.get("level", 1)))
+        return WarcWriter(self.options["path"], overwrite, int(self.options.get("level", 1)), int(self.options.get("indexbytes", 8 << 20)))
 
 
 @dataclass
@@ -116,26 +122,35 @@ class Written(ds.WriterCommitMessage):
 
 
 class WarcWriter(ds.DataSourceArrowWriter):
-    def __init__(self, path: str, overwrite: bool, level: int, roll: int = 1 << 30):
-        self.path, self.overwrite, self.level, self.roll = path, overwrite, level, roll
+    def __init__(self, path: str, overwrite: bool, level: int, index_bytes: int, roll: int = 1 << 30):
+        self.path, self.overwrite, self.level, self.index_bytes, self.roll = path, overwrite, level, index_bytes, roll
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = _store(self.path)
-        files, out, size = [], None, 0
+        files, out, size, offsets = [], None, 0, [0]
+
+        def close() -> None:
+            out.close()
+            with fs.open_output_stream(f"{root}/{files[-1]}{INDEX}", compression=None) as index:
+                index.write(json.dumps(offsets).encode())
+
         for batch in iterator:
             for start in range(0, batch.num_rows, 256):
                 for row in batch.slice(start, 256).to_pylist():
                     if out is None or size >= self.roll:
                         if out is not None:
-                            out.close()
+                            close()
                         fs.create_dir(root, recursive=True)
                         files.append(f"part-{uuid.uuid4().hex}.warc.gz")
                         out, size = fs.open_output_stream(f"{root}/{files[-1]}", compression=None), 0
+                        offsets = [0]
+                    if size - offsets[-1] >= self.index_bytes:
+                        offsets.append(size)
                     data = _member(_record(row), self.level)
                     out.write(data)
                     size += len(data)
         if out is not None:
-            out.close()
+            close()
         return Written(files)
 
     def commit(self, messages: list) -> None:
@@ -144,7 +159,7 @@ class WarcWriter(ds.DataSourceArrowWriter):
         files = [name for m in messages if m is not None for name in m.files]
         if self.overwrite:
             for info in fs.get_file_info(pafs.FileSelector(root)):
-                if info.base_name not in files and re.match(r"part-.*\.warc|_files-", info.base_name):
+                if info.base_name.removesuffix(INDEX) not in files and re.match(r"part-.*\.warc|_files-", info.base_name):
                     fs.delete_file(info.path)
         with fs.open_output_stream(f"{root}/_files-{uuid.uuid4().hex}.json", compression=None) as out:
             out.write(json.dumps(files).encode())
@@ -152,7 +167,9 @@ class WarcWriter(ds.DataSourceArrowWriter):
     def abort(self, messages: list) -> None:
         fs, root = _store(self.path)
         for name in (name for m in messages if m is not None for name in m.files):
-            fs.delete_file(f"{root}/{name}")
+            for path in (f"{root}/{name}", f"{root}/{name}{INDEX}"):
+                if fs.get_file_info(path).type != pafs.FileType.NotFound:
+                    fs.delete_file(path)
 
 
 @dataclass
@@ -200,14 +217,19 @@ class WarcReader(ds.DataSourceReader):
         for info in listings:
             with fs.open_input_stream(info.path, compression=None) as f:
                 listed |= set(json.loads(f.read()))
+        there = {i.path for i in infos}
         files = sorted((i.path, i.size) for i in infos if (i.base_name in listed if listings else re.search(r"\.warc(\.gz)?$", i.base_name)))
         pieces, pack, room = [], [], self.split_bytes
         for path, size in files:
             if size > self.split_bytes:
-                with fs.open_input_file(path) as f:
-                    ours = f.read(len(MARK)) == MARK
-                step = self.split_bytes if ours else size
-                pieces += [Piece([(path, at, min(at + step, size))]) for at in range(0, size, step)]
+                offsets, cuts = [0], [0]
+                if path + INDEX in there:
+                    with fs.open_input_stream(path + INDEX, compression=None) as f:
+                        offsets = json.loads(f.read())
+                for at in offsets:
+                    if at - cuts[-1] >= self.split_bytes:
+                        cuts.append(at)
+                pieces += [Piece([(path, a, b)]) for a, b in zip(cuts, [*cuts[1:], size])]
                 continue
             if pack and size > room:
                 pieces, pack, room = [*pieces, Piece(pack)], [], self.split_bytes
@@ -237,84 +259,111 @@ def _columns(head: dict) -> dict:
     for column, (header, prefix) in HEADERS.items():
         value = head.get(header.lower())
         row[column] = value.removeprefix(prefix) if value is not None else None
+    row["warc_type"] = row["warc_type"] or "unknown"
     row["payload_length"] = int(row["payload_length"]) if (row["payload_length"] or "").isdigit() else None
     return row
 
 
 class _Window:
-    """A file's bytes from an offset on, read in chunks."""
+    """A file's bytes from an offset on, read in chunks. Skipping moves a mark and copies nothing; passed bytes go with the next read."""
 
     def __init__(self, f, at: int):
-        self.f, self.at, self.buf = f, at, b""
-
-    def fill(self, n: int) -> bytes:
-        """At least n bytes, or as many as there are."""
-        parts, size = [self.buf], len(self.buf)
-        while size < n:
-            self.f.seek(self.at + size)
-            got = self.f.read(max(CHUNK, n - size))
-            if not got:
-                break
-            parts.append(got)
-            size += len(got)
-        self.buf = b"".join(parts) if len(parts) > 1 else self.buf
-        return self.buf
+        self.f, self.at, self.buf, self.off = f, at, b"", 0
+
+    def fill(self, n: int) -> int:
+        """Make n bytes available; how many there are."""
+        if len(self.buf) - self.off < n:
+            parts, size = [self.buf[self.off :]], len(self.buf) - self.off
+            while size < n:
+                self.f.seek(self.at + size)
+                got = self.f.read(max(CHUNK, n - size))
+                if not got:
+                    break
+                parts.append(got)
+                size += len(got)
+            self.buf, self.off = b"".join(parts), 0
+        return len(self.buf) - self.off
+
+    def bytes(self, start: int, end: int) -> bytes:
+        """The bytes from start to end, or as many as there are."""
+        self.fill(end)
+        return self.buf[self.off + start : self.off + end]
+
+    def find(self, what: bytes, most: int) -> int:
+        self.fill(most)
+        at = self.buf.find(what, self.off, self.off + most)
+        return at - self.off if at >= 0 else -1
 
     def skip(self, n: int) -> None:
-        self.buf = self.buf[n:] if n <= len(self.buf) else b""
-        self.at += n
+        self.off, self.at = self.off + n, self.at + n
+        if self.off > len(self.buf):
+            self.buf, self.off = b"", 0
 
 
 def _read_file(f, start: int, end: int, names: list[str], tests: list, packed: bool) -> Iterator[tuple]:
+    """Records from start, the place of one, up to end."""
     w = _Window(f, start)
-    if start:
-        while (found := w.fill(CHUNK).find(MARK)) < 0:
-            if len(w.buf) < CHUNK or w.at > end:
-                return
-            w.skip(len(w.buf) - len(MARK))
-        w.skip(found)
-    while w.at < end and w.fill(64):
-        if not packed:
-            head_end = w.fill(CHUNK).find(b"\r\n\r\n")
-            if head_end < 0:
-                return
-            head = _parse(w.buf[:head_end])
-            size = int(head.get("content-length", 0))
-            row, block_at = _columns(head), head_end + 4
-            if all(test(row[c]) for c, test in tests):
-                block = w.fill(block_at + size)[block_at : block_at + size] if "payload" in names else None
-                yield _row(row, head, block, names)
-            w.skip(block_at + size + 4)
-            continue
-        ours = w.buf.startswith(MARK)
-        length = struct.unpack_from("<I", w.buf, len(MARK))[0] if ours else None
-        inflater, text, fed = zlib.decompressobj(31), b"", 0
-        while b"\r\n\r\n" not in text and not inflater.eof:
-            more = w.fill(fed + 8192)[fed : fed + 8192]
-            if not more and not inflater.unconsumed_tail:
-                return
-            fed += len(more)
-            text += inflater.decompress(inflater.unconsumed_tail + more, 4096)
-        head_end = text.find(b"\r\n\r\n")
-        head = _parse(text[:head_end])
-        row = _columns(head)
-        wanted = all(test(row[c]) for c, test in tests)
-        if wanted and "payload" in names or not ours:
-            parts = [text]
-            while not inflater.eof:
-                more = b"" if inflater.unconsumed_tail else w.fill(fed + CHUNK)[fed : fed + CHUNK]
-                if not more and not inflater.unconsumed_tail:
-                    break
-                fed += len(more)
-                got = inflater.decompress(inflater.unconsumed_tail + more, CHUNK)
-                if wanted:
-                    parts.append(got)
-            text = b"".join(parts)
-            length = length or fed - len(inflater.unused_data)
-        if wanted:
-            block = text[head_end + 4 : head_end + 4 + int(head.get("content-length", 0))]
-            yield _row(row, head, block, names)
-        w.skip(length)
+    while w.at < end and w.fill(1):
+        yield from (_packed if packed else _plain)(w, names, tests)
+
+
+def _plain(w: _Window, names: list[str], tests: list) -> Iterator[tuple]:
+    head_end = w.find(b"\r\n\r\n", CHUNK)
+    if head_end < 0:
+        if not w.bytes(0, CHUNK).strip():
+            w.skip(w.fill(1))
+            return
+        raise ValueError(f"no end of a record's header within {CHUNK} bytes from {w.at}")
+    head = _parse(w.bytes(0, head_end))
+    size, block_at = int(head.get("content-length", 0)), head_end + 4
+    row = _columns(head)
+    if all(test(row[c]) for c, test in tests):
+        block = w.bytes(block_at, block_at + size) if "payload" in names else None
+        if block is not None and len(block) < size:
+            raise ValueError(f"truncated record at {w.at}")
+        yield _row(row, head, block, names)
+    w.skip(block_at + size + 4)
+
+
+def _packed(w: _Window, names: list[str], tests: list) -> Iterator[tuple]:
+    ours = w.bytes(0, len(MARK)) == MARK
+    length = struct.unpack("<I", w.bytes(len(MARK), len(MARK) + 4))[0] if ours and w.fill(len(MARK) + 4) >= len(MARK) + 4 else None
+    inflater, text, fed = zlib.decompressobj(31), b"", 0
+
+    def more(n: int, most: int) -> bytes:
+        nonlocal fed
+        got = b"" if inflater.unconsumed_tail else w.bytes(fed, fed + n)
+        if not got and not inflater.unconsumed_tail:
+            raise ValueError(f"truncated record at {w.at}")
+        fed += len(got)
+        return inflater.decompress(inflater.unconsumed_tail + got, most)
+
+    while b"\r\n\r\n" not in text and not inflater.eof:
+        if len(text) > CHUNK:
+            raise ValueError(f"no end of a record's header within {CHUNK} bytes from {w.at}")
+        text += more(8192, 4096)
+    head_end = text.find(b"\r\n\r\n")
+    if head_end < 0:
+        raise ValueError(f"no record at {w.at}")
+    head = _parse(text[:head_end])
+    row = _columns(head)
+    wanted = all(test(row[c]) for c, test in tests)
+    if wanted and "payload" in names or not ours:
+        parts, size, whole = [text], len(text), head_end + 4 + int(head.get("content-length", 0))
+        while not inflater.eof:
+            got = more(CHUNK, CHUNK)
+            size += len(got)
+            if wanted:
+                parts.append(got)
+        if size < whole:
+            raise ValueError(f"truncated record at {w.at}")
+        if size > whole + 4:
+            raise ValueError(f"more than one record in the member at {w.at}")
+        text = b"".join(parts)
+        length = length or fed - len(inflater.unused_data)
+    if wanted:
+        yield _row(row, head, text[head_end + 4 : head_end + 4 + int(head.get("content-length", 0))], names)
+    w.skip(length)
 
 
 def _row(row: dict, head: dict, block: bytes | None, names: list[str]) -> tuple:
@@ -326,11 +375,21 @@ def _row(row: dict, head: dict, block: bytes | None, names: list[str]) -> tuple:
 
 
 def register(spark: SparkSession) -> None:
-    """Make the format known to the session and let it take filters."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Make the format known to the session, for writing; read with ``read``."""
     spark.dataSource.register(WarcSource)
 
 
+def read(spark: SparkSession, path: str, schema: str = SCHEMA, **options: object) -> DataFrame:
+    """The records of the archives under ``path``, with the columns of ``schema``; filters on headers are pushed down."""
+    register(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    fields = StructType.fromDDL(schema)
+    names = fields.fieldNames()
+    if "warc_type" not in names:
+        fields = fields.add("warc_type", "string")
+    return spark.read.format("warc").schema(fields).options(**options).load(path).filter("warc_type IS NOT NULL").select(*names)
+
+
 def page_records(pages: DataFrame, min_revisit: int = 100) -> DataFrame:
     """WARC records of (page_id, url, html): of equal payloads of at least ``min_revisit`` bytes, that with the smallest
     page_id is a response and the others are revisits without a body. Rows that repeat the smallest id and the payload

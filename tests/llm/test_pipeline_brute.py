@@ -13,7 +13,7 @@ def lower(text):
 
 def good(text):
     words = WORD.findall(text)
-    total = max(1, sum(len(w.encode()) for w in words))
+    total = max(1, sum(map(len, words)))
 
     def repeated(n):
         seen = {}
@@ -25,9 +25,9 @@ def good(text):
     again = [x for i, x in enumerate(lines) if x in lines[:i]]
     if len(words) < 20 or 100 * len(repeated(8)) > 30 * len(words):
         return False
-    if any(sum(len(words[j].encode()) for j in repeated(n)) / total > limit for n, limit in quality.MAX_COVERAGE.items()):
+    if any(sum(len(words[j]) for j in repeated(n)) / total > limit for n, limit in quality.MAX_COVERAGE.items()):
         return False
-    if sum(len(w.encode()) for x in again for w in WORD.findall(x)) / total > quality.MAX_LINE_COVERAGE:
+    if sum(len(w) for x in again for w in WORD.findall(x)) / total > quality.MAX_LINE_COVERAGE:
         return False
     return sum(c in "#*$%&|<>" for c in text) <= quality.MAX_SYMBOLS * sum(map(len, words))
 
