@@ -5,8 +5,10 @@ A table written here cuts the lineage and survives the loss of executors: any ex
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Folders of runs, of those who sweep them up later.
+_open: list[list[Scratch]] = []
+
+
 class Scratch:
     """Tables of one run of an operator, under one new folder of the shared one."""
 
@@ -30,6 +36,8 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.names: list[str] = []
+        if _open:
+            _open[-1].append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return what reads it."""
@@ -43,6 +51,7 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             path.getFileSystem(conf).delete(path, True)
+        self.names = [n for n in self.names if n not in names]
 
     def only(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df``, an operator's result, and delete all tables before it."""
@@ -50,3 +59,14 @@ class Scratch:
         kept = self.keep(df, name)
         self.drop(*before)
         return kept
+
+
+@contextlib.contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables of all runs that begin inside, at the end: for who has written what came of them."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for run in _open.pop():
+            run.drop("")
