@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fitloom.llm.graph import components
-from fitloom.llm.rows import packed, small, spread
+from fitloom.llm.rows import lean, packed, small, spread
 from fitloom.llm.textarrays import BASE, INVERSE, Powers, Texts, gram_ok, grams, mix, texts_of
 from fitloom.plans.scratch import Scratch
 
@@ -436,6 +436,7 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 def _classes(docs: DataFrame, k: int, num: int, den: int, scratch: Scratch) -> DataFrame:
     """doc_id, h, n and class (a node; null without words) of every row of ``docs`` (doc_id, text)."""
+    lean(docs.sparkSession)
     rows = scratch.keep(_sketches(docs, k, num, den, _levels(docs, k)), "sketches")
     first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("h"))
     nodes = rows.filter("n > 0").groupBy("node").agg(F.min_by(F.struct("doc_id", "h", "n", "keys", "bits"), first).alias("s"))

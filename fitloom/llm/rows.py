@@ -6,20 +6,28 @@ an added one is replaced by it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: What is broadcast by hint, at most.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 48 << 20
 
 
 def packed(docs: DataFrame, **more: Column) -> DataFrame:
     """``row``, a struct of all columns of ``docs``, and more columns computed from them."""
+    lean(docs.sparkSession)
     return docs.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in more.items()])
 
 
+def lean(spark: SparkSession) -> None:
+    """Batches for Python of 8 MB, unless the session asks for another size than Spark's own: a worker's memory follows them."""
+    if spark.conf.get(BATCH_BYTES, "64MB") in ("64MB", "67108864b", "67108864"):
+        spark.conf.set(BATCH_BYTES, str(8 << 20))
+
+
 def row_field(docs: DataFrame) -> T.StructField:
     """The field ``row`` in a result's schema."""
     return T.StructField("row", docs.schema, False)

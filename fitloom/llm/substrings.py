@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fitloom.llm.rows import packed, row_field, small, spread
+from fitloom.llm.rows import lean, packed, row_field, small, spread
 from fitloom.llm.textarrays import BASE, INVERSE, SPACE, Powers, Texts, gram_ok, grams, mix, split, texts_of
 from fitloom.plans.scratch import Scratch
 
@@ -235,6 +235,7 @@ def _located(chunk: pa.RecordBatch, carried: dict[int, int], window: int, powers
 
 def repeated_ranges(docs: DataFrame, window: int = 13) -> DataFrame:
     """doc_id, h (the text's hash) and ranges (of words, end exclusive) that an earlier document has; no row without."""
+    lean(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "substrings")
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).filter("doc_id is not null and text is not null")
     seen = _anchors(rows, window).groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
@@ -305,8 +306,12 @@ def _cut(text: bytes, ranges: list[dict] | None) -> tuple[int, int, bytes, bytes
 def _removed(docs: DataFrame, window: int, spaced: bool) -> DataFrame:
     """row and dedup."""
     ranges = repeated_ranges(docs, window)
-    ranges = small(ranges.select("doc_id", "h", "ranges"))
-    rows = packed(docs, doc_id=F.col("doc_id"), h=F.xxhash64("text")).join(ranges, ["doc_id", "h"], "left").select("row", "ranges")
+    # Only documents with ranges are shuffled to meet them.
+    key = ["doc_id", "h"]
+    ids, rows = small(ranges.select(*key)), packed(docs, doc_id=F.col("doc_id"), h=F.xxhash64("text"))
+    none = F.lit(None).cast(ranges.schema["ranges"].dataType).alias("ranges")
+    whole = rows.join(ids, key, "left_anti").select("row", none)
+    rows = rows.join(ids, key, "left_semi").join(ranges, key, "left").select("row", "ranges").unionByName(whole)
     kind = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
