@@ -73,11 +73,19 @@ def score_of(coverage: Column) -> Column:
     return found.cast("int")
 
 
+def _band(tenths: Column, what: int) -> Column:
+    found = F.when(tenths >= BANDS[0][0], BANDS[0][what])
+    for band in BANDS[1:-1]:
+        found = found.when(tenths >= band[0], band[what])
+    return found.otherwise(BANDS[-1][what])
+
+
 def label_of(tenths: Column) -> Column:
-    found = F.when(tenths >= BANDS[0][0], BANDS[0][1])
-    for low, label, _ in BANDS[1:-1]:
-        found = found.when(tenths >= low, label)
-    return found.otherwise(BANDS[-1][1])
+    return _band(tenths, 1)
+
+
+def meaning_of(tenths: Column) -> Column:
+    return _band(tenths, 2)
 
 
 def tier(core_gaps: Column, required_coverage: Column, seniority: Column) -> Column:

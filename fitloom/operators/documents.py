@@ -8,14 +8,26 @@ from pyspark.sql import functions as F
 
 from fitloom.functions import text as T
 
-# Code, severity.
+# Code, severity, what a reader is told ({0}: the name of the service).
 WARNINGS = [
-    ("LOW_TEXT_DENSITY", "WARNING"), ("POSSIBLE_MULTI_COLUMN", "HIGH"), ("REPEATED_HEADER_FOOTER", "INFO"), ("BROKEN_WORDS", "WARNING"),
-    ("TEXT_TRUNCATED", "HIGH"), ("ENCRYPTED_BUT_READABLE", "INFO"), ("NO_SECTIONS_DETECTED", "HIGH"), ("NO_ROLES_DETECTED", "HIGH"),
-    ("UNASSIGNED_TEXT_BLOCKS", "WARNING"), ("NO_POSTING_SECTIONS_DETECTED", "HIGH"), ("STRUCTURE_RECOVERED_FROM_CONTINUOUS_TEXT", "HIGH"),
-    ("NO_QUALIFICATION_SECTIONS_DETECTED", "HIGH"), ("NO_RESPONSIBILITIES_DETECTED", "WARNING"), ("REQUIRED_AND_PREFERRED_NOT_SEPARATED", "WARNING"),
-    ("LOW_CONFIDENCE_STRUCTURE", "WARNING"), ("POSSIBLE_EMBEDDED_INSTRUCTIONS", "HIGH"),
+    ("LOW_TEXT_DENSITY", "WARNING", "Some pages contained very little text. Check that nothing important is missing."),
+    ("POSSIBLE_MULTI_COLUMN", "HIGH", "This layout looks like it uses columns, so lines may have been read in the wrong order. Check the order of the text below carefully."),
+    ("REPEATED_HEADER_FOOTER", "INFO", "The same header or footer appears on several pages and may be repeated in the text below."),
+    ("BROKEN_WORDS", "WARNING", "Some words appear to be split apart. This usually comes from the PDF's letter spacing."),
+    ("TEXT_TRUNCATED", "HIGH", "This document was longer than {0} processes, so the text below is incomplete."),
+    ("ENCRYPTED_BUT_READABLE", "INFO", "This PDF has usage restrictions, but its text could still be read."),
+    ("NO_SECTIONS_DETECTED", "HIGH", "No standard resume sections were recognised, so the structured view below may be incomplete. The full text was still extracted."),
+    ("NO_ROLES_DETECTED", "HIGH", "No work experience entries could be identified. Add them in the review step, otherwise this analysis cannot judge your experience."),
+    ("UNASSIGNED_TEXT_BLOCKS", "WARNING", "Some text could not be attached to a section. It is still in the full text below, but it is missing from the structured view."),
+    ("NO_POSTING_SECTIONS_DETECTED", "HIGH", "No standard job posting sections were recognised, so the structured view below may be incomplete. The full text was still extracted."),
+    ("STRUCTURE_RECOVERED_FROM_CONTINUOUS_TEXT", "HIGH", "This posting arrived as one continuous block of text with no line breaks, so {0} worked out where the sections and list items begin. No wording was changed, but check the split below before continuing."),
+    ("NO_QUALIFICATION_SECTIONS_DETECTED", "HIGH", "No requirements or qualifications section was recognised in this posting. Check the full text and add what the role actually requires."),
+    ("NO_RESPONSIBILITIES_DETECTED", "WARNING", "No responsibilities section was recognised, so the analysis has less to compare your day-to-day experience against."),
+    ("REQUIRED_AND_PREFERRED_NOT_SEPARATED", "WARNING", "This posting does not clearly separate required from preferred qualifications. Anything not marked as optional was treated as required, which is the stricter reading, and the full text is used as well when judging requirements."),
+    ("LOW_CONFIDENCE_STRUCTURE", "WARNING", "Some entries are missing a title, an employer or a reliable date range. Check them before running the analysis."),
+    ("POSSIBLE_EMBEDDED_INSTRUCTIONS", "HIGH", "This document contains text that looks like instructions to an AI system. {0} treats document content as evidence only and ignores such instructions."),
 ]
+SERVICE, NOT_CONFIRMED = "this service", "Both the resume and the job description must be reviewed and confirmed first."
 # Codes that make a resume's or a posting's structure uncertain, and those that confirmation recomputes.
 RESUME_UNCERTAIN = ["NO_SECTIONS_DETECTED", "NO_ROLES_DETECTED", "UNASSIGNED_TEXT_BLOCKS", "LOW_CONFIDENCE_STRUCTURE", "TEXT_TRUNCATED", "POSSIBLE_MULTI_COLUMN", "BROKEN_WORDS", "LOW_TEXT_DENSITY"]
 POSTING_UNCERTAIN = ["NO_QUALIFICATION_SECTIONS_DETECTED", "REQUIRED_AND_PREFERRED_NOT_SEPARATED", "NO_SECTIONS_DETECTED", "TEXT_TRUNCATED"]
@@ -105,9 +117,15 @@ def policies(docs: DataFrame, warnings: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.when(unsure("r"), "MUST_BE_UNKNOWN").otherwise("MAY_BE_GAP").alias("absence"), F.when(unsure("p"), "FULL_TEXT_FALLBACK").otherwise("STRUCTURED_SECTIONS").alias("source"))
 
 
-def refresh_warnings(carried: DataFrame, structural: DataFrame) -> DataFrame:
-    """What was carried and isn't structural, and the structural warnings computed anew; the first of each code."""
+def review_gate(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (resume_status, posting_status) with reason and message: REVIEW_NOT_CONFIRMED unless both are CONFIRMED."""
+    ok = F.coalesce((F.col("resume_status") == "CONFIRMED") & (F.col("posting_status") == "CONFIRMED"), F.lit(False))
+    return pairs.withColumns({"reason": F.when(~ok, "REVIEW_NOT_CONFIRMED"), "message": F.when(~ok, NOT_CONFIRMED)})
+
+
+def refresh_warnings(carried: DataFrame, structural: DataFrame, service: str = SERVICE) -> DataFrame:
+    """What was carried and isn't structural, and the structural warnings computed anew; the first of each code, with severity and message."""
     rows = carried.filter(~F.col("code").isin(STRUCTURAL)).select("doc_id", "seq", "code").unionByName(structural.select("doc_id", (F.col("seq") + 1000).alias("seq"), "code"))
-    severity = F.create_map(*[F.lit(x) for pair in WARNINGS for x in pair])
+    told = F.create_map(*[x for c, s, m in WARNINGS for x in (F.lit(c), F.struct(F.lit(s).alias("severity"), F.lit(m.format(service)).alias("message")))])
     first = F.row_number().over(W.partitionBy("doc_id", "code").orderBy("seq"))
-    return rows.withColumn("k", first).filter("k = 1").select("doc_id", "code", severity[F.col("code")].alias("severity"))
+    return rows.withColumn("k", first).filter("k = 1").withColumn("told", told[F.col("code")]).select("doc_id", "code", "told.severity", "told.message")

@@ -14,6 +14,8 @@ from fitloom.functions import text as T
 # Words of an operating environment.
 DOMAIN_HINTS = ["aws", "azure", "gcp", "cloud", "kubernetes", "docker", "terraform", "production", "reliability", "scale", "uptime", "incident", "on-call", "observability", "monitoring"]
 PER_LIST, CORE = 20, 4
+#: Stands between sentences.
+BREAK = "\x01"
 MATCHED = "Matched on wording shared between the requirement and the resume."
 UNSURE = "No matching wording was found, and the resume is not confirmed, so this is reported as unknown."
 UNFOUND = "No matching wording was found in the resume. Whether the experience exists under different wording is not something this provider can determine."
@@ -51,11 +53,16 @@ def requirement_table(listed: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def match_evidence(requirement: DataFrame, resumes: DataFrame, unsure: Column) -> DataFrame:
     """``requirement`` with status, relation, strength, quote and rationale: the first sentence of the resume (resume_id, text)
-    with any distinctive term of the requirement. Sentences stay an array of their resume, so rows aren't multiplied."""
+    with any distinctive term of the requirement. Sentences are lower-cased and joined once per resume, and stay in its row; each term is
+    looked up once."""
     known = resumes.select("resume_id", T.sentences(F.col("text")).alias("sentences"))
-    rows = requirement.join(known, "resume_id", "left").withColumn("terms", T.distinctive_terms(F.col("text")))
-    hit = F.get(F.filter("sentences", lambda s: F.exists("terms", lambda t: F.contains(F.lower(s), t))), 0)
-    rows = rows.withColumn("quote", hit).drop("sentences", "terms")
+    # Terms hold no control character, so the first place of any term in the joined sentences tells the first sentence with one.
+    joined = F.array_join(F.transform("sentences", lambda s: F.replace(F.lower(s), F.lit(BREAK), F.lit(" "))), BREAK)
+    known = known.withColumn("joined", joined)
+    rows = requirement.withColumn("terms", T.distinctive_terms(F.col("text"))).join(known, "resume_id", "left")
+    first = F.array_min(F.filter(F.transform("terms", lambda t: F.instr("joined", t)), lambda p: p > 0))
+    before = F.length(F.regexp_replace(F.substr("joined", F.lit(1), first - 1), f"[^{BREAK}]+", ""))
+    rows = rows.withColumn("quote", F.when(first.isNotNull(), F.get("sentences", before))).drop("sentences", "joined", "terms")
     there = F.col("quote").isNotNull()
     return (
         rows.withColumn("status", F.when(there, "STRONG_MATCH").otherwise("UNKNOWN"))

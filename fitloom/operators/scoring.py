@@ -1,6 +1,7 @@
 """The rubric over a table of requirements: coverage, scores, ceilings, tier, confidence, recommendation and explanations.
 
-Every operator is keyed by analysis_id and works in partial aggregates and windows of one analysis (at most 120 rows).
+Every operator is keyed by analysis_id. An analysis (at most 120 requirements) is folded into one row; what is decided of it and all its lists
+come from that row.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fitloom.functions import rubric
 
+# What readers of a result see.
 CAP_NOTE = " Evidence strength was reduced because this technology appears only in the skills list, not inside a role or project."
 LEADERSHIP = "lead|mentor|manage|staff|principal"
 CAVEAT = "Ratings compare the job posting with experience explicitly documented in the resume. Unlisted experience may not be reflected, and required qualifications are weighted more heavily than preferred qualifications."
@@ -20,14 +22,20 @@ GAP_REASON = "The posting asks for this and the resume shows no supporting evide
 UNKNOWN_REASON = "The resume does not say either way, so this has not counted against you."
 GAP_HELP = "Be ready to explain how you would cover this, or look for adjacent experience already in your resume that speaks to it."
 UNKNOWN_HELP = "Add a line to the relevant role if you have this experience."
+SUGGESTION = ('If you have done this, say so explicitly: "', '". Describe it inside a role or project rather than only in a skills list.')
+CELL = ["items", "unknown", "coverage"]
+SUBFACTOR_CATEGORIES = ["EXPERIENCE_EVIDENCE", "SENIORITY_AND_OWNERSHIP"]
+REQUIREMENT_CATEGORIES = [*rubric.COVERAGE_CATEGORIES, rubric.REQUIRED]
+#: Stands for all categories: a requirement's row that no alternative takes away.
+ALL = "*"
+QUOTES = "array<struct<pos:int,quote:string,grounded:boolean>>"
 
 
 def cap_skills_list_only(requirement: DataFrame, skill: DataFrame) -> DataFrame:
     """Technical requirements that name a skill which is listed but nowhere shown at work have weak evidence at most."""
     lower = skill.select("analysis_id", F.lower("name").alias("name"), "origin")
-    shown = lower.filter("origin <> 'SKILLS_LIST'").select("analysis_id", "name").distinct()
-    only = lower.filter("origin = 'SKILLS_LIST'").select("analysis_id", "name").distinct().join(shown, ["analysis_id", "name"], "left_anti")
-    names = only.groupBy("analysis_id").agg(F.collect_set("name").alias("listed_only"))
+    of = lambda where: F.collect_set(F.when(where, F.col("name")))
+    names = lower.groupBy("analysis_id").agg(F.array_except(of(F.col("origin") == "SKILLS_LIST"), of(F.col("origin") != "SKILLS_LIST")).alias("listed_only"))
     rows = requirement.join(names, "analysis_id", "left")
     named = F.coalesce(F.exists("listed_only", lambda n: F.contains(F.lower("text"), n)), F.lit(False))
     capped = (F.col("kind") == "TECHNICAL") & F.col("strength").isin("STRONG", "MODERATE") & named
@@ -38,16 +46,18 @@ def with_credit(requirement: DataFrame) -> DataFrame:
     return requirement.withColumn("weight4", rubric.weight(F.col("importance"), F.col("criticality"))).withColumn("credit4", rubric.credit(F.col("status"), F.col("relation"), F.col("strength")))
 
 
-def scoped(requirement: DataFrame) -> DataFrame:
-    """A row for each category that a requirement counts in: its own, and the required ones if it is required."""
+def scoped(requirement: DataFrame, every: str | None = None) -> DataFrame:
+    """A row for each category that a requirement counts in: its own, and the required ones if it is required; and one of ``every``."""
     own = F.when(F.col("primary_category").isin(rubric.COVERAGE_CATEGORIES), F.col("primary_category"))
     required = F.when(F.col("importance") == "REQUIRED", F.lit(rubric.REQUIRED))
-    return requirement.withColumn("category", F.explode(F.array_distinct(F.array_compact(F.array(own, required)))))
+    return requirement.withColumn("category", F.explode(F.array_distinct(F.array_compact(F.array(own, required, F.lit(every))))))
 
 
 def best_alternatives(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Of each alternative group within the keys the row of most credit, the first of equals; rows without a group stay."""
     grouped = F.trim(F.coalesce("alternative_group_id", F.lit(""))) != ""
+    if "category" in keys:
+        grouped = grouped & (F.col("category") != ALL)
     group = F.when(grouped, F.col("alternative_group_id")).otherwise(F.concat(F.lit("#"), F.col("ordinal")))
     w = W.partitionBy(*keys, "__group", "__grouped").orderBy(F.coalesce("credit4", F.lit(-1)).desc(), "ordinal")
     rows = rows.withColumn("__group", group).withColumn("__grouped", grouped).withColumn("__k", F.row_number().over(w))
@@ -73,51 +83,102 @@ def asks_for_leadership(requirement: DataFrame) -> DataFrame:
 
 def subfactor_coverage(subfactor: DataFrame, leadership: DataFrame) -> DataFrame:
     """Coverage of the two subfactor categories: value / 4 by weight over the subfactors that were given."""
-    names = F.create_map(*[F.lit(x) for c, s, w in rubric.SUBFACTORS for x in (f"{c}.{s}", w)])
-    rows = subfactor.join(leadership, "analysis_id", "left")
-    rows = rows.withColumn("w", F.try_element_at(names, F.concat_ws(".", "category", "subfactor")))
-    rows = rows.filter(F.col("w").isNotNull() & ((F.col("subfactor") != "leadership") | F.coalesce("leadership", F.lit(False))))
-    sums = rows.groupBy("analysis_id", "category").agg(F.count("*").alias("items"), F.sum(F.col("value").cast("long") * F.col("w")).alias("num"), F.sum(F.col("w").cast("long") * 4).alias("den"))
-    return sums.select("analysis_id", "category", "items", F.lit(0).cast("long").alias("unknown"), F.when(F.col("items") >= rubric.MINIMUM_ITEMS, rubric.ratio(F.col("num"), F.col("den"))).alias("coverage"))
+    rows = _subfactor_sums(subfactor).join(leadership, "analysis_id", "left")
+    cells = F.array(*[F.struct(F.lit(c).alias("category"), *[x.alias(n) for n, x in zip(CELL, _subfactor_cell(c))]) for c in SUBFACTOR_CATEGORIES])
+    return rows.select("analysis_id", F.explode(cells).alias("c")).select("analysis_id", "c.*").filter("items > 0")
+
+
+def _subfactor_sums(subfactor: DataFrame) -> DataFrame:
+    """Per analysis and subfactor category, items, num and den, with those of the leadership row apart."""
+    weights = F.create_map(*[F.lit(x) for c, s, w in rubric.SUBFACTORS for x in (f"{c}.{s}", w)])
+    w = F.try_element_at(weights, F.concat_ws(".", "category", "subfactor")).cast("long")
+    rows = subfactor.withColumn("w", w).filter("w is not null")
+    leads, sums = F.col("subfactor") == "leadership", []
+    for i, c in enumerate(SUBFACTOR_CATEGORIES):
+        here = F.col("category") == c
+        for name, only in (("own", here & ~leads), ("lead", here & leads)):
+            sums += [F.count_if(only).alias(f"{name}_items_{i}"), F.sum(F.when(only, F.col("value").cast("long") * F.col("w"))).alias(f"{name}_num_{i}"), F.sum(F.when(only, F.col("w") * 4)).alias(f"{name}_den_{i}")]
+    return rows.groupBy("analysis_id").agg(*sums)
+
+
+def _subfactor_cell(category: str) -> tuple[Column, Column, Column]:
+    """items, unknown and coverage."""
+    i, zero = SUBFACTOR_CATEGORIES.index(category), F.lit(0).cast("long")
+    total = lambda x: F.coalesce(F.col(f"own_{x}_{i}"), zero) + F.when(F.coalesce("leadership", F.lit(False)), F.coalesce(F.col(f"lead_{x}_{i}"), zero)).otherwise(zero)
+    return total("items"), zero, F.when(total("items") >= rubric.MINIMUM_ITEMS, rubric.ratio(total("num"), total("den")))
+
+
+def with_evidence(requirement: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``requirement`` with evidence, its quotes in order: pos, quote, grounded. evidence: analysis_id, requirement_id, pos, quote, grounded."""
+    said = evidence.groupBy("analysis_id", F.col("requirement_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "quote", "grounded"))).alias("evidence"))
+    return requirement.drop("evidence").join(said, ["analysis_id", "id"], "left")
+
+
+def folded(requirement: DataFrame, lists: bool = False) -> DataFrame:
+    """One row per analysis from one pass over its requirements (with evidence): the sums of the requirement categories, gaps, eligibility, counts,
+    leadership, quotes; with ``lists``, requirements too, all of them in order. Each requirement is a row of its categories and one of ``ALL``,
+    so one aggregation serves them all; rows stay where the analysis is."""
+    if "evidence" not in requirement.columns:
+        requirement = requirement.withColumn("evidence", F.lit(None).cast(QUOTES))
+    rows = best_alternatives(scoped(with_credit(requirement), ALL), ["analysis_id", "category"])
+    sums = []
+    for i, c in enumerate(REQUIREMENT_CATEGORIES):
+        credit = F.when(F.col("category") == c, F.col("credit4"))
+        sums += [
+            F.count(credit).alias(f"items_{i}"), F.count_if((F.col("category") == c) & F.col("credit4").isNull()).alias(f"unknown_{i}"),
+            F.sum(credit.cast("long") * F.col("weight4")).alias(f"num_{i}"), F.sum(F.when(credit.isNotNull(), F.col("weight4").cast("long") * 10000)).alias(f"den_{i}"),
+        ]
+    every = F.col("category") == ALL
+    gap = every & (F.col("importance") == "REQUIRED") & (F.col("criticality") == "CORE") & (F.col("status") == "GAP")
+    blocked = F.bool_or(every & (F.col("kind") == "LEGAL_ELIGIBILITY") & (F.col("importance") == "REQUIRED") & (F.col("status") == "GAP"))
+    quotes = F.coalesce(F.col("evidence"), F.array().cast(QUOTES))
+    more = [F.array_sort(F.collect_list(F.when(every, F.struct("ordinal", "id", "text", "importance", "criticality", "primary_category", "status", "relation", quotes.alias("evidence"))))).alias("requirements")] if lists else []
+    return rows.groupBy("analysis_id").agg(
+        *sums,
+        F.array_sort(F.collect_list(F.when(gap, F.struct("ordinal", "id", "text")))).alias("core"),
+        F.when(blocked, "NOT_ELIGIBLE").otherwise("UNKNOWN").alias("eligibility"),
+        F.count_if(every).alias("n"),
+        F.count_if(every & (F.col("status") == "UNKNOWN")).alias("n_unknown"),
+        F.bool_or(every & F.lower("text").rlike(LEADERSHIP)).alias("leadership"),
+        F.sum(F.when(every, F.size(quotes))).alias("quotes"),
+        F.sum(F.when(every, F.size(F.filter(quotes, lambda e: ~e["grounded"])))).alias("dropped"),
+        *more,
+    )
+
+
+def with_categories(fold: DataFrame, subfactor: DataFrame) -> DataFrame:
+    """``fold`` with categories (six structs in order), total, required_coverage and seniority."""
+    rows = fold.join(_subfactor_sums(subfactor), "analysis_id", "left")
+
+    def cell(category: str) -> tuple[Column, Column, Column]:
+        if category in SUBFACTOR_CATEGORIES:
+            return _subfactor_cell(category)
+        i = REQUIREMENT_CATEGORIES.index(category)
+        return F.col(f"items_{i}"), F.col(f"unknown_{i}"), F.when(F.col(f"items_{i}") >= rubric.MINIMUM_ITEMS, rubric.ratio(F.col(f"num_{i}"), F.col(f"den_{i}")))
+
+    own = [c for c in fold.columns if not c.startswith(("items_", "unknown_", "num_", "den_"))]
+    cells = [F.struct(F.lit(i).alias("seq"), F.lit(c).alias("category"), F.lit(n).alias("display_name"), F.lit(w).alias("nominal"), *[x.alias(name) for name, x in zip(CELL, cell(c))]) for i, (c, n, w) in enumerate(rubric.CATEGORIES)]
+    # Each step is one expression over the array of categories, not six: the optimizer's time follows that.
+    names = ["seq", "category", "display_name", "nominal", *CELL]
+    scored = lambda c: F.struct(*[c[x].alias(x) for x in names], c["coverage"].isNotNull().alias("rated"), rubric.score_of(c["coverage"]).alias("score"))
+    rows = rows.select(*own, F.array(*cells).alias("cells")).withColumn("cells", F.transform("cells", scored))
+    rows = rows.withColumn("rated_weight", F.aggregate("cells", F.lit(0), lambda n, c: n + F.when(c["rated"], c["nominal"]).otherwise(0)))
+    applied = lambda c: F.when(c["rated"], F.call_function("div", 2 * c["nominal"] * 10000 + F.col("rated_weight"), F.greatest(2 * F.col("rated_weight"), F.lit(1)))).otherwise(0).cast("int")
+    rows = rows.withColumn("categories", F.transform("cells", lambda c: F.struct(*[c[x].alias(x) for x in [*names, "rated", "score"]], applied(c).alias("applied"))))
+    total = F.aggregate("categories", F.lit(0).cast("long"), lambda n, c: n + c["score"].cast("long") * c["applied"])
+    of = lambda name: F.get(F.filter("cells", lambda c: c["category"] == name), 0)
+    return rows.select(*own, "categories", F.call_function("div", 2 * total + 10000, F.lit(20000)).cast("int").alias("total"), of(rubric.REQUIRED)["coverage"].alias("required_coverage"), of("SENIORITY_AND_OWNERSHIP")["score"].alias("seniority"))
 
 
 def category_results(requirement: DataFrame, subfactor: DataFrame) -> DataFrame:
     """Six rows per analysis with requirements: rated, coverage, score (tenths), nominal (hundredths) and applied weight (10^-4)."""
-    leads = asks_for_leadership(requirement)
-    dims = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(n).alias("display_name"), F.lit(w).alias("nominal")) for c, n, w in rubric.CATEGORIES])
-    empty = leads.select("analysis_id", F.explode(dims).alias("d")).select("analysis_id", "d.category", F.lit(0).cast("long").alias("items"), F.lit(0).cast("long").alias("unknown"), F.lit(None).cast("long").alias("coverage"), F.lit(True).alias("known"))
-    found = requirement_coverage(requirement).unionByName(subfactor_coverage(subfactor, leads)).withColumn("known", F.lit(False))
-    rows = found.unionByName(empty).groupBy("analysis_id", "category").agg(F.max("items").alias("items"), F.max("unknown").alias("unknown"), F.max("coverage").alias("coverage"), F.bool_or("known").alias("known"))
-    # Subfactors of analyses without requirements have no row of their own here.
-    rows = rows.filter("known").drop("known")
-    name = F.create_map(*[F.lit(x) for c, n, _ in rubric.CATEGORIES for x in (c, n)])
-    nominal = F.create_map(*[F.lit(x) for c, _, w in rubric.CATEGORIES for x in (c, w)])
-    rows = rows.withColumn("display_name", name[F.col("category")]).withColumn("nominal", nominal[F.col("category")])
-    rows = rows.withColumn("rated", F.col("coverage").isNotNull()).withColumn("score", rubric.score_of(F.col("coverage")))
-    total = F.sum(F.when(F.col("rated"), F.col("nominal")).otherwise(0)).over(W.partitionBy("analysis_id"))
-    rows = rows.withColumn("rated_weight", total)
-    applied = F.when(F.col("rated") & (F.col("rated_weight") > 0), F.call_function("div", 2 * F.col("nominal") * 10000 + F.col("rated_weight"), F.greatest(2 * F.col("rated_weight"), F.lit(1))))
-    return rows.withColumn("applied", F.coalesce(applied, F.lit(0)).cast("int")).drop("rated_weight")
-
-
-def totals(categories: DataFrame) -> DataFrame:
-    """The total in tenths before ceilings, required coverage and seniority score."""
-    of = lambda c, x: F.max(F.when(F.col("category") == c, F.col(x)))
-    total = F.call_function("div", 2 * F.sum(F.col("score").cast("long") * F.col("applied")) + 10000, F.lit(20000))
-    return categories.groupBy("analysis_id").agg(total.cast("int").alias("total"), of(rubric.REQUIRED, "coverage").alias("required_coverage"), of("SENIORITY_AND_OWNERSHIP", "score").alias("seniority"))
+    rows = with_categories(folded(requirement), subfactor)
+    return rows.select("analysis_id", F.explode("categories").alias("c")).select("analysis_id", "c.*").drop("seq")
 
 
 def gaps_and_eligibility(requirement: DataFrame) -> DataFrame:
     """Core gaps (count, ids, texts in order), eligibility, and counts of requirements and unknowns."""
-    gap = (F.col("importance") == "REQUIRED") & (F.col("criticality") == "CORE") & (F.col("status") == "GAP")
-    blocked = F.bool_or((F.col("kind") == "LEGAL_ELIGIBILITY") & (F.col("importance") == "REQUIRED") & (F.col("status") == "GAP"))
-    rows = requirement.groupBy("analysis_id").agg(
-        F.array_sort(F.collect_list(F.when(gap, F.struct("ordinal", "id", "text")))).alias("gaps"),
-        F.when(blocked, "NOT_ELIGIBLE").otherwise("UNKNOWN").alias("eligibility"),
-        F.count("*").alias("n"),
-        F.count_if(F.col("status") == "UNKNOWN").alias("n_unknown"),
-    )
-    return rows.select("analysis_id", F.size("gaps").alias("core_gaps"), F.col("gaps.id").alias("gap_ids"), F.array_join("gaps.text", "; ").alias("gap_texts"), "eligibility", "n", "n_unknown")
+    return folded(requirement).select("analysis_id", F.size("core").alias("core_gaps"), F.col("core.id").alias("gap_ids"), F.array_join("core.text", "; ").alias("gap_texts"), "eligibility", "n", "n_unknown")
 
 
 def with_ceilings(rows: DataFrame) -> DataFrame:
@@ -130,90 +191,106 @@ def with_ceilings(rows: DataFrame) -> DataFrame:
     return rows.withColumn("second_cap", second).withColumn("capped", F.when(second, F.col("gap_limit")).otherwise(F.col("after_first")))
 
 
-def adjustments(capped: DataFrame) -> DataFrame:
-    """A row per ceiling that lowered the score, in order."""
+def adjustment_list() -> Column:
+    """Of a row with ceilings: those that lowered the score, in order."""
     one = F.when(F.col("first_cap"), F.struct(F.lit(1).alias("seq"), F.lit("NOT_ELIGIBLE").alias("rule_id"), F.col("total").alias("before"), F.lit(rubric.NOT_ELIGIBLE_CEILING).alias("after"), F.lit("").alias("ids")))
     rule = F.when(F.col("core_gaps") == 1, "CORE_GAP_SINGLE").when(F.col("core_gaps") == 2, "CORE_GAP_MULTIPLE").otherwise("CORE_GAP_SEVERE")
     two = F.when(F.col("second_cap"), F.struct(F.lit(2).alias("seq"), rule.alias("rule_id"), F.col("after_first").alias("before"), F.col("gap_limit").alias("after"), F.array_join("gap_ids", ",").alias("ids")))
-    return capped.select("analysis_id", F.explode(F.array_compact(F.array(one, two))).alias("a")).select("analysis_id", "a.seq", "a.rule_id", (F.col("a.before") / 10).alias("before"), (F.col("a.after") / 10).alias("after"), F.col("a.ids").alias("triggering_ids"))
+    return F.array_compact(F.array(one, two))
 
 
-def decisions(requirement: DataFrame, subfactor: DataFrame, resume: DataFrame, evidence: DataFrame) -> DataFrame:
-    """One row per analysis with everything that is decided from the scores; scores in tenths."""
-    quotes = evidence.groupBy("analysis_id").agg(F.count("*").alias("quotes"), F.count_if(~F.col("grounded")).alias("dropped"))
-    rows = totals(category_results(requirement, subfactor)).join(gaps_and_eligibility(requirement), "analysis_id")
-    rows = rows.join(resume, "analysis_id", "left").join(quotes, "analysis_id", "left")
+def adjustments(capped: DataFrame) -> DataFrame:
+    """A row per ceiling that lowered the score, in order."""
+    rows = capped.select("analysis_id", F.explode(adjustment_list()).alias("a"))
+    return rows.select("analysis_id", "a.seq", "a.rule_id", (F.col("a.before") / 10).alias("before"), (F.col("a.after") / 10).alias("after"), F.col("a.ids").alias("triggering_ids"))
+
+
+def decisions(requirement: DataFrame, subfactor: DataFrame, resume: DataFrame, evidence: DataFrame | None = None, lists: bool = False) -> DataFrame:
+    """One row per analysis with everything that is decided from the scores; scores in tenths. Quotes come from ``evidence``, or from the
+    requirements' own column of that name."""
+    if evidence is not None:
+        requirement = with_evidence(requirement, evidence)
+    rows = with_categories(folded(requirement, lists), subfactor).join(resume, "analysis_id", "left")
+    rows = rows.withColumns({"core_gaps": F.size("core"), "gap_ids": F.col("core.id"), "gap_texts": F.array_join("core.text", "; ")}).drop("core", "leadership")
     rows = with_ceilings(rows)
     zero = lambda c: F.coalesce(c, F.lit(0))
     sure = rubric.confidence(F.coalesce("high_warning", F.lit(False)), zero("resume_chars"), F.col("n_unknown"), F.col("n"), zero("dropped"), zero("quotes"))
-    rows = rows.withColumn("confidence", sure).withColumn("label", rubric.label_of(F.col("capped")))
+    rows = rows.withColumn("confidence", sure).withColumn("label", rubric.label_of(F.col("capped"))).withColumn("meaning", rubric.meaning_of(F.col("capped")))
     rows = rows.withColumn("tier", rubric.tier(F.col("core_gaps"), F.col("required_coverage"), F.col("seniority")))
     return rows.withColumn("recommendation", rubric.recommendation(F.col("capped"), F.col("core_gaps"), F.col("eligibility"), F.col("confidence")))
 
 
-def first_quotes(evidence: DataFrame, relation: str, limit: int = 8) -> DataFrame:
-    """The first grounded quotes of requirements with a relation, in order."""
-    w = W.partitionBy("analysis_id").orderBy("ordinal", "pos")
-    rows = evidence.filter(F.col("grounded") & (F.col("relation") == relation)).withColumn("k", F.row_number().over(w))
-    return rows.filter(F.col("k") <= limit).select("analysis_id", "k", "requirement_id", "quote")
+def first_quotes(requirements: Column, relation: str, limit: int = 8) -> Column:
+    """The first grounded quotes of those requirements (an array in order) that have a relation: requirement_id, quote."""
+    said = lambda r: F.transform(F.filter(r["evidence"], lambda e: e["grounded"]), lambda e: F.struct(r["id"].alias("requirement_id"), e["quote"].alias("quote")))
+    return F.slice(F.flatten(F.transform(F.filter(requirements, lambda r: r["relation"] == relation), said)), 1, limit)
 
 
-def requirement_gaps(requirement: DataFrame) -> DataFrame:
-    """Gaps (CRITICAL if core, whatever their importance, else MINOR) and unknowns, with reason and help."""
-    unknown = F.col("status") == "UNKNOWN"
-    kind = F.when(unknown, "UNKNOWN").when(F.col("criticality") == "CORE", "CRITICAL").otherwise("MINOR")
-    rows = requirement.filter(F.col("status").isin("GAP", "UNKNOWN"))
-    return rows.select("analysis_id", "ordinal", "id", kind.alias("list"), F.when(unknown, UNKNOWN_REASON).otherwise(GAP_REASON).alias("reason"), F.when(unknown, UNKNOWN_HELP).otherwise(GAP_HELP).alias("mitigation"))
+def requirement_gaps(requirements: Column, status: str, core: bool | None = None) -> Column:
+    """Those requirements (an array in order) with a status, GAP or UNKNOWN, with reason and help; core: only core ones, or only others,
+    whatever their importance."""
+    unknown = status == "UNKNOWN"
+    fits = lambda r: (r["status"] == status) & (F.lit(True) if core is None else (r["criticality"] == "CORE") == core)
+    row = lambda r: F.struct(r["id"].alias("id"), r["text"].alias("text"), r["importance"].alias("importance"), r["criticality"].alias("criticality"), F.lit(UNKNOWN_REASON if unknown else GAP_REASON).alias("reason"), F.lit(UNKNOWN_HELP if unknown else GAP_HELP).alias("mitigation"))
+    return F.transform(F.filter(requirements, fits), row)
 
 
-def suggestions(requirement: DataFrame, limit: int = 3) -> DataFrame:
-    """The first unknown or partly matched requirements of each category, as advice."""
-    w = W.partitionBy("analysis_id", "primary_category").orderBy("ordinal")
-    rows = requirement.filter(F.col("status").isin("UNKNOWN", "PARTIAL_MATCH")).withColumn("k", F.row_number().over(w)).filter(F.col("k") <= limit)
-    text = F.format_string('If you have done this, say so explicitly: "%s". Describe it inside a role or project rather than only in a skills list.', "text")
-    return rows.select("analysis_id", F.col("primary_category").alias("category"), "k", text.alias("suggestion"))
+def suggestions(requirements: Column, limit: int = 3) -> Column:
+    """Advice on the first unknown or partly matched of those requirements."""
+    some = F.slice(F.filter(requirements, lambda r: r["status"].isin("UNKNOWN", "PARTIAL_MATCH")), 1, limit)
+    return F.transform(some, lambda r: F.concat(F.lit(SUGGESTION[0]), r["text"], F.lit(SUGGESTION[1])))
 
 
 def _plural(n: Column) -> Column:
     return F.when(n == 1, "").otherwise("s")
 
 
-def explanations(categories: DataFrame) -> DataFrame:
-    """Each category's summary and the explanation of its score."""
-    name, items, unknown = F.col("display_name"), F.col("items"), F.col("unknown")
+def explained(c: Column) -> tuple[Column, Column]:
+    """A category's summary and the explanation of its score."""
+    name, items, unknown = c["display_name"], c["items"], c["unknown"]
     unrated = F.format_string("There was not enough information to rate %s. %d requirement%s could not be judged from the resume, so this category is shown at zero rather than guessed at.", name, unknown, _plural(unknown))
     rated = F.format_string("%s was rated from %d requirement%s the resume could be judged against.", name, items, _plural(items))
-    percent = F.call_function("div", 2 * F.col("coverage") + F.lit(rubric.UNIT // 100), F.lit(2 * rubric.UNIT // 100))
+    percent = F.call_function("div", 2 * c["coverage"] + F.lit(rubric.UNIT // 100), F.lit(2 * rubric.UNIT // 100))
     why = F.format_string(
         "The resume answers %d%% of the weighted requirements in this category, which maps to %d.%d on the published scale. Required qualifications count nearly three times what preferred ones do, and core requirements count half again as much. %d requirement%s could not be judged and %s excluded from the ratio.",
-        percent, F.floor(F.col("score") / 10).cast("int"), F.col("score") % 10, unknown, _plural(unknown), F.when(unknown == 1, "was").otherwise("were"),
+        percent, F.floor(c["score"] / 10).cast("int"), c["score"] % 10, unknown, _plural(unknown), F.when(unknown == 1, "was").otherwise("were"),
     )
     none = F.lit(f"No score could be derived: fewer than {rubric.MINIMUM_ITEMS} requirements in this category could be judged. Unknown requirements are excluded from the calculation rather than counted against the candidate, so nothing here has lowered the total unfairly.")
-    return categories.withColumn("summary", F.when(F.col("rated"), rated).otherwise(unrated)).withColumn("impact", F.when(F.col("rated"), why).otherwise(none))
+    return F.when(c["rated"], rated).otherwise(unrated), F.when(c["rated"], why).otherwise(none)
+
+
+def explanations(categories: DataFrame) -> DataFrame:
+    """Each category's summary and the explanation of its score."""
+    summary, impact = explained(F.struct("*"))
+    return categories.withColumns({"summary": summary, "impact": impact})
 
 
-def limitations(decided: DataFrame, drafted: Column | None = None) -> DataFrame:
-    """The draft's limitations, notes on a ceiling and on low confidence, and the caveat last."""
+def limitations(drafted: Column | None = None) -> Column:
+    """Of a decided row: the draft's limitations, notes on a ceiling and on low confidence, and the caveat last."""
     lead = F.array().cast("array<string>") if drafted is None else drafted
     notes = F.array_compact(F.array(F.when(F.col("first_cap") | F.col("second_cap"), CEILING_NOTE), F.when(F.col("confidence") == "LOW", LOW_NOTE), F.lit(CAVEAT)))
-    return decided.select("analysis_id", F.concat(lead, notes).alias("limitations"))
-
-
-def fit_analysis(requirement: DataFrame, subfactor: DataFrame, skill: DataFrame, resume: DataFrame, evidence: DataFrame) -> DataFrame:
-    """One nested row per analysis: decisions, category rows, adjustments, quotes, gap lists, suggestions, limitations."""
-    requirement = cap_skills_list_only(requirement, skill)
-    decided = decisions(requirement, subfactor, resume, evidence)
-    fold = lambda df, name: df.groupBy("analysis_id").agg(F.array_sort(F.collect_list(F.struct(*[c for c in df.columns if c != "analysis_id"]))).alias(name))
-    order = F.create_map(*[F.lit(x) for i, (c, _, _) in enumerate(rubric.CATEGORIES) for x in (c, i)])
-    categories = explanations(category_results(requirement, subfactor)).withColumn("seq", order[F.col("category")])
-    categories = categories.select("analysis_id", "seq", *[c for c in categories.columns if c not in ("analysis_id", "seq")])
-    out = decided
-    for df, name in (
-        (categories, "categories"), (adjustments(decided), "adjustments"), (first_quotes(evidence, "DIRECT"), "strongest"),
-        (first_quotes(evidence, "TRANSFERABLE"), "transferable"), (requirement_gaps(requirement), "gaps"), (suggestions(requirement), "suggestions"),
-    ):
-        out = out.join(fold(df, name), "analysis_id", "left")
-    return out.join(limitations(decided), "analysis_id")
+    return F.concat(lead, notes)
+
+
+def fit_analysis(requirement: DataFrame, subfactor: DataFrame, skill: DataFrame, resume: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """One nested row per analysis: decisions, categories with their own lists, adjustments, quotes, gap lists, limitations. All lists come
+    from the one row that holds the analysis, so nothing is shuffled for them."""
+    decided = decisions(cap_skills_list_only(requirement, skill), subfactor, resume, evidence, lists=True)
+    every = F.col("requirements")
+
+    def full(c: Column) -> Column:
+        own = F.filter(every, lambda r: r["primary_category"] == c["category"])
+        summary, impact = explained(c)
+        return F.struct(
+            *[c[n].alias(n) for n in ("seq", "category", "display_name", "rated", "nominal", "applied", "score", "items", "unknown", "coverage")], rubric.label_of(c["score"]).alias("label"), summary.alias("summary"), impact.alias("impact"),
+            first_quotes(own, "DIRECT").alias("direct"), first_quotes(own, "TRANSFERABLE").alias("transferable"), requirement_gaps(own, "GAP").alias("gaps"),
+            requirement_gaps(own, "UNKNOWN").alias("unknowns"), suggestions(own).alias("suggestions"),
+        )
+
+    return decided.withColumns({
+        "categories": F.transform("categories", full), "adjustments": adjustment_list(), "strongest": first_quotes(every, "DIRECT"), "transferable": first_quotes(every, "TRANSFERABLE"),
+        "critical_gaps": requirement_gaps(every, "GAP", True), "minor_gaps": requirement_gaps(every, "GAP", False), "unknowns": requirement_gaps(every, "UNKNOWN"), "limitations": limitations(),
+    })
 
 
 def recompute_violations(decided: DataFrame, categories: DataFrame) -> DataFrame:

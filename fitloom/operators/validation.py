@@ -5,6 +5,9 @@ Everything but the downgrade is row by row. Reasons never quote a draft.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,30 +15,43 @@ from pyspark.sql import functions as F
 from fitloom.functions import text as T
 
 VERSION, MAX_REQUIREMENTS = "analysis-draft/v1", 120
-EVIDENCE = "struct<requirementId:string,importance:string,status:string,relation:string,strength:string,resumeQuote:string,sourceLocator:string,rationale:string,grounded:boolean>"
-REQUIREMENT = (
-    "struct<id:string,requirementText:string,kind:string,importance:string,criticality:string,alternativeGroupId:string,primaryCategory:string,"
-    f"status:string,relation:string,evidenceStrength:string,evidence:array<{EVIDENCE}>,rationale:string>"
-)
-DRAFT = (
-    f"struct<schemaVersion:string,requirementAssessments:array<{REQUIREMENT}>,subfactorJudgements:array<struct<category:string,subfactor:string,value:int,rationale:string>>,"
-    "roleAlignment:string,seniorityAlignment:string,realisticCompetitiveness:string,opportunityValue:struct<careerGrowth:string,compensation:string,companyOutlook:struct<rating:string,basis:string,rationale:string>>,"
-    "resumePositioning:string,interviewPreparation:string,finalRationale:string,limitations:array<string>>"
-)
-# Fields that may stand at each level.
-TOP = ["schemaVersion", "requirementAssessments", "subfactorJudgements", "roleAlignment", "seniorityAlignment", "realisticCompetitiveness", "opportunityValue", "resumePositioning", "interviewPreparation", "finalRationale", "limitations"]
-OF_REQUIREMENT = ["id", "requirementText", "kind", "importance", "criticality", "alternativeGroupId", "primaryCategory", "status", "relation", "evidenceStrength", "evidence", "rationale"]
-OF_EVIDENCE = ["requirementId", "importance", "status", "relation", "strength", "resumeQuote", "sourceLocator", "rationale", "grounded"]
-OF_SUBFACTOR = ["category", "subfactor", "value", "rationale"]
-DOMAINS = {
-    "kind": ["TECHNICAL", "EXPERIENCE", "EDUCATION", "DOMAIN", "SOFT_SKILL", "LOGISTICS", "LEGAL_ELIGIBILITY"],
-    "importance": ["REQUIRED", "PREFERRED"],
-    "criticality": ["CORE", "SUPPORTING"],
-    "primaryCategory": ["CORE_TECHNICAL_STACK", "ROLE_AND_RESPONSIBILITY_ALIGNMENT", "EXPERIENCE_EVIDENCE", "SENIORITY_AND_OWNERSHIP", "REQUIRED_QUALIFICATION_COVERAGE", "DOMAIN_AND_OPERATING_ENVIRONMENT"],
-    "status": ["STRONG_MATCH", "PARTIAL_MATCH", "GAP", "UNKNOWN"],
-    "relation": ["DIRECT", "TRANSFERABLE", "NONE"],
-    "evidenceStrength": ["STRONG", "MODERATE", "WEAK", "NONE"],
-}
+# The contract. A string stands for a kind, a tuple for the names that a text may have, a list for a list that must be there and
+# holds no null, a dict for an object that has no other field.
+IMPORTANCE, CRITICALITY = ("REQUIRED", "PREFERRED"), ("CORE", "SUPPORTING")
+STATUS, RELATION, STRENGTH = ("STRONG_MATCH", "PARTIAL_MATCH", "GAP", "UNKNOWN"), ("DIRECT", "TRANSFERABLE", "NONE"), ("STRONG", "MODERATE", "WEAK", "NONE")
+KIND = ("TECHNICAL", "EXPERIENCE", "EDUCATION", "DOMAIN", "SOFT_SKILL", "LOGISTICS", "LEGAL_ELIGIBILITY")
+CATEGORY = ("CORE_TECHNICAL_STACK", "ROLE_AND_RESPONSIBILITY_ALIGNMENT", "EXPERIENCE_EVIDENCE", "SENIORITY_AND_OWNERSHIP", "REQUIRED_QUALIFICATION_COVERAGE", "DOMAIN_AND_OPERATING_ENVIRONMENT")
+RATING, BASIS = ("STRONG", "MODERATE", "LIMITED", "UNKNOWN"), ("STATED_IN_POSTING", "INFERRED_FROM_POSTING", "NOT_AVAILABLE")
+EVIDENCE = {
+    "requirementId": "string", "importance": IMPORTANCE, "status": STATUS, "relation": RELATION, "strength": STRENGTH, "resumeQuote": "string", "sourceLocator": "string",
+    "rationale": "string", "grounded": "boolean",
+}
+REQUIREMENT = {
+    "id": "string", "requirementText": "string", "kind": KIND, "importance": IMPORTANCE, "criticality": CRITICALITY, "alternativeGroupId": "string", "primaryCategory": CATEGORY, "status": STATUS,
+    "relation": RELATION, "evidenceStrength": STRENGTH, "evidence": [EVIDENCE], "rationale": "string",
+}
+NARRATIVE = {"headline": "string", "detail": "string", "supportingEvidenceIds": ["string"], "concerns": ["string"]}
+ASSESSMENT = {"rating": RATING, "basis": BASIS, "explanation": "string"}
+DRAFT = {
+    "schemaVersion": "string",
+    "requirementAssessments": [REQUIREMENT],
+    "subfactorJudgements": [{"category": CATEGORY, "subfactor": "string", "value": "int", "rationale": "string"}],
+    "roleAlignment": NARRATIVE,
+    "seniorityAlignment": NARRATIVE,
+    "realisticCompetitiveness": NARRATIVE,
+    "opportunityValue": {"careerGrowth": ASSESSMENT, "compensation": ASSESSMENT, "companyOutlook": ASSESSMENT},
+    "resumePositioning": {
+        "reorderSuggestions": ["string"], "emphasisSuggestions": ["string"], "terminologyAlignment": [{"resumeTerm": "string", "postingTerm": "string", "rationale": "string"}],
+        "deemphasizeSuggestions": ["string"], "faithfulRewrites": [{"before": "string", "after": "string"}],
+    },
+    "interviewPreparation": {
+        "likelyQuestions": [{"question": "string", "whyAsked": "string", "evidenceToUse": ["string"]}], "talkingPoints": ["string"], "gapsToExplain": [{"gap": "string", "suggestedFraming": "string"}],
+        "questionsToAsk": ["string"],
+    },
+    "finalRationale": "string",
+    "limitations": ["string"],
+}
+DEPTH = 3
 GAP_RATIONALE = "Reported as unknown rather than missing: the resume has not been confirmed as read correctly, so absent evidence cannot be treated as absent experience."
 GAP_LIMITATION = "The resume was not confirmed as correctly read, so nothing missing from it is reported as a gap. Confirm the extracted resume for a sharper result."
 
@@ -44,40 +60,61 @@ def _blank(c: Column) -> Column:
     return T.strip(F.coalesce(c, F.lit(""))) == ""
 
 
-def _foreign(keys: Column, allowed: list[str]) -> Column:
-    return F.size(F.array_except(keys, F.array(*map(F.lit, allowed)))) > 0
+def _no(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False))
 
 
-def _foreign_fields(raw: Column) -> Column:
-    """Whether a field that isn't in the contract stands at any level."""
-    loose = F.from_json(raw, "requirementAssessments array<map<string,string>>, subfactorJudgements array<map<string,string>>, opportunityValue map<string,string>")
-    nested = F.from_json(raw, "requirementAssessments array<struct<evidence:array<map<string,string>>>>")["requirementAssessments"]
-    any_in = lambda rows, allowed: F.coalesce(F.exists(rows, lambda m: F.coalesce(_foreign(F.map_keys(m), allowed), F.lit(False))), F.lit(False))
-    quotes = F.flatten(F.transform(F.coalesce(nested, F.array().cast("array<struct<evidence:array<map<string,string>>>>")), lambda r: F.coalesce(r["evidence"], F.array().cast("array<map<string,string>>"))))
-    return (
-        F.coalesce(_foreign(F.json_object_keys(raw), TOP), F.lit(True))
-        | any_in(loose["requirementAssessments"], OF_REQUIREMENT)
-        | any_in(loose["subfactorJudgements"], OF_SUBFACTOR)
-        | any_in(quotes, OF_EVIDENCE)
-        | F.coalesce(_foreign(F.map_keys(loose["opportunityValue"]), ["careerGrowth", "compensation", "companyOutlook"]), F.lit(False))
-    )
+def ddl(contract) -> str:
+    """The type that a contract is read as."""
+    if isinstance(contract, dict):
+        return f"struct<{','.join(f'{name}:{ddl(part)}' for name, part in contract.items())}>"
+    return f"array<{ddl(contract[0])}>" if isinstance(contract, list) else contract if isinstance(contract, str) else "string"
+
+
+def _keys_ddl(contract, depth: int) -> str | None:
+    """The type that reads the objects at a depth as maps of their fields; null where there are none."""
+    if isinstance(contract, list):
+        inner = _keys_ddl(contract[0], depth)
+        return inner and f"array<{inner}>"
+    if not isinstance(contract, dict):
+        return None
+    if depth == 0:
+        return "map<string,string>"
+    parts = {name: _keys_ddl(part, depth - 1) for name, part in contract.items()}
+    parts = [f"{name}:{kind}" for name, kind in parts.items() if kind]
+    return f"struct<{','.join(parts)}>" if parts else None
+
+
+def _misfits(found: Column, contract, depth: int) -> Column:
+    """Whether an object at a depth has a field that the contract hasn't, or a text or number where it has a list or an object."""
+    if isinstance(contract, list):
+        return _no(F.exists(found, lambda x: _misfits(x, contract[0], depth)))
+    if depth > 0:
+        return reduce(or_, [_misfits(found[name], part, depth - 1) for name, part in contract.items() if _keys_ddl(part, depth - 1)])
+    odd = [_no(~found[name].startswith("[" if isinstance(part, list) else "{")) for name, part in contract.items() if isinstance(part, (list, dict))]
+    return reduce(or_, odd, _no(F.size(F.array_except(F.map_keys(found), F.array(*map(F.lit, contract)))) > 0))
+
+
+def _breaks(found: Column, contract) -> Column:
+    """Whether a list or a list's element is missing, or a text isn't among its names, anywhere in what was read."""
+    if isinstance(contract, tuple):
+        return _no(~found.isin(*contract))
+    if isinstance(contract, list):
+        return found.isNull() | _no(F.exists(found, lambda x: x.isNull() | _breaks(x, contract[0])))
+    if isinstance(contract, dict):
+        parts = [_breaks(found[name], part) for name, part in contract.items() if not isinstance(part, str)]
+        return found.isNotNull() & reduce(or_, parts, F.lit(False))
+    return F.lit(False)
 
 
 def validate(drafts: DataFrame) -> DataFrame:
     """``drafts`` (analysis_id, raw_json) with draft and reason; the first rule that fails gives the one reason."""
     raw = F.col("raw_json")
-    rows = drafts.withColumn("parses", F.try_parse_json(raw).isNotNull()).withColumn("draft", F.when(F.col("parses"), F.from_json(raw, DRAFT)))
+    rows = drafts.withColumn("parses", F.try_parse_json(raw).isNotNull()).withColumn("draft", F.when(F.col("parses"), F.from_json(raw, ddl(DRAFT))))
     d = F.col("draft")
     reqs = d["requirementAssessments"]
-    no_list = reqs.isNull() | d["subfactorJudgements"].isNull() | d["limitations"].isNull() | F.exists(reqs, lambda r: r["evidence"].isNull())
     bad_value = F.exists(d["subfactorJudgements"], lambda s: s["value"].isNull() | ~s["value"].between(0, 4))
-
-    def outside(field: str, domain: list[str]) -> Column:
-        return F.exists(reqs, lambda r: F.coalesce(~r[field].isin(domain), F.lit(False)))
-
-    alien = F.lit(False)
-    for field, domain in DOMAINS.items():
-        alien = alien | outside(field, domain)
+    misfits = reduce(or_, [_misfits(F.from_json(raw, _keys_ddl(DRAFT, depth)), DRAFT, depth) for depth in range(DEPTH)])
     ids = F.transform(reqs, lambda r: r["id"])
 
     def row_reason(r: Column, i: Column) -> Column:
@@ -88,14 +125,13 @@ def validate(drafts: DataFrame) -> DataFrame:
     first = F.get(F.array_compact(F.transform(reqs, row_reason)), 0)
     mismatch = F.exists(reqs, lambda r: F.exists(r["evidence"], lambda e: ~e["requirementId"].eqNullSafe(r["id"])))
     outlook = d["opportunityValue"]["companyOutlook"]
-    yes = lambda c: F.coalesce(c, F.lit(False))
     reason = (
         F.when(_blank(raw), "empty-response")
-        .when(~F.col("parses") | d.isNull() | yes(no_list) | _foreign_fields(raw) | yes(bad_value) | yes(alien), "unreadable")
+        .when(~F.col("parses") | d.isNull() | misfits | _breaks(d, DRAFT) | _no(bad_value), "unreadable")
         .when(~d["schemaVersion"].eqNullSafe(F.lit(VERSION)), "schema-version")
         .when(~F.size(reqs).between(1, MAX_REQUIREMENTS), "requirement-count")
         .when(first.isNotNull(), first)
-        .when(yes(mismatch), "evidence-requirement-mismatch")
+        .when(_no(mismatch), "evidence-requirement-mismatch")
         .when(outlook.isNull(), "opportunity-value")
         .when(~(outlook["rating"].eqNullSafe(F.lit("UNKNOWN")) & outlook["basis"].eqNullSafe(F.lit("NOT_AVAILABLE"))), "company-outlook-invented")
     )
@@ -104,7 +140,8 @@ def validate(drafts: DataFrame) -> DataFrame:
 
 def requirements_of(valid: DataFrame) -> DataFrame:
     """Accepted drafts as requirement rows."""
-    rows = valid.filter("reason is null").select("analysis_id", F.posexplode("draft.requirementAssessments").alias("i", "r"))
+    # No filter on the reason: pushed below, it would be worked out twice.
+    rows = valid.select("analysis_id", F.posexplode(F.when(F.col("reason").isNull(), F.col("draft.requirementAssessments"))).alias("i", "r"))
     return rows.select(
         "analysis_id", (F.col("i") + 1).alias("ordinal"), "r.id", F.col("r.requirementText").alias("text"), "r.kind", "r.importance", "r.criticality",
         F.col("r.alternativeGroupId").alias("alternative_group_id"), F.col("r.primaryCategory").alias("primary_category"), "r.status", "r.relation",

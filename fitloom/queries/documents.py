@@ -143,10 +143,10 @@ pg AS (SELECT doc_id, p + 1 AS page_no, array_to_string(list_concat(CASE WHEN do
 @_query(
     _PAGES
     + """, b AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pg)
-SELECT doc_id, sha256(string_agg(substr(text, 1, greatest(1000 - before, 0)::INTEGER), '' ORDER BY page_no) FILTER (WHERE before < 1000)) AS text, sum(length(text)) > 1000 AS truncated, count(*) FILTER (WHERE before < 1000) AS n_pages FROM b GROUP BY doc_id"""
+SELECT doc_id, sha256(string_agg(substr(text, 1, greatest(500000 - before, 0)::INTEGER), '' ORDER BY page_no) FILTER (WHERE before < 500000)) AS text, sum(length(text)) > 500000 AS truncated, count(*) FILTER (WHERE before < 500000) AS n_pages FROM b GROUP BY doc_id"""
 )
 def io08_character_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.page_budget(_pages(spark, sf_dir), 1000).withColumn("text", F.sha2("text", 256))
+    return D.page_budget(_pages(spark, sf_dir)).withColumn("text", F.sha2("text", 256))
 
 
 @_query(
@@ -227,12 +227,12 @@ def qt09_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = F.array(*[F.lit(c) for c, _ in D.WARNINGS])
+    codes = F.array(*[F.lit(c) for c, _, _ in D.WARNINGS])
     rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.array(F.col("doc_id") % 16, F.floor(F.col("doc_id") / 3) % 16, F.col("doc_id") % 16)).alias("seq", "c"))
     return rows.select("doc_id", "seq", F.element_at(codes, (F.col("c") + 1).cast("int")).alias("code"))
 
 
-_CODES = "[" + ", ".join(f"'{c}'" for c, _ in D.WARNINGS) + "]"
+_CODES = "[" + ", ".join(f"'{c}'" for c, _, _ in D.WARNINGS) + "]"
 _WARN = f"""WITH wn AS (SELECT doc_id, 0 AS seq, {_CODES}[doc_id % 16 + 1] AS code FROM documents UNION ALL SELECT doc_id, 1, {_CODES}[doc_id // 3 % 16 + 1] FROM documents UNION ALL SELECT doc_id, 2, {_CODES}[doc_id % 16 + 1] FROM documents) """
 _IN = lambda codes: ", ".join(f"'{c}'" for c in codes)
 
@@ -243,17 +243,52 @@ _IN = lambda codes: ", ".join(f"'{c}'" for c in codes)
   CASE WHEN d.doc_id % 7 = 0 OR bool_or(code IN ({_IN(D.POSTING_UNCERTAIN)})) THEN 'FULL_TEXT_FALLBACK' ELSE 'STRUCTURED_SECTIONS' END AS source FROM documents d JOIN wn ON wn.doc_id = d.doc_id GROUP BY d.doc_id"""
 )
 def qt11_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """QT11, QT12, QT15."""
+    """QT11, QT12."""
     rows = _docs(spark, sf_dir).select("doc_id", (F.col("doc_id") % 7 != 0).alias("confirmed"))
     return D.policies(rows, _warnings(spark, sf_dir))
 
 
-_SEVERITY = "CASE code " + " ".join(f"WHEN '{c}' THEN '{s}'" for c, s in D.WARNINGS) + " END"
+_SEVERITY = "CASE code " + " ".join(f"WHEN '{c}' THEN '{s}'" for c, s, _ in D.WARNINGS) + " END"
+_MESSAGE = "CASE code " + " ".join("WHEN '{}' THEN '{}'".format(c, m.format(D.SERVICE).replace("'", "''")) for c, _, m in D.WARNINGS) + " END"
+
+
+@_query(
+    f"""SELECT doc_id, CASE WHEN length(text) % 3 = 0 OR lang <> 'en' THEN 'REVIEW_NOT_CONFIRMED' END AS reason, CASE WHEN length(text) % 3 = 0 OR lang <> 'en' THEN '{D.NOT_CONFIRMED}' END AS message FROM documents"""
+)
+def qt15_review_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resumes count as confirmed by their length, postings by their language."""
+    status = lambda ok: F.when(ok, "CONFIRMED").otherwise("NEEDS_REVIEW")
+    rows = table(spark, sf_dir, "documents").select("doc_id", status(F.length("text") % 3 != 0).alias("resume_status"), status(F.col("lang") == "en").alias("posting_status"))
+    return D.review_gate(rows).select("doc_id", "reason", "message")
+
+
+_CONTENT = "CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 2 = 0 THEN '%PDF-1.7 ' || text ELSE text END"
+
+
+@_query(f"""SELECT doc_id, CASE WHEN n = 0 THEN 'FILE_MISSING' WHEN n > 5000 THEN 'FILE_TOO_LARGE' WHEN NOT starts_with(c, '%PDF-') THEN 'FILE_TYPE_NOT_SUPPORTED' END AS reason FROM (SELECT doc_id, {_CONTENT} AS c, octet_length(encode({_CONTENT})) AS n FROM documents)""")
+def io03_file_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: some empty, some that begin like a PDF, some too large."""
+    files = _docs(spark, sf_dir).select("doc_id", F.encode(F.expr(_CONTENT), "UTF-8").alias("content"))
+    return D.admit_files(files, max_bytes=5000).select("doc_id", "reason")
+
+
+_NAME = "[A-Za-z]{3,} [A-Za-z]{3,}"
+_WHOLE = r"regexp_replace({0}, '(^|[^\p{{L}}\p{{Nd}}_])' || x || '($|[^\p{{L}}\p{{Nd}}_])', '\1[CANDIDATE]\2', 'g')"
+
+
+@_query(
+    f"""WITH n AS (SELECT doc_id, text, regexp_extract(text, '{_NAME}') AS name FROM documents)
+SELECT doc_id, sha256(CASE WHEN name <> '' THEN list_reduce(list_prepend(replace(text, name, '[CANDIDATE]'), string_split(name, ' ')), lambda t, x: {_WHOLE.format(_WHOLE.format("t"))}) ELSE text END) AS redacted FROM n"""
+)
+def qt07_candidate_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two words of letters stand for a name."""
+    rows = _docs(spark, sf_dir).select("doc_id", "text", F.regexp_extract("text", _NAME, 0).alias("name"))
+    return rows.select("doc_id", F.sha2(T.redact_name(F.col("text"), F.col("name")), 256).alias("redacted"))
 
 
 @_query(
     _WARN
-    + f"""SELECT DISTINCT doc_id, code, {_SEVERITY} AS severity FROM (SELECT doc_id, code FROM wn WHERE code NOT IN ({_IN(D.STRUCTURAL)}) UNION ALL SELECT doc_id, 'NO_ROLES_DETECTED' FROM documents WHERE doc_id % 4 = 0)"""
+    + f"""SELECT DISTINCT doc_id, code, {_SEVERITY} AS severity, {_MESSAGE} AS message FROM (SELECT doc_id, code FROM wn WHERE code NOT IN ({_IN(D.STRUCTURAL)}) UNION ALL SELECT doc_id, 'NO_ROLES_DETECTED' FROM documents WHERE doc_id % 4 = 0)"""
 )
 def qt13_refreshed_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """QT13, QT14."""

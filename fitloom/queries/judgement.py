@@ -23,42 +23,59 @@ def _query(sql: str):
     return add
 
 
+QUOTE_LIST = "array<struct<requirementId:string,importance:string,status:string,relation:string,strength:string,resumeQuote:string,score:int>>"
+
+
 def drafts(requirement: DataFrame) -> DataFrame:
-    """analysis_id, raw_json: the requirements as drafts, with a fault by analysis_id % 16."""
-    k = F.col("analysis_id") % 16
+    """analysis_id, raw_json: the requirements as drafts, with a fault by analysis_id % 40."""
+    k = F.col("analysis_id") % 40
     first = F.col("ordinal") == 1
     claimed = F.col("status").isin("STRONG_MATCH", "PARTIAL_MATCH")
-    quote = F.struct(F.when((k == 9) & first, "other").otherwise(F.col("id")).alias("requirementId"), F.lit("a quote of the resume").alias("resumeQuote"))
+    only = lambda n, wrong, right: F.when((k == n) & first, wrong).otherwise(right)
+    quote = F.struct(
+        only(9, "other", F.col("id")).alias("requirementId"), only(20, "MAGIC", F.col("importance")).alias("importance"), only(21, "MAGIC", F.col("status")).alias("status"), only(22, "MAGIC", F.col("relation")).alias("relation"),
+        only(23, "MAGIC", F.col("strength")).alias("strength"), F.lit("a quote of the resume").alias("resumeQuote"), F.when((k == 24) & first, 1).alias("score"),
+    )
     row = F.struct(
         F.when((k == 6) & (F.col("ordinal") == 2), "req-1").otherwise(F.col("id")).alias("id"),
-        F.when((k == 7) & first, "  ").otherwise(F.col("text")).alias("requirementText"),
-        F.when((k == 14) & first, "MAGIC").otherwise(F.col("kind")).alias("kind"),
-        "importance", "criticality", F.col("primary_category").alias("primaryCategory"),
-        F.when((k == 8) & first, None).otherwise(F.col("status")).alias("status"),
-        "relation", F.col("strength").alias("evidenceStrength"),
-        F.when(claimed, F.array(quote)).otherwise(F.array().cast("array<struct<requirementId:string,resumeQuote:string>>")).alias("evidence"),
+        only(7, "  ", F.col("text")).alias("requirementText"),
+        only(14, "MAGIC", F.col("kind")).alias("kind"),
+        only(25, "MAGIC", F.col("importance")).alias("importance"), only(26, "MAGIC", F.col("criticality")).alias("criticality"), only(27, "MAGIC", F.col("primary_category")).alias("primaryCategory"),
+        only(8, None, F.col("status")).alias("status"),
+        only(28, "MAGIC", F.col("relation")).alias("relation"), only(29, "MAGIC", F.col("strength")).alias("evidenceStrength"),
+        F.when(claimed, F.array(quote)).otherwise(F.array().cast(QUOTE_LIST)).alias("evidence"),
         F.when((k == 13) & first, 4.5).alias("matchPercentage"),
     )
     rows = requirement.withColumn("row", row).groupBy("analysis_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "row")))["row"].alias("rows"))
-    k = F.col("analysis_id") % 16
-    value = F.when(k == 12, 9).otherwise((F.col("analysis_id") % 5).cast("int"))
-    outlook = F.struct(F.when(k == 10, "STRONG").otherwise("UNKNOWN").alias("rating"), F.lit("NOT_AVAILABLE").alias("basis"))
+    none = F.array().cast("array<string>")
+    said = lambda n: F.struct(F.lit("a headline").alias("headline"), none.alias("supportingEvidenceIds"), F.when(k != n + 1, none).alias("concerns"), F.when(k == n, 5).alias("score"))
+    rated = lambda n: F.struct(F.when(k == n, "MAGIC").otherwise("MODERATE").alias("rating"), F.when(k == n + 1, "MAGIC").otherwise("STATED_IN_POSTING").alias("basis"))
+    outlook = F.struct(F.when(k == 10, "STRONG").otherwise("UNKNOWN").alias("rating"), F.lit("NOT_AVAILABLE").alias("basis"), F.when(k == 17, 5).alias("score"))
+    rewrites, terms = F.array(F.struct(F.lit("a").alias("before"), F.when(k == 36, 1).alias("score"))), F.array(F.struct(F.lit("a").alias("resumeTerm"), F.when(k == 37, 1).alias("score")))
+    advice = F.struct(none.alias("reorderSuggestions"), none.alias("emphasisSuggestions"), terms.alias("terminologyAlignment"), none.alias("deemphasizeSuggestions"), rewrites.alias("faithfulRewrites"), F.when(k == 35, 1).alias("score"))
+    questions = F.array(F.struct(F.lit("why").alias("question"), none.alias("evidenceToUse"), F.when(k == 38, 1).alias("score")))
+    explained = F.array(F.struct(F.lit("a gap").alias("gap"), F.when(k == 39, 1).alias("score")))
+    interview = F.struct(questions.alias("likelyQuestions"), none.alias("talkingPoints"), explained.alias("gapsToExplain"), none.alias("questionsToAsk"), F.when(k == 16, 1).alias("score"))
+    judged = F.struct(F.when(k == 34, "MAGIC").otherwise("EXPERIENCE_EVIDENCE").alias("category"), F.lit("depth").alias("subfactor"), F.when(k == 12, 9).otherwise((F.col("analysis_id") % 5).cast("int")).alias("value"))
     draft = F.struct(
         F.when(k == 4, "v0").otherwise(validation.VERSION).alias("schemaVersion"),
         F.when(k == 5, F.slice("rows", 1, 0)).otherwise(F.col("rows")).alias("requirementAssessments"),
-        F.array(F.struct(F.lit("EXPERIENCE_EVIDENCE").alias("category"), F.lit("depth").alias("subfactor"), value.alias("value"))).alias("subfactorJudgements"),
-        F.when(k != 15, F.struct(outlook.alias("companyOutlook"))).alias("opportunityValue"),
+        F.array(judged).alias("subfactorJudgements"),
+        said(18).alias("roleAlignment"), said(-9).alias("seniorityAlignment"),
+        F.when(k != 15, F.struct(rated(30).alias("careerGrowth"), rated(32).alias("compensation"), outlook.alias("companyOutlook"))).alias("opportunityValue"),
+        advice.alias("resumePositioning"), interview.alias("interviewPreparation"),
         F.when(k != 11, F.array(F.lit("none"))).alias("limitations"),
         F.when(k == 3, 4.2).alias("totalMatchScore"),
-    )
+    )
     text = F.to_json(draft)
     return rows.select("analysis_id", F.when(k == 1, " ").when(k == 2, F.substring(text, 1, 40)).otherwise(text).alias("raw_json"))
 
 
-_REASON = """CASE r.analysis_id % 16 WHEN 1 THEN 'empty-response' WHEN 2 THEN 'unreadable' WHEN 3 THEN 'unreadable' WHEN 4 THEN 'schema-version' WHEN 5 THEN 'requirement-count'
-  WHEN 6 THEN CASE WHEN count(*) >= 2 THEN 'requirement-id' END WHEN 7 THEN 'requirement-text' WHEN 8 THEN 'requirement-fields'
-  WHEN 9 THEN CASE WHEN bool_or(ordinal = 1 AND status IN ('STRONG_MATCH', 'PARTIAL_MATCH')) THEN 'evidence-requirement-mismatch' END WHEN 10 THEN 'company-outlook-invented' WHEN 11 THEN 'unreadable'
-  WHEN 12 THEN 'unreadable' WHEN 13 THEN 'unreadable' WHEN 14 THEN 'unreadable' WHEN 15 THEN 'opportunity-value' END"""
+#: Faults that are only there if the first requirement has evidence.
+_QUOTED_FAULTS = "9, 20, 21, 22, 23, 24"
+_REASON = f"""CASE WHEN r.analysis_id % 40 IN ({_QUOTED_FAULTS}) AND NOT bool_or(ordinal = 1 AND status IN ('STRONG_MATCH', 'PARTIAL_MATCH')) THEN NULL ELSE CASE r.analysis_id % 40
+  WHEN 0 THEN NULL WHEN 1 THEN 'empty-response' WHEN 4 THEN 'schema-version' WHEN 5 THEN 'requirement-count' WHEN 6 THEN CASE WHEN count(*) >= 2 THEN 'requirement-id' END WHEN 7 THEN 'requirement-text'
+  WHEN 8 THEN 'requirement-fields' WHEN 9 THEN 'evidence-requirement-mismatch' WHEN 10 THEN 'company-outlook-invented' WHEN 15 THEN 'opportunity-value' ELSE 'unreadable' END END"""
 
 
 @_query(REQUIREMENT_SQL + f"SELECT analysis_id, {_REASON} AS reason FROM rq r GROUP BY analysis_id")

@@ -42,6 +42,13 @@ _IP = "(page_id * 7919) % 256 || '.' || (page_id * 31) % 256 || '.' || (page_id
 _KNOWN = "CASE WHEN page_id % 5 = 0 THEN '10.' WHEN page_id % 5 = 1 THEN '198.18.' WHEN page_id % 5 = 2 THEN '172.20.' END || (page_id % 200) || '.1' || CASE WHEN page_id % 5 = 0 THEN '.9' ELSE '' END"
 
 
+#: IPv6 addresses, and whether they must not be reached.
+_V6 = [
+    ("2606:4700:4700::1111", False), ("2001:4860:4860:0:0:0:0:8888", False), ("::1", True), ("::", True), ("fe80::1", True), ("FC00::2", True), ("fd12:3456::9", True), ("ff02::1", True), ("fec0::5", True),
+    ("::ffff:10.1.2.3", True), ("::ffff:8.8.8.8", False), ("2002:0a00:0001::1", True), ("2002:0808:0808::1", False), ("64:ff9b::192.168.1.1", True), ("64:ff9b::8.8.4.4", False), ("not:an:address", True), ("1::2::3", True),
+]
+
+
 def _in_ranges(number: str) -> str:
     out = []
     for cidr in P.BLOCKED_V4:
@@ -53,14 +60,19 @@ def _in_ranges(number: str) -> str:
 
 
 @_query(
-    f"""WITH a AS (SELECT page_id, CASE WHEN page_id % 10 < 5 AND page_id % 5 < 3 THEN {_KNOWN} ELSE {_IP} END AS ip, regexp_extract(url, '://([^/]*)', 1) AS host FROM pages),
+    f"""WITH p AS (SELECT page_id, regexp_extract(url, '://([^/]*)', 1) || '/' || page_id // 3 AS host FROM pages),
+a AS (SELECT page_id, host, CASE WHEN page_id % 10 < 5 AND page_id % 5 < 3 THEN {_KNOWN} ELSE {_IP} END AS ip FROM p),
+v6(k, ip, blocked) AS (VALUES {", ".join(f"({i}, '{ip}', {str(b).lower()})" for i, (ip, b) in enumerate(_V6))}),
 n AS (SELECT *, split_part(ip, '.', 1)::BIGINT * 16777216 + split_part(ip, '.', 2)::BIGINT * 65536 + split_part(ip, '.', 3)::BIGINT * 256 + split_part(ip, '.', 4)::BIGINT AS x FROM a)
-SELECT host, bool_or({_in_ranges("x")}) AS blocked FROM n GROUP BY host"""
+SELECT host, bool_or(b) AS blocked FROM (SELECT host, {_in_ranges("x")} AS b FROM n UNION ALL SELECT p.host, v6.blocked FROM p JOIN v6 ON v6.k = p.page_id // 3 % {len(_V6)}) GROUP BY host"""
 )
 def wp03_host_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WP2, WP3: addresses are derived from page ids."""
+    """WP2, WP3: hosts of three pages, each page with an IPv4 address from its id and one of the known IPv6 addresses."""
     ip = F.expr(f"CASE WHEN page_id % 10 < 5 AND page_id % 5 < 3 THEN {_KNOWN} ELSE {_IP} END")
-    return P.host_verdicts(table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/]*)", 1).alias("host"), ip.alias("ip")))
+    k = F.floor(F.col("page_id") / 3)
+    v6 = F.element_at(F.array(*[F.lit(a) for a, _ in _V6]), (k % len(_V6) + 1).cast("int"))
+    host = F.concat(F.regexp_extract("url", "://([^/]*)", 1), F.lit("/"), k)
+    return P.host_verdicts(table(spark, sf_dir, "pages").select(host.alias("host"), F.explode(F.array(ip, v6)).alias("ip")))
 
 
 @_query(

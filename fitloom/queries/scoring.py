@@ -20,19 +20,26 @@ def _query(function):
 
 def _capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = views.requirements(spark, sf_dir)
-    return scoring.cap_skills_list_only(r, views.skills(r))
+    return scoring.cap_skills_list_only(r, views.skills(spark, sf_dir))
 
 
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _capped(spark, sf_dir)
-    return scoring.decisions(r, views.subfactors(spark, sf_dir), views.resumes(r), views.evidence(r))
+    return scoring.decisions(_capped(spark, sf_dir), views.subfactors(spark, sf_dir), views.resumes(spark, sf_dir))
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """analysis_id, category (empty for the whole analysis) and its requirements in order."""
+    rows = scoring.folded(_capped(spark, sf_dir), lists=True).select("analysis_id", "requirements")
+    names = ["", *[c for c, _, _ in rubric.CATEGORIES]]
+    own = F.filter("requirements", lambda r: (F.col("category") == "") | (r["primary_category"] == F.col("category")))
+    return rows.withColumn("category", F.explode(F.array(*map(F.lit, names)))).select("analysis_id", "category", own.alias("own"))
 
 
 @_query
 def fit_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC2-SC7, SC9-SC15, SC17-SC20: score before and after ceilings, label, tier, confidence and recommendation."""
     d = _decided(spark, sf_dir)
-    return d.select("analysis_id", (F.col("total") / 10).alias("total"), (F.col("capped") / 10).alias("score"), "label", "core_gaps", "eligibility", "tier", "confidence", "recommendation")
+    return d.select("analysis_id", (F.col("total") / 10).alias("total"), (F.col("capped") / 10).alias("score"), "label", "meaning", "core_gaps", "eligibility", "tier", "confidence", "recommendation")
 
 
 @_query
@@ -91,37 +98,49 @@ def sc16_adjustments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def sc21_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = views.evidence(_capped(spark, sf_dir))
-    both = [scoring.first_quotes(e, x).withColumn("relation", F.lit(x)) for x in ("DIRECT", "TRANSFERABLE")]
-    return both[0].unionByName(both[1])
+    """The lists of the whole analysis and of each category."""
+    rows = _listed(spark, sf_dir)
+    both = F.array(*[F.struct(F.lit(x).alias("relation"), scoring.first_quotes(F.col("own"), x).alias("quotes")) for x in ("DIRECT", "TRANSFERABLE")])
+    rows = rows.select("analysis_id", "category", F.explode(both).alias("b")).select("analysis_id", "category", "b.relation", F.posexplode("b.quotes").alias("k", "q"))
+    return rows.select("analysis_id", "category", "relation", (F.col("k") + 1).alias("k"), "q.requirement_id", "q.quote")
 
 
 @_query
 def sc22_gap_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.requirement_gaps(_capped(spark, sf_dir))
+    """Critical and minor gaps of the whole analysis, gaps of each category, and unknowns of both."""
+    rows, top = _listed(spark, sf_dir), F.col("category") == ""
+    none = F.filter(scoring.requirement_gaps(F.col("own"), "GAP"), lambda r: F.lit(False))
+    lists = {"CRITICAL": F.when(top, scoring.requirement_gaps(F.col("own"), "GAP", True)).otherwise(none), "MINOR": F.when(top, scoring.requirement_gaps(F.col("own"), "GAP", False)).otherwise(none),
+             "GAP": F.when(top, none).otherwise(scoring.requirement_gaps(F.col("own"), "GAP")), "UNKNOWN": scoring.requirement_gaps(F.col("own"), "UNKNOWN")}
+    rows = rows.select("analysis_id", "category", F.explode(F.array(*[F.struct(F.lit(n).alias("list"), c.alias("rows")) for n, c in lists.items()])).alias("l"))
+    rows = rows.select("analysis_id", "category", "l.list", F.posexplode("l.rows").alias("k", "r"))
+    return rows.select("analysis_id", "category", "list", (F.col("k") + 1).alias("k"), "r.*")
 
 
 @_query
 def sc23_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.suggestions(_capped(spark, sf_dir))
+    rows = _listed(spark, sf_dir).filter("category <> ''").select("analysis_id", "category", F.posexplode(scoring.suggestions(F.col("own"))).alias("k", "suggestion"))
+    return rows.withColumn("k", F.col("k") + 1)
 
 
 @_query
 def sc25_limitations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.limitations(_decided(spark, sf_dir)).select("analysis_id", F.array_join("limitations", "|").alias("limitations"))
+    return _decided(spark, sf_dir).select("analysis_id", F.array_join(scoring.limitations(), "|").alias("limitations"))
 
 
 @_query
 def sc27_fit_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC27, IO5: the nested result, flattened again to sizes and joined texts."""
-    r = views.requirements(spark, sf_dir)
-    f = scoring.fit_analysis(r, views.subfactors(spark, sf_dir), views.skills(r), views.resumes(r), views.evidence(r))
-    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    """SC27, IO5: the nested result, with every text of it joined into strings."""
+    f = scoring.fit_analysis(views.requirements(spark, sf_dir), views.subfactors(spark, sf_dir), views.skills(spark, sf_dir), views.resumes(spark, sf_dir))
+    quotes = lambda c: F.array_join(F.transform(c, lambda q: F.concat(q["requirement_id"], F.lit(":"), q["quote"])), ";")
+    gaps = lambda c: F.array_join(F.transform(c, lambda g: F.concat_ws("/", g["id"], g["text"], g["importance"], g["criticality"], g["reason"], g["mitigation"])), ";")
+    category = lambda c: F.concat_ws("|", c["category"], c["score"], c["label"], c["summary"], c["impact"], quotes(c["direct"]), quotes(c["transferable"]), gaps(c["gaps"]), gaps(c["unknowns"]), F.array_join(c["suggestions"], ";"))
     return f.select(
-        "analysis_id", (F.col("capped") / 10).alias("score"), "label", "tier", "recommendation",
-        F.array_join(F.transform("categories", lambda c: F.concat(c["category"], F.lit("="), c["score"])), ",").alias("categories"),
-        F.coalesce(F.array_join("adjustments.rule_id", ","), F.lit("")).alias("adjustments"), size("strongest").alias("n_strongest"), size("transferable").alias("n_transferable"),
-        size("gaps").alias("n_gaps"), size("suggestions").alias("n_suggestions"), F.size("limitations").alias("n_limitations"),
+        "analysis_id", (F.col("capped") / 10).alias("score"), "label", "meaning", "tier", "confidence", "recommendation", "eligibility",
+        F.array_join(F.transform("categories", category), "\n").alias("categories"),
+        F.array_join(F.transform("adjustments", lambda a: F.concat_ws("/", a["rule_id"], a["before"], a["after"], a["ids"])), ";").alias("adjustments"),
+        quotes(F.col("strongest")).alias("strongest"), quotes(F.col("transferable")).alias("transferable"), gaps(F.col("critical_gaps")).alias("critical_gaps"), gaps(F.col("minor_gaps")).alias("minor_gaps"),
+        gaps(F.col("unknowns")).alias("unknowns"), F.array_join("limitations", "|").alias("limitations"),
     )
 
 
@@ -139,6 +158,7 @@ _ANCHORS = " ".join(
     f"WHEN coverage <= {hi * 10**8} THEN (2 * ((coverage - {lo * 10**8}) * {b - a} + {a * (hi - lo) * 10**8}) + {(hi - lo) * 10**8}) // {2 * (hi - lo) * 10**8}"
     for (lo, a), (hi, b) in zip(rubric.ANCHORS, rubric.ANCHORS[1:])
 )
+_MEANING = "CASE " + " ".join(f"WHEN capped >= {low} THEN '{meaning}'" for low, _, meaning in rubric.BANDS) + " END"
 _LABEL = "CASE " + " ".join(f"WHEN {{0}} >= {low} THEN '{label}'" for low, label, _ in rubric.BANDS) + " END"
 #: The chain of tables that every statement below selects from.
 REQUIREMENT_SQL = f"""
@@ -189,7 +209,7 @@ g AS (SELECT analysis_id, count(*) FILTER (WHERE gap) AS core_gaps, coalesce(str
   CASE WHEN bool_or(kind = 'LEGAL_ELIGIBILITY' AND importance = 'REQUIRED' AND status = 'GAP') THEN 'NOT_ELIGIBLE' ELSE 'UNKNOWN' END AS eligibility,
   count(*) AS n, count(*) FILTER (WHERE status = 'UNKNOWN') AS n_unknown
   FROM (SELECT *, importance = 'REQUIRED' AND criticality = 'CORE' AND status = 'GAP' AS gap FROM rq) GROUP BY analysis_id),
-ev AS (SELECT analysis_id, ordinal, id AS requirement_id, relation, pos, 'quote ' || ordinal || '.' || pos AS quote, (analysis_id + ordinal + pos) % 7 <> 0 AS grounded
+ev AS (SELECT analysis_id, ordinal, id AS requirement_id, relation, primary_category, pos, 'quote ' || ordinal || '.' || pos AS quote, (analysis_id + ordinal + pos) % 7 <> 0 AS grounded
   FROM (SELECT *, unnest(range(0, quotes % 2 + 1)) AS pos FROM rq WHERE status IN ('STRONG_MATCH', 'PARTIAL_MATCH'))),
 q AS (SELECT analysis_id, count(*) AS quotes, count(*) FILTER (WHERE NOT grounded) AS dropped FROM ev GROUP BY analysis_id),
 d0 AS (SELECT t.*, g.* EXCLUDE (analysis_id), coalesce(q.quotes, 0) AS quotes, coalesce(q.dropped, 0) AS dropped, t.analysis_id * 37 % 5000 AS chars, t.analysis_id % 16 = 3 AS high,
@@ -197,7 +217,7 @@ d0 AS (SELECT t.*, g.* EXCLUDE (analysis_id), coalesce(q.quotes, 0) AS quotes, c
   FROM t JOIN g ON g.analysis_id = t.analysis_id LEFT JOIN q ON q.analysis_id = t.analysis_id),
 d1 AS (SELECT *, CASE WHEN first_cap THEN 15 ELSE total END AS after_first FROM d0),
 d2 AS (SELECT *, coalesce(after_first > lim, false) AS second_cap, CASE WHEN after_first > lim THEN lim ELSE after_first END AS capped FROM d1),
-d3 AS (SELECT *, {_LABEL.format("capped")} AS label,
+d3 AS (SELECT *, {_LABEL.format("capped")} AS label, {_MEANING} AS meaning,
   CASE WHEN core_gaps > 0 THEN 'REACH' WHEN coalesce(rcover, 0) >= 9000000000 AND seniority >= 45 THEN 'SAFETY' WHEN coalesce(rcover, 0) >= 7500000000 THEN 'TARGET' ELSE 'REACH' END AS tier,
   CASE WHEN high OR chars < 1500 OR n = 0 OR 100 * n_unknown > 35 * n OR 100 * dropped > 10 * quotes THEN 'LOW'
     WHEN chars >= 2500 AND 100 * n_unknown <= 15 * n AND dropped = 0 AND n >= 5 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence FROM d2),
@@ -205,42 +225,54 @@ d AS (SELECT *, CASE WHEN eligibility = 'NOT_ELIGIBLE' OR capped < 25 THEN 'LOW_
   WHEN capped >= 42 THEN 'STRONG_APPLY' ELSE 'APPLY' END AS recommendation FROM d3),
 adj AS (SELECT analysis_id, 1 AS seq, 'NOT_ELIGIBLE' AS rule_id, total AS before, 15 AS after, '' AS triggering_ids FROM d WHERE first_cap
   UNION ALL SELECT analysis_id, 2, CASE core_gaps WHEN 1 THEN 'CORE_GAP_SINGLE' WHEN 2 THEN 'CORE_GAP_MULTIPLE' ELSE 'CORE_GAP_SEVERE' END, after_first, lim, gap_ids FROM d WHERE second_cap),
-fq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY analysis_id, relation ORDER BY ordinal, pos) AS k FROM ev WHERE grounded) WHERE k <= 8),
-gl AS (SELECT analysis_id, ordinal, id, CASE WHEN status = 'UNKNOWN' THEN 'UNKNOWN' WHEN criticality = 'CORE' THEN 'CRITICAL' ELSE 'MINOR' END AS list,
-  CASE WHEN status = 'UNKNOWN' THEN '{scoring.UNKNOWN_REASON}' ELSE '{scoring.GAP_REASON}' END AS reason,
-  CASE WHEN status = 'UNKNOWN' THEN '{scoring.UNKNOWN_HELP}' ELSE '{scoring.GAP_HELP}' END AS mitigation FROM rq WHERE status IN ('GAP', 'UNKNOWN')),
-sg AS (SELECT analysis_id, primary_category AS category, k, 'If you have done this, say so explicitly: "' || text || '". Describe it inside a role or project rather than only in a skills list.' AS suggestion
+lists AS (SELECT '' AS category UNION ALL SELECT category FROM cats),
+fq AS (SELECT * FROM (SELECT ev.*, l.category, row_number() OVER (PARTITION BY analysis_id, l.category, relation ORDER BY ordinal, pos) AS k
+  FROM ev JOIN lists l ON l.category IN ('', ev.primary_category) WHERE grounded) WHERE k <= 8),
+gl AS (SELECT *, row_number() OVER (PARTITION BY analysis_id, category, list ORDER BY ordinal) AS k FROM (
+  SELECT rq.analysis_id, l.category, rq.ordinal, CASE WHEN status = 'UNKNOWN' THEN 'UNKNOWN' WHEN l.category <> '' THEN 'GAP' WHEN criticality = 'CORE' THEN 'CRITICAL' ELSE 'MINOR' END AS list,
+  rq.id, rq.text, rq.importance, rq.criticality, CASE WHEN status = 'UNKNOWN' THEN '{scoring.UNKNOWN_REASON}' ELSE '{scoring.GAP_REASON}' END AS reason,
+  CASE WHEN status = 'UNKNOWN' THEN '{scoring.UNKNOWN_HELP}' ELSE '{scoring.GAP_HELP}' END AS mitigation FROM rq JOIN lists l ON l.category IN ('', rq.primary_category) WHERE status IN ('GAP', 'UNKNOWN'))),
+sg AS (SELECT analysis_id, primary_category AS category, k, '{scoring.SUGGESTION[0]}' || text || '{scoring.SUGGESTION[1]}' AS suggestion
   FROM (SELECT *, row_number() OVER (PARTITION BY analysis_id, primary_category ORDER BY ordinal) AS k FROM rq WHERE status IN ('UNKNOWN', 'PARTIAL_MATCH')) WHERE k <= 3),
+ct AS (SELECT *, {_LABEL.format("score")} AS label,
+  CASE WHEN rated THEN display_name || ' was rated from ' || items || ' requirement' || CASE WHEN items = 1 THEN '' ELSE 's' END || ' the resume could be judged against.'
+    ELSE 'There was not enough information to rate ' || display_name || '. ' || unknown || ' requirement' || CASE WHEN unknown = 1 THEN '' ELSE 's' END || ' could not be judged from the resume, so this category is shown at zero rather than guessed at.' END AS summary,
+  CASE WHEN rated THEN 'The resume answers ' || ((2 * coverage + 100000000) // 200000000) || '% of the weighted requirements in this category, which maps to ' || (score // 10) || '.' || (score % 10)
+    || ' on the published scale. Required qualifications count nearly three times what preferred ones do, and core requirements count half again as much. ' || unknown || ' requirement' || CASE WHEN unknown = 1 THEN '' ELSE 's' END
+    || ' could not be judged and ' || CASE WHEN unknown = 1 THEN 'was' ELSE 'were' END || ' excluded from the ratio.'
+    ELSE 'No score could be derived: fewer than 2 requirements in this category could be judged. Unknown requirements are excluded from the calculation rather than counted against the candidate, so nothing here has lowered the total unfairly.' END AS impact FROM c),
+qj AS (SELECT analysis_id, category, relation, string_agg(requirement_id || ':' || quote, ';' ORDER BY k) AS said FROM fq GROUP BY ALL),
+gj AS (SELECT analysis_id, category, list, string_agg(concat_ws('/', id, text, importance, criticality, reason, mitigation), ';' ORDER BY k) AS said FROM gl GROUP BY ALL),
+sj AS (SELECT analysis_id, category, string_agg(suggestion, ';' ORDER BY k) AS said FROM sg GROUP BY ALL),
+cj AS (SELECT ct.analysis_id, string_agg(concat_ws('|', ct.category, score, label, summary, impact, coalesce(q1.said, ''), coalesce(q2.said, ''), coalesce(g1.said, ''), coalesce(g2.said, ''), coalesce(sj.said, '')), chr(10) ORDER BY seq) AS said FROM ct
+  LEFT JOIN qj q1 ON q1.analysis_id = ct.analysis_id AND q1.category = ct.category AND q1.relation = 'DIRECT' LEFT JOIN qj q2 ON q2.analysis_id = ct.analysis_id AND q2.category = ct.category AND q2.relation = 'TRANSFERABLE'
+  LEFT JOIN gj g1 ON g1.analysis_id = ct.analysis_id AND g1.category = ct.category AND g1.list = 'GAP' LEFT JOIN gj g2 ON g2.analysis_id = ct.analysis_id AND g2.category = ct.category AND g2.list = 'UNKNOWN'
+  LEFT JOIN sj ON sj.analysis_id = ct.analysis_id AND sj.category = ct.category GROUP BY ct.analysis_id),
+aj AS (SELECT analysis_id, string_agg(concat_ws('/', rule_id, before, after, triggering_ids), ';' ORDER BY seq) AS said FROM adj GROUP BY ALL),
 lm AS (SELECT analysis_id, CASE WHEN first_cap OR second_cap THEN '{scoring.CEILING_NOTE}|' ELSE '' END || CASE WHEN confidence = 'LOW' THEN '{scoring.LOW_NOTE}|' ELSE '' END || '{scoring.CAVEAT}' AS limitations FROM d)
 """
 
 for _name, _sql in {
-    "fit_headline": "SELECT analysis_id, total / 10 AS total, capped / 10 AS score, label, core_gaps, eligibility, tier, confidence, recommendation FROM d",
+    "fit_headline": "SELECT analysis_id, total / 10 AS total, capped / 10 AS score, label, meaning, core_gaps, eligibility, tier, confidence, recommendation FROM d",
     "sc01_skills_cap": "SELECT analysis_id, ordinal, strength, rationale FROM rq",
     "sc02_weight_and_credit": "SELECT analysis_id, ordinal, weight4, credit4 FROM cr",
     "sc04_alternatives": "SELECT analysis_id, category, ordinal FROM alt",
     "sc05_requirement_coverage": "SELECT * FROM rcov",
     "sc08_leadership": "SELECT * FROM leads",
     "sc09_subfactor_coverage": "SELECT * FROM scov",
-    "sc10_category_results": f"""SELECT analysis_id, category, rated, items, unknown, score / 10 AS score, applied / 10000 AS applied_weight, coverage, {_LABEL.format("score")} AS label,
-  CASE WHEN rated THEN display_name || ' was rated from ' || items || ' requirement' || CASE WHEN items = 1 THEN '' ELSE 's' END || ' the resume could be judged against.'
-    ELSE 'There was not enough information to rate ' || display_name || '. ' || unknown || ' requirement' || CASE WHEN unknown = 1 THEN '' ELSE 's' END || ' could not be judged from the resume, so this category is shown at zero rather than guessed at.' END AS summary,
-  CASE WHEN rated THEN 'The resume answers ' || ((2 * coverage + 100000000) // 200000000) || '% of the weighted requirements in this category, which maps to ' || (score // 10) || '.' || (score % 10)
-    || ' on the published scale. Required qualifications count nearly three times what preferred ones do, and core requirements count half again as much. ' || unknown || ' requirement' || CASE WHEN unknown = 1 THEN '' ELSE 's' END
-    || ' could not be judged and ' || CASE WHEN unknown = 1 THEN 'was' ELSE 'were' END || ' excluded from the ratio.'
-    ELSE 'No score could be derived: fewer than 2 requirements in this category could be judged. Unknown requirements are excluded from the calculation rather than counted against the candidate, so nothing here has lowered the total unfairly.' END AS impact FROM c""",
+    "sc10_category_results": "SELECT analysis_id, category, rated, items, unknown, score / 10 AS score, applied / 10000 AS applied_weight, coverage, label, summary, impact FROM ct",
     "sc14_core_gaps": "SELECT * FROM g",
     "sc16_adjustments": "SELECT analysis_id, seq, rule_id, before / 10 AS before, after / 10 AS after, triggering_ids FROM adj",
-    "sc21_quotes": "SELECT analysis_id, k, requirement_id, quote, relation FROM fq",
-    "sc22_gap_lists": "SELECT * FROM gl",
+    "sc21_quotes": "SELECT analysis_id, category, relation, k, requirement_id, quote FROM fq",
+    "sc22_gap_lists": "SELECT analysis_id, category, list, k, id, text, importance, criticality, reason, mitigation FROM gl",
     "sc23_suggestions": "SELECT * FROM sg",
     "sc25_limitations": "SELECT * FROM lm",
-    "sc27_fit_analysis": """SELECT d.analysis_id, capped / 10 AS score, label, tier, recommendation,
-  (SELECT string_agg(category || '=' || score, ',' ORDER BY seq) FROM c WHERE c.analysis_id = d.analysis_id) AS categories,
-  coalesce((SELECT string_agg(rule_id, ',' ORDER BY seq) FROM adj WHERE adj.analysis_id = d.analysis_id), '') AS adjustments,
-  (SELECT count(*) FROM fq WHERE fq.analysis_id = d.analysis_id AND relation = 'DIRECT') AS n_strongest, (SELECT count(*) FROM fq WHERE fq.analysis_id = d.analysis_id AND relation = 'TRANSFERABLE') AS n_transferable,
-  (SELECT count(*) FROM gl WHERE gl.analysis_id = d.analysis_id) AS n_gaps, (SELECT count(*) FROM sg WHERE sg.analysis_id = d.analysis_id) AS n_suggestions,
-  1 + (first_cap OR second_cap)::INTEGER + (confidence = 'LOW')::INTEGER AS n_limitations FROM d""",
+    "sc27_fit_analysis": """SELECT d.analysis_id, capped / 10 AS score, label, meaning, tier, confidence, recommendation, eligibility, cj.said AS categories, coalesce(aj.said, '') AS adjustments,
+  coalesce(q1.said, '') AS strongest, coalesce(q2.said, '') AS transferable, coalesce(g1.said, '') AS critical_gaps, coalesce(g2.said, '') AS minor_gaps, coalesce(g3.said, '') AS unknowns, lm.limitations
+  FROM d JOIN cj ON cj.analysis_id = d.analysis_id JOIN lm ON lm.analysis_id = d.analysis_id LEFT JOIN aj ON aj.analysis_id = d.analysis_id
+  LEFT JOIN qj q1 ON q1.analysis_id = d.analysis_id AND q1.category = '' AND q1.relation = 'DIRECT' LEFT JOIN qj q2 ON q2.analysis_id = d.analysis_id AND q2.category = '' AND q2.relation = 'TRANSFERABLE'
+  LEFT JOIN gj g1 ON g1.analysis_id = d.analysis_id AND g1.category = '' AND g1.list = 'CRITICAL' LEFT JOIN gj g2 ON g2.analysis_id = d.analysis_id AND g2.category = '' AND g2.list = 'MINOR'
+  LEFT JOIN gj g3 ON g3.analysis_id = d.analysis_id AND g3.category = '' AND g3.list = 'UNKNOWN'""",
     "ev09_recompute": "SELECT label, count(*) AS n, 0 AS violations FROM d GROUP BY label",
 }.items():
     ORACLES[_name] = REQUIREMENT_SQL + _sql

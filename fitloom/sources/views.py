@@ -21,9 +21,10 @@ def requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     part, supp, line = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     pick = lambda n, names: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
     extra = F.when(supp % 11 == 0, " as a lead").when(supp % 13 == 0, " to mentor others").otherwise("")
-    return rows.select(
+    rows = rows.select(
         F.col("l_orderkey").alias("analysis_id"),
         "ordinal",
+        F.col("l_quantity").cast("int").alias("quotes"),
         F.concat(F.lit("req-"), F.col("ordinal")).alias("id"),
         F.concat(F.lit("Work with tool"), part % 40, extra).alias("text"),
         F.when(part % 17 == 0, "LEGAL_ELIGIBILITY").otherwise("TECHNICAL").alias("kind"),
@@ -35,8 +36,11 @@ def requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(supp, ["DIRECT", "TRANSFERABLE"]).alias("relation"),
         pick(supp, ["STRONG", "MODERATE", "WEAK", "NONE"]).alias("strength"),
         F.lit("As judged.").alias("rationale"),
-        F.col("l_quantity").cast("int").alias("quotes"),
     )
+    # One or two quotes for each claimed match; some aren't in the resume.
+    quote = lambda pos: F.struct(pos.alias("pos"), F.concat(F.lit("quote "), F.col("ordinal"), F.lit("."), pos).alias("quote"), ((F.col("analysis_id") + F.col("ordinal") + pos) % 7 != 0).alias("grounded"))
+    claimed = F.when(F.col("status").isin("STRONG_MATCH", "PARTIAL_MATCH"), F.transform(F.sequence(F.lit(0), F.col("quotes") % 2), quote))
+    return rows.withColumn("evidence", F.coalesce(claimed, F.array().cast("array<struct<pos:int,quote:string,grounded:boolean>>"))).drop("quotes")
 
 
 def subfactors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,16 +50,18 @@ def subfactors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence(requirement: DataFrame) -> DataFrame:
-    """One or two quotes for each claimed match; some aren't in the resume."""
-    claimed = requirement.filter(F.col("status").isin("STRONG_MATCH", "PARTIAL_MATCH"))
-    rows = claimed.select("analysis_id", "ordinal", F.col("id").alias("requirement_id"), "relation", "primary_category", F.explode(F.sequence(F.lit(0), F.col("quotes") % 2)).alias("pos"))
-    return rows.withColumn("quote", F.concat(F.lit("quote "), F.col("ordinal"), F.lit("."), F.col("pos"))).withColumn("grounded", (F.col("analysis_id") + F.col("ordinal") + F.col("pos")) % 7 != 0)
+    """A row per quote."""
+    rows = requirement.select("analysis_id", "ordinal", F.col("id").alias("requirement_id"), "relation", "primary_category", F.explode("evidence").alias("e"))
+    return rows.select("analysis_id", "ordinal", "requirement_id", "relation", "primary_category", "e.*")
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("analysis_id"))
 
 
-def skills(requirement: DataFrame) -> DataFrame:
+def skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two skills an analysis lists; of some it shows one at work."""
-    ids = requirement.select("analysis_id").distinct()
-    rows = ids.select("analysis_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
+    rows = _orders(spark, sf_dir).select("analysis_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
     return rows.select(
         "analysis_id",
         F.concat(F.lit("Tool"), (F.col("analysis_id") + F.when(F.col("k") == 2, 0).otherwise(F.col("k"))) % 40).alias("name"),
@@ -63,7 +69,6 @@ def skills(requirement: DataFrame) -> DataFrame:
     ).filter("origin = 'SKILLS_LIST' or analysis_id % 3 = 0")
 
 
-def resumes(requirement: DataFrame) -> DataFrame:
+def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length of each resume and whether it has a HIGH warning."""
-    ids = requirement.select("analysis_id").distinct()
-    return ids.select("analysis_id", (F.col("analysis_id") * 37 % 5000).cast("int").alias("resume_chars"), (F.col("analysis_id") % 16 == 3).alias("high_warning"))
+    return _orders(spark, sf_dir).select("analysis_id", (F.col("analysis_id") * 37 % 5000).cast("int").alias("resume_chars"), (F.col("analysis_id") % 16 == 3).alias("high_warning"))

@@ -28,7 +28,7 @@ def decide(spark, rows, value):
     ids = sorted({x[0] for x in rows})
     subs = spark.createDataFrame([(i, c, s, value) for i in ids for c, s, _ in rubric.SUBFACTORS], "analysis_id long, category string, subfactor string, value int")
     facts = spark.createDataFrame([(i, 3000, False) for i in ids], "analysis_id long, resume_chars int, high_warning boolean")
-    quotes = spark.createDataFrame([], "analysis_id long, grounded boolean")
+    quotes = spark.createDataFrame([], "analysis_id long, requirement_id string, pos int, quote string, grounded boolean")
     return {x.analysis_id: x for x in scoring.decisions(r, subs, facts, quotes).collect()}, r, subs
 
 
@@ -50,7 +50,7 @@ def test_unknown_requirements_are_not_rated(spark):
     found, r, subs = decide(spark, candidate(1, "UNKNOWN", "NONE", "NONE"), 3)
     results = {x.category: x for x in scoring.category_results(r, subs).collect()}
     assert sum(not x.rated for x in results.values()) == 4 and found[1].n_unknown == 8 and not found[1].second_cap
-    assert scoring.recompute_violations(scoring.decisions(r, subs, spark.createDataFrame([(1, 1, False)], "analysis_id long, resume_chars int, high_warning boolean"), spark.createDataFrame([], "analysis_id long, grounded boolean")), scoring.category_results(r, subs)).count() == 0
+    assert scoring.recompute_violations(scoring.decisions(r, subs, spark.createDataFrame([(1, 1, False)], "analysis_id long, resume_chars int, high_warning boolean"), spark.createDataFrame([], "analysis_id long, requirement_id string, pos int, quote string, grounded boolean")), scoring.category_results(r, subs)).count() == 0
 
 
 @pytest.mark.parametrize("coverage,tenths", [(0, 0), (0.2, 10), (0.5, 25), (0.7752, 39), (0.8, 40), (0.95, 47), (1, 50), (None, 0), (2, 50)])
@@ -86,10 +86,13 @@ def test_whole_terms(spark):
 
 def test_ipv6_addresses(spark):
     rows = [("::1", "0" * 31 + "1", True), ("2001:db8::1", "20010db8" + "0" * 23 + "1", False), ("fe80::1", "fe80" + "0" * 27 + "1", True), ("::ffff:10.0.0.1", "0" * 20 + "ffff0a000001", True), ("::ffff:8.8.8.8", "0" * 20 + "ffff08080808", False), ("64:ff9b::7f00:1", "0064ff9b" + "0" * 16 + "7f000001", True), ("2002:0808:0808::", "200208080808" + "0" * 20, False), ("2002:c0a8:1::", "2002c0a80001" + "0" * 20, True)]
+    rows += [("2606:4700:4700::1111", "260647004700" + "0" * 16 + "1111", False), ("::", "0" * 32, True), ("1::2::3", None, True), ("1:2:3:4:5:6:7:8:9", None, True), ("12345::", None, True), ("::ffff:300.1.1.1", None, True)]
+    rows += [("127.0.0.1", None, True), ("100.64.1.1", None, True), ("8.8.8.8", None, False), ("172.32.0.1", None, False), ("not one", None, True)]
     df = spark.createDataFrame(rows, "ip string, hex string, want boolean")
-    assert df.filter(pages.blocked_address(F.col("ip"), F.col("hex")) != F.col("want")).count() == 0
-    v4 = spark.createDataFrame([("127.0.0.1", True), ("100.64.1.1", True), ("8.8.8.8", False), ("172.32.0.1", False), ("not one", True)], "ip string, want boolean")
-    assert v4.filter(pages.blocked_address(F.col("ip")) != F.col("want")).count() == 0
+    assert pages.with_ipv6_digits(df).filter(~F.col("hex").eqNullSafe(F.col("ip_hex"))).count() == 0
+    assert pages.with_blocked(df).filter("blocked <> want").count() == 0
+    hosts = {r.host: r.blocked for r in pages.host_verdicts(spark.createDataFrame([("a", "2606:4700:4700::1111"), ("a", "8.8.8.8"), ("b", "8.8.8.8"), ("b", "::1"), ("c", None)], "host string, ip string")).collect()}
+    assert hosts == {"a": False, "b": True, "c": True}
 
 
 def test_file_admission(spark):
