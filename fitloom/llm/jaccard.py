@@ -11,7 +11,9 @@ Sets equal to each other are one node. Distances are sizes of symmetric differen
    from the family's consensus (the shingles that most members have), so answers are derived from a very similar set's:
    - a pair without a common difference is linked only if its two differences are small enough together; then both are
      linked with the core, the member nearest to the consensus;
-   - every other link has a common difference, so only lists of differences are read, and for members that the core doesn't answer for.
+   - every other link has common differences, so only lists of differences are read, and for members that the core doesn't answer for.
+     How many must be common follows from both differences' sizes; so a member stands in the lists of its rarest ones only, and
+     what many members have in common (such as the loss of one shingle of the original) brings few of them together.
    A group of n near copies costs about the size of its differences.
 3. Lists. A list has a row per family, not per set. Rows stand in the order of size; a row reads only the range of sizes that its
    size and position allow, in blocks, and a block whose positions are all too late is skipped whole. Families with one
@@ -35,6 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,6 +57,8 @@ BLOCK, PAIRS = 64, 400_000
 #: Powers of two of buckets that count shingles: a byte for each is broadcast, 16 MB at most.
 BUCKETS = (16, 24)
 NO_ID = -(1 << 63)
+#: Common differences that a loose set shares with any partner at least.
+LOOSE = "greatest(1L, CAST(ceil((f + f0) / {}) AS long))"
 
 
 def shingle_sets(t: Texts, powers: Powers, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -280,18 +285,29 @@ class Families:
             self.members.groupBy("fam").agg(F.count("*").alias("size"), F.min("f").alias("f0"), F.min_by("node", F.struct("f", "node")).alias("core"), F.max("far").alias("most_far"), F.max("reach").alias("reach")), "families"
         )
 
+    def _ranked(self, rows: DataFrame, least: str, freq: DataFrame) -> DataFrame:
+        """fam, node, f, size and token of the differences that a set must share one of with every partner: those that come first in
+        the order of their frequency among the family's members. least: how many differences a link shares at least."""
+        rows = rows.select("fam", "node", "f", F.size("diff").alias("size"), F.expr(least).alias("least"), F.explode("diff").alias("token"))
+        rows = rows.join(freq, ["fam", "token"], "left").withColumn("k", F.row_number().over(W.partitionBy("fam", "node").orderBy(F.coalesce("freq", F.lit(0)), "token")))
+        return rows.filter("k <= size - least + 1").select("fam", "node", "f", "size", "token")
+
+    def _index(self) -> DataFrame:
+        """The lists of differences of all members, for sets that the core doesn't answer for (f + f0 > 0)."""
+        self.freq = self.scratch.keep(self.members.select("fam", F.explode("diff").alias("token")).groupBy("fam", "token").agg(F.count("*").alias("freq")).filter("freq > 1"), "frequencies")
+        rows = self.members.join(self.about.select("fam", "f0"), "fam")
+        return self.scratch.keep(self._ranked(rows, f"greatest(1L, floor((f - f0) / {2 * self.total}) + 1)", self.freq), "differences")
+
     def inside(self) -> DataFrame:
         """Links a, b within families."""
+        self.index = self._index()
         about = self.about.select("fam", "f0", "core")
         rows = self.members.join(about, "fam")
         loose = F.col("f") + F.col("f0") > 0
         star = rows.filter(~loose & (F.col("node") != F.col("core"))).select(F.col("node").alias("a"), F.col("core").alias("b"))
-        # A loose member's links, but for those with a common difference, are none.
-        some = rows.withColumn("loose", loose).groupBy("fam").agg(F.max("loose").alias("any")).filter("any").select("fam")
-        rows = rows.withColumn("loose", loose).join(some, "fam", "left_semi")
-        lists = rows.select("fam", "node", "f", "loose", F.size("diff").alias("size"), F.explode("diff").alias("token"))
-        one = lists.filter("loose").select("fam", "token", F.col("node").alias("a"), F.col("f").alias("fa"), F.col("size").alias("sa"))
-        two = lists.select("fam", "token", F.col("node").alias("b"), F.col("f").alias("fb"), F.col("size").alias("sb"), F.col("loose").alias("other"))
+        # A loose member's links, but for those with common differences, are none.
+        one = self._ranked(rows.filter(loose), LOOSE.format(2 * self.total), self.freq).select("fam", "token", F.col("node").alias("a"), F.col("f").alias("fa"), F.col("size").alias("sa"))
+        two = self.index.join(about, "fam").select("fam", "token", F.col("node").alias("b"), F.col("f").alias("fb"), F.col("size").alias("sb"), loose.alias("other"))
         met = one.join(two, ["fam", "token"]).filter(f"a <> b AND (NOT other OR a < b) AND fa + fb <= {2 * self.total} * least(sa, sb)").select("a", "b").distinct()
         return star.unionByName(self._checked(met, self.members.select("node", "diff", "f"), self.members.select("node", "diff", "f")))
 
@@ -331,8 +347,9 @@ class Families:
         guests = guests.join(self.about.select(F.col("fam").alias("big"), "f0", "core", "most_far"), "big")
         guests = self.scratch.keep(guests.filter("f <= most_far"), "guests")
         star = guests.filter("f + f0 <= 0").select(F.col("node").alias("a"), F.col("core").alias("b"))
-        one = guests.filter("f + f0 > 0").select("big", F.col("node").alias("a"), F.col("f").alias("fa"), F.size("diff").alias("sa"), F.explode("diff").alias("token"))
-        two = self.members.select(F.col("fam").alias("big"), F.col("node").alias("b"), F.col("f").alias("fb"), F.size("diff").alias("sb"), F.explode("diff").alias("token"))
+        one = self._ranked(guests.filter("f + f0 > 0").withColumnRenamed("big", "fam"), LOOSE.format(2 * total), self.freq)
+        one = one.select(F.col("fam").alias("big"), F.col("node").alias("a"), F.col("f").alias("fa"), F.col("size").alias("sa"), "token")
+        two = self.index.select(F.col("fam").alias("big"), F.col("node").alias("b"), F.col("f").alias("fb"), F.col("size").alias("sb"), "token")
         found = one.join(two, ["big", "token"]).filter(f"fa + fb <= {2 * total} * least(sa, sb)").select("big", "a", "b").distinct()
         found = found.join(guests.select("big", F.col("node").alias("a"), F.col("diff").alias("x"), F.col("f").alias("fa")), ["big", "a"])
         found = found.join(self.members.select(F.col("node").alias("b"), F.col("diff").alias("y"), F.col("f").alias("fb")), "b")
