@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,44 +92,53 @@ def _v4_blocked(number: Column) -> Column:
     return found
 
 
-def with_ipv6_digits(rows: DataFrame) -> DataFrame:
-    """``rows`` (ip) with ip_hex, the 32 hexadecimal digits of an IPv6 address, also one with :: or with an IPv4 address as its end; null for
-    anything else."""
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that stands in the plan once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def ipv6_digits(ip: Column) -> Column:
+    """The 32 hexadecimal digits of an IPv6 address, also one with :: or with an IPv4 address as its end; null for anything else."""
     groups = lambda c: F.filter(F.split(c, ":"), lambda g: g != "")
     hex4 = lambda n: F.lower(F.lpad(F.hex(n), 4, "0"))
-    tail = F.nullif(F.regexp_extract("ip", r":([0-9]+(?:\.[0-9]+){3})$", 1), F.lit(""))
-    rows = rows.withColumn("tail", F.when(F.col("ip").contains(":"), tail)).withColumn("number", ip_number(F.col("tail")))
-    text = F.concat(F.substr("ip", F.lit(1), F.length("ip") - F.length("tail")), hex4(F.shiftright("number", 16)), F.lit(":"), hex4(F.col("number").bitwiseAND(F.lit(0xFFFF))))
-    rows = rows.withColumn("full", F.lower(F.when(F.col("tail").isNull(), F.col("ip")).otherwise(text)))
-    rows = rows.withColumn("at", F.instr("full", "::"))
-    rows = rows.withColumn("head", groups(F.when(F.col("at") > 0, F.substr("full", F.lit(1), F.col("at") - 1)).otherwise(F.col("full"))))
-    rows = rows.withColumn("rest", F.when(F.col("at") > 0, groups(F.substr("full", F.col("at") + 2))).otherwise(F.array().cast("array<string>")))
-    n = F.size("head") + F.size("rest")
-    whole = F.col("full").rlike(r"^(?!.*::.*::)(?:[0-9a-f]{1,4}(?::|$)|:){1,9}$") & F.col("full").contains(":") & F.when(F.col("at") > 0, n < 8).otherwise(n == 8)
-    every = F.concat("head", F.array_repeat(F.lit("0"), F.lit(8) - n), "rest")
-    digits = F.when(whole, F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
-    return rows.withColumn("ip_hex", digits).drop("tail", "number", "full", "at", "head", "rest")
-
-
-def with_blocked(rows: DataFrame) -> DataFrame:
-    """``rows`` (ip, as text) with blocked. IPv4 addresses inside IPv6 ones are judged as such."""
-    rows = with_ipv6_digits(rows)
-    inner = F.lit(None).cast("string")
-    for prefix, rest in EMBEDDED_V4:
-        inner = F.when(F.col("ip_hex").startswith(prefix), F.regexp_extract("ip_hex", f"^{prefix}{'.*' if not rest else ''}([0-9a-f]{{8}}){rest}$", 1)).otherwise(inner)
-    rows = rows.withColumn("inner", inner)
-    rows = rows.withColumn("v4", F.when(F.col("ip_hex").isNull(), ip_number(F.col("ip"))).when(F.col("inner").isNotNull(), F.conv("inner", 16, 10).try_cast("bigint")))
-    listed = F.lit(False)
-    for prefix in BLOCKED_V6:
-        listed = listed | F.col("ip_hex").startswith(prefix)
-    blocked = F.when(F.col("ip_hex").isNotNull() & F.col("inner").isNull(), listed).otherwise(F.coalesce(_v4_blocked(F.col("v4")), F.lit(True)))
-    return rows.withColumn("blocked", blocked).drop("ip_hex", "inner", "v4")
+    none = F.array().cast("array<string>")
+
+    def digits(text: Column, head: Column, rest: Column, short: Column) -> Column:
+        n = F.size(head) + F.size(rest)
+        whole = text.rlike(r"^(?!.*::.*::)(?:[0-9a-f]{1,4}(?::|$)|:){1,9}$") & text.contains(":") & F.when(short, n < 8).otherwise(n == 8)
+        every = F.concat(head, F.array_repeat(F.lit("0"), F.lit(8) - n), rest)
+        return F.when(whole, F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
+
+    def parted(text: Column) -> Column:
+        before, behind = F.substring_index(text, "::", 1), F.substr(text, F.instr(text, "::") + 2)
+        short = text.contains("::")
+        return _let(groups(before), lambda head: _let(F.when(short, groups(behind)).otherwise(none), lambda rest: digits(text, head, rest, short)))
+
+    def spelled(tail: Column) -> Column:
+        words = _let(ip_number(tail), lambda n: F.concat(F.substr(ip, F.lit(1), F.length(ip) - F.length(tail)), hex4(F.shiftright(n, 16)), F.lit(":"), hex4(n.bitwiseAND(F.lit(0xFFFF)))))
+        return _let(F.lower(F.when(tail == "", ip).otherwise(words)), parted)
+
+    return F.when(ip.contains(":"), _let(F.regexp_extract(ip, r":([0-9]+(?:\.[0-9]+){3})$", 1), spelled))
+
+
+def blocked_address(ip: Column) -> Column:
+    """Whether an address (as text) must not be reached; an IPv4 address inside an IPv6 one is judged as such."""
+
+    def of_v6(digits: Column) -> Column:
+        listed, inner = F.lit(False), F.lit(None).cast("string")
+        for prefix in BLOCKED_V6:
+            listed = listed | digits.startswith(prefix)
+        for prefix, rest in EMBEDDED_V4:
+            inner = F.when(digits.startswith(prefix), F.regexp_extract(digits, f"^{prefix}{'.*' if not rest else ''}([0-9a-f]{{8}}){rest}$", 1)).otherwise(inner)
+        return _let(inner, lambda v4: F.when(v4.isNull(), listed).otherwise(_let(F.conv(v4, 16, 10).try_cast("bigint"), _v4_blocked)))
+
+    return F.when(ip.contains(":"), F.coalesce(_let(ipv6_digits(ip), of_v6), F.lit(True))).otherwise(F.coalesce(_let(ip_number(ip), _v4_blocked), F.lit(True)))
 
 
 def host_verdicts(host_ip: DataFrame) -> DataFrame:
     """host, blocked: any of its addresses is, or it has none. host_ip: host, ip (as text)."""
-    rows = with_blocked(host_ip.select("host", "ip"))
-    return rows.groupBy("host").agg(F.coalesce(F.bool_or(F.when(F.col("ip").isNotNull(), F.col("blocked"))), F.lit(True)).alias("blocked"))
+    ip = F.col("ip")
+    return host_ip.groupBy("host").agg(F.coalesce(F.bool_or(F.when(ip.isNotNull(), blocked_address(ip))), F.lit(True)).alias("blocked"))
 
 
 def follow_redirects(starts: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
