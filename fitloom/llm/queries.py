@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitloom.llm import chat, decontaminate, jaccard, language, mixing, quality, substrings, tokencount, urlfilter, warc
+from fitloom.llm import centroids, chat, decontaminate, infill, jaccard, language, mixing, quality, secretscan, substrings, tokencount, urlfilter, warc
 from fitloom.plans.scratch import Scratch
 
 QUERIES: dict = {}
@@ -250,3 +250,59 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 """
 )
+
+
+@_query
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random spans come from the vocabulary's token counts, so no SQL is given; tests hold the query to a plain version."""
+    import public_tokenizers
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secretscan.scan(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("secrets", lambda s: s["kind"] != "random")
+    return found.select("doc_id", *map(count, secretscan.KINDS), F.sha2(secretscan.joined(base), 256).alias("base_sha256"), secretscan.joined(F.col("secrets")).alias("spans"))
+
+
+@_query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    f = F.col("fim")
+    restored = infill.restored(f["output"], f["form"])
+    return infill.transform(docs, seed=7, percent=100, spm_percent=50).select(
+        "doc_id", *[f[n].alias(n) for n in ("n", "form", "prefix_chars", "middle_chars")], F.sha2(f["output"], 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256")
+    )
+
+
+@_query
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.clusters(_read(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, scale=256, seed=2)
+    return found.withColumn("centroid_sha256", centroids.digest(F.col("centroid"))).drop("centroid")
+
+
+ORACLES["op12_fill_in_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS x, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u FROM documents),
+h AS (SELECT *, len(u)::BIGINT AS n, ('0x' || substr(x, 1, 8))::BIGINT % (len(u) + 1) AS a, ('0x' || substr(x, 9, 8))::BIGINT % (len(u) + 1) AS b,
+  CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR ('0x' || substr(x, 17, 8))::BIGINT % 100 >= 100 THEN 'plain' WHEN ('0x' || substr(x, 25, 8))::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, array_to_string(u[1:least(a, b)], '') AS pre, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS mid, array_to_string(u[greatest(a, b) + 1:n], '') AS suf FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM p
+"""
+
+_ROUND = """
+a{r} AS MATERIALIZED (SELECT vec_id, v, min((vv - 2 * list_inner_product(v, c) + cc)::BIGINT * 64 + k) AS m FROM v, c{r} GROUP BY vec_id, v),
+s{r} AS MATERIALIZED (SELECT k, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT m % 64 AS k, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY k, i),
+c{n} AS MATERIALIZED (SELECT c.k, coalesce(u.c, c.c) AS c, list_inner_product(coalesce(u.c, c.c), coalesce(u.c, c.c)) AS cc FROM c{r} c
+  LEFT JOIN (SELECT k, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) AS c FROM s{r} GROUP BY k) u ON u.k = c.k),"""
+ORACLES["op13_centroid_clusters"] = (
+    """
+WITH v AS MATERIALIZED (SELECT vec_id, v, list_inner_product(v, v) AS vv FROM (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS k, v AS c, vv AS cc FROM v QUALIFY k < 40),"""
+    + "".join(_ROUND.format(r=r, n=r + 1) for r in range(5))
+    + """
+f AS (SELECT vec_id, (m % 64)::INTEGER AS cluster, m // 64 AS distance FROM (SELECT vec_id, min((vv - 2 * list_inner_product(v, c) + cc)::BIGINT * 64 + k) AS m FROM v, c5 GROUP BY vec_id))
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(c, lambda x: x::BIGINT::VARCHAR), ',')) AS centroid_sha256 FROM f JOIN c5 ON c5.k = f.cluster
+"""
+)
