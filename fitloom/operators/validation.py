@@ -1,6 +1,10 @@
 """Judgement drafts: strict reading of raw JSON with one reason per rejected draft, and the downgrade of gaps.
 
-Everything but the downgrade is row by row. Reasons never quote a draft.
+Everything but the downgrade is row by row. Reasons never quote a draft. A draft is parsed once, to a variant; its kinds, as Spark spells the variant's
+type, are held to a pattern made of the contract, so an unknown field, an object or list where a text belongs, or a text where an object or list
+belongs is refused at any depth, as is anything behind the draft. Scalars pass for each other where nothing is lost in meaning: a number or truth value
+counts as the text it is written as, "3" and 3.0 as a number, "true" as a truth value; a number is no name, and a repeated key is refused. A null or blank
+draft is empty; repeated rows get equal reasons; other columns are kept.
 """
 
 from __future__ import annotations
@@ -51,7 +55,6 @@ DRAFT = {
     "finalRationale": "string",
     "limitations": ["string"],
 }
-DEPTH = 3
 GAP_RATIONALE = "Reported as unknown rather than missing: the resume has not been confirmed as read correctly, so absent evidence cannot be treated as absent experience."
 GAP_LIMITATION = "The resume was not confirmed as correctly read, so nothing missing from it is reported as a gap. Confirm the extracted resume for a sharper result."
 
@@ -64,35 +67,38 @@ def _no(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def ddl(contract) -> str:
-    """The type that a contract is read as."""
+def ddl(contract, scalar: str | None = None) -> str:
+    """The type that a contract is read as; scalar: the type of all its scalars."""
     if isinstance(contract, dict):
-        return f"struct<{','.join(f'{name}:{ddl(part)}' for name, part in contract.items())}>"
-    return f"array<{ddl(contract[0])}>" if isinstance(contract, list) else contract if isinstance(contract, str) else "string"
+        return f"struct<{','.join(f'{name}:{ddl(part, scalar)}' for name, part in contract.items())}>"
+    return f"array<{ddl(contract[0], scalar)}>" if isinstance(contract, list) else scalar or (contract if isinstance(contract, str) else "string")
 
 
-def _keys_ddl(contract, depth: int) -> str | None:
-    """The type that reads the objects at a depth as maps of their fields; null where there are none."""
+#: What stands for each kind of scalar in a variant's type; VARIANT is one field with several kinds, of several elements of a list.
+SCALARS = {"string": r"STRING|BIGINT|DOUBLE|BOOLEAN|DECIMAL\(\d+,\d+\)", "int": r"BIGINT|DOUBLE|STRING|DECIMAL\(\d+,\d+\)", "boolean": "BOOLEAN|STRING"}
+
+
+def _kind(contract) -> str:
+    return SCALARS[contract if isinstance(contract, str) else "string"]
+
+
+def type_pattern(contract) -> str:
+    """A pattern that a variant's type fits if the variant has no field beyond the contract and its kinds everywhere. Null fits any kind."""
+    if isinstance(contract, dict):
+        fields = "".join(rf"(?:{name}: {type_pattern(part)}(?:, (?=[a-z])|(?=>)))?" for name, part in sorted(contract.items()))
+        return f"(?:VOID|OBJECT<{fields}>)"
     if isinstance(contract, list):
-        inner = _keys_ddl(contract[0], depth)
-        return inner and f"array<{inner}>"
-    if not isinstance(contract, dict):
-        return None
-    if depth == 0:
-        return "map<string,string>"
-    parts = {name: _keys_ddl(part, depth - 1) for name, part in contract.items()}
-    parts = [f"{name}:{kind}" for name, kind in parts.items() if kind]
-    return f"struct<{','.join(parts)}>" if parts else None
-
-
-def _misfits(found: Column, contract, depth: int) -> Column:
-    """Whether an object at a depth has a field that the contract hasn't, or a text or number where it has a list or an object."""
+        return f"(?:VOID|ARRAY<{type_pattern(contract[0])}>)"
+    return f"(?:VOID|VARIANT|{_kind(contract)})"
+
+
+def _mixed(found: Column, contract) -> Column:
+    """Whether a field holds anything but its kind of scalar; found: a draft as ``ddl`` with variants in place of scalars."""
+    if isinstance(contract, dict):
+        return reduce(or_, [_mixed(found[name], part) for name, part in contract.items()])
     if isinstance(contract, list):
-        return _no(F.exists(found, lambda x: _misfits(x, contract[0], depth)))
-    if depth > 0:
-        return reduce(or_, [_misfits(found[name], part, depth - 1) for name, part in contract.items() if _keys_ddl(part, depth - 1)])
-    odd = [_no(~found[name].startswith("[" if isinstance(part, list) else "{")) for name, part in contract.items() if isinstance(part, (list, dict))]
-    return reduce(or_, odd, _no(F.size(F.array_except(F.map_keys(found), F.array(*map(F.lit, contract)))) > 0))
+        return _no(F.exists(found, lambda x: _mixed(x, contract[0])))
+    return _no(~F.schema_of_variant(found).rlike(rf"^(?:VOID|{_kind(contract)})$"))
 
 
 def _breaks(found: Column, contract) -> Column:
@@ -107,14 +113,26 @@ def _breaks(found: Column, contract) -> Column:
     return F.lit(False)
 
 
+def _step(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with more columns, each worked out once: what is asked of them later is not pushed below a generator, where all that they are made of
+    would be repeated for each time they are named."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def validate(drafts: DataFrame) -> DataFrame:
     """``drafts`` (analysis_id, raw_json) with draft and reason; the first rule that fails gives the one reason."""
     raw = F.col("raw_json")
-    rows = drafts.withColumn("parses", F.try_parse_json(raw).isNotNull()).withColumn("draft", F.when(F.col("parses"), F.from_json(raw, ddl(DRAFT))))
+    # Behind the draft its own digest must follow, and that alone: a parser stops where its value ends, and text behind it would go unseen.
+    whole = F.try_parse_json(F.concat(F.lit("["), raw, F.lit(',"'), F.md5(raw), F.lit('"]')))
+    rows = _step(drafts, __whole=whole)
+    alone = F.try_variant_get("__whole", "$[1]", "string") == F.md5(raw)
+    rows = _step(rows, __v=F.when(alone, F.try_variant_get("__whole", "$[0]", "variant")))
+    kind = F.schema_of_variant("__v")
+    fits = kind.rlike(f"^{type_pattern(DRAFT)}$")
+    rows = _step(rows, draft=F.when(fits, F.try_variant_get("__v", "$", ddl(DRAFT))), __loose=F.when(fits & F.contains(kind, F.lit("VARIANT")), F.try_variant_get("__v", "$", ddl(DRAFT, "variant"))))
     d = F.col("draft")
     reqs = d["requirementAssessments"]
     bad_value = F.exists(d["subfactorJudgements"], lambda s: s["value"].isNull() | ~s["value"].between(0, 4))
-    misfits = reduce(or_, [_misfits(F.from_json(raw, _keys_ddl(DRAFT, depth)), DRAFT, depth) for depth in range(DEPTH)])
     ids = F.transform(reqs, lambda r: r["id"])
 
     def row_reason(r: Column, i: Column) -> Column:
@@ -127,7 +145,7 @@ def validate(drafts: DataFrame) -> DataFrame:
     outlook = d["opportunityValue"]["companyOutlook"]
     reason = (
         F.when(_blank(raw), "empty-response")
-        .when(~F.col("parses") | d.isNull() | misfits | _breaks(d, DRAFT) | _no(bad_value), "unreadable")
+        .when(d.isNull() | (F.col("__loose").isNotNull() & _mixed(F.col("__loose"), DRAFT)) | _breaks(d, DRAFT) | _no(bad_value), "unreadable")
         .when(~d["schemaVersion"].eqNullSafe(F.lit(VERSION)), "schema-version")
         .when(~F.size(reqs).between(1, MAX_REQUIREMENTS), "requirement-count")
         .when(first.isNotNull(), first)
@@ -135,7 +153,9 @@ def validate(drafts: DataFrame) -> DataFrame:
         .when(outlook.isNull(), "opportunity-value")
         .when(~(outlook["rating"].eqNullSafe(F.lit("UNKNOWN")) & outlook["basis"].eqNullSafe(F.lit("NOT_AVAILABLE"))), "company-outlook-invented")
     )
-    return rows.withColumn("reason", reason).drop("parses")
+    refused = F.col("reason").isNotNull()
+    rows = _step(rows, reason=reason)
+    return rows.select(*drafts.columns, F.when(~refused | (F.col("reason") != "unreadable"), F.col("draft")).alias("draft"), "reason")
 
 
 def requirements_of(valid: DataFrame) -> DataFrame:

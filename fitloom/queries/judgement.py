@@ -23,18 +23,23 @@ def _query(sql: str):
     return add
 
 
-QUOTE_LIST = "array<struct<requirementId:string,importance:string,status:string,relation:string,strength:string,resumeQuote:string,score:int>>"
+QUOTE_LIST = "array<struct<requirementId:string,importance:string,status:string,relation:string,strength:string,resumeQuote:string,rationale:string,score:int>>"
+
+
+FAULTS = 56
+#: Texts that drafts are built with, and the JSON that takes their place: kinds that no text field of the contract has, and one that any has.
+PLANTED = {"@object": '{"score":5}', "@list": "[1]", "@number": "4.4"}
 
 
 def drafts(requirement: DataFrame) -> DataFrame:
-    """analysis_id, raw_json: the requirements as drafts, with a fault by analysis_id % 40."""
-    k = F.col("analysis_id") % 40
+    """analysis_id, raw_json: the requirements as drafts, with a fault by analysis_id % FAULTS. A text of PLANTED is put in as what it stands for."""
+    k = F.col("analysis_id") % FAULTS
     first = F.col("ordinal") == 1
     claimed = F.col("status").isin("STRONG_MATCH", "PARTIAL_MATCH")
     only = lambda n, wrong, right: F.when((k == n) & first, wrong).otherwise(right)
     quote = F.struct(
         only(9, "other", F.col("id")).alias("requirementId"), only(20, "MAGIC", F.col("importance")).alias("importance"), only(21, "MAGIC", F.col("status")).alias("status"), only(22, "MAGIC", F.col("relation")).alias("relation"),
-        only(23, "MAGIC", F.col("strength")).alias("strength"), F.lit("a quote of the resume").alias("resumeQuote"), F.when((k == 24) & first, 1).alias("score"),
+        only(23, "MAGIC", F.col("strength")).alias("strength"), F.lit("a quote of the resume").alias("resumeQuote"), only(42, "@object", None).alias("rationale"), F.when((k == 24) & first, 1).alias("score"),
     )
     row = F.struct(
         F.when((k == 6) & (F.col("ordinal") == 2), "req-1").otherwise(F.col("id")).alias("id"),
@@ -44,17 +49,17 @@ def drafts(requirement: DataFrame) -> DataFrame:
         only(8, None, F.col("status")).alias("status"),
         only(28, "MAGIC", F.col("relation")).alias("relation"), only(29, "MAGIC", F.col("strength")).alias("evidenceStrength"),
         F.when(claimed, F.array(quote)).otherwise(F.array().cast(QUOTE_LIST)).alias("evidence"),
-        F.when((k == 13) & first, 4.5).alias("matchPercentage"),
+        F.when((k == 41) & first, "@list").alias("rationale"), F.when((k == 13) & first, 4.5).alias("matchPercentage"),
     )
     rows = requirement.withColumn("row", row).groupBy("analysis_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "row")))["row"].alias("rows"))
     none = F.array().cast("array<string>")
-    said = lambda n: F.struct(F.lit("a headline").alias("headline"), none.alias("supportingEvidenceIds"), F.when(k != n + 1, none).alias("concerns"), F.when(k == n, 5).alias("score"))
-    rated = lambda n: F.struct(F.when(k == n, "MAGIC").otherwise("MODERATE").alias("rating"), F.when(k == n + 1, "MAGIC").otherwise("STATED_IN_POSTING").alias("basis"))
+    said = lambda n: F.struct(F.when(k == n + 34, "@object").otherwise("a headline").alias("headline"), F.when(k == n + 28, F.array(F.lit("@object"))).otherwise(none).alias("supportingEvidenceIds"), F.when(k != n + 1, none).alias("concerns"), F.when(k == n, 5).alias("score"))
+    rated = lambda n: F.struct(F.when(k == n, "MAGIC").otherwise("MODERATE").alias("rating"), F.when(k == n + 1, "MAGIC").otherwise("STATED_IN_POSTING").alias("basis"), F.when(k == n + 23, "@list").alias("explanation"))
     outlook = F.struct(F.when(k == 10, "STRONG").otherwise("UNKNOWN").alias("rating"), F.lit("NOT_AVAILABLE").alias("basis"), F.when(k == 17, 5).alias("score"))
-    rewrites, terms = F.array(F.struct(F.lit("a").alias("before"), F.when(k == 36, 1).alias("score"))), F.array(F.struct(F.lit("a").alias("resumeTerm"), F.when(k == 37, 1).alias("score")))
+    rewrites, terms = F.array(F.struct(F.when(k == 50, "@list").otherwise("a").alias("before"), F.when(k == 36, 1).alias("score"))), F.array(F.struct(F.when(k == 49, "@object").otherwise("a").alias("resumeTerm"), F.when(k == 37, 1).alias("score")))
     advice = F.struct(none.alias("reorderSuggestions"), none.alias("emphasisSuggestions"), terms.alias("terminologyAlignment"), none.alias("deemphasizeSuggestions"), rewrites.alias("faithfulRewrites"), F.when(k == 35, 1).alias("score"))
-    questions = F.array(F.struct(F.lit("why").alias("question"), none.alias("evidenceToUse"), F.when(k == 38, 1).alias("score")))
-    explained = F.array(F.struct(F.lit("a gap").alias("gap"), F.when(k == 39, 1).alias("score")))
+    questions = F.array(F.struct(F.when(k == 48, "@list").otherwise("why").alias("question"), none.alias("evidenceToUse"), F.when(k == 38, 1).alias("score")))
+    explained = F.array(F.struct(F.when(k == 51, "@object").otherwise("a gap").alias("gap"), F.when(k == 39, 1).alias("score")))
     interview = F.struct(questions.alias("likelyQuestions"), none.alias("talkingPoints"), explained.alias("gapsToExplain"), none.alias("questionsToAsk"), F.when(k == 16, 1).alias("score"))
     judged = F.struct(F.when(k == 34, "MAGIC").otherwise("EXPERIENCE_EVIDENCE").alias("category"), F.lit("depth").alias("subfactor"), F.when(k == 12, 9).otherwise((F.col("analysis_id") % 5).cast("int")).alias("value"))
     draft = F.struct(
@@ -64,17 +69,22 @@ def drafts(requirement: DataFrame) -> DataFrame:
         said(18).alias("roleAlignment"), said(-9).alias("seniorityAlignment"),
         F.when(k != 15, F.struct(rated(30).alias("careerGrowth"), rated(32).alias("compensation"), outlook.alias("companyOutlook"))).alias("opportunityValue"),
         advice.alias("resumePositioning"), interview.alias("interviewPreparation"),
-        F.when(k != 11, F.array(F.lit("none"))).alias("limitations"),
+        F.when(k == 40, "@object").when(k == 47, "@number").otherwise("the rationale").alias("finalRationale"),
+        F.when(k != 11, F.array(F.when(k == 54, "@list").otherwise("none"))).alias("limitations"),
         F.when(k == 3, 4.2).alias("totalMatchScore"),
     )
     text = F.to_json(draft)
-    return rows.select("analysis_id", F.when(k == 1, " ").when(k == 2, F.substring(text, 1, 40)).otherwise(text).alias("raw_json"))
+    for name, planted in PLANTED.items():
+        text = F.replace(text, F.lit(f'"{name}"'), F.lit(planted))
+    text = F.when(k == 47, F.regexp_replace(text, '"value":([0-9])', ' "value" : "$1"')).otherwise(text)
+    spoilt = F.when(k == 1, " ").when(k == 2, F.substring(text, 1, 40)).when(k == 43, F.concat(text, F.lit(" and more"))).when(k == 44, F.concat(text, F.lit("\n"), text)).when(k == 45, F.concat(text, F.lit("] x")))
+    return rows.select("analysis_id", F.coalesce(spoilt, text).alias("raw_json"))
 
 
 #: Faults that are only there if the first requirement has evidence.
-_QUOTED_FAULTS = "9, 20, 21, 22, 23, 24"
-_REASON = f"""CASE WHEN r.analysis_id % 40 IN ({_QUOTED_FAULTS}) AND NOT bool_or(ordinal = 1 AND status IN ('STRONG_MATCH', 'PARTIAL_MATCH')) THEN NULL ELSE CASE r.analysis_id % 40
-  WHEN 0 THEN NULL WHEN 1 THEN 'empty-response' WHEN 4 THEN 'schema-version' WHEN 5 THEN 'requirement-count' WHEN 6 THEN CASE WHEN count(*) >= 2 THEN 'requirement-id' END WHEN 7 THEN 'requirement-text'
+_QUOTED_FAULTS = "9, 20, 21, 22, 23, 24, 42"
+_REASON = f"""CASE WHEN r.analysis_id % {FAULTS} IN ({_QUOTED_FAULTS}) AND NOT bool_or(ordinal = 1 AND status IN ('STRONG_MATCH', 'PARTIAL_MATCH')) THEN NULL ELSE CASE r.analysis_id % {FAULTS}
+  WHEN 0 THEN NULL WHEN 47 THEN NULL WHEN 1 THEN 'empty-response' WHEN 4 THEN 'schema-version' WHEN 5 THEN 'requirement-count' WHEN 6 THEN CASE WHEN count(*) >= 2 THEN 'requirement-id' END WHEN 7 THEN 'requirement-text'
   WHEN 8 THEN 'requirement-fields' WHEN 9 THEN 'evidence-requirement-mismatch' WHEN 10 THEN 'company-outlook-invented' WHEN 15 THEN 'opportunity-value' ELSE 'unreadable' END END"""
 
 
