@@ -27,24 +27,27 @@ def merge_fragments(parts: DataFrame) -> DataFrame:
 
 
 def break_before_labels(c: Column) -> Column:
-    for label in FIELD_LABELS:
-        c = F.regexp_replace(c, rf"(?i)(?<=[a-zA-Z0-9.,;:)\]] )({label}\s*:)", "\n$1")
-    return c
+    """A line for each label: marked where it starts, so one label within another ("job title:") breaks there too."""
+    labels = "|".join(FIELD_LABELS)
+    return F.regexp_replace(c, rf"(?i)(?<=[a-zA-Z0-9.,;:)\]] )(?=(?:{labels})\s*:)", "\n")
 
 
 # Words on their own that are only ever a heading, and phrases that are prose within a line.
 SAFE_WORDS = ["responsibilities", "requirements", "qualifications", "benefits", "perks"]
 PROSE = ["the role", "in this role", "day to day", "must have", "you have", "about you"]
-# How items begin, and words after which a capital goes on with the same thought.
-OPENERS = (
-    "strong solid excellent experience experienced familiarity familiar proficiency proficient knowledge understanding exposure ability comfortable demonstrated proven hands-on bachelor "
-    "bachelor's master's degree diploma fluency passion willingness must should you design develop build create implement integrate maintain own lead manage deliver deploy monitor document "
-    "mentor ensure participate collaborate partner contribute support improve optimise optimize troubleshoot debug review test write work drive analyse analyze translate help continuously "
-    "regularly actively proactively"
-).split()
-CONTINUES = (
-    "with of in on at to for and or the a an as by from using such including like into across via per about our your their its this that these those is are be been being we you they"
-).split()
+# How items begin, in the order in which they are tried.
+OPENERS = [
+    "strong", "solid", "excellent", "experience", "experienced", "familiarity", "familiar", "proficiency", "proficient", "knowledge", "understanding", "exposure", "ability", "comfortable",
+    "demonstrated", "proven", "hands-on", "bachelor", "bachelor's", "master's", "degree", "diploma", "fluency", "passion", "willingness", "must", "should", "you", "design", "develop",
+    "build", "create", "implement", "integrate", "maintain", "own", "lead", "manage", "deliver", "deploy", "monitor", "document", "mentor", "ensure", "participate", "collaborate",
+    "partner", "contribute", "support", "improve", "optimise", "optimize", "troubleshoot", "debug", "review", "test", "write", "work", "drive", "analyse", "analyze", "translate", "help",
+    "continuously", "regularly", "actively", "proactively",
+]
+# Words after which a capital goes on with the same thought.
+CONTINUES = [
+    "with", "of", "in", "on", "at", "to", "for", "and", "or", "the", "a", "an", "as", "by", "from", "using", "such", "including", "like", "into", "across", "via", "per", "about",
+    "our", "your", "their", "its", "this", "that", "these", "those", "is", "are", "be", "been", "being", "we", "you", "they",
+]
 
 
 def inline_phrases() -> list[str]:
@@ -61,35 +64,62 @@ def break_before_headings(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?i)(?!\G)(?<=(?-i:[a-z.,;:)\]]) )({about}|(?:{phrases})(?=[ :]))[ :]+", "\n$1\n")
 
 
-def _break_before(c: Column, opener: str) -> Column:
-    form = opener[0].upper() + opener[1:]
-    parts = F.split(c, rf"(?<=[a-z0-9)\]] )(?={form}\b\s)")
+def break_before_openers(c: Column) -> Column:
+    """A line for each item opener that isn't behind a word that goes on, if 15 characters lie between it and the break that its own opener made last.
 
-    def add(done: Column, part: Column) -> Column:
-        word = F.lower(F.regexp_replace(F.regexp_extract(done["text"], "([^ ]*) $", 1), "[^A-Za-z']", ""))
-        apart = (done["text"] != "") & ~word.isin(CONTINUES) & (done["since"] >= FRAGMENT)
-        return F.struct(F.concat(done["text"], F.when(apart, "\n").otherwise(""), part).alias("text"), (F.when(apart, 0).otherwise(done["since"]) + F.length(part)).alias("since"))
+    Openers count one after the other, and those before have put their breaks, a character each, into what is measured. Yet a decision only
+    depends on breaks to its left, so one alternation marks all candidates and one fold goes over them from left to right. Of earlier breaks it holds
+    those that can still matter: the ones within 15 characters."""
+    forms = "|".join(o[0].upper() + o[1:] for o in sorted(OPENERS, key=len, reverse=True))
+    parts = F.split(c, rf"(?<=[a-z0-9)\]] )(?=(?:{forms})\s)")
 
-    return F.aggregate(parts, F.struct(F.lit("").alias("text"), F.lit(0).alias("since")), add, lambda done: done["text"])
+    def add(done: Column, part: Column) -> Column:
+        at = done["at"]
+        rank = F.array_position(F.array(*map(F.lit, OPENERS)), F.lower(F.regexp_extract(part, r"^(\S+)", 1)))
+        word = F.lower(F.regexp_replace(F.regexp_extract(done["part"], "([^ ]*) $", 1), "[^A-Za-z']", ""))
+        near = F.filter(done["near"], lambda b: at - b["at"] < FRAGMENT)
+        # The last break of this opener; none: the start of the text.
+        last = F.array_max(F.transform(F.filter(near, lambda b: b["rank"] == rank), lambda b: b["at"]))
+        since = F.coalesce(last, F.lit(0))
+        put_in = F.size(F.filter(near, lambda b: (b["rank"] < rank) & (b["at"] > since)))
+        apart = F.when(last.isNull() & (at >= FRAGMENT), True).otherwise(at - since + put_in >= FRAGMENT)
+        breaks = (at > 0) & ~word.isin(CONTINUES) & apart
+        return F.struct(
+            (at + F.length(part)).alias("at"), part.alias("part"), F.when(breaks, F.array_append(near, F.struct(at.alias("at"), rank.alias("rank")))).otherwise(near).alias("near"),
+            F.array_append(done["breaks"], breaks).alias("breaks"),
+        )
+
+    none = F.struct(F.lit(0).alias("at"), F.lit("").alias("part"), F.array().cast("array<struct<at:int,rank:bigint>>").alias("near"), F.array().cast("array<boolean>").alias("breaks"))
+    return F.aggregate(parts, none, add, lambda done: F.array_join(F.zip_with(parts, done["breaks"], lambda part, b: F.when(b, F.concat(F.lit("\n"), part)).otherwise(part)), ""))
 
 
 def break_between_items(c: Column) -> Column:
     """A line for each item: at bullets that are left, finished sentences, years of experience and item openers."""
     c = F.regexp_replace(c, r"\s*[•·●▪‣⁃]\s*", "\n")
     c = F.regexp_replace(c, r"(?<=[a-z0-9)\]])\.\s+(?=[A-Z])", ".\n")
-    c = F.regexp_replace(c, r"(?<=[a-z),.] )(?=\d+\+?\s*(?:-\s*\d+\s*)?years?\b)", "\n")
-    for opener in OPENERS:
-        c = _break_before(c, opener)
-    return c
+    return break_before_openers(F.regexp_replace(c, r"(?<=[a-z),.] )(?=\d+\+?\s*(?:-\s*\d+\s*)?years?\b)", "\n"))
+
+
+def merged(parts: Column) -> Column:
+    """An array of parts in which those under 15 characters join the part before them."""
+
+    def add(done: Column, part: Column) -> Column:
+        short = F.length(T.strip(part)) < FRAGMENT
+        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(F.element_at(done, -1), F.lit(" "), T.strip(part))))
+        return F.when(short, joined).otherwise(F.array_append(done, part))
+
+    return F.aggregate(F.slice(parts, 2, F.size(parts)), F.slice(parts, 1, 1), add)
+
+
+def recovered(run: Column) -> Column:
+    """The parts of one run of text, in order."""
+    pieces = F.split(break_before_labels(break_before_headings(T.strip(run))), "\n")
+    parts = F.transform(pieces, lambda p: F.when(F.length(p) > 4 * FRAGMENT, merged(F.split(break_between_items(p), "\n"))).otherwise(F.array(p)))
+    return F.filter(F.transform(F.flatten(parts), T.strip), lambda p: p != "")
 
 
 def recover(docs: DataFrame) -> DataFrame:
-    """doc_id, part_no, part of every line over 300 characters, taken apart in explicit steps so that rows stay small; docs:
-    doc_id, line_no, text."""
-    runs = docs.filter(F.length(T.strip(F.col("text"))) > CONTINUOUS).select("doc_id", "line_no", T.strip(F.col("text")).alias("run"))
-    parts = runs.select("doc_id", "line_no", F.posexplode(F.split(break_before_labels(break_before_headings(F.col("run"))), "\n")).alias("p", "piece"))
-    items = F.when(F.length("piece") > 4 * FRAGMENT, break_between_items(F.col("piece"))).otherwise(F.col("piece"))
-    items = parts.select("doc_id", "line_no", "p", F.posexplode(F.split(items, "\n")).alias("i", "part"))
-    key = F.struct("doc_id", "line_no", "p").alias("doc_id")
-    merged = merge_fragments(items.select(key, "i", "part"))
-    return merged.select("doc_id.doc_id", "doc_id.line_no", "doc_id.p", "part_no", T.strip(F.col("part")).alias("part")).filter("part <> ''")
+    """doc_id, line_no, part_no, part of every line over 300 characters; docs: doc_id, line_no, text. A line is taken apart in its own row: nothing
+    is shuffled. Null, empty and short lines give no rows; repeated rows give equal parts."""
+    runs = docs.filter(F.length(T.strip(F.col("text"))) > CONTINUOUS)
+    return runs.select("doc_id", "line_no", F.posexplode(recovered(F.col("text"))).alias("part_no", "part"))

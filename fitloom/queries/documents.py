@@ -296,12 +296,120 @@ def qt13_refreshed_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.refresh_warnings(_warnings(spark, sf_dir), anew)
 
 
+#: Runs of text and the lines that they are taken apart into, by hand; @ stands for a word of five letters.
+RUNS = [
+    (
+        "Acme builds @ engines for farms in the north. What you'll do Design @ services with care and love Build pipelines that never stop running Own the @ platform from end to end Requirements: Strong SQL in large teams 5+ years of @ work Experience with Design Systems and more Knowledge of distributed @ stores and of their failure modes in production",
+        [
+            'Acme builds @ engines for farms in the north.',
+            "What you'll do",
+            'Design @ services with care and love',
+            'Build pipelines that never stop running',
+            'Own the @ platform from end to end',
+            'Requirements',
+            'Strong SQL in large teams',
+            '5+ years of @ work',
+            'Experience with Design Systems and more',
+            'Knowledge of distributed @ stores and of their failure modes in production',
+        ],
+    ),
+    (
+        'We keep @ markets honest and fast. Required Qualifications Proven record with @ tools; 3 - 5 years in banking or trading • Comfortable with on-call weeks • Degree in a numerate subject · Fluency in English Perks free lunch and a @ garden for all who like to grow things. Company: Northwind Location : Toronto Salary: 90,000 to 120,000 a year for the @ position',
+        [
+            'We keep @ markets honest and fast.',
+            'Required Qualifications',
+            'Proven record with @ tools; 3 - 5 years in banking or trading',
+            'Comfortable with on-call weeks',
+            'Degree in a numerate subject',
+            'Fluency in English',
+            'Perks',
+            'free lunch and a @ garden for all who like to grow things.',
+            'Company: Northwind',
+            'Location : Toronto',
+            'Salary: 90,000 to 120,000 a year for the @ position',
+        ],
+    ),
+    (
+        'Job title: Platform Engineer Team: @ Cloud Company: Initech Employment type: Permanent About Initech we are a small firm that ships @ modules every week of the year. About the Team five people who share one pager and one @ board. Qualifications: Familiar with Linux Hands-on with @ networks Mentor others and Lead by example Write short design notes that everyone reads',
+        [
+            'Job',
+            'title: Platform Engineer',
+            'Team: @ Cloud',
+            'Company: Initech',
+            'Employment type: Permanent',
+            'About Initech',
+            'we are a small firm that ships @ modules every week of the year.',
+            'About the Team',
+            'five people who share one pager and one @ board.',
+            'Qualifications',
+            'Familiar with Linux',
+            'Hands-on with @ networks',
+            'Mentor others and Lead by example',
+            'Write short design notes that everyone reads',
+        ],
+    ),
+    (
+        'This line is a plain run of @ prose with no heading. It goes on for a while. Nothing in it opens an item, and it speaks of @ only. It. Then more follows here with a few further words about nothing. And so forth until it is long enough for the rule of three hundred characters, which this @ sentence makes sure of by going on and on.',
+        [
+            'This line is a plain run of @ prose with no heading.',
+            'It goes on for a while.',
+            'Nothing in it opens an item, and it speaks of @ only. It.',
+            'Then more follows here with a few further words about nothing.',
+            'And so forth until it is long enough for the rule of three hundred characters, which this @ sentence makes sure of by going on and on.',
+        ],
+    ),
+    (
+        'abcdefghijkl it Lead a Own it Lead the @ crew through the night and the day. Test every @ path before the release Review code with care Debug the @ engine when it stops Help the new people to settle in You write well You listen You ask why before how Must hold a licence to drive the @ van in two provinces and have a clean record for three years',
+        [
+            'abcdefghijkl it',
+            'Lead a Own it Lead the @ crew through the night and the day.',
+            'Test every @ path before the release',
+            'Review code with care',
+            'Debug the @ engine when it stops',
+            'Help the new people to settle in You write well',
+            'You listen You ask why before how',
+            'Must hold a licence to drive the @ van in two provinces and have a clean record for three years',
+        ],
+    ),
+    (
+        '@ systems for hospitals: day to day the role means calm work. Responsibilities Monitor @ wards and their sensors Ensure alarms reach the right nurse within seconds Document each change Participate in drills (twice a year) Support clinics at night Benefits: dental and eye care, a pension and @ leave Translate notes from French Analyse trends and Improve the @ model',
+        [
+            '@ systems for hospitals: day to day the role means calm work.',
+            'Responsibilities',
+            'Monitor @ wards and their sensors',
+            'Ensure alarms reach the right nurse within seconds',
+            'Document each change',
+            'Participate in drills (twice a year)',
+            'Support clinics at night',
+            'Benefits',
+            'dental and eye care, a pension and @ leave',
+            'Translate notes from French',
+            'Analyse trends and Improve the @ model',
+        ],
+    ),
+]
+_WORD = "coalesce(nullif(regexp_extract(text, '[a-z]{5}'), ''), 'xxxxx')"
+
+
+@_query(
+    f"""WITH gold(k, part_no, part) AS (VALUES {", ".join("({}, {}, '{}')".format(k, i, part.replace("'", "''")) for k, (_, parts) in enumerate(RUNS) for i, part in enumerate(parts))})
+SELECT doc_id, part_no::INTEGER AS part_no, replace(part, '@', {_WORD}) AS part FROM documents JOIN gold ON gold.k = doc_id % {len(RUNS)}"""
+)
 def tx10_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TX10-TX12: long lines taken apart; how many parts each gives and what they hold together."""
+    """TX10-TX12: a run for every document, with a word of its text in it, and the lines that it is taken apart into."""
+    from fitloom.operators.recovery import recover
+
+    word = F.coalesce(F.nullif(F.regexp_extract("text", "[a-z]{5}", 0), F.lit("")), F.lit("xxxxx"))
+    run = F.get(F.array(*[F.lit(run) for run, _ in RUNS]), (F.col("doc_id") % len(RUNS)).cast("int"))
+    rows = _docs(spark, sf_dir).select("doc_id", F.lit(0).alias("line_no"), F.replace(run, F.lit("@"), word).alias("text"))
+    return recover(rows).select("doc_id", "part_no", "part")
+
+
+def tx11_recovery_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TX10-TX12 over the long lines of every text. A plain version stands for SQL, in the tests."""
     from fitloom.operators.recovery import recover
 
-    rows = recover(D.explode_lines(_docs(spark, sf_dir)))
-    return rows.groupBy("doc_id", "line_no").agg(F.count("*").alias("parts"), F.sum(F.length("part")).alias("chars"))
+    return recover(D.explode_lines(_docs(spark, sf_dir)))
 
 
-QUERIES["tx10_recovery"] = tx10_recovery
+QUERIES["tx11_recovery_whole"] = tx11_recovery_whole
