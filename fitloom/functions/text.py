@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +39,11 @@ REDACTIONS = [
 ]
 
 
+def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c), with ``c`` worked out once however often it is used."""
+    return F.get(F.transform(F.array(c), use), 0)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
 

@@ -71,7 +71,11 @@ def break_before_openers(c: Column) -> Column:
     depends on breaks to its left, so one alternation marks all candidates and one fold goes over them from left to right. Of earlier breaks it holds
     those that can still matter: the ones within 15 characters."""
     forms = "|".join(o[0].upper() + o[1:] for o in sorted(OPENERS, key=len, reverse=True))
-    parts = F.split(c, rf"(?<=[a-z0-9)\]] )(?=(?:{forms})\s)")
+    return T.bound(F.split(c, rf"(?<=[a-z0-9)\]] )(?=(?:{forms})\s)"), _broken)
+
+
+def _broken(parts: Column) -> Column:
+    """The text of parts, with a line for each that is broken off."""
 
     def add(done: Column, part: Column) -> Column:
         at = done["at"]
@@ -90,7 +94,8 @@ def break_before_openers(c: Column) -> Column:
         )
 
     none = F.struct(F.lit(0).alias("at"), F.lit("").alias("part"), F.array().cast("array<struct<at:int,rank:bigint>>").alias("near"), F.array().cast("array<boolean>").alias("breaks"))
-    return F.aggregate(parts, none, add, lambda done: F.array_join(F.zip_with(parts, done["breaks"], lambda part, b: F.when(b, F.concat(F.lit("\n"), part)).otherwise(part)), ""))
+    joined = lambda done: F.array_join(F.zip_with(parts, done["breaks"], lambda part, b: F.when(b, F.concat(F.lit("\n"), part)).otherwise(part)), "")
+    return F.when(F.size(parts) == 1, parts[0]).otherwise(F.aggregate(parts, none, add, joined))
 
 
 def break_between_items(c: Column) -> Column:
@@ -114,8 +119,8 @@ def merged(parts: Column) -> Column:
 def recovered(run: Column) -> Column:
     """The parts of one run of text, in order."""
     pieces = F.split(break_before_labels(break_before_headings(T.strip(run))), "\n")
-    parts = F.transform(pieces, lambda p: F.when(F.length(p) > 4 * FRAGMENT, merged(F.split(break_between_items(p), "\n"))).otherwise(F.array(p)))
-    return F.filter(F.transform(F.flatten(parts), T.strip), lambda p: p != "")
+    parts = F.transform(pieces, lambda p: F.when(F.length(p) > 4 * FRAGMENT, T.bound(F.split(break_between_items(p), "\n"), merged)).otherwise(F.array(p)))
+    return T.bound(F.transform(F.flatten(parts), T.strip), lambda found: F.filter(found, lambda p: p != ""))
 
 
 def recover(docs: DataFrame) -> DataFrame:

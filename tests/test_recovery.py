@@ -89,7 +89,7 @@ def test_documents_equal_the_plain_version(spark, sf, duck):
     assert sum(map(bool, got)) > 20 and all(found == (plain(t) if len(t.strip(SPACE)) > R.CONTINUOUS else []) for t, found in zip(lines, got))
 
 
-@pytest.mark.parametrize("text,breaks", [("ab Own cdefghijk Own x", 1), ("ab Own cdefg Own x", 0), ("abcdefghijkl it Own cdefghijk Own x", 1), ("abcdefghijkl it Own cdefghijkl m Own x", 2), ("abcdefghijkl with Own x", 0), ("abcdefghijkl it Lead a Own it Lead x", 3), ("abcdefghijkl it Lead abc it Lead x", 1)])
+@pytest.mark.parametrize("text,breaks", [("ab Own cdefghijk Own x", 1), ("ab Own cdefg Own x", 0), ("abcdefghijkl it Own cdefghijk Own x", 1), ("abcdefghijkl it Own cdefghijkl m Own x", 2), ("abcdefghijkl with Own x", 0), ("abcdefghijkl it Lead b Own it Lead x", 3), ("abcdefghijkl it Lead abc it Lead x", 1)])
 def test_breaks_by_hand(spark, text, breaks):
     from pyspark.sql import functions as F
 
