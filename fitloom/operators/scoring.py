@@ -7,10 +7,10 @@ come from that row.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fitloom.functions import rubric
+from fitloom.plans.steps import worked_out
 
 # What readers of a result see.
 CAP_NOTE = " Evidence strength was reduced because this technology appears only in the skills list, not inside a role or project."
@@ -26,8 +26,6 @@ SUGGESTION = ('If you have done this, say so explicitly: "', '". Describe it ins
 CELL = ["items", "unknown", "coverage"]
 SUBFACTOR_CATEGORIES = ["EXPERIENCE_EVIDENCE", "SENIORITY_AND_OWNERSHIP"]
 REQUIREMENT_CATEGORIES = [*rubric.COVERAGE_CATEGORIES, rubric.REQUIRED]
-#: Stands for all categories: a requirement's row that no alternative takes away.
-ALL = "*"
 QUOTES = "array<struct<pos:int,quote:string,grounded:boolean>>"
 
 
@@ -46,35 +44,65 @@ def with_credit(requirement: DataFrame) -> DataFrame:
     return requirement.withColumn("weight4", rubric.weight(F.col("importance"), F.col("criticality"))).withColumn("credit4", rubric.credit(F.col("status"), F.col("relation"), F.col("strength")))
 
 
-def scoped(requirement: DataFrame, every: str | None = None) -> DataFrame:
-    """A row for each category that a requirement counts in: its own, and the required ones if it is required; and one of ``every``."""
-    own = F.when(F.col("primary_category").isin(rubric.COVERAGE_CATEGORIES), F.col("primary_category"))
-    required = F.when(F.col("importance") == "REQUIRED", F.lit(rubric.REQUIRED))
-    return requirement.withColumn("category", F.explode(F.array_distinct(F.array_compact(F.array(own, required, F.lit(every))))))
+def gathered(requirement: DataFrame, lists: bool = False) -> DataFrame:
+    """One row per analysis: analysis_id and rows, its requirements in order, each with what is counted of it; texts only of gaps in the core. With
+    ``lists``, requirements too: all of them in order, with their texts and evidence. A requirement travels once, as one row."""
+    if "evidence" not in requirement.columns:
+        requirement = requirement.withColumn("evidence", F.lit(None).cast(QUOTES))
+    quotes = F.coalesce(F.col("evidence"), F.array().cast(QUOTES))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    required, gap = F.col("importance") == "REQUIRED", F.col("status") == "GAP"
+    core = yes(required & gap & (F.col("criticality") == "CORE"))
+    counted = F.struct(
+        "ordinal", F.col("primary_category").alias("own"), yes(required).alias("required"), F.when(F.trim("alternative_group_id") != "", F.col("alternative_group_id")).alias("group"),
+        "credit4", "weight4", core.alias("core"), F.when(core, F.col("id")).alias("id"), F.when(core, F.col("text")).alias("text"),
+        yes(required & gap & (F.col("kind") == "LEGAL_ELIGIBILITY")).alias("barred"), yes(F.col("status") == "UNKNOWN").alias("unknown"), yes(F.lower("text").rlike(LEADERSHIP)).alias("leads"),
+        F.size(quotes).alias("quotes"), F.size(F.filter(quotes, lambda e: ~e["grounded"])).alias("dropped"),
+    )
+    shown = [F.struct("ordinal", "id", "text", "importance", "criticality", "primary_category", "status", "relation", quotes.alias("evidence")).alias("shown")] if lists else []
+    rows = with_credit(requirement).groupBy("analysis_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", counted.alias("counted"), *shown))).alias("rows"))
+    return rows.select("analysis_id", F.col("rows.counted").alias("rows"), *([F.col("rows.shown").alias("requirements")] if lists else []))
+
+
+def best_of(rows: Column, category: Column) -> Column:
+    """Those of an analysis's gathered rows that count in a category: its own, or the required ones; of each alternative group there the one of most
+    credit, the first of equals."""
+    inside = lambda r: r["own"].eqNullSafe(category) & r["own"].isin(rubric.COVERAGE_CATEGORIES) | (category == rubric.REQUIRED) & r["required"]
+    worth = lambda r: F.coalesce(r["credit4"], F.lit(-1))
+    beats = lambda q, r: q["group"].eqNullSafe(r["group"]) & F.coalesce(inside(q), F.lit(False)) & ((worth(q) > worth(r)) | ((worth(q) == worth(r)) & (q["ordinal"] < r["ordinal"])))
+    return F.filter(rows, lambda r: F.coalesce(inside(r), F.lit(False)) & (r["group"].isNull() | ~F.exists(rows, lambda q: beats(q, r))))
+
+
+def best_alternatives(requirement: DataFrame) -> DataFrame:
+    """analysis_id, category, ordinal of the rows that count in each requirement category."""
+    categories = F.array(*map(F.lit, REQUIREMENT_CATEGORIES))
+    found = gathered(requirement).select("analysis_id", "rows", F.explode(categories).alias("category"))
+    return found.select("analysis_id", "category", F.explode(best_of(F.col("rows"), F.col("category"))).alias("r")).select("analysis_id", "category", "r.ordinal")
 
 
-def best_alternatives(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Of each alternative group within the keys the row of most credit, the first of equals; rows without a group stay."""
-    grouped = F.trim(F.coalesce("alternative_group_id", F.lit(""))) != ""
-    if "category" in keys:
-        grouped = grouped & (F.col("category") != ALL)
-    group = F.when(grouped, F.col("alternative_group_id")).otherwise(F.concat(F.lit("#"), F.col("ordinal")))
-    w = W.partitionBy(*keys, "__group", "__grouped").orderBy(F.coalesce("credit4", F.lit(-1)).desc(), "ordinal")
-    rows = rows.withColumn("__group", group).withColumn("__grouped", grouped).withColumn("__k", F.row_number().over(w))
-    return rows.filter("__k = 1").drop("__group", "__grouped", "__k")
+def _sums(rows: Column) -> Column:
+    """items, unknown, num and den of each requirement category, in order."""
+    zero = F.lit(0).cast("long")
+    none = F.struct(zero.alias("items"), zero.alias("unknown"), zero.alias("num"), zero.alias("den"))
+
+    def add(done: Column, r: Column) -> Column:
+        known = r["credit4"].isNotNull()
+        part = lambda name, x: (done[name] + F.when(known, x).otherwise(zero)).alias(name)
+        weight = r["weight4"].cast("long")
+        return F.struct(part("items", F.lit(1).cast("long")), (done["unknown"] + F.when(known, zero).otherwise(1)).alias("unknown"), part("num", r["credit4"] * weight), part("den", weight * 10000))
+
+    return F.transform(F.array(*map(F.lit, REQUIREMENT_CATEGORIES)), lambda c: F.aggregate(best_of(rows, c), none, add))
+
+
+def _coverage(sums: Column) -> Column:
+    return F.when(sums["items"] >= rubric.MINIMUM_ITEMS, rubric.ratio(sums["num"], sums["den"]))
 
 
 def requirement_coverage(requirement: DataFrame) -> DataFrame:
     """analysis_id, category, items, unknown, coverage (10^-10, null under two items) of the four requirement categories."""
-    rows = best_alternatives(scoped(with_credit(requirement)), ["analysis_id", "category"])
-    known = F.col("credit4").isNotNull()
-    sums = rows.groupBy("analysis_id", "category").agg(
-        F.count("credit4").alias("items"),
-        F.count_if(~known).alias("unknown"),
-        F.sum(F.col("credit4").cast("long") * F.col("weight4")).alias("num"),
-        F.sum(F.when(known, F.col("weight4").cast("long") * 10000)).alias("den"),
-    )
-    return sums.select("analysis_id", "category", "items", "unknown", F.when(F.col("items") >= rubric.MINIMUM_ITEMS, rubric.ratio(F.col("num"), F.col("den"))).alias("coverage"))
+    rows = gathered(requirement).select("analysis_id", F.posexplode(_sums(F.col("rows"))).alias("i", "s")).filter("s.items + s.unknown > 0")
+    name = F.get(F.array(*map(F.lit, REQUIREMENT_CATEGORIES)), F.col("i"))
+    return rows.select("analysis_id", name.alias("category"), "s.items", "s.unknown", _coverage(F.col("s")).alias("coverage"))
 
 
 def asks_for_leadership(requirement: DataFrame) -> DataFrame:
@@ -115,35 +143,19 @@ def with_evidence(requirement: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def folded(requirement: DataFrame, lists: bool = False) -> DataFrame:
-    """One row per analysis from one pass over its requirements (with evidence): the sums of the requirement categories, gaps, eligibility, counts,
-    leadership, quotes; with ``lists``, requirements too, all of them in order. Each requirement is a row of its categories and one of ``ALL``,
-    so one aggregation serves them all; rows stay where the analysis is."""
-    if "evidence" not in requirement.columns:
-        requirement = requirement.withColumn("evidence", F.lit(None).cast(QUOTES))
-    rows = best_alternatives(scoped(with_credit(requirement), ALL), ["analysis_id", "category"])
-    sums = []
-    for i, c in enumerate(REQUIREMENT_CATEGORIES):
-        credit = F.when(F.col("category") == c, F.col("credit4"))
-        sums += [
-            F.count(credit).alias(f"items_{i}"), F.count_if((F.col("category") == c) & F.col("credit4").isNull()).alias(f"unknown_{i}"),
-            F.sum(credit.cast("long") * F.col("weight4")).alias(f"num_{i}"), F.sum(F.when(credit.isNotNull(), F.col("weight4").cast("long") * 10000)).alias(f"den_{i}"),
-        ]
-    every = F.col("category") == ALL
-    gap = every & (F.col("importance") == "REQUIRED") & (F.col("criticality") == "CORE") & (F.col("status") == "GAP")
-    blocked = F.bool_or(every & (F.col("kind") == "LEGAL_ELIGIBILITY") & (F.col("importance") == "REQUIRED") & (F.col("status") == "GAP"))
-    quotes = F.coalesce(F.col("evidence"), F.array().cast(QUOTES))
-    more = [F.array_sort(F.collect_list(F.when(every, F.struct("ordinal", "id", "text", "importance", "criticality", "primary_category", "status", "relation", quotes.alias("evidence"))))).alias("requirements")] if lists else []
-    return rows.groupBy("analysis_id").agg(
-        *sums,
-        F.array_sort(F.collect_list(F.when(gap, F.struct("ordinal", "id", "text")))).alias("core"),
-        F.when(blocked, "NOT_ELIGIBLE").otherwise("UNKNOWN").alias("eligibility"),
-        F.count_if(every).alias("n"),
-        F.count_if(every & (F.col("status") == "UNKNOWN")).alias("n_unknown"),
-        F.bool_or(every & F.lower("text").rlike(LEADERSHIP)).alias("leadership"),
-        F.sum(F.when(every, F.size(quotes))).alias("quotes"),
-        F.sum(F.when(every, F.size(F.filter(quotes, lambda e: ~e["grounded"])))).alias("dropped"),
-        *more,
-    )
+    """One row per analysis from one pass over its requirements (with evidence): sums of the requirement categories, gaps, eligibility, counts,
+    leadership, quotes; with ``lists``, requirements too. Requirements meet in one shuffle, and none if they lie by analysis."""
+    rows, r = gathered(requirement, lists), F.col("rows")
+    count = lambda name: F.size(F.filter(r, lambda x: x[name]))
+    total = lambda name: F.aggregate(r, F.lit(0), lambda n, x: n + x[name]).cast("long")
+    rows = worked_out(
+        rows,
+        sums=_sums(r),
+        core=F.transform(F.filter(r, lambda x: x["core"]), lambda x: F.struct(x["ordinal"].alias("ordinal"), x["id"].alias("id"), x["text"].alias("text"))),
+        eligibility=F.when(F.exists(r, lambda x: x["barred"]), "NOT_ELIGIBLE").otherwise("UNKNOWN"),
+        n=F.size(r).cast("long"), n_unknown=count("unknown").cast("long"), leadership=F.exists(r, lambda x: x["leads"]), quotes=total("quotes"), dropped=total("dropped"),
+    )
+    return rows.drop("rows")
 
 
 def with_categories(fold: DataFrame, subfactor: DataFrame) -> DataFrame:
@@ -153,18 +165,18 @@ def with_categories(fold: DataFrame, subfactor: DataFrame) -> DataFrame:
     def cell(category: str) -> tuple[Column, Column, Column]:
         if category in SUBFACTOR_CATEGORIES:
             return _subfactor_cell(category)
-        i = REQUIREMENT_CATEGORIES.index(category)
-        return F.col(f"items_{i}"), F.col(f"unknown_{i}"), F.when(F.col(f"items_{i}") >= rubric.MINIMUM_ITEMS, rubric.ratio(F.col(f"num_{i}"), F.col(f"den_{i}")))
+        sums = F.col("sums")[REQUIREMENT_CATEGORIES.index(category)]
+        return sums["items"], sums["unknown"], _coverage(sums)
 
-    own = [c for c in fold.columns if not c.startswith(("items_", "unknown_", "num_", "den_"))]
+    own = [c for c in fold.columns if c != "sums"]
     cells = [F.struct(F.lit(i).alias("seq"), F.lit(c).alias("category"), F.lit(n).alias("display_name"), F.lit(w).alias("nominal"), *[x.alias(name) for name, x in zip(CELL, cell(c))]) for i, (c, n, w) in enumerate(rubric.CATEGORIES)]
     # Each step is one expression over the array of categories, not six: the optimizer's time follows that.
     names = ["seq", "category", "display_name", "nominal", *CELL]
     scored = lambda c: F.struct(*[c[x].alias(x) for x in names], c["coverage"].isNotNull().alias("rated"), rubric.score_of(c["coverage"]).alias("score"))
-    rows = rows.select(*own, F.array(*cells).alias("cells")).withColumn("cells", F.transform("cells", scored))
+    rows = worked_out(rows.select(*own, F.array(*cells).alias("given")), cells=F.transform("given", scored)).drop("given")
     rows = rows.withColumn("rated_weight", F.aggregate("cells", F.lit(0), lambda n, c: n + F.when(c["rated"], c["nominal"]).otherwise(0)))
     applied = lambda c: F.when(c["rated"], F.call_function("div", 2 * c["nominal"] * 10000 + F.col("rated_weight"), F.greatest(2 * F.col("rated_weight"), F.lit(1)))).otherwise(0).cast("int")
-    rows = rows.withColumn("categories", F.transform("cells", lambda c: F.struct(*[c[x].alias(x) for x in [*names, "rated", "score"]], applied(c).alias("applied"))))
+    rows = worked_out(rows, categories=F.transform("cells", lambda c: F.struct(*[c[x].alias(x) for x in [*names, "rated", "score"]], applied(c).alias("applied"))))
     total = F.aggregate("categories", F.lit(0).cast("long"), lambda n, c: n + c["score"].cast("long") * c["applied"])
     of = lambda name: F.get(F.filter("cells", lambda c: c["category"] == name), 0)
     return rows.select(*own, "categories", F.call_function("div", 2 * total + 10000, F.lit(20000)).cast("int").alias("total"), of(rubric.REQUIRED)["coverage"].alias("required_coverage"), of("SENIORITY_AND_OWNERSHIP")["score"].alias("seniority"))

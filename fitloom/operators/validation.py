@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fitloom.functions import text as T
+from fitloom.plans.steps import worked_out
 
 VERSION, MAX_REQUIREMENTS = "analysis-draft/v1", 120
 # The contract. A string stands for a kind, a tuple for the names that a text may have, a list for a list that must be there and
@@ -113,23 +114,17 @@ def _breaks(found: Column, contract) -> Column:
     return F.lit(False)
 
 
-def _step(rows: DataFrame, **columns: Column) -> DataFrame:
-    """``rows`` with more columns, each worked out once: what is asked of them later is not pushed below a generator, where all that they are made of
-    would be repeated for each time they are named."""
-    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 def validate(drafts: DataFrame) -> DataFrame:
     """``drafts`` (analysis_id, raw_json) with draft and reason; the first rule that fails gives the one reason."""
     raw = F.col("raw_json")
     # Behind the draft its own digest must follow, and that alone: a parser stops where its value ends, and text behind it would go unseen.
     whole = F.try_parse_json(F.concat(F.lit("["), raw, F.lit(',"'), F.md5(raw), F.lit('"]')))
-    rows = _step(drafts, __whole=whole)
+    rows = worked_out(drafts, __whole=whole)
     alone = F.try_variant_get("__whole", "$[1]", "string") == F.md5(raw)
-    rows = _step(rows, __v=F.when(alone, F.try_variant_get("__whole", "$[0]", "variant")))
+    rows = worked_out(rows, __v=F.when(alone, F.try_variant_get("__whole", "$[0]", "variant")))
     kind = F.schema_of_variant("__v")
     fits = kind.rlike(f"^{type_pattern(DRAFT)}$")
-    rows = _step(rows, draft=F.when(fits, F.try_variant_get("__v", "$", ddl(DRAFT))), __loose=F.when(fits & F.contains(kind, F.lit("VARIANT")), F.try_variant_get("__v", "$", ddl(DRAFT, "variant"))))
+    rows = worked_out(rows, draft=F.when(fits, F.try_variant_get("__v", "$", ddl(DRAFT))), __loose=F.when(fits & F.contains(kind, F.lit("VARIANT")), F.try_variant_get("__v", "$", ddl(DRAFT, "variant"))))
     d = F.col("draft")
     reqs = d["requirementAssessments"]
     bad_value = F.exists(d["subfactorJudgements"], lambda s: s["value"].isNull() | ~s["value"].between(0, 4))
@@ -154,7 +149,7 @@ def validate(drafts: DataFrame) -> DataFrame:
         .when(~(outlook["rating"].eqNullSafe(F.lit("UNKNOWN")) & outlook["basis"].eqNullSafe(F.lit("NOT_AVAILABLE"))), "company-outlook-invented")
     )
     refused = F.col("reason").isNotNull()
-    rows = _step(rows, reason=reason)
+    rows = worked_out(rows, reason=reason)
     return rows.select(*drafts.columns, F.when(~refused | (F.col("reason") != "unreadable"), F.col("draft")).alias("draft"), "reason")
 
 

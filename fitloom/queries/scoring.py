@@ -56,8 +56,7 @@ def sc02_weight_and_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def sc04_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = scoring.scoped(scoring.with_credit(_capped(spark, sf_dir)))
-    return scoring.best_alternatives(r, ["analysis_id", "category"]).select("analysis_id", "category", "ordinal")
+    return scoring.best_alternatives(_capped(spark, sf_dir))
 
 
 @_query

@@ -142,3 +142,18 @@ def test_operators_take_empty_tables(spark):
     assert resume.listed_skills(resume.sections(lines)).count() == 0
     empty = spark.createDataFrame([], SEVEN)
     assert scoring.requirement_coverage(empty).count() == 0
+
+
+def test_alternatives_ties_nulls_and_repeated_rows(spark):
+    """Of a group the first row of most credit counts, in each category on its own; a blank group is none; unknown rows lose to any."""
+    A, B = rubric.COVERAGE_CATEGORIES[:2]
+    row = lambda i, group, category, status, importance="REQUIRED": (1, i, f"r{i}", "x", "TECHNICAL", importance, "CORE", group, category, status, "DIRECT", "STRONG", "")
+    rows = [row(1, "g", A, "UNKNOWN"), row(2, "g", A, "STRONG_MATCH", "PREFERRED"), row(3, "g", A, "STRONG_MATCH"), row(4, "g", B, "PARTIAL_MATCH"), row(5, " ", A, "GAP"), row(6, None, A, None, None), row(7, "h", "OTHER", "GAP")]
+    df = spark.createDataFrame(rows, SEVEN)
+    got = {}
+    for r in scoring.best_alternatives(df).collect():
+        got.setdefault(r.category, []).append(r.ordinal)
+    assert {k: sorted(v) for k, v in got.items()} == {A: [2, 5, 6], B: [4], rubric.REQUIRED: [3, 5, 7]}
+    plan = scoring.category_results(df, spark.createDataFrame([], "analysis_id long, category string, subfactor string, value int"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+    assert scoring.gathered(df.limit(0)).count() == 0 and scoring.best_alternatives(df.limit(0)).count() == 0
