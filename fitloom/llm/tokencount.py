@@ -3,7 +3,7 @@
 Texts are cut at the vocabulary's special strings (one token each) and into pre-tokens. The distinct pre-tokens of a batch
 lie in one flat array of symbols with their sequence's number; each round looks up the rank of every adjacent pair, takes
 the lowest rank of every sequence, merges all its pairs of that rank at once and drops sequences without a known pair. The
-symbols that survive are counted. A pair made by a merge always ranks after that merge, so merging all of a sequence's
+symbols that survive are counted. A sequence of ``LONG`` bytes or more keeps its pairs' places by rank instead, so that a round only touches what it merges. A pair made by a merge always ranks after that merge, so merging all of a sequence's
 lowest pairs at once gives what merging them one by one gives.
 
 Each text is counted alone: no shuffle; memory of one slice of texts and of up to ``CACHE`` known pre-tokens. A null or
@@ -13,6 +13,7 @@ from its path; a file whose rules aren't known here is refused.
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -30,6 +31,8 @@ BLANK = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{BLANK}\p{{L}}\p{{N}}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
 CACHE = 400_000
 SLICE_CHARS = 2_000_000
+#: Bytes from which on a pre-token is merged by itself, by the places of each rank: a round then costs what it merges and not the sequence's length.
+LONG = 2048
 NONE = np.int64(1 << 40)
 
 
@@ -67,9 +70,74 @@ class Counter:
     def merged(self, pieces: list[str]) -> np.ndarray:
         """How many symbols are left of each (non-empty) pre-token."""
         raw = [p.encode() for p in pieces]
+        long = [i for i, r in enumerate(raw) if len(r) >= LONG]
+        if long:
+            out, alone = np.ones(len(raw), np.int64), set(long)
+            out[long] = [self.merged_long(raw[i]) for i in long]
+            short = [i for i in range(len(raw)) if i not in alone]
+            out[short] = self.merged_short([raw[i] for i in short])
+            return out
+        return self.merged_short(raw)
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of pairs of symbols (NONE: no pair of the vocabulary), and where they stand in ``keys``."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NONE), at
+
+    def merged_long(self, raw: bytes) -> int:
+        """How many symbols are left of one long sequence: all its pairs of the lowest rank are merged at once, and only their neighbours are ranked anew."""
+        n = len(raw)
+        symbols = np.append(self.byte_ids[np.frombuffer(raw, np.uint8)], -1)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        rank, at = np.full(n + 1, NONE), np.zeros(n + 1, np.int64)
+        rank[: n - 1], at[: n - 1] = self.rank_of(symbols[: n - 1], symbols[1:n])
+        places: dict[int, list[np.ndarray]] = {}
+        waiting: list[int] = []
+
+        def put(where: np.ndarray) -> None:
+            ranks = rank[where]
+            where, ranks = where[ranks != NONE], ranks[ranks != NONE]
+            order = np.argsort(ranks, kind="stable")
+            where, ranks = where[order], ranks[order]
+            starts = np.flatnonzero(np.concatenate([[True], ranks[1:] != ranks[:-1]])) if len(ranks) else np.zeros(0, np.int64)
+            for r, a, b in zip(ranks[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(ranks)]):
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(waiting, r)
+                places[r].append(where[a:b])
+
+        put(np.arange(n - 1))
+        left = n
+        while waiting:
+            lowest = heapq.heappop(waiting)
+            parts = places.pop(lowest)
+            where = np.sort(np.concatenate(parts)) if len(parts) > 1 else parts[0]
+            where = where[rank[where] == lowest]
+            if not len(where):
+                continue
+            # Of overlapping pairs of one symbol, every other one from the left is merged.
+            run = np.concatenate([[True], after[where[:-1]] != where[1:]])
+            if not run.all():
+                offset = np.arange(len(where)) - np.flatnonzero(run)[np.cumsum(run) - 1]
+                where = where[offset % 2 == 0]
+            gone = after[where]
+            symbols[where] = self.made[at[where[0]]]
+            rank[gone] = NONE
+            after[where] = after[gone]
+            before[after[gone]] = where
+            left -= len(where)
+            touched = np.concatenate([where, before[where]])
+            touched = np.unique(touched[touched >= 0])
+            rank[touched], at[touched] = self.rank_of(symbols[touched], symbols[after[touched]])
+            put(touched)
+        return left
+
+    def merged_short(self, raw: list[bytes]) -> np.ndarray:
+        """The same for many short sequences in one array."""
         sizes = np.array([len(r) for r in raw], np.int64)
         left = np.ones(len(raw), np.int64)
-        symbols = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+        symbols = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)] if raw else np.zeros(0, np.int64)
         owner = np.repeat(np.arange(len(raw)), sizes)
         while len(symbols) > 1:
             rank = np.full(len(symbols), NONE)

@@ -268,7 +268,12 @@ class _Window:
     """A file's bytes from an offset on, read in chunks. Skipping moves a mark and copies nothing; passed bytes go with the next read."""
 
     def __init__(self, f, at: int):
-        self.f, self.at, self.buf, self.off = f, at, b"", 0
+        self.f, self.at, self.buf, self.off, self.size = f, at, b"", 0, f.size()
+
+    def must_hold(self, n: int) -> None:
+        """Whether the next n bytes are read or not, they must be there."""
+        if self.at + n > self.size:
+            raise ValueError(f"truncated record at {self.at}")
 
     def fill(self, n: int) -> int:
         """Make n bytes available; how many there are."""
@@ -317,10 +322,9 @@ def _plain(w: _Window, names: list[str], tests: list) -> Iterator[tuple]:
     head = _parse(w.bytes(0, head_end))
     size, block_at = int(head.get("content-length", 0)), head_end + 4
     row = _columns(head)
+    w.must_hold(block_at + size)
     if all(test(row[c]) for c, test in tests):
         block = w.bytes(block_at, block_at + size) if "payload" in names else None
-        if block is not None and len(block) < size:
-            raise ValueError(f"truncated record at {w.at}")
         yield _row(row, head, block, names)
     w.skip(block_at + size + 4)
 
@@ -361,6 +365,7 @@ def _packed(w: _Window, names: list[str], tests: list) -> Iterator[tuple]:
             raise ValueError(f"more than one record in the member at {w.at}")
         text = b"".join(parts)
         length = length or fed - len(inflater.unused_data)
+    w.must_hold(length)
     if wanted:
         yield _row(row, head, text[head_end + 4 : head_end + 4 + int(head.get("content-length", 0))], names)
     w.skip(length)

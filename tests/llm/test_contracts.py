@@ -93,8 +93,26 @@ def test_truncated_archives_raise(spark, tmp_path):
     archive(path).write_bytes(data[:-2500])
     with pytest.raises(Exception, match="truncated record"):
         warc.read(spark, path).collect()
+    headers = "warc_type string, record_id string"
+    for cut in (1, 2500, 4900):
+        archive(path).write_bytes(data[:-cut])
+        for found in (warc.read(spark, path, headers), warc.read(spark, path, headers).filter("warc_type = 'metadata'"), warc.read(spark, path).filter("record_id = 'r0'")):
+            with pytest.raises(Exception, match="truncated record"):
+                found.collect()
     plain = tmp_path / "plain"
     plain.mkdir()
+    record = b"WARC/1.0\r\nWARC-Type: metadata\r\nContent-Length: 4000\r\n\r\n" + b"x" * 4000 + b"\r\n\r\n"
+    for name, pack in (("p.warc", bytes), ("p.warc.gz", lambda x: gzip.compress(x))):
+        one, two = pack(record), pack(record[::1])
+        for cut, whole in ((0, True), (30, False), (len(two) - 20, False)):
+            (plain / name).write_bytes((one + two)[: len(one + two) - cut])
+            for found in (warc.read(spark, str(plain), "warc_type string"), warc.read(spark, str(plain), "warc_type string").filter("warc_type = 'response'")):
+                if whole:
+                    assert found.count() in (0, 2)
+                else:
+                    with pytest.raises(Exception, match="truncated record|no end of a record"):
+                        found.collect()
+        (plain / name).unlink()
     (plain / "a.warc").write_bytes(b"WARC/1.0\r\nWARC-Type: metadata\r\nX: " + b"x" * (2 << 20) + b"\r\nContent-Length: 0\r\n\r\n\r\n\r\n")
     with pytest.raises(Exception, match="no end of a record's header"):
         warc.read(spark, str(plain)).collect()
@@ -267,3 +285,36 @@ def test_pareto_ranks_equal_a_plain_version(spark):
                 drawn.add(i)
         got = {i for i, _ in own if found[i].copies > certain[i]}
         assert drawn <= got and len(got - drawn) <= 1
+
+
+def test_long_runs_without_a_space_are_counted_fast_and_as_the_library_counts():
+    import random
+    import time
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from fitloom.llm import tokencount
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, counter, rng = Tokenizer.from_file(path), tokencount.Counter(path), random.Random(9)
+    texts = ["".join(rng.choices("etaoinshrdlu", k=200_000)), "a" * 5001, "ab" * 3000, "=-" * 4000, "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(5000)), "kurz " + "x" * 5000 + " und " + "yz" * 3000, ""]
+    for n in (tokencount.LONG - 1, tokencount.LONG, tokencount.LONG + 1):
+        texts += ["".join(rng.choices("abé", k=n)), "the" * (n // 3) + "x" * (n % 3)]
+    began = time.time()
+    found = counter.count(texts).tolist()
+    assert time.time() - began < 20
+    assert found == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    alone = tokencount.Counter(path)
+    pieces = ["".join(rng.choices("ntiohe", k=rng.randrange(1, 400))) for _ in range(300)]
+    assert alone.merged_short([p.encode() for p in pieces]).tolist() == [alone.merged_long(p.encode()) for p in pieces]
+
+
+def test_token_counts_of_empty_tables_and_repeated_rows(spark):
+    import public_tokenizers
+
+    from fitloom.llm import tokencount
+
+    docs = spark.createDataFrame([(1, "ab cd"), (1, "ab cd"), (None, None), (2, "")], "doc_id bigint, text string")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert sorted(r.n_tokens for r in tokencount.token_counts(docs, path).collect()) == [0, 0, 2, 2] and tokencount.token_counts(docs.limit(0), path).count() == 0
