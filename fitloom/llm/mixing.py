@@ -1,12 +1,14 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Every source gets a target in words: its weight's share of all words, at most ``max_copies`` times its own words, the
-excess reshared by weight. A document's expected copies are its source's target over its source's words, times its
-own weight over the source's mean weight. The whole part of that is certain; for the rest, documents are ranked by
-``(u / (1 - u)) / (p / (1 - p))``, the odds of a fixed random number over the odds of inclusion, and the lowest ranks
-are taken until the source's words reach the target. This gives samples of a fixed size with unequal probabilities.
-The last gap, smaller than the next document in order, goes to the document that fits it best. That one is chosen by its size and
-not by its odds: of each source, one document is drawn with a bias towards sizes near the gap.
+excess reshared by weight. A document's expected copies go with its own weight, up to ``max_copies``; a source's scale is set so that
+the words expected of its documents are its target, what some can't take being handed to the others. The whole part of that is certain; for
+the rest, documents are ranked by ``(u / (1 - u)) / (p / (1 - p))``, the odds of a fixed random number over the odds of inclusion, and the
+lowest ranks are taken until the source's words reach the target. This gives samples of a fixed size with unequal probabilities.
+A document that no longer fits leaves a gap. The ranking is gone on with among documents of at most the gap, to the next that doesn't fit; what
+is then left is filled from the first ``PER_CLASS`` of each class of sizes (powers of two), the larger classes first, and at last by the one
+of them that comes nearest. These few, a source's last, are drawn with a bias towards sizes that fit. So a source misses its target by half of the smallest
+document left at most, but where all that it has left is smaller still or it has no more to give.
 
 The cut in the ranking is found without sorting a source: ranks fall into 2048 x 1024 buckets, two aggregations find the
 bucket of the cut, and only that bucket's rows are put in order. Rows of a hot source are only ever pre-aggregated.
@@ -29,6 +31,7 @@ from fitloom.plans.scratch import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 1024
+PER_CLASS = 16
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -91,6 +94,81 @@ def _uniform(doc_id: Column, seed: str) -> Column:
     return (F.conv(digits, 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
+def scales(rows: DataFrame, aims: DataFrame, max_copies: int) -> DataFrame:
+    """source and scale: a document's expected copies are scale times its weight, ``max_copies`` at most. rows: source, size, w.
+
+    Documents at their limit are those of the largest weights. Sums over buckets of the weight, 1 % wide, tell which. No scale: a source without weights."""
+    bucket = F.floor(F.log2("w") * 64).cast("int")
+    exact = lambda c: F.sum(c.cast("decimal(38,9)")).cast("double")
+    sums = rows.filter("size > 0 and w > 0").groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"), exact(F.col("w") * F.col("size")).alias("weighed"), F.max("w").alias("most"))
+    sums = same_keys(sums, aims.select("source", "target"), ["source"])
+    above = W.partitionBy("source").orderBy(F.col("bucket").desc()).rowsBetween(W.unboundedPreceding, -1)
+    left = F.sum("weighed").over(W.partitionBy("source").orderBy(F.col("bucket").desc()).rowsBetween(0, W.unboundedFollowing))
+    sums = sums.withColumn("scale", (F.col("target") - max_copies * F.coalesce(F.sum("words").over(above), F.lit(0))) / left)
+    holds = F.col("scale") * F.col("most") <= max_copies
+    return sums.groupBy("source").agg(F.coalesce(F.max_by("scale", F.when(holds, F.col("bucket"))), F.lit(1e300)).alias("scale"))
+
+
+def _cut(free: DataFrame, need: DataFrame) -> DataFrame:
+    """source, cut1, cut2, upto: where the ranking of ``free`` is cut so that the words before fit ``need`` (source, need). None: all fit."""
+
+    def cut(parts: DataFrame, keys: list[str], bucket: str, need: DataFrame) -> DataFrame:
+        """For each key, the first bucket whose words don't all fit, and what is left for it."""
+        sums = parts.groupBy(*keys, bucket).agg(F.sum("size").alias("words"))
+        sums = same_keys(sums, need, keys)
+        run = F.sum("words").over(W.partitionBy(*keys).orderBy(bucket))
+        sums = sums.withColumn("run", run).filter(F.col("run") > F.col("need"))
+        first = F.row_number().over(W.partitionBy(*keys).orderBy(bucket))
+        return sums.withColumn("k", first).filter("k = 1").select(*keys, bucket, (F.col("need") - (F.col("run") - F.col("words"))).alias("need"))
+
+    cut1 = cut(free, ["source"], "b1", need)
+    inside = same_keys(free, cut1.select("source", "b1"), ["source", "b1"])
+    cut2 = cut(inside, ["source", "b1"], "b2", cut1.select("source", "b1", "need"))
+    edge = same_keys(inside, cut2, ["source", "b1", "b2"])
+    run = F.sum("size").over(W.partitionBy("source", "b1", "b2").orderBy(*KEY))
+    fits = F.col("run") <= F.col("need")
+    edge = edge.withColumn("run", run)
+    return edge.groupBy("source").agg(F.first("b1").alias("cut1"), F.first("b2").alias("cut2"), F.max(F.when(fits, F.struct(*KEY))).alias("upto"))
+
+
+#: The order of the ranking.
+KEY = ["t", "u", "doc_id", "size"]
+
+
+def _drawn(rows: DataFrame, able: Column, need: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with those of ``able`` drawn that come first in the ranking and fit ``need`` (source, need), and what is left of ``need``."""
+    rows = same_keys(rows, need, ["source"], "left").withColumn("__able", F.coalesce(able & F.col("need").isNotNull(), F.lit(False)))
+    rows = same_keys(rows, _cut(rows.filter("__able").drop("need"), need), ["source"], "left")
+    here, at = F.struct("b1", "b2"), F.struct(F.col("cut1"), F.col("cut2"))
+    before = (here < at) | ((here == at) & F.coalesce(F.struct(*KEY) <= F.col("upto"), F.lit(False)))
+    rows = rows.withColumn("drawn", F.col("drawn") | F.col("__able") & (F.col("cut1").isNull() | before)).withColumn("__now", F.col("drawn") & F.col("__able"))
+    rows = scratch.keep(rows.drop("cut1", "cut2", "upto", "__able", "need"), name)
+    words = rows.groupBy("source").agg(F.sum(F.when(F.col("__now"), F.col("size")).otherwise(0)).alias("words"))
+    left = same_keys(need, words, ["source"]).select("source", (F.col("need") - F.col("words")).alias("need")).filter("need > 0")
+    return rows.drop("__now"), left
+
+
+def _fillers(rows: DataFrame, need: DataFrame) -> DataFrame:
+    """source, doc_id, size of the documents that fill what is left."""
+    free = same_keys(rows.filter("t is not null and not drawn").select("source", *KEY), need, ["source"]).filter("size < 2 * need")
+    free = free.withColumn("class", F.floor(F.log2("size")).cast("int"))
+    first = F.row_number().over(W.partitionBy("source", "class").orderBy(*KEY))
+    free = free.withColumn("k", first).filter(f"k <= {PER_CLASS}")
+    some = free.groupBy("source").agg(F.first("need").alias("need"), F.array_sort(F.collect_list(F.struct((-F.col("class")).alias("order"), *KEY))).alias("some"))
+
+    def add(done: Column, x: Column) -> Column:
+        fits = x["size"] <= done["need"]
+        return F.struct((done["need"] - F.when(fits, x["size"]).otherwise(0)).alias("need"), F.array_append(done["took"], fits).alias("took"))
+
+    some = some.withColumn("fold", F.aggregate("some", F.struct(F.col("need"), F.array().cast("array<boolean>").alias("took")), add))
+    gap = F.col("fold.need")
+    others = F.filter(F.col("some"), lambda x, i: ~F.get(F.col("fold.took"), i) & (F.abs(x["size"] - gap) < gap))
+    last = F.array_min(F.transform(others, lambda x: F.struct(F.abs(x["size"] - gap).alias("off"), *[x[n].alias(n) for n in KEY])))
+    taken = F.transform(F.filter(F.col("some"), lambda x, i: F.get(F.col("fold.took"), i)), lambda x: F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size")))
+    taken = F.array_compact(F.array_append(taken, F.when(last.isNotNull(), F.struct(last["doc_id"].alias("doc_id"), last["size"].alias("size")))))
+    return some.select("source", F.explode(taken).alias("x")).select("source", "x.*").distinct()
+
+
 def mix(
     docs: DataFrame,
     text: str = "text",
@@ -113,63 +191,27 @@ def mix(
     rows = rows.withColumn("w", F.when(F.isnan(w) | (w < 0), 0.0).otherwise(F.coalesce(w, F.lit(0.0))))
     rows = scratch.keep(rows, "sizes")
     aims = targets(rows.select("source", "size"), weights, max_copies, scratch)
-    means = rows.groupBy("source").agg(F.try_divide(F.sum(F.col("w") * F.col("size")), F.sum("size")).alias("mean_w"))
-    aims = scratch.keep(same_keys(aims, means, ["source"]), "targets")
+    aims = scratch.keep(same_keys(aims.drop("weight"), scales(rows, aims, max_copies), ["source"], "left"), "targets")
 
-    rows = same_keys(rows, aims.drop("weight"), ["source"])
-    expected = F.when(F.col("size") > 0, F.least(F.col("target") / F.col("source_size") * F.coalesce(F.try_divide("w", "mean_w"), F.lit(0.0)), F.lit(float(max_copies)))).otherwise(0.0)
+    rows = same_keys(rows, aims, ["source"])
+    chance = F.when(F.col("scale").isNull(), F.col("target") / F.col("source_size")).otherwise(F.col("scale") * F.col("w"))
+    expected = F.when(F.col("size") > 0, F.least(chance, F.lit(float(max_copies)))).otherwise(0.0)
     rows = rows.withColumn("certain", F.floor(expected)).withColumn("p", expected - F.floor(expected))
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     able = (F.col("size") > 0) & (F.col("certain") < max_copies)
     # A document without a fractional chance comes after all others, in the order of u.
-    rows = rows.withColumn("t", F.when(able & (F.col("p") > 0), odds / (1 + odds)).when(able, 1 + F.col("u")))
+    rows = rows.withColumn("t", F.when(able & (F.col("p") > 0), odds / (1 + odds)).when(able, 1 + F.col("u"))).drop("w", "p", "scale")
     cell = F.floor(F.col("t") * (BUCKETS * BUCKETS))
-    rows = rows.withColumn("b1", F.floor(cell / BUCKETS).cast("int")).withColumn("b2", (cell % BUCKETS).cast("int"))
+    rows = rows.withColumn("b1", F.floor(cell / BUCKETS).cast("int")).withColumn("b2", (cell % BUCKETS).cast("int")).withColumn("drawn", F.lit(False))
 
     # Where the certain copies reach the target, nothing is drawn and nothing is put in order.
     need = rows.groupBy("source").agg((F.first("target") - F.sum(F.col("certain") * F.col("size"))).alias("need")).filter("need > 0")
-    rows = same_keys(rows, need.select("source", F.lit(True).alias("draws")), ["source"], "left")
-    free = rows.filter("t is not null and draws")
-
-    def cut(parts: DataFrame, keys: list[str], bucket: str, need: DataFrame) -> DataFrame:
-        """For each key, the first bucket whose words don't all fit, and what is left for it."""
-        sums = parts.groupBy(*keys, bucket).agg(F.sum("size").alias("words"))
-        sums = same_keys(sums, need, keys)
-        run = F.sum("words").over(W.partitionBy(*keys).orderBy(bucket))
-        sums = sums.withColumn("run", run).filter(F.col("run") > F.col("need"))
-        first = F.row_number().over(W.partitionBy(*keys).orderBy(bucket))
-        return sums.withColumn("k", first).filter("k = 1").select(*keys, bucket, (F.col("need") - (F.col("run") - F.col("words"))).alias("need"))
-
-    cut1 = cut(free, ["source"], "b1", need)
-    inside = same_keys(free, cut1.select("source", "b1"), ["source", "b1"])
-    cut2 = cut(inside, ["source", "b1"], "b2", cut1.select("source", "b1", "need"))
-    edge = same_keys(inside, cut2, ["source", "b1", "b2"])
-    key = F.struct("t", "u", "doc_id", "size")
-    run = F.sum("size").over(W.partitionBy("source", "b1", "b2").orderBy("t", "u", "doc_id", "size"))
-    edge = edge.withColumn("run", run).withColumn("key", key)
-    fits = F.col("run") <= F.col("need")
-    last = edge.groupBy("source").agg(
-        F.first("b1").alias("cut1"),
-        F.first("b2").alias("cut2"),
-        F.max(F.when(fits, F.col("key"))).alias("upto"),
-        (F.first("need") - F.coalesce(F.max(F.when(fits, F.col("run"))), F.lit(0))).alias("gap"),
-    )
-    last = scratch.keep(last, "cuts")
-
-    rows = same_keys(rows, last, ["source"], "left")
-    here = F.struct("b1", "b2")
-    at = F.struct(F.col("cut1"), F.col("cut2"))
-    before = (here < at) | ((here == at) & F.coalesce(key <= F.col("upto"), F.lit(False)))
-    # Without a cut, every able document fits.
-    rows = rows.withColumn("drawn", F.col("t").isNotNull() & F.coalesce("draws", F.lit(False)) & (F.col("cut1").isNull() | before))
-    rows = scratch.keep(rows.drop("b1", "b2", "cut1", "cut2", "upto", "w", "mean_w", "draws"), "drawn")
-    filler = (
-        rows.filter(F.col("t").isNotNull() & ~F.col("drawn") & F.col("gap").isNotNull() & (F.abs(F.col("size") - F.col("gap")) < F.col("gap")))
-        .groupBy("source")
-        .agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), F.col("t"), F.col("u"), F.col("doc_id").alias("id"), F.col("size").alias("words"))).alias("fill"))
-    )
-    rows = same_keys(rows, filler, ["source"], "left")
-    # Rows that repeat an id and a size are alike; one of them fills the gap.
-    fills = F.col("fill").isNotNull() & ~F.col("drawn") & F.col("t").isNotNull() & F.col("doc_id").eqNullSafe(F.col("fill.id")) & (F.col("size") == F.col("fill.words"))
-    copies = (F.col("certain") + F.when(F.col("drawn") | fills, 1).otherwise(0)).cast("long")
+    need = scratch.keep(need, "need")
+    rows, need = _drawn(rows, F.col("t").isNotNull(), need, scratch, "drawn")
+    need = scratch.keep(need, "gap")
+    rows, need = _drawn(rows, F.col("t").isNotNull() & ~F.col("drawn") & (F.col("size") <= F.col("need")), need, scratch, "drawn2")
+    fill = _fillers(rows, need).withColumn("fills", F.lit(True))
+    # Rows that repeat an id and a size are alike: all of them fill a gap or none.
+    rows = same_keys(rows, fill, ["source", "doc_id", "size"], "left")
+    copies = (F.col("certain") + F.when(F.col("drawn") | (F.col("t").isNotNull() & F.coalesce("fills", F.lit(False))), 1).otherwise(0)).cast("long")
     return scratch.only(rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")), "mix")

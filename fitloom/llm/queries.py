@@ -174,7 +174,7 @@ FROM d LEFT JOIN k ON k.doc_id = d.doc_id
 """
 
 ORACLES["op2_mix_sources"] = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
     (('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
   FROM documents),
@@ -185,18 +185,29 @@ s1 AS (SELECT *, 3 * source_size AS lim,
 s2 AS (SELECT *, lim / w < level AS isfull FROM s1),
 s AS (SELECT source, source_size,
     CASE WHEN isfull THEN lim::DOUBLE ELSE least(lim::DOUBLE, w * (SELECT arg_min(level, lim / w) FROM s2 WHERE NOT isfull)) END AS target FROM s2),
-v AS (SELECT source, sum(CASE WHEN size >= 100 THEN 2 ELSE 1 END * size)::DOUBLE / sum(size)::DOUBLE AS mean_w FROM d GROUP BY source),
-e AS (SELECT d.*, source_size, target, CASE WHEN size > 0 THEN least(target / source_size * (CASE WHEN size >= 100 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END / mean_w), 3.0::DOUBLE) ELSE 0 END AS x
-  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source JOIN v ON d.source IS NOT DISTINCT FROM v.source),
+v0 AS (SELECT d.source, w, sum(d.size) AS words, max(target) AS target FROM (SELECT *, CASE WHEN size >= 100 THEN 2 ELSE 1 END AS w FROM d WHERE size > 0) d JOIN s ON d.source IS NOT DISTINCT FROM s.source GROUP BY d.source, w),
+v1 AS (SELECT *, (target - 3 * coalesce(sum(words) OVER (PARTITION BY source ORDER BY w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / (sum(w * words) OVER (PARTITION BY source ORDER BY w DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS scale FROM v0),
+v AS (SELECT source, coalesce(arg_max(scale, w) FILTER (WHERE scale * w <= 3), 1e300) AS scale FROM v1 GROUP BY source),
+e AS (SELECT d.*, source_size, target, CASE WHEN size > 0 THEN least(scale * (CASE WHEN size >= 100 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END), 3.0::DOUBLE) ELSE 0 END AS x
+  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source LEFT JOIN v ON d.source IS NOT DISTINCT FROM v.source),
 f AS (SELECT *, floor(x)::BIGINT AS certain, x - floor(x) AS p FROM e),
-g AS (SELECT *, CASE WHEN size > 0 AND certain < 3 THEN CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) ELSE 1e300 END END AS q FROM f),
+g AS (SELECT *, CASE WHEN size > 0 AND certain < 3 THEN CASE WHEN p > 0 THEN ((u / (1 - u)) / (p / (1 - p))) / (1 + (u / (1 - u)) / (p / (1 - p))) ELSE 1 + u END END AS q FROM f),
 h AS (SELECT *, target - sum(certain * size) OVER (PARTITION BY source) AS need,
     CASE WHEN q IS NOT NULL THEN sum(CASE WHEN q IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY q NULLS LAST, u, doc_id, size ROWS UNBOUNDED PRECEDING) END AS run FROM g),
 i AS (SELECT *, q IS NOT NULL AND need > 0 AND run <= need AS drawn FROM h),
-j AS (SELECT *, need - coalesce(max(CASE WHEN drawn THEN run END) OVER (PARTITION BY source), 0) AS gap FROM i),
-k AS (SELECT *, CASE WHEN q IS NOT NULL AND NOT drawn AND abs(size - gap) < gap
-    THEN row_number() OVER (PARTITION BY source, q IS NOT NULL AND NOT drawn AND abs(size - gap) < gap ORDER BY abs(size - gap), q, u, doc_id) END AS r FROM j)
-SELECT doc_id, size, source_size, target, ((certain + CASE WHEN drawn OR coalesce(r = 1, false) THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM k
+i1 AS (SELECT *, need - coalesce(sum(CASE WHEN drawn THEN size END) OVER (PARTITION BY source), 0) AS gap FROM i),
+i2 AS (SELECT *, q IS NOT NULL AND NOT drawn AND gap > 0 AND size <= gap AS able FROM i1),
+i3 AS (SELECT *, CASE WHEN able THEN sum(size) OVER (PARTITION BY source, able ORDER BY q, u, doc_id, size ROWS UNBOUNDED PRECEDING) <= gap ELSE false END AS drawn2 FROM i2),
+j AS (SELECT *, gap - coalesce(sum(CASE WHEN drawn2 THEN size END) OVER (PARTITION BY source), 0) AS gap2 FROM i3),
+k AS (SELECT *, floor(log2(size))::INTEGER AS class FROM j WHERE q IS NOT NULL AND NOT drawn AND NOT drawn2 AND gap2 > 0 AND size < 2 * gap2 QUALIFY row_number() OVER (PARTITION BY source, class ORDER BY q, u, doc_id, size) <= 16),
+c AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY class DESC, q, u, doc_id, size) AS n FROM k),
+fold(source, n, gap, took) AS (
+  SELECT DISTINCT source, 0::BIGINT, gap2, false FROM c UNION ALL
+  SELECT c.source, c.n, fold.gap - CASE WHEN c.size <= fold.gap THEN c.size ELSE 0 END, c.size <= fold.gap FROM fold JOIN c ON c.source IS NOT DISTINCT FROM fold.source AND c.n = fold.n + 1),
+z AS (SELECT c.*, fold.took, min(fold.gap) OVER (PARTITION BY c.source) AS last FROM c JOIN fold ON c.source IS NOT DISTINCT FROM fold.source AND c.n = fold.n),
+y AS (SELECT doc_id, size, took OR row_number() OVER (PARTITION BY source, took OR abs(size - last) >= last ORDER BY abs(size - last), q, u, doc_id, size) = 1 AND abs(size - last) < last AS fills FROM z)
+SELECT j.doc_id, j.size, source_size, target, ((certain + CASE WHEN drawn OR drawn2 OR coalesce(y.fills, false) THEN 1 ELSE 0 END) * j.size)::BIGINT AS taken FROM j LEFT JOIN y ON y.doc_id = j.doc_id
 """
 
 ORACLES["op5_decontaminate"] = r"""

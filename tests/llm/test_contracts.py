@@ -318,3 +318,36 @@ def test_token_counts_of_empty_tables_and_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "ab cd"), (1, "ab cd"), (None, None), (2, "")], "doc_id bigint, text string")
     path = public_tokenizers.path("byte_bpe_50k.json")
     assert sorted(r.n_tokens for r in tokencount.token_counts(docs, path).collect()) == [0, 0, 2, 2] and tokencount.token_counts(docs.limit(0), path).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["plain", "weighted", "long", "tiny", "same"])
+def test_mixed_words_come_near_their_targets(spark, kind):
+    """Off by 1 % or half of the smallest document left at most; where all are at their limit, as near as they can be."""
+    import random
+
+    rng = random.Random(kind)
+    rows = []
+    for s in range(9):
+        n = rng.choice([40, 150, 400])
+        for i in range(n):
+            size = {"plain": rng.randrange(5, 300), "weighted": rng.randrange(5, 300), "long": rng.choice([rng.randrange(1, 40), rng.randrange(2000, 9000)]), "tiny": 4000 if i == 0 else rng.randrange(1, 4), "same": 50}[kind]
+            rows.append((len(rows), f"s{s}", "w " * size))
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    weight = {"plain": None, "weighted": lambda size: F.when(size >= 100, 2.0).when(size >= 50, 0.3).otherwise(0.01 + size / 100), "long": lambda size: F.when(size >= 100, 5.0).otherwise(1.0)}.get(kind)
+    by = {}
+    for r in mixing.mix(docs, weight=weight).collect():
+        by.setdefault(r.source, []).append(r)
+    assert len(by) == 9
+    for source, found in by.items():
+        off, target = abs(sum(r.taken for r in found) - found[0].target), found[0].target
+        assert all(0 <= r.copies <= 3 and r.taken == r.copies * r.size for r in found)
+        left = [r.size for r in found if r.copies < 3]
+        # One document of 4,000 words among few short ones: half of it may lack.
+        assert off <= max(0.01 * target, 2000 if kind == "tiny" else min(left, default=0) / 2) + 1e-6, (source, off, target)
+
+
+def test_a_source_at_its_limit_takes_all_it_has(spark):
+    """Short documents weigh little, yet the target is three times all words."""
+    docs = spark.createDataFrame([(i, "a" if i < 60 else "b", "w " * (10 if i % 2 else 200)) for i in range(2000)], "doc_id bigint, source string, text string")
+    rows = [r for r in mixing.mix(docs, weights=(50, 1), weight=lambda size: F.when(size >= 100, 2.0).otherwise(0.1)).collect() if r.source == "a"]
+    assert rows[0].target == 3 * rows[0].source_size and sum(r.taken for r in rows) == rows[0].target
