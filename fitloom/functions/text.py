@@ -93,10 +93,17 @@ def distinctive_terms(c: Column, limit: int = 6) -> Column:
     return F.slice(F.array_distinct(words), 1, limit)
 
 
+def sided(c: Column) -> Column:
+    """A text with a mark behind each place whose left side is free of letters and digits, and one before each whose right side is. A term stands in
+    a text as a whole if and only if its sided form stands in the text's: so each is worked out once, and no pattern is made of a term. Characters
+    beyond U+FFFF count as neither."""
+    plain = F.translate(c, "\x02\x03", "  ")
+    return F.concat(F.lit("\x02"), F.regexp_replace(plain, r"([^\p{L}\p{Nd}]|[\x{10000}-\x{10FFFF}])", "\x03$1\x02"), F.lit("\x03"))
+
+
 def has_term(text: Column, term: Column) -> Column:
     """Whether the term stands in the text with neither a letter nor a digit beside it."""
-    quoted = F.regexp_replace(term, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
-    return F.rlike(text, F.concat(F.lit(r"(?<![\p{L}\p{Nd}])"), quoted, F.lit(r"(?![\p{L}\p{Nd}])")))
+    return F.contains(sided(text), sided(term))
 
 
 def is_imperative(c: Column) -> Column:

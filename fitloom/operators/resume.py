@@ -47,13 +47,22 @@ def summary(sectioned: DataFrame) -> DataFrame:
     return rows.select("doc_id", T.strip(F.array_join("ls.body", " ")).alias("summary"))
 
 
+def provenance(section: str, start: Column, end: Column, quote: Column) -> Column:
+    """Where an entry stands: its section, its first and last line, and the words there, as they are."""
+    return F.struct(F.lit(section).alias("section"), start.alias("line_start"), end.alias("line_end"), quote.alias("quote")).alias("provenance")
+
+
+def _own_line(section: str) -> Column:
+    return provenance(section, F.col("line_no"), F.col("line_no"), T.strip(F.col("text")))
+
+
 def listed_skills(sectioned: DataFrame) -> DataFrame:
-    """doc_id, seq, name, line_no: what stands between separators, the first of each name."""
+    """doc_id, seq, name, line_no, provenance: what stands between separators, the first of each name."""
     body = F.when(F.col("body").rlike("^[^:]*:."), F.regexp_replace("body", "^[^:]*:", "")).otherwise(F.col("body"))
-    rows = of_section(sectioned, "SKILLS").select("doc_id", "line_no", F.posexplode(F.split(body, "[,;|•·/]")).alias("p", "name"))
+    rows = of_section(sectioned, "SKILLS").select("doc_id", "line_no", "text", F.posexplode(F.split(body, "[,;|•·/]")).alias("p", "name"))
     rows = rows.withColumn("name", T.strip(F.col("name"))).filter(F.length("name").between(2, 40))
     rows = rows.withColumn("k", F.row_number().over(W.partitionBy("doc_id", F.lower("name")).orderBy("line_no", "p"))).filter("k = 1")
-    return rows.select("doc_id", F.row_number().over(W.partitionBy("doc_id").orderBy("line_no", "p")).alias("seq"), "name", "line_no")
+    return rows.select("doc_id", F.row_number().over(W.partitionBy("doc_id").orderBy("line_no", "p")).alias("seq"), "name", "line_no", _own_line("SKILLS"))
 
 
 def year_month(endpoint: Column) -> Column:
@@ -133,30 +142,34 @@ def education(sectioned: DataFrame) -> DataFrame:
     parts = _chunks(without_date(F.col("body")))
     return rows.filter("is").select(
         "doc_id", F.row_number().over(order).alias("seq"), F.coalesce(F.get(parts, 0), without_date(F.col("body"))).alias("credential"),
-        F.coalesce(F.get(parts, 1), F.col("below"), F.col("over")).alias("institution"), date_range(F.col("body")).alias("dates"), "line_no",
+        F.coalesce(F.get(parts, 1), F.col("below"), F.col("over")).alias("institution"), date_range(F.col("body")).alias("dates"), "line_no", _own_line("EDUCATION"),
     )
 
 
 def projects(sectioned: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Projects (doc_id, seq, name, line_no) and their bullets (doc_id, seq, pos, bullet)."""
+    """Projects (doc_id, seq, name, line_no, provenance: up to the line above the next project's, the last one's own line; its name) and their
+    bullets (doc_id, seq, pos, bullet)."""
     order = W.partitionBy("doc_id").orderBy("line_no")
     opens = ~F.col("bullet") | (F.row_number().over(order) == 1)
     rows = of_section(sectioned, "PROJECTS").withColumn("opens", opens)
     rows = rows.withColumn("seq", F.sum(F.col("opens").cast("int")).over(order))
-    found = rows.filter("opens").select("doc_id", "seq", without_date(F.col("body")).alias("name"), "line_no")
+    name = without_date(F.col("body"))
+    next_one = F.lead("line_no").over(order)
+    found = rows.filter("opens").select("doc_id", "seq", name.alias("name"), "line_no", provenance("PROJECTS", F.col("line_no"), F.greatest(F.col("line_no"), F.coalesce(next_one - 1, F.col("line_no"))), name))
     bullets = rows.filter("not opens").select("doc_id", "seq", F.row_number().over(W.partitionBy("doc_id", "seq").orderBy("line_no")).alias("pos"), F.col("body").alias("bullet"))
     return found, bullets
 
 
 def certifications(sectioned: DataFrame) -> DataFrame:
     rows = of_section(sectioned, "CERTIFICATIONS").filter("body <> ''")
-    return rows.select("doc_id", F.row_number().over(W.partitionBy("doc_id").orderBy("line_no")).alias("seq"), F.col("body").alias("name"), "line_no")
+    return rows.select("doc_id", F.row_number().over(W.partitionBy("doc_id").orderBy("line_no")).alias("seq"), F.col("body").alias("name"), "line_no", _own_line("CERTIFICATIONS"))
 
 
 def demonstrated(skill: DataFrame, bullets: DataFrame, origin: str) -> DataFrame:
     """doc_id, name, origin, entry, quote: the first bullet of each role or project (bullets: doc_id, entry, pos, bullet) that
     mentions a listed skill as a whole term."""
-    rows = skill.select("doc_id", "name").join(bullets, "doc_id").filter(T.has_term(F.lower("bullet"), F.lower("name")))
+    names = skill.select("doc_id", "name", T.sided(F.lower("name")).alias("term"))
+    rows = names.join(bullets.withColumn("within", T.sided(F.lower("bullet"))), "doc_id").filter(F.contains("within", "term"))
     return rows.groupBy("doc_id", "name", "entry").agg(F.min_by("bullet", "pos").alias("quote")).withColumn("origin", F.lit(origin))
 
 

@@ -211,7 +211,7 @@ s2 AS (SELECT doc_id, i, p, {_S.format("name")} AS name FROM sp), s3 AS (SELECT
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, p) AS seq, name, i AS line_no FROM s3 WHERE k = 1"""
 )
 def rs03_listed_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.listed_skills(_resume(spark, sf_dir))
+    return R.listed_skills(_resume(spark, sf_dir)).drop("provenance")
 
 
 def _re2(pattern: str) -> str:
@@ -298,6 +298,28 @@ def rs14_demonstrated_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "name", "origin", F.col("entry").cast("long").alias("entry"), "quote")
 
 
+_PROVENANCE_SQL = (
+    _SKILL_SQL[: _SKILL_SQL.index("po AS (")]
+    + """po AS (SELECT *, sum(CASE WHEN NOT bullet OR r = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS seq, NOT bullet OR r = 1 AS opens_ FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM rx WHERE section = 'PROJECTS')),
+pl AS (SELECT doc_id, seq, i, body, greatest(i, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - 1, i)) AS e FROM po WHERE opens_)
+SELECT doc_id, 'EXPERIENCE' AS section, role_no::BIGINT AS seq, line_start::BIGINT AS line_start, line_end::BIGINT AS line_end, quote FROM role
+UNION ALL SELECT doc_id, 'EDUCATION', row_number() OVER (PARTITION BY doc_id ORDER BY i), i, i, s FROM rx WHERE section = 'EDUCATION' AND len(list_filter(@@, lambda w: contains(lower(body), w))) > 0
+UNION ALL SELECT doc_id, 'PROJECTS', seq, i, e, body FROM pl
+UNION ALL SELECT doc_id, 'CERTIFICATIONS', row_number() OVER (PARTITION BY doc_id ORDER BY i), i, i, s FROM rx WHERE section = 'CERTIFICATIONS' AND body <> ''
+UNION ALL SELECT doc_id, 'SKILLS', row_number() OVER (PARTITION BY doc_id ORDER BY i, p), i, i, s FROM (SELECT s3.doc_id, s3.i, s3.p, rx.s FROM s3 JOIN rx ON rx.doc_id = s3.doc_id AND rx.i = s3.i WHERE k = 1)"""
+).replace("@@", repr(R.CREDENTIALS))
+
+
+@_query(_ROLES_SQL + _PROVENANCE_SQL)
+def rs15_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RS15: section, lines and words of every entry of every kind."""
+    s = _resume(spark, sf_dir)
+    found = R.roles(s)[0].select("doc_id", F.lit("EXPERIENCE").alias("section"), F.col("role_no").alias("seq"), "line_start", "line_end", "quote")
+    for rows in (R.education(s), R.projects(s)[0], R.certifications(s), R.listed_skills(s)):
+        found = found.unionByName(rows.select("doc_id", "provenance.section", "seq", "provenance.line_start", "provenance.line_end", "provenance.quote"))
+    return found.select("doc_id", "section", *[F.col(c).cast("long").alias(c) for c in ("seq", "line_start", "line_end")], "quote")
+
+
 _HEADED_RESUME = "WITH raw AS (SELECT doc_id, 0 AS i, 'Summary' AS text FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, i + 1, line FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS i FROM (SELECT doc_id, @@ AS ls FROM documents)))".replace("@@", _LINES.format("text"))
 
 

@@ -157,3 +157,19 @@ def test_alternatives_ties_nulls_and_repeated_rows(spark):
     plan = scoring.category_results(df, spark.createDataFrame([], "analysis_id long, category string, subfactor string, value int"))._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan
     assert scoring.gathered(df.limit(0)).count() == 0 and scoring.best_alternatives(df.limit(0)).count() == 0
+
+
+def test_whole_terms_equal_the_pattern(spark):
+    """Against a pattern made of the term, with neither a letter nor a digit on its sides, over many short texts."""
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    pieces = ["c", "c++", "+", ".", ".net", " ", "é", "1", "go", "-", "_", "٣"]
+    texts = ["".join(rng.choices(pieces, k=rng.randrange(0, 7))) for _ in range(300)]
+    terms = ["c", "c++", ".net", "go", "+", "é", "c c", "-go", "1", ".", "٣"]
+    rows = spark.createDataFrame(list(itertools.product(texts, terms)), "t string, w string")
+    quoted = F.regexp_replace("w", r"([\\^$.|?*+()\[\]{}-])", r"\\$1")
+    want = F.rlike(F.col("t"), F.concat(F.lit(r"(?<![\p{L}\p{Nd}])"), quoted, F.lit(r"(?![\p{L}\p{Nd}])")))
+    got = rows.select("t", "w", T.has_term(F.col("t"), F.col("w")).alias("got"), want.alias("want")).collect()
+    assert [r for r in got if r.got != r.want] == [] and 100 < sum(r.got for r in got) < len(got)
