@@ -77,7 +77,7 @@ def scale(n: Column, low: int, middle: int, high: int) -> Column:
 
 
 def subfactors(facts: DataFrame) -> DataFrame:
-    """analysis_id, category, subfactor, value from roles, bullets, has_numbers and has_projects."""
+    """analysis_id, category, subfactor, value from facts of a resume: analysis_id, roles, bullets, has_numbers and has_projects."""
     depth = scale(F.col("bullets"), 3, 6, 10)
     outcomes = F.when(F.col("has_numbers"), 3).otherwise(1)
     values = [
@@ -88,10 +88,6 @@ def subfactors(facts: DataFrame) -> DataFrame:
     return facts.select("analysis_id", F.explode(rows).alias("s")).select("analysis_id", "s.*")
 
 
-def has_numbers(text: Column) -> Column:
-    return text.rlike(r"\d+\s*%|\d[\d,]{2,}")
-
-
 def opportunity(posting: DataFrame) -> DataFrame:
     """What the posting says of pay; growth and outlook are never claimed. No score uses it."""
     pay = F.coalesce(T.strip(F.col("compensation")), F.lit("")) != ""

@@ -92,6 +92,10 @@ def without_date(c: Column) -> Column:
     return T.strip(F.regexp_replace(F.when(raw != "", F.replace(c, raw, F.lit(" "))).otherwise(c), r"\s{2,}", "   "))
 
 
+# Shares and figures.
+NUMBERS = r"\d+\s*%|\d[\d,]{2,}"
+
+
 def _chunks(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, SEPARATOR), T.strip), lambda p: p != "")
 
@@ -173,6 +177,17 @@ def demonstrated(skill: DataFrame, bullets: DataFrame, origin: str) -> DataFrame
     return rows.groupBy("doc_id", "name", "entry").agg(F.min_by("bullet", "pos").alias("quote")).withColumn("origin", F.lit(origin))
 
 
+def facts(docs: DataFrame, role: DataFrame, bullets: DataFrame, project: DataFrame) -> DataFrame:
+    """Per document of ``docs`` (doc_id, text) what a judgement without a model goes by: how many roles and bullets it has, whether it has projects, and
+    whether it gives numbers. A document without any has none of them; each side is counted before it is joined."""
+    count = lambda rows, name: rows.groupBy("doc_id").agg(F.count("*").alias(name))
+    rows = docs.select("doc_id", F.coalesce(F.col("text").rlike(NUMBERS), F.lit(False)).alias("has_numbers"))
+    for found in (count(role, "roles"), count(bullets, "bullets"), count(project, "projects")):
+        rows = rows.join(found, "doc_id", "left")
+    zero = lambda name: F.coalesce(name, F.lit(0).cast("long"))
+    return rows.select("doc_id", zero("roles").alias("roles"), zero("bullets").alias("bullets"), "has_numbers", (zero("projects") > 0).alias("has_projects"))
+
+
 def structure_warnings(docs: DataFrame, role: DataFrame, bullets: DataFrame, sectioned: DataFrame) -> DataFrame:
     """doc_id, code, n: no roles, no sections, or so many weak roles (no title or company, no bullet, dates not sure)."""
     blank = lambda c: T.strip(F.coalesce(c, F.lit(""))) == ""

@@ -393,7 +393,9 @@ def ma04_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir).select("analysis_id", "ordinal", "status", "quote", "rationale")
 
 
-_FACTS = """WITH f AS (SELECT doc_id AS analysis_id, doc_id % 5 AS roles, doc_id % 12 AS bullets, regexp_matches(text, '\\d+\\s*%|\\d[\\d,]{2,}') AS hn, doc_id % 2 = 0 AS hp FROM documents),
+_FACTS = _ROLES_SQL + """, f AS (SELECT d.doc_id AS analysis_id, coalesce(fr.n, 0) AS roles, coalesce(fb.n, 0) AS bullets, regexp_matches(d.text, '\\d+\\s*%|\\d[\\d,]{2,}') AS hn, fp.doc_id IS NOT NULL AS hp FROM documents d
+  LEFT JOIN (SELECT doc_id, count(*) AS n FROM role GROUP BY doc_id) fr ON fr.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM bul GROUP BY doc_id) fb ON fb.doc_id = d.doc_id
+  LEFT JOIN (SELECT DISTINCT doc_id FROM rx WHERE section = 'PROJECTS') fp ON fp.doc_id = d.doc_id),
 g AS (SELECT *, CASE WHEN bullets >= 10 THEN 4 WHEN bullets >= 6 THEN 3 WHEN bullets >= 3 THEN 2 WHEN bullets > 0 THEN 1 ELSE 0 END AS depth, CASE WHEN hn THEN 3 ELSE 1 END AS outcomes,
   CASE WHEN bullets >= 9 THEN 4 WHEN bullets >= 5 THEN 3 WHEN bullets >= 2 THEN 2 WHEN bullets > 0 THEN 1 ELSE 0 END AS delivery,
   CASE WHEN roles >= 3 THEN 4 WHEN roles >= 2 THEN 3 WHEN roles >= 1 THEN 2 ELSE 0 END AS consistent, CASE WHEN roles >= 4 THEN 4 WHEN roles >= 2 THEN 3 WHEN roles >= 1 THEN 2 ELSE 0 END AS scope FROM f)
@@ -401,11 +403,16 @@ SELECT analysis_id, unnest(['specificity', 'outcomes', 'depth', 'recency', 'cons
   unnest([depth, outcomes, CASE WHEN hp THEN least(depth + 1, 4) ELSE depth END, 2, consistent, 2, depth, delivery, scope, outcomes, 1]) AS value FROM g"""
 
 
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _resume(spark, sf_dir)
+    found, bullets, _ = R.roles(s)
+    return R.facts(table(spark, sf_dir, "documents"), found, bullets, R.projects(s)[0]).withColumnRenamed("doc_id", "analysis_id")
+
+
 @_query(_FACTS)
 def ma06_subfactors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MA5, MA6: roles and bullets are derived from ids, numbers from the text."""
-    d = table(spark, sf_dir, "documents")
-    facts = d.select(F.col("doc_id").alias("analysis_id"), (F.col("doc_id") % 5).alias("roles"), (F.col("doc_id") % 12).alias("bullets"), M.has_numbers(F.col("text")).alias("has_numbers"), (F.col("doc_id") % 2 == 0).alias("has_projects"))
+    """MA5, MA6, from the roles, bullets and projects that RS4-RS12 find in each document."""
+    facts = _facts(spark, sf_dir)
     return M.subfactors(facts).select("analysis_id", "subfactor", "value")
 
 
@@ -468,9 +475,8 @@ def ma10_judged_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = validation.requirements_of(validation.validate(answers))
     quotes = rows.select("analysis_id", (F.col("analysis_id") + F.col("analysis_id") % 2).alias("resume_id"), F.col("id").alias("requirement_id"), F.posexplode("evidence.resumeQuote").alias("pos", "quote"))
     found = grounding.ground(quotes, d.select(F.col("doc_id").alias("resume_id"), "text"))
-    facts = d.select(F.col("doc_id").alias("analysis_id"), (F.col("doc_id") % 5).alias("roles"), (F.col("doc_id") % 12).alias("bullets"), M.has_numbers(F.col("text")).alias("has_numbers"), (F.col("doc_id") % 2 == 0).alias("has_projects"))
     resumes = d.select(F.col("doc_id").alias("analysis_id"), F.length("text").alias("resume_chars"), F.lit(False).alias("high_warning"))
-    decided = scoring.decisions(grounding.keep_supported(rows, found), M.subfactors(facts), resumes, found)
+    decided = scoring.decisions(grounding.keep_supported(rows, found), M.subfactors(_facts(spark, sf_dir)), resumes, found)
     return decided.select("analysis_id", (F.col("capped") / 10).alias("score"), "label", "tier", "confidence", "recommendation", "n", "quotes", "dropped")
 
 # The names under which these stood while others returned a part only.

@@ -173,3 +173,23 @@ def test_whole_terms_equal_the_pattern(spark):
     want = F.rlike(F.col("t"), F.concat(F.lit(r"(?<![\p{L}\p{Nd}])"), quoted, F.lit(r"(?![\p{L}\p{Nd}])")))
     got = rows.select("t", "w", T.has_term(F.col("t"), F.col("w")).alias("got"), want.alias("want")).collect()
     assert [r for r in got if r.got != r.want] == [] and 100 < sum(r.got for r in got) < len(got)
+
+
+def test_facts_of_a_resume(spark):
+    docs = spark.createDataFrame([(1, "grew sales by 40 %"), (2, None), (3, "no figures")], "doc_id long, text string")
+    role = spark.createDataFrame([(1, 1), (1, 2), (3, 1)], "doc_id long, role_no int")
+    bullets = spark.createDataFrame([(1, 1, "a"), (1, 1, "a"), (1, 2, "b")], "doc_id long, role_no int, bullet string")
+    project = spark.createDataFrame([(3, "p")], "doc_id long, name string")
+    got = {tuple(r) for r in resume.facts(docs, role, bullets, project).collect()}
+    assert got == {(1, 2, 3, True, False), (2, 0, 0, False, False), (3, 1, 0, False, True)}
+    assert resume.facts(docs.limit(0), role, bullets, project).count() == 0
+
+
+def test_provenance_of_entries(spark):
+    lines = ["Ann", "Education", "  BSc Physics, Leeds  2010 - 2013", "Projects", "Solver", "- solves", "Parser", "- parses", "Certifications", "* CKA ", "Skills", "Tools: SQL, Go"]
+    s = resume.sections(spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "doc_id long, line_no int, text string"))
+    at = lambda rows: sorted(tuple(r.provenance) for r in rows.collect())
+    assert at(resume.education(s)) == [("EDUCATION", 2, 2, "BSc Physics, Leeds  2010 - 2013")]
+    assert at(resume.projects(s)[0]) == [("PROJECTS", 4, 5, "Solver"), ("PROJECTS", 6, 6, "Parser")]
+    assert at(resume.certifications(s)) == [("CERTIFICATIONS", 9, 9, "* CKA")]
+    assert at(resume.listed_skills(s)) == [("SKILLS", 11, 11, "Tools: SQL, Go")] * 2
