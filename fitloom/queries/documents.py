@@ -126,8 +126,8 @@ def io06_one_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as three pages of equal numbers of lines, the first line on each page of some."""
-    rows = _docs(spark, sf_dir).filter("text <> ''").select("doc_id", T.lines(F.col("text")).alias("ls"))
+    """Documents as three pages of equal numbers of lines, the first line on each page of some; null and empty texts as three empty pages."""
+    rows = _docs(spark, sf_dir).select("doc_id", T.lines(F.coalesce("text", F.lit(""))).alias("ls"))
     third = F.ceil(F.size("ls") / 3).cast("int")
     rows = rows.select("doc_id", "ls", third.alias("third"), F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("p"))
     body = F.slice("ls", F.col("p") * F.col("third") + 1, F.col("third"))
@@ -135,7 +135,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (F.col("p") + 1).alias("page_no"), F.array_join(F.concat(head, body), "\n").alias("text"), (F.col("doc_id") % 4 == 0).alias("has_images"))
 
 
-_PAGES = rf"""WITH dl AS (SELECT doc_id, {_LINES.format("text")} AS ls, ceil(len({_LINES.format("text")}) / 3)::INTEGER AS third FROM documents WHERE text <> ''),
+_PAGES = rf"""WITH dl AS (SELECT doc_id, ls, ceil(len(ls) / 3)::INTEGER AS third FROM (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN [] ELSE {_LINES.format("text")} END AS ls FROM documents)),
 pg AS (SELECT doc_id, p + 1 AS page_no, array_to_string(list_concat(CASE WHEN doc_id % 5 = 0 THEN ls[1:1] ELSE [] END, ls[p * third + 1 : (p + 1) * third]), chr(10)) AS text, doc_id % 4 = 0 AS has_images
   FROM dl CROSS JOIN (VALUES (0), (1), (2)) x(p)) """
 
