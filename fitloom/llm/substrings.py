@@ -10,8 +10,8 @@
 3. Automata. A shard's rows come in chunks. A window is a phrase if two documents have it (by a 64-bit hash of its words). The
    phrases, each with its first document, are compiled into Aho-Corasick automata of at most ``PHRASES``; in an automaton a word
    is one character, numbered by its text, so a phrase takes ``window`` nodes. The chunk's distinct segments are streamed through,
-   and what an automaton matches, word by word, in a later document than the phrase's first is removed: a chance equality of hashes
-   compiles a phrase too many, but removes nothing.
+   and what an automaton matches, word by word, in a later document than the phrase's first is removed. Two
+   windows of one anchor whose hashes are equal by chance (odds of pairs over 2^64) would share the earlier one's first document.
 4. The ranges found meet the documents again, and their words are cut out of the whole texts.
 
 Skew: anchors that hold more than ``1 / HOT_SHARE`` of all anchors (at most that many can) are sent window by window, and
