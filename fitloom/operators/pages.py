@@ -25,11 +25,13 @@ BOARDS = [
     ("ASHBY", ["jobs.ashbyhq.com"]),
     ("WORKDAY", [".myworkdayjobs.com", ".myworkdaysite.com"]),
 ]
+# Content types that are read, elements that are left out, and elements that break lines.
 CONTENT_TYPES = ["text/html", "application/xhtml+xml", "text/plain"]
 NOISE = ["script", "style", "noscript", "iframe", "svg", "template", "nav", "header", "footer", "aside", "form"]
 BLOCKS = "p|div|h[1-6]|ul|ol|section|article|main|body|html|table|tr|blockquote|pre|dl|dt|dd|hr|address|figure|figcaption|header|footer|fieldset|form|nav|aside|head|title"
 # Entities and what they stand for; the ampersand comes last.
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")]
+# Titles and phrases of pages that ask for a human.
 BOT_TITLES = [
     "just a moment", "attention required", "access denied", "access to this page has been denied", "are you a robot", "are you a human", "verify you are human",
     "security check", "checking your browser", "captcha", "unusual traffic", "request blocked", "bot verification", "pardon our interruption", "human verification",
@@ -38,6 +40,7 @@ BOT_PHRASES = [
     "enable javascript and cookies to continue", "verify you are a human", "verifying you are human", "complete the security check",
     "unusual traffic from your", "your request has been blocked", "detected unusual activity", "please enable cookies", "ray id",
 ]
+# Titles and phrases of pages that ask for a login.
 LOGIN_TITLES = ["sign in", "log in", "login", "signin", "authentication required"]
 LOGIN_PHRASES = ["sign in to continue", "log in to continue", "sign in to view", "log in to view", "please sign in", "please log in", "you must be signed in", "create an account to view"]
 USABLE, MAX_BYTES, MAX_MS, MAX_HOPS = 200, 2 << 20, 10_000, 3

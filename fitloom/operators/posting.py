@@ -29,12 +29,16 @@ HEADINGS = {
     ],
     "COMPENSATION": ["compensation", "salary", "pay range", "salary range", "compensation and benefits"],
 }
+# Labels that stand alone on a line.
 BARE_LABELS = ["job description", "description", "job title", "title", "position", "role", "overview", "job details", "about the job", "about this role", "summary", "job summary", "job post"]
+# Words that name a role.
 ROLE_WORDS = [
     "engineer", "developer", "designer", "manager", "analyst", "architect", "scientist", "consultant", "specialist", "administrator", "technician", "intern", "junior", "senior",
     "intermediate", "staff", "principal", "lead", "full stack", "full-stack", "frontend", "front-end", "backend", "back-end", "devops", "programmer",
 ]
+# What marks an item as optional.
 OPTIONAL_MARKERS = ["(preferred)", "(nice to have)", "(a plus)", "(bonus)", "(optional)", "nice to have", "is a plus", "are a plus", "bonus points", "would be an asset", "is an asset", "preferred but not required"]
+# The forms of a label with its field, of what parts fields, of employment types and of pay.
 LABELLED = r"^([A-Za-z][A-Za-z /]{1,24}?)\s*:\s*(.*)$"
 SEPARATOR = r"\s*(?:—|–|\||·|\s{3,}|,\s+(?=[A-Z][a-z]+,\s*[A-Z]{2}\b))\s*"
 EMPLOYMENT = r"(?i)\b(full[\s-]?time|part[\s-]?time|contract|internship|intern|temporary|permanent|freelance)\b"
@@ -44,6 +48,7 @@ PAY = (
 )
 BULLET = r"^-\s+"
 MAX_HEADING, HEADER_LINES, MAX_FIELD = 60, 8, 120
+# Fields by their labels.
 LABELS = {
     "title": ["job title", "title", "position", "role"],
     "company": ["company", "employer", "organisation", "organization"],

@@ -17,7 +17,9 @@ SECTIONS = {
     "PROJECTS": ["projects", "selected projects", "personal projects", "side projects", "notable projects"],
     "CERTIFICATIONS": ["certifications", "certificates", "licenses", "licences", "credentials"],
 }
+# Words that name a credential.
 CREDENTIALS = ["bachelor", "master", "b.sc", "bsc", "b.a", "b.eng", "beng", "m.sc", "msc", "mba", "ph.d", "phd", "doctorate", "diploma", "certificate", "associate", "degree"]
+# Months, and the forms of dates, of ranges of dates and of what parts fields.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 ENDPOINT = r"(?:(?:[A-Za-z]{3,9}\.?\s+\d{4})|(?:\d{1,2}[/.-]\d{4})|(?:\d{4}))"
 PRESENT = r"(?:present|current|now|ongoing)"
