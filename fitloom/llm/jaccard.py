@@ -13,7 +13,9 @@ Sets equal to each other are one node. Distances are sizes of symmetric differen
      linked with the core, the member nearest to the consensus;
    - every other link has common differences, so only lists of differences are read, and for members that the core doesn't answer for.
      How many must be common follows from both differences' sizes; so a member stands in the lists of its rarest ones only, and
-     what many members have in common (such as the loss of one shingle of the original) brings few of them together.
+     what many members have in common (such as the loss of one shingle of the original) brings few of them together;
+   - members that share so many differences that those alone bring them together (another version of a template) become a family
+     of their own, about their own consensus.
    A group of n near copies costs about the size of its differences.
 3. Lists. A list has a row per family, not per set. Rows stand in the order of size; a row reads only the range of sizes that its
    size and position allow, in blocks, and a block whose positions are all too late is skipped whole. Families with one
@@ -32,17 +34,19 @@ doc_id must be an integer.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fitloom.llm.graph import components
-from fitloom.llm.rows import lean, packed, small, spread
+from fitloom.llm.rows import is_small, lean, packed, small, spread
+from fitloom.llm.sift import sifted
 from fitloom.llm.textarrays import BASE, INVERSE, Powers, Texts, gram_ok, grams, mix, texts_of
 from fitloom.plans.scratch import Scratch
 
@@ -56,6 +60,10 @@ KEYS, WIDE = 4, 3
 BLOCK, PAIRS = 64, 400_000
 #: Powers of two of buckets that count shingles: a byte for each is broadcast, 16 MB at most.
 BUCKETS = (16, 24)
+#: Members of a group that becomes a family of its own, at least, and rounds of that.
+SPLIT, ROUNDS = 32, 8
+#: Tasks whose counts are summed before the others'.
+TASKS = 256
 NO_ID = -(1 << 63)
 #: Common differences that a loose set shares with any partner at least.
 LOOSE = "greatest(1L, CAST(ceil((f + f0) / {}) AS long))"
@@ -108,7 +116,10 @@ def bit_distance(x: bytes, y: bytes) -> int:
 
 
 def _levels(docs: DataFrame, k: int) -> np.ndarray:
-    """Of each bucket of shingles, the bits of its count over all documents: 0 for none, 1 for one, 14 from 8192 on."""
+    """Of each bucket of shingles, the bits of its count over all documents: 0 for none, 1 for one, 14 from 8192 to 16383, and so on.
+
+    A task sends its counts as blocks of single bytes, the lowest of each count, then the next where one isn't 0. Blocks of ``TASKS`` tasks are
+    summed first, then those sums; both go through the rows one by one, so a task never holds more than one block's total."""
     bits = int(min(BUCKETS[1], max(BUCKETS[0], int(max(1, docs.count())).bit_length() + 2)))
     part = 1 << 12
 
@@ -120,22 +131,47 @@ def _levels(docs: DataFrame, k: int) -> np.ndarray:
                 at, n = np.unique(g >> np.uint64(64 - bits), return_counts=True)
                 counts[at] += n.astype(np.uint32)
         blocks = counts.reshape(-1, part)
-        some = np.flatnonzero(blocks.any(axis=1))
-        for i in range(0, len(some), 64):
-            yield pa.RecordBatch.from_arrays([pa.array(some[i : i + 64]), pa.array([blocks[b].tobytes() for b in some[i : i + 64]])], ["block", "counts"])
-
-    def added(table: pa.Table) -> pa.Table:
-        total = np.zeros(part, np.int64)
-        for counts in table.column("counts"):
-            total += np.frombuffer(counts.as_buffer(), np.uint32)
-        level = np.frompyfunc(lambda n: int(n).bit_length(), 1, 1)(total).astype(np.uint8)
-        return pa.table({"block": table.column("block")[:1], "levels": pa.array([level.tobytes()], pa.binary())})
-
-    found = docs.select("text").mapInArrow(run, "block bigint, counts binary").groupBy("block").applyInArrow(added, "block bigint, levels binary")
-    levels = np.zeros((1 << bits) // part * part, np.uint8).reshape(-1, part)
-    for row in found.toLocalIterator():
-        levels[row["block"]] = np.frombuffer(row["levels"], np.uint8)
-    return levels.reshape(-1)
+        yield from sent((TaskContext.get().partitionId() // TASKS, b, blocks[b].astype(np.int64)) for b in np.flatnonzero(blocks.any(axis=1)).tolist())
+
+    def sent(totals: Iterable[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[int, int, int, bytes]] = []
+        for some, block, total in totals:
+            for byte in range(8):
+                plane = (total >> (8 * byte)).astype(np.uint8)
+                if not byte or plane.any():
+                    rows.append((some, block, byte, plane.tobytes()))
+            if len(rows) >= 256:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def totals() -> Iterator[tuple[int, int, np.ndarray]]:
+            last, total = None, np.zeros(part, np.int64)
+            for batch in batches:
+                for some, block, byte, counts in zip(*(batch.column(c) for c in names)):
+                    at = (some.as_py(), block.as_py())
+                    if at != last:
+                        if last is not None:
+                            yield *last, total
+                        last, total = at, np.zeros(part, np.int64)
+                    total += np.frombuffer(counts.as_buffer(), np.uint8).astype(np.int64) << (8 * byte.as_py())
+            if last is not None:
+                yield *last, total
+
+        yield from sent(totals())
+
+    kinds = "some bigint, block bigint, byte bigint, counts binary"
+    names = ["some", "block", "byte", "counts"]
+    sums = docs.select("text").mapInArrow(run, kinds)
+    sums = sums.repartition("some", "block").sortWithinPartitions("some", "block").mapInArrow(added, kinds).withColumn("some", F.lit(0).cast("long"))
+    sums = sums.repartition("block").sortWithinPartitions("block").mapInArrow(added, kinds)
+    totals = np.zeros(1 << bits, np.int64).reshape(-1, part)
+    for row in sums.toLocalIterator():
+        totals[row["block"]] += np.frombuffer(row["counts"], np.uint8).astype(np.int64) << (8 * row["byte"])
+    # The exponent of a count is its number of bits; counts are below 2^53.
+    return np.frexp(totals.reshape(-1).astype(np.float64))[1].astype(np.uint8)
 
 
 def _sketches(docs: DataFrame, k: int, num: int, den: int, levels: np.ndarray) -> DataFrame:
@@ -180,11 +216,16 @@ def _sketches(docs: DataFrame, k: int, num: int, den: int, levels: np.ndarray) -
     return rows.mapInArrow(run, "doc_id bigint, h bigint, n int, node bigint, keys array<bigint>, prefix array<bigint>, cold int, bits binary")
 
 
+def _met(rows: DataFrame, wanted: DataFrame, how: str) -> DataFrame:
+    """rows (doc, h, and others) joined with wanted by (doc, h); texts that nothing meets are not shuffled for it."""
+    return rows.join(F.broadcast(wanted), ["doc", "h"], how) if is_small(wanted) else sifted(rows, wanted, ["doc", "h"], how)
+
+
 def _whole(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """wanted (doc, h, and others) with the whole set of that row of ``docs``."""
     names = [c for c in wanted.columns if c not in ("doc", "h")]
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("h"), "text")
-    rows = rows.join(small(wanted), ["doc", "h"]).select(*names, "text")
+    rows = _met(rows, wanted, "inner").select(*names, "text")
     schema = T.StructType([*(wanted.schema[c] for c in names), T.StructField("set", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,9 +322,50 @@ class Families:
         size = F.size("diff")
         members = members.withColumn("f", (size * total - F.col("n") * free).cast("long")).withColumn("far", (size * total + F.col("n") * free).cast("long"))
         self.members = self.scratch.keep(members, "members")
-        self.about = self.scratch.keep(
-            self.members.groupBy("fam").agg(F.count("*").alias("size"), F.min("f").alias("f0"), F.min_by("node", F.struct("f", "node")).alias("core"), F.max("far").alias("most_far"), F.max("reach").alias("reach")), "families"
+        self._told("families")
+        self._split()
+
+    def _told(self, name: str) -> None:
+        """about: of each family its size, f0 (the core's f), core, most_far and reach."""
+        about = self.members.groupBy("fam").agg(
+            F.count("*").alias("size"), F.min("f").alias("f0"), F.min_by("node", F.struct("f", "node")).alias("core"), F.max("far").alias("most_far"), F.max("reach").alias("reach")
         )
+        self.about = self.scratch.keep(about, name)
+
+    def _split(self) -> None:
+        """Members that the core doesn't answer for and that share enough differences to meet in lists by those alone become families of
+        their own, about their own consensus: what they share is no difference there, and lists between families find what links them
+        with others. Only groups that pay: of the square root of their family, and ``SPLIT``, members at least. A family's root stays."""
+        total, free, pays = self.total, self.free, "greatest({}, sqrt(size))".format(SPLIT)
+        for i in range(ROUNDS):
+            loose = self.members.join(self.about.select("fam", "f0", "size"), "fam").filter("f + f0 > 0 AND node <> fam")
+            tokens = loose.select("fam", "node", "size", F.explode("diff").alias("token"))
+            often = tokens.groupBy("fam", "token").agg(F.count("*").alias("freq"), F.first("size").alias("size")).filter(f"freq >= {pays}").drop("size")
+            often = self.scratch.keep(often, f"often-{i}")
+            if often.isEmpty():
+                return
+            chosen = tokens.join(often, ["fam", "token"]).groupBy("fam", "node").agg(F.max(F.struct("freq", "token")).getField("token").alias("by"))
+            loose = self.scratch.keep(loose.join(chosen, ["fam", "node"]), f"loose-{i}")
+            sizes = loose.groupBy("fam", "by").agg(F.count("*").alias("all"), F.first("size").alias("size")).filter(f"all >= {pays}")
+            common = loose.select("fam", "by", F.explode("diff").alias("token")).groupBy("fam", "by", "token").count().join(sizes, ["fam", "by"])
+            common = common.filter("2 * count > all").groupBy("fam", "by").agg(F.collect_list("token").alias("common"))
+            moved = loose.join(common, ["fam", "by"]).withColumn("less", _xor("diff", "common"))
+            moved = moved.filter(f"size(array_intersect(diff, common)) >= {LOOSE.format(2 * total)} AND size(less) < size(diff)")
+            moved = self.scratch.keep(moved.select("fam", "by", "node", "n", "size", F.col("less").alias("diff")), f"moved-{i}")
+            first = F.struct(F.size("diff").alias("k"), "node", F.col("diff").alias("flip"))
+            heads = moved.groupBy("fam", "by").agg(F.count("*").alias("all"), F.first("size").alias("size"), F.min(first).alias("head")).filter(f"all >= {pays}")
+            heads = self.scratch.keep(heads.select("fam", "by", F.col("head.node").alias("root"), F.col("head.flip").alias("flip")), f"heads-{i}")
+            if heads.isEmpty():
+                return
+            new = moved.join(heads, ["fam", "by"]).select("node", F.col("root").alias("fam"), "n", "diff", "flip")
+            new = new.withColumn("reach", F.size(_xor("diff", "flip")) * total + F.col("n") * free).drop("flip")
+            size = F.size("diff")
+            new = new.withColumn("f", (size * total - F.col("n") * free).cast("long")).withColumn("far", (size * total + F.col("n") * free).cast("long"))
+            new = self.scratch.keep(new, f"new-{i}")
+            stay = self.members.join(new.select("node"), "node", "left_anti")
+            self.members = self.scratch.keep(stay.select(*new.columns).unionByName(new), f"members-{i}")
+            self.turned = self.scratch.keep(self.turned.unionByName(heads.select(F.col("root").alias("fam"), "flip")), f"turned-{i}")
+            self._told(f"families-{i}")
 
     def _ranked(self, rows: DataFrame, least: str, freq: DataFrame) -> DataFrame:
         """fam, node, f, size and token of the differences that a set must share one of with every partner: those that come first in
@@ -504,6 +586,6 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     several = found.join(best, "class")
     gone = several.filter(F.struct("doc", "h") != F.struct("best.doc", "best.h")).select("doc", "h").distinct()
     again = several.groupBy("doc", "h").count().filter("count > 1").select("doc", "h")
-    rows = packed(docs, doc=key[0], h=key[1]).join(small(gone), ["doc", "h"], "left_anti")
-    one = rows.join(small(again), ["doc", "h"], "left_semi").groupBy("doc", "h").agg(F.min_by("row", F.to_json("row")).alias("row"))
-    return spread(rows.join(small(again), ["doc", "h"], "left_anti").select("row").unionByName(one.select("row")), docs)
+    rows = _met(packed(docs, doc=key[0], h=key[1]), gone, "left_anti")
+    one = _met(rows, again, "left_semi").groupBy("doc", "h").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return spread(_met(rows, again, "left_anti").select("row").union(one.select("row")), docs)

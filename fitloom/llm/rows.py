@@ -39,8 +39,8 @@ def spread(rows: DataFrame, docs: DataFrame, **added: Column) -> DataFrame:
     return rows.select(*[F.col("row").getField(c).alias(c) for c in own], *[c.alias(n) for n, c in added.items()])
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df``, marked for broadcast if it has few rows and few bytes."""
+def is_small(df: DataFrame) -> bool:
+    """Whether ``df`` has few rows and few bytes."""
 
     def size(name: str, kind: str) -> Column:
         c = F.col(name)
@@ -52,4 +52,9 @@ def small(df: DataFrame) -> DataFrame:
 
     total = sum((size(c, kind) for c, kind in df.dtypes), F.lit(16)).cast("long")
     n, size_of = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(total), F.lit(0))).first()
-    return F.broadcast(df) if n <= BROADCAST_ROWS and size_of <= BROADCAST_BYTES else df
+    return n <= BROADCAST_ROWS and size_of <= BROADCAST_BYTES
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcast if it has few rows and few bytes."""
+    return F.broadcast(df) if is_small(df) else df
