@@ -35,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fitloom.llm.rows import lean, packed, row_field, small, spread
+from fitloom.llm.rows import lean, packed, row_field, spread
+from fitloom.llm.sift import sifted
 from fitloom.llm.textarrays import BASE, INVERSE, SPACE, Powers, Texts, gram_ok, grams, mix, split, texts_of
 from fitloom.plans.scratch import Scratch
 
@@ -306,12 +307,8 @@ def _cut(text: bytes, ranges: list[dict] | None) -> tuple[int, int, bytes, bytes
 def _removed(docs: DataFrame, window: int, spaced: bool) -> DataFrame:
     """row and dedup."""
     ranges = repeated_ranges(docs, window)
-    # Only documents with ranges are shuffled to meet them.
-    key = ["doc_id", "h"]
-    ids, rows = small(ranges.select(*key)), packed(docs, doc_id=F.col("doc_id"), h=F.xxhash64("text"))
-    none = F.lit(None).cast(ranges.schema["ranges"].dataType).alias("ranges")
-    whole = rows.join(ids, key, "left_anti").select("row", none)
-    rows = rows.join(ids, key, "left_semi").join(ranges, key, "left").select("row", "ranges").unionByName(whole)
+    # Only documents that may have ranges are shuffled to meet them, however many those are.
+    rows = sifted(packed(docs, doc_id=F.col("doc_id"), h=F.xxhash64("text")), ranges, ["doc_id", "h"], "left").select("row", "ranges")
     kind = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
