@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -51,18 +52,26 @@ def requirement_table(listed: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def in_one(sentences: Column) -> Column:
+    """Sentences in lower case, joined; a term holds no control character, so its first place tells the first sentence that has it."""
+    return F.array_join(F.transform(sentences, lambda s: F.replace(F.lower(s), F.lit(BREAK), F.lit(" "))), BREAK)
+
+
+def first_with(terms: Column, sentences: Column, joined: Column) -> Column:
+    """The first of ``sentences`` (``joined`` by ``in_one``) with any of ``terms``; null if there is none."""
+    first = F.array_min(F.filter(F.transform(terms, lambda t: F.instr(joined, t)), lambda p: p > 0))
+    before = F.length(F.regexp_replace(F.substr(joined, F.lit(1), first - 1), f"[^{BREAK}]+", ""))
+    return F.when(first.isNotNull(), F.get(sentences, before))
+
+
 def match_evidence(requirement: DataFrame, resumes: DataFrame, unsure: Column) -> DataFrame:
     """``requirement`` with status, relation, strength, quote and rationale: the first sentence of the resume (resume_id, text)
     with any distinctive term of the requirement. Sentences are lower-cased and joined once per resume, and stay in its row; each term is
     looked up once."""
     known = resumes.select("resume_id", T.sentences(F.col("text")).alias("sentences"))
-    # Terms hold no control character, so the first place of any term in the joined sentences tells the first sentence with one.
-    joined = F.array_join(F.transform("sentences", lambda s: F.replace(F.lower(s), F.lit(BREAK), F.lit(" "))), BREAK)
-    known = known.withColumn("joined", joined)
+    known = known.withColumn("joined", in_one(F.col("sentences")))
     rows = requirement.withColumn("terms", T.distinctive_terms(F.col("text"))).join(known, "resume_id", "left")
-    first = F.array_min(F.filter(F.transform("terms", lambda t: F.instr("joined", t)), lambda p: p > 0))
-    before = F.length(F.regexp_replace(F.substr("joined", F.lit(1), first - 1), f"[^{BREAK}]+", ""))
-    rows = rows.withColumn("quote", F.when(first.isNotNull(), F.get("sentences", before))).drop("sentences", "joined", "terms")
+    rows = rows.withColumn("quote", first_with(F.col("terms"), F.col("sentences"), F.col("joined"))).drop("sentences", "joined", "terms")
     there = F.col("quote").isNotNull()
     return (
         rows.withColumn("status", F.when(there, "STRONG_MATCH").otherwise("UNKNOWN"))
@@ -104,18 +113,23 @@ def guidance(judged: DataFrame) -> DataFrame:
 
 def prompts(pairs: DataFrame, template: str, rules: dict[str, dict[str, str]]) -> DataFrame:
     """``pairs`` with prompt: the template's ``{{name}}`` filled with columns, a fence of the row's own, and the texts that
-    ``rules`` gives for a column's value; rows with a name left over are marked by ok."""
-    text = F.replace(F.lit(template), F.lit("{{nonce}}"), F.substring(F.sha2(F.col("analysis_id").cast("string"), 256), 1, 16))
-    for name, by_value in rules.items():
-        said = F.create_map(*[F.lit(x) for pair in by_value.items() for x in pair])
-        text = F.replace(text, F.lit(f"{{{{{name}}}}}"), F.coalesce(F.try_element_at(said, F.col(name)), F.lit("")))
-    own = [c for c in pairs.columns if f"{{{{{c}}}}}" in template and c not in rules]
-    for c in own:
-        text = F.replace(text, F.lit(f"{{{{{c}}}}}"), F.coalesce(F.col(c).cast("string"), F.lit("")))
-    left = template
-    for c in [*own, *rules, "nonce"]:
-        left = left.replace(f"{{{{{c}}}}}", "")
-    return pairs.withColumn("prompt", text).withColumn("ok", F.lit("{{" not in left))
+    ``rules`` gives for a column's value; rows with a name left over are marked by ok. The template is filled in one pass, so braces inside a
+    column's text stay what they are."""
+    parts, ok = [], True
+    for i, part in enumerate(re.split(r"\{\{(\w+)\}\}", template)):
+        if i % 2 == 0:
+            parts.append(F.lit(part))
+        elif part == "nonce":
+            parts.append(F.substring(F.sha2(F.col("analysis_id").cast("string"), 256), 1, 16))
+        elif part in rules:
+            said = F.create_map(*[F.lit(x) for pair in rules[part].items() for x in pair])
+            parts.append(F.coalesce(F.try_element_at(said, F.col(part)), F.lit("")))
+        elif part in pairs.columns:
+            parts.append(F.coalesce(F.col(part).cast("string"), F.lit("")))
+        else:
+            parts.append(F.lit(f"{{{{{part}}}}}"))
+            ok = False
+    return pairs.withColumn("prompt", F.concat(*parts)).withColumn("ok", F.lit(ok and "{{" not in re.sub(r"\{\{\w+\}\}", "", template)))
 
 
 def judge(prompt: DataFrame, provider: Callable[[DataFrame], DataFrame]) -> DataFrame:

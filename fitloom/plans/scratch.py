@@ -39,9 +39,9 @@ class Scratch:
         if _open:
             _open[-1].append(self)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return what reads it."""
-        df.write.parquet(f"{self.path}/{name}")
+    def keep(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        """Write ``df`` and return what reads it; with a folder for each value of the columns ``by``, where such are named."""
+        df.write.partitionBy(*by).parquet(f"{self.path}/{name}")
         self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 

@@ -160,8 +160,10 @@ _ANCHORS = " ".join(
 _MEANING = "CASE " + " ".join(f"WHEN capped >= {low} THEN '{meaning}'" for low, _, meaning in rubric.BANDS) + " END"
 _LABEL = "CASE " + " ".join(f"WHEN {{0}} >= {low} THEN '{label}'" for low, label, _ in rubric.BANDS) + " END"
 #: The chain of tables that every statement below selects from.
-REQUIREMENT_SQL = f"""
-WITH rq0 AS (
+SUBS_SQL = f"""subs(k, category, subfactor, w) AS (VALUES {_SUBS}),
+"""
+#: The order and line item tables as ids, rq, subs, sf, ev and rs, which the rubric reads.
+_ORDERS_SQL = f"""rq0 AS (
   SELECT l_orderkey AS analysis_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax) AS ordinal, * FROM lineitem),
 rq1 AS (SELECT analysis_id, ordinal, 'req-' || ordinal AS id,
   'Work with tool' || (l_partkey % 40) || CASE WHEN l_suppkey % 11 = 0 THEN ' as a lead' WHEN l_suppkey % 13 = 0 THEN ' to mentor others' ELSE '' END AS text,
@@ -181,7 +183,13 @@ hit AS (SELECT DISTINCT r.analysis_id, r.ordinal FROM rq1 r JOIN lonly o ON o.an
 rq AS (SELECT r.*, CASE WHEN h.ordinal IS NOT NULL AND kind = 'TECHNICAL' AND strength0 IN ('STRONG', 'MODERATE') THEN 'WEAK' ELSE strength0 END AS strength,
   'As judged.' || CASE WHEN h.ordinal IS NOT NULL AND kind = 'TECHNICAL' AND strength0 IN ('STRONG', 'MODERATE') THEN '{scoring.CAP_NOTE}' ELSE '' END AS rationale
   FROM rq1 r LEFT JOIN hit h ON h.analysis_id = r.analysis_id AND h.ordinal = r.ordinal),
-cr AS (SELECT *, CASE WHEN importance = 'REQUIRED' THEN 100 ELSE 35 END * CASE WHEN criticality = 'CORE' THEN 150 ELSE 100 END AS weight4,
+{SUBS_SQL}sf AS (SELECT o_orderkey AS analysis_id, category, subfactor, w, (o_orderkey * 7 + k * 3) % 5 AS value FROM orders, subs WHERE (o_orderkey + k) % 6 <> 0),
+ev AS (SELECT analysis_id, ordinal, id AS requirement_id, relation, primary_category, pos, 'quote ' || ordinal || '.' || pos AS quote, (analysis_id + ordinal + pos) % 7 <> 0 AS grounded
+  FROM (SELECT *, unnest(range(0, quotes % 2 + 1)) AS pos FROM rq WHERE status IN ('STRONG_MATCH', 'PARTIAL_MATCH'))),
+rs AS (SELECT analysis_id, analysis_id * 37 % 5000 AS chars, analysis_id % 16 = 3 AS high FROM ids),
+"""
+#: From ids, rq, subs, sf, ev (analysis_id, grounded, ...) and rs (analysis_id, chars, high) to d, one row per analysis.
+RUBRIC_SQL = f"""cr AS (SELECT *, CASE WHEN importance = 'REQUIRED' THEN 100 ELSE 35 END * CASE WHEN criticality = 'CORE' THEN 150 ELSE 100 END AS weight4,
   CASE status WHEN 'STRONG_MATCH' THEN 100 WHEN 'PARTIAL_MATCH' THEN CASE WHEN relation = 'TRANSFERABLE' THEN 45 ELSE 55 END WHEN 'GAP' THEN 0 END
   * CASE strength WHEN 'MODERATE' THEN 90 WHEN 'WEAK' THEN 75 ELSE 100 END AS credit4 FROM rq),
 sc AS (SELECT *, primary_category AS category FROM cr UNION ALL SELECT *, 'REQUIRED_QUALIFICATION_COVERAGE' FROM cr WHERE importance = 'REQUIRED'),
@@ -189,9 +197,7 @@ alt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY analysis_id, ca
 rcov AS (SELECT analysis_id, category, count(credit4) AS items, count(*) - count(credit4) AS unknown,
   CASE WHEN count(credit4) >= 2 THEN ((sum(credit4 * weight4)::HUGEINT * 20000000000 + sum(CASE WHEN credit4 IS NOT NULL THEN weight4 END)::HUGEINT * 10000)
     // (2 * sum(CASE WHEN credit4 IS NOT NULL THEN weight4 END)::HUGEINT * 10000))::BIGINT END AS coverage FROM alt GROUP BY ALL),
-leads AS (SELECT analysis_id, bool_or(regexp_matches(lower(text), 'lead|mentor|manage|staff|principal')) AS leadership FROM rq1 GROUP BY analysis_id),
-subs(k, category, subfactor, w) AS (VALUES {_SUBS}),
-sf AS (SELECT o_orderkey AS analysis_id, category, subfactor, w, (o_orderkey * 7 + k * 3) % 5 AS value FROM orders, subs WHERE (o_orderkey + k) % 6 <> 0),
+leads AS (SELECT analysis_id, bool_or(regexp_matches(lower(text), 'lead|mentor|manage|staff|principal')) AS leadership FROM rq GROUP BY analysis_id),
 scov AS (SELECT sf.analysis_id, category, count(*) AS items, 0::BIGINT AS unknown,
   CASE WHEN count(*) >= 2 THEN ((sum(value * w)::HUGEINT * 20000000000 + sum(w)::HUGEINT * 4) // (2 * sum(w)::HUGEINT * 4))::BIGINT END AS coverage
   FROM sf LEFT JOIN leads l ON l.analysis_id = sf.analysis_id WHERE subfactor <> 'leadership' OR coalesce(l.leadership, false) GROUP BY ALL),
@@ -208,12 +214,10 @@ g AS (SELECT analysis_id, count(*) FILTER (WHERE gap) AS core_gaps, coalesce(str
   CASE WHEN bool_or(kind = 'LEGAL_ELIGIBILITY' AND importance = 'REQUIRED' AND status = 'GAP') THEN 'NOT_ELIGIBLE' ELSE 'UNKNOWN' END AS eligibility,
   count(*) AS n, count(*) FILTER (WHERE status = 'UNKNOWN') AS n_unknown
   FROM (SELECT *, importance = 'REQUIRED' AND criticality = 'CORE' AND status = 'GAP' AS gap FROM rq) GROUP BY analysis_id),
-ev AS (SELECT analysis_id, ordinal, id AS requirement_id, relation, primary_category, pos, 'quote ' || ordinal || '.' || pos AS quote, (analysis_id + ordinal + pos) % 7 <> 0 AS grounded
-  FROM (SELECT *, unnest(range(0, quotes % 2 + 1)) AS pos FROM rq WHERE status IN ('STRONG_MATCH', 'PARTIAL_MATCH'))),
 q AS (SELECT analysis_id, count(*) AS quotes, count(*) FILTER (WHERE NOT grounded) AS dropped FROM ev GROUP BY analysis_id),
-d0 AS (SELECT t.*, g.* EXCLUDE (analysis_id), coalesce(q.quotes, 0) AS quotes, coalesce(q.dropped, 0) AS dropped, t.analysis_id * 37 % 5000 AS chars, t.analysis_id % 16 = 3 AS high,
+d0 AS (SELECT t.*, g.* EXCLUDE (analysis_id), coalesce(q.quotes, 0) AS quotes, coalesce(q.dropped, 0) AS dropped, rs.chars, rs.high,
   eligibility = 'NOT_ELIGIBLE' AND total > 15 AS first_cap, CASE WHEN core_gaps = 1 THEN 34 WHEN core_gaps = 2 THEN 24 WHEN core_gaps > 2 THEN 19 END AS lim
-  FROM t JOIN g ON g.analysis_id = t.analysis_id LEFT JOIN q ON q.analysis_id = t.analysis_id),
+  FROM t JOIN g ON g.analysis_id = t.analysis_id LEFT JOIN q ON q.analysis_id = t.analysis_id LEFT JOIN rs ON rs.analysis_id = t.analysis_id),
 d1 AS (SELECT *, CASE WHEN first_cap THEN 15 ELSE total END AS after_first FROM d0),
 d2 AS (SELECT *, coalesce(after_first > lim, false) AS second_cap, CASE WHEN after_first > lim THEN lim ELSE after_first END AS capped FROM d1),
 d3 AS (SELECT *, {_LABEL.format("capped")} AS label, {_MEANING} AS meaning,
@@ -222,7 +226,9 @@ d3 AS (SELECT *, {_LABEL.format("capped")} AS label, {_MEANING} AS meaning,
     WHEN chars >= 2500 AND 100 * n_unknown <= 15 * n AND dropped = 0 AND n >= 5 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence FROM d2),
 d AS (SELECT *, CASE WHEN eligibility = 'NOT_ELIGIBLE' OR capped < 25 THEN 'LOW_PRIORITY' WHEN core_gaps > 0 OR confidence = 'LOW' OR capped < 35 THEN 'CONDITIONAL'
   WHEN capped >= 42 THEN 'STRONG_APPLY' ELSE 'APPLY' END AS recommendation FROM d3),
-adj AS (SELECT analysis_id, 1 AS seq, 'NOT_ELIGIBLE' AS rule_id, total AS before, 15 AS after, '' AS triggering_ids FROM d WHERE first_cap
+"""
+REQUIREMENT_SQL = f"""
+WITH {_ORDERS_SQL}{RUBRIC_SQL}adj AS (SELECT analysis_id, 1 AS seq, 'NOT_ELIGIBLE' AS rule_id, total AS before, 15 AS after, '' AS triggering_ids FROM d WHERE first_cap
   UNION ALL SELECT analysis_id, 2, CASE core_gaps WHEN 1 THEN 'CORE_GAP_SINGLE' WHEN 2 THEN 'CORE_GAP_MULTIPLE' ELSE 'CORE_GAP_SEVERE' END, after_first, lim, gap_ids FROM d WHERE second_cap),
 lists AS (SELECT '' AS category UNION ALL SELECT category FROM cats),
 fq AS (SELECT * FROM (SELECT ev.*, l.category, row_number() OVER (PARTITION BY analysis_id, l.category, relation ORDER BY ordinal, pos) AS k

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +10,12 @@ from fitloom.operators import documents as D
 from fitloom.operators import matching as M
 from fitloom.operators import posting as P
 from fitloom.operators import resume as R
-from fitloom.operators import grounding, scoring, validation
+from fitloom.operators import grounding, judging, scoring, validation
+from fitloom.plans.parts import Parts
+from fitloom.plans.scratch import Scratch
 from fitloom.queries.documents import _LINES
+from fitloom.queries.judgement import _FORM
+from fitloom.queries.scoring import RUBRIC_SQL, SUBS_SQL
 from fitloom.sources.views import table
 
 QUERIES: dict = {}
@@ -444,41 +446,39 @@ def ma09_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.prompts(rows, PROMPT, RULES).select("analysis_id", "prompt", "ok")
 
 
-def _by_wording(judged: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """The default provider: it answers each prompt with what the wording shows, as raw JSON of the contract."""
-    none = F.array().cast("array<string>")
-    quote = F.struct(F.col("id").alias("requirementId"), "importance", "status", "relation", "strength", F.col("quote").alias("resumeQuote"), F.lit("RESUME").alias("sourceLocator"), "rationale", F.lit(False).alias("grounded"))
-    row = F.struct(
-        "id", F.col("text").alias("requirementText"), "kind", "importance", "criticality", F.col("primary_category").alias("primaryCategory"), "status", "relation", F.col("strength").alias("evidenceStrength"),
-        F.filter(F.array(quote), lambda q: q["resumeQuote"].isNotNull()).alias("evidence"), "rationale",
-    )
-    unknown = F.struct(F.lit("UNKNOWN").alias("rating"), F.lit("NOT_AVAILABLE").alias("basis"))
-    draft = F.struct(
-        F.lit(validation.VERSION).alias("schemaVersion"), F.col("rows").alias("requirementAssessments"), F.array().cast("array<struct<category:string,value:int>>").alias("subfactorJudgements"),
-        F.struct(unknown.alias("companyOutlook")).alias("opportunityValue"), none.alias("limitations"),
-    )
-
-    def provider(prompt: DataFrame) -> DataFrame:
-        rows = judged.withColumn("row", row).groupBy("analysis_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "row")))["row"].alias("rows"))
-        return prompt.join(rows, "analysis_id").select("analysis_id", F.to_json(draft).alias("raw_json"))
-
-    return provider
+# A sentence of the resume is quoted for each match; only short ones are lost again.
+_JUDGED_FIT_SQL = (
+    "WITH jq AS (" + _JUDGED_SQL + f"SELECT jd.*, length({_FORM.format('jd.quote')}) >= 12 AND contains({_FORM.format('r.text')}, {_FORM.format('jd.quote')}) AS grounded FROM jd LEFT JOIN documents r ON r.doc_id = jd.resume_id),\nfx AS (" + _FACTS + "),\n"
+    + SUBS_SQL
+    + """ids AS (SELECT doc_id AS analysis_id FROM documents),
+rq AS (SELECT analysis_id, ordinal, 'req-' || ordinal AS id, text, kind, importance, criticality, NULL::VARCHAR AS alternative_group_id, primary_category, CASE WHEN grounded THEN 'STRONG_MATCH' ELSE 'UNKNOWN' END AS status,
+  CASE WHEN quote IS NULL THEN 'NONE' ELSE 'DIRECT' END AS relation, CASE WHEN quote IS NULL THEN 'NONE' ELSE 'MODERATE' END AS strength FROM jq),
+sf AS (SELECT analysis_id, category, subfactor, w, value FROM fx JOIN subs USING (subfactor)),
+ev AS (SELECT analysis_id, grounded FROM jq WHERE quote IS NOT NULL),
+rs AS (SELECT doc_id AS analysis_id, length(text) AS chars, false AS high FROM documents),
+"""
+    + RUBRIC_SQL.rstrip().rstrip(",")
+    + " SELECT analysis_id, capped / 10 AS score, label, tier, confidence, recommendation, n, quotes, dropped FROM d"
+)
 
 
-@_query(None)
+@_query(_JUDGED_FIT_SQL)
 def ma10_judged_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MA10 and the whole way: prompts of postings and resumes go to a provider, its raw JSON is validated, quotes are grounded, unsupported matches
-    become unknown, and the rubric scores the rest."""
+    """MA10 and the whole way: prompts with postings' requirements and resumes go to a provider that reads them, in batches whose answers are kept;
+    its raw JSON is validated, quotes are grounded, unsupported matches become unknown, and the rubric scores the rest."""
     d = table(spark, sf_dir, "documents")
-    policy = d.select(F.col("doc_id").alias("analysis_id"), "n_chars", F.lit("MUST_BE_UNKNOWN").alias("absence"), F.lit("STRUCTURED_SECTIONS").alias("source"))
-    answers = M.judge(M.prompts(policy, PROMPT, RULES), _by_wording(_judged(spark, sf_dir)))
-    rows = validation.requirements_of(validation.validate(answers))
+    resumes = d.select(F.col("doc_id").alias("resume_id"), "text")
+    data = judging.data_of(M.requirement_table(_listed(spark, sf_dir), _pairs(spark, sf_dir)), resumes, F.col("analysis_id") % 3 == 0)
+    data = data.withColumns({"absence": F.lit("MUST_BE_UNKNOWN"), "source": F.lit("STRUCTURED_SECTIONS")})
+    store = Parts(spark, f"{Scratch(spark, 'ma10').path}/answers", judging.ANSWER)
+    rows = validation.requirements_of(judging.answered(M.prompts(data, judging.TEMPLATE, RULES), judging.by_wording, store, "wording", batches=4))
     quotes = rows.select("analysis_id", (F.col("analysis_id") + F.col("analysis_id") % 2).alias("resume_id"), F.col("id").alias("requirement_id"), F.posexplode("evidence.resumeQuote").alias("pos", "quote"))
-    found = grounding.ground(quotes, d.select(F.col("doc_id").alias("resume_id"), "text"))
+    found = grounding.ground(quotes, resumes)
     resumes = d.select(F.col("doc_id").alias("analysis_id"), F.length("text").alias("resume_chars"), F.lit(False).alias("high_warning"))
     decided = scoring.decisions(grounding.keep_supported(rows, found), M.subfactors(_facts(spark, sf_dir)), resumes, found)
     return decided.select("analysis_id", (F.col("capped") / 10).alias("score"), "label", "tier", "confidence", "recommendation", "n", "quotes", "dropped")
 
+
 # The names under which these stood while others returned a part only.
 for _name in ("rs06_roles", "rs11_education", "rs14_demonstrated_skills"):
     QUERIES[f"{_name}_whole"], ORACLES[f"{_name}_whole"] = QUERIES[_name], ORACLES[_name]
