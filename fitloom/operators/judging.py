@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from fitloom.functions import text as T
 from fitloom.operators import documents, matching, validation
@@ -20,7 +19,7 @@ Provider = Callable[[DataFrame], DataFrame]
 TEMPLATE = "Fence {{nonce}}. Judge each requirement by the resume alone. {{absence}} {{source}}\n<data {{nonce}}>\n{{data}}\n</data {{nonce}}>"
 DATA = "unsure boolean, resume string, requirements array<struct<ordinal int, id string, text string, kind string, importance string, criticality string, primary_category string, stand_in boolean>>"
 #: What is kept of an answer.
-ANSWER = StructType.fromDDL(f"fingerprint string, raw_json string, draft {validation.ddl(validation.DRAFT)}, reason string")
+ANSWER = f"fingerprint string, raw_json string, draft {validation.ddl(validation.DRAFT)}, reason string"
 
 
 def data_of(requirement: DataFrame, resumes: DataFrame, unsure: Column) -> DataFrame:

@@ -9,9 +9,6 @@ draft is empty; repeated rows get equal reasons; other columns are kept.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -93,25 +90,29 @@ def type_pattern(contract) -> str:
     return f"(?:VOID|VARIANT|{_kind(contract)})"
 
 
-def _mixed(found: Column, contract) -> Column:
-    """Whether a field holds anything but its kind of scalar; found: a draft as ``ddl`` with variants in place of scalars."""
+# The two checks below go through the whole contract. They are spelt as SQL, parsed once, as building them column by column takes seconds on the driver.
+
+
+def _mixed(found: str, contract, depth: int = 0) -> str:
+    """SQL: whether a field holds anything but its kind of scalar; found: a draft as ``ddl`` with variants in place of scalars."""
     if isinstance(contract, dict):
-        return reduce(or_, [_mixed(found[name], part) for name, part in contract.items()])
+        return "(" + " OR ".join(_mixed(f"{found}.{name}", part, depth) for name, part in contract.items()) + ")"
     if isinstance(contract, list):
-        return _no(F.exists(found, lambda x: _mixed(x, contract[0])))
-    return _no(~F.schema_of_variant(found).rlike(rf"^(?:VOID|{_kind(contract)})$"))
+        return f"coalesce(exists({found}, x{depth} -> {_mixed(f'x{depth}', contract[0], depth + 1)}), false)"
+    return f"coalesce(NOT schema_of_variant({found}) RLIKE r'^(?:VOID|{_kind(contract)})$', false)"
 
 
-def _breaks(found: Column, contract) -> Column:
-    """Whether a list or a list's element is missing, or a text isn't among its names, anywhere in what was read."""
+def _breaks(found: str, contract, depth: int = 0) -> str:
+    """SQL: whether a list or a list's element is missing, or a text isn't among its names, anywhere in what was read."""
     if isinstance(contract, tuple):
-        return _no(~found.isin(*contract))
+        return f"coalesce(NOT {found} IN ({', '.join(map(repr, contract))}), false)"
     if isinstance(contract, list):
-        return found.isNull() | _no(F.exists(found, lambda x: x.isNull() | _breaks(x, contract[0])))
+        x = f"x{depth}"
+        return f"({found} IS NULL OR coalesce(exists({found}, {x} -> {x} IS NULL OR {_breaks(x, contract[0], depth + 1)}), false))"
     if isinstance(contract, dict):
-        parts = [_breaks(found[name], part) for name, part in contract.items() if not isinstance(part, str)]
-        return found.isNotNull() & reduce(or_, parts, F.lit(False))
-    return F.lit(False)
+        parts = [_breaks(f"{found}.{name}", part, depth) for name, part in contract.items() if not isinstance(part, str)]
+        return f"({found} IS NOT NULL AND ({' OR '.join(parts) or 'false'}))"
+    return "false"
 
 
 def validate(drafts: DataFrame) -> DataFrame:
@@ -140,7 +141,7 @@ def validate(drafts: DataFrame) -> DataFrame:
     outlook = d["opportunityValue"]["companyOutlook"]
     reason = (
         F.when(_blank(raw), "empty-response")
-        .when(d.isNull() | (F.col("__loose").isNotNull() & _mixed(F.col("__loose"), DRAFT)) | _breaks(d, DRAFT) | _no(bad_value), "unreadable")
+        .when(d.isNull() | (F.col("__loose").isNotNull() & F.expr(_mixed("__loose", DRAFT))) | F.expr(_breaks("draft", DRAFT)) | _no(bad_value), "unreadable")
         .when(~d["schemaVersion"].eqNullSafe(F.lit(VERSION)), "schema-version")
         .when(~F.size(reqs).between(1, MAX_REQUIREMENTS), "requirement-count")
         .when(first.isNotNull(), first)

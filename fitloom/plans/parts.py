@@ -13,7 +13,8 @@ class Parts:
     writes at a time; any number may read.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType):
+    def __init__(self, spark: SparkSession, path: str, schema: StructType | str):
+        schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
         if "part" in schema.names:
             raise ValueError("part is the table's own column")
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema

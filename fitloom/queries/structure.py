@@ -471,7 +471,7 @@ def ma10_judged_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = judging.data_of(M.requirement_table(_listed(spark, sf_dir), _pairs(spark, sf_dir)), resumes, F.col("analysis_id") % 3 == 0)
     data = data.withColumns({"absence": F.lit("MUST_BE_UNKNOWN"), "source": F.lit("STRUCTURED_SECTIONS")})
     store = Parts(spark, f"{Scratch(spark, 'ma10').path}/answers", judging.ANSWER)
-    rows = validation.requirements_of(judging.answered(M.prompts(data, judging.TEMPLATE, RULES), judging.by_wording, store, "wording", batches=4))
+    rows = validation.requirements_of(judging.answered(M.prompts(data, judging.TEMPLATE, RULES), judging.by_wording, store, "wording", batches=2))
     quotes = rows.select("analysis_id", (F.col("analysis_id") + F.col("analysis_id") % 2).alias("resume_id"), F.col("id").alias("requirement_id"), F.posexplode("evidence.resumeQuote").alias("pos", "quote"))
     found = grounding.ground(quotes, resumes)
     resumes = d.select(F.col("doc_id").alias("analysis_id"), F.length("text").alias("resume_chars"), F.lit(False).alias("high_warning"))
