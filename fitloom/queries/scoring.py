@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fitloom.functions import rubric
-from fitloom.operators import scoring
+from fitloom.operators import scoring, sink
+from fitloom.plans.scratch import Scratch
 from fitloom.sources import views
 
 QUERIES: dict = {}
@@ -143,6 +144,28 @@ def sc27_fit_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def io05_changed_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IO5 as a sink: results of all analyses are written while one resume in 50 is of another length, then brought up to the tables; only
+    those are worked out and written again, as part 1."""
+    requirement, subfactor, skill, resume = (view(spark, sf_dir) for view in (views.requirements, views.subfactors, views.skills, views.resumes))
+    now = {"resume": resume}
+
+    def inputs() -> DataFrame:
+        return sink.input_fingerprint(requirement=requirement, subfactor=subfactor, skill=skill, resume=now["resume"])
+
+    def compute(keys: DataFrame) -> DataFrame:
+        mine = [rows.join(keys, "analysis_id", "left_semi") for rows in (requirement, subfactor, skill, now["resume"])]
+        return scoring.fit_analysis(*mine)
+
+    results = sink.Sink(spark, f"{Scratch(spark, 'io05').path}/results", compute)
+    now["resume"] = resume.withColumn("resume_chars", F.col("resume_chars") + F.when(F.col("analysis_id") % 50 == 7, 5000).otherwise(0))
+    results.refresh(inputs())
+    now["resume"] = resume
+    results.refresh(inputs())
+    return results.read().select("analysis_id", (F.col("capped") / 10).alias("score"), "label", "tier", "confidence", "recommendation", F.array_join("limitations", "|").alias("limitations"), "part")
+
+
 @_query
 def ev09_recompute(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EV9: how many shown scores there are and how many don't follow from the shown rows."""
@@ -278,6 +301,7 @@ for _name, _sql in {
   LEFT JOIN qj q1 ON q1.analysis_id = d.analysis_id AND q1.category = '' AND q1.relation = 'DIRECT' LEFT JOIN qj q2 ON q2.analysis_id = d.analysis_id AND q2.category = '' AND q2.relation = 'TRANSFERABLE'
   LEFT JOIN gj g1 ON g1.analysis_id = d.analysis_id AND g1.category = '' AND g1.list = 'CRITICAL' LEFT JOIN gj g2 ON g2.analysis_id = d.analysis_id AND g2.category = '' AND g2.list = 'MINOR'
   LEFT JOIN gj g3 ON g3.analysis_id = d.analysis_id AND g3.category = '' AND g3.list = 'UNKNOWN'""",
+    "io05_changed_only": "SELECT d.analysis_id, capped / 10 AS score, label, tier, confidence, recommendation, limitations, CASE WHEN d.analysis_id % 50 = 7 THEN 1 ELSE 0 END AS part FROM d JOIN lm ON lm.analysis_id = d.analysis_id",
     "ev09_recompute": "SELECT label, count(*) AS n, 0 AS violations FROM d GROUP BY label",
 }.items():
     ORACLES[_name] = REQUIREMENT_SQL + _sql
