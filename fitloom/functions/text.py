@@ -39,6 +39,12 @@ REDACTIONS = [
 ]
 
 
+def ascii_edges(pattern: str) -> str:
+    """``pattern`` with word edges as RE2 takes them: letters beyond ASCII are no word characters, for ``\\b`` as for ``\\w``. Java 17 counts them for
+    ``\\b`` alone, so `5 stß` would hold no whole `5 st`, and `ä5` no edge before its digit."""
+    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+
+
 def bound(c: Column, use: Callable[[Column], Column]) -> Column:
     """use(c), with ``c`` worked out once however often it is used."""
     return F.get(F.transform(F.array(c), use), 0)
@@ -111,22 +117,22 @@ def is_imperative(c: Column) -> Column:
 
 
 def speaks_to_a_reader(c: Column) -> Column:
-    return c.rlike("(?i)" + "|".join(IMPERATIVE + DESCRIPTIVE))
+    return c.rlike(ascii_edges("(?i)" + "|".join(IMPERATIVE + DESCRIPTIVE)))
 
 
 def redact(c: Column) -> Column:
     text = c
     for pattern, token in REDACTIONS:
-        text = F.regexp_replace(text, pattern, token.replace("$", "\\$"))
+        text = F.regexp_replace(text, ascii_edges(pattern), token.replace("$", "\\$"))
     return F.when(F.coalesce(strip(c), F.lit("")) == "", "").otherwise(text)
 
 
 def redact_name(c: Column, name: Column) -> Column:
     """The full name, then its parts of three letters or more as whole words; shorter names are left alone."""
-    token = "[CANDIDATE]"
+    token, edge = "[CANDIDATE]", F.lit(ascii_edges(r"\b"))
     quote = lambda x: F.regexp_replace(x, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
     parts = F.filter(F.split(name, f"{SPACE}+"), lambda p: F.length(p) >= 3)
-    done = F.aggregate(parts, F.replace(c, name, F.lit(token)), lambda text, p: F.regexp_replace(text, F.concat(F.lit(r"\b"), quote(p), F.lit(r"\b")), F.lit(token)))
+    done = F.aggregate(parts, F.replace(c, name, F.lit(token)), lambda text, p: F.regexp_replace(text, F.concat(edge, quote(p), edge), F.lit(token)))
     return F.when((F.length(name) >= 3) & (strip(name) != ""), done).otherwise(c)
 
 

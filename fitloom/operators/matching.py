@@ -28,7 +28,7 @@ def kind_of(text: Column) -> Column:
     return (
         F.when(has(["degree", "bachelor", "master"]), "EDUCATION")
         .when(has(["authoriz", "authoris", "visa", "licen"]), "LEGAL_ELIGIBILITY")
-        .when(t.rlike(r"\b\d+\+?\s*years?\b"), "EXPERIENCE")
+        .when(t.rlike(T.ascii_edges(r"\b\d+\+?\s*years?\b")), "EXPERIENCE")
         .when(has(DOMAIN_HINTS), "DOMAIN")
         .otherwise("TECHNICAL")
     )

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from fitloom.functions import rubric
 from fitloom.functions import text as T
-from fitloom.operators import documents, pages, posting, recovery, resume, scoring
+from fitloom.operators import documents, matching, pages, posting, recovery, resume, scoring
 
 SEVEN = "analysis_id long, ordinal int, id string, text string, kind string, importance string, criticality string, alternative_group_id string, primary_category string, status string, relation string, strength string, rationale string"
 
@@ -79,6 +79,20 @@ def test_redaction(spark):
     assert [r[0] for r in rows.select(T.redact_name(F.col("t"), F.col("n"))).collect()] == ["[CANDIDATE] wrote; [CANDIDATE] did", "Al ran"]
 
 
+def test_words_end_at_letters_beyond_ascii(spark, duck):
+    """Word edges as in RE2, and in Java from 19 on."""
+    from fitloom.queries.documents import ORACLES
+
+    texts = ["und +1 (643) 555-2043 einlich enkeit stß lich", "von 82.197.113.214 geieein. Stää zu", "ä5 King Streetß", "ä90210ö", "12 King Stä", "é1a2b3c M5V 2T6ß", "5 years"]
+    rows = ", ".join(f"({i}, '{t}')" for i, t in enumerate(texts))
+    want = dict(duck.sql(f"WITH documents(doc_id, text) AS (VALUES {rows}) {ORACLES['qt06_redaction']}").fetchall())
+    assert column(spark, texts, lambda c: F.sha2(T.redact(c), 256)) == [want[i] for i in range(len(texts))]
+    rows = spark.createDataFrame([("Anna Bell: ßAnna, Bellä, Annabell", "Anna Bell")], "t string, n string")
+    assert [r[0] for r in rows.select(T.redact_name(F.col("t"), F.col("n"))).collect()] == ["[CANDIDATE]: ß[CANDIDATE], [CANDIDATE]ä, Annabell"]
+    assert column(spark, ["äprompt injectionß", "aprompt injection"], T.speaks_to_a_reader) == [True, False]
+    assert column(spark, ["ü5 yearsß", "x5 years"], matching.kind_of) == ["EXPERIENCE", "TECHNICAL"]
+
+
 def test_whole_terms(spark):
     rows = spark.createDataFrame([("uses c++ daily", "c++"), ("abc++", "c++"), (".net, java", ".net"), ("javascript", "java")], "t string, w string")
     assert [r[0] for r in rows.select(T.has_term(F.col("t"), F.col("w"))).collect()] == [True, False, True, False]
