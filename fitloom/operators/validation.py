@@ -58,7 +58,7 @@ GAP_LIMITATION = "The resume was not confirmed as correctly read, so nothing mis
 
 
 def _blank(c: Column) -> Column:
-    return T.strip(F.coalesce(c, F.lit(""))) == ""
+    return F.btrim(F.coalesce(c, F.lit("")), F.lit(" \t\n\x0b\f\r")) == ""
 
 
 def _no(c: Column) -> Column:
@@ -118,29 +118,31 @@ def _breaks(found: str, contract, depth: int = 0) -> str:
 def validate(drafts: DataFrame) -> DataFrame:
     """``drafts`` (analysis_id, raw_json) with draft and reason; the first rule that fails gives the one reason."""
     raw = F.col("raw_json")
-    # Behind the draft its own digest must follow, and that alone: a parser stops where its value ends, and text behind it would go unseen.
-    whole = F.try_parse_json(F.concat(F.lit("["), raw, F.lit(',"'), F.md5(raw), F.lit('"]')))
-    rows = worked_out(drafts, __whole=whole)
-    alone = F.try_variant_get("__whole", "$[1]", "string") == F.md5(raw)
-    rows = worked_out(rows, __v=F.when(alone, F.try_variant_get("__whole", "$[0]", "variant")))
-    kind = F.schema_of_variant("__v")
-    fits = kind.rlike(f"^{type_pattern(DRAFT)}$")
-    rows = worked_out(rows, draft=F.when(fits, F.try_variant_get("__v", "$", ddl(DRAFT))), __loose=F.when(fits & F.contains(kind, F.lit("VARIANT")), F.try_variant_get("__v", "$", ddl(DRAFT, "variant"))))
+    # The draft and its own digest are the two fields of one object, and these alone: a parser stops where its value ends, and text behind it would go unseen.
+    rows = worked_out(drafts, __whole=F.try_parse_json(F.concat(F.lit('{"a":'), raw, F.lit(',"z":"'), F.md5(raw), F.lit('"}'))), __empty=_blank(raw))
+    alone = F.try_variant_get("__whole", "$.z", "string") == F.md5(raw)
+    rows = worked_out(rows, __kind=F.schema_of_variant("__whole"), __alone=alone)
+    rows = worked_out(rows, __fits=F.col("__kind").rlike(f"^OBJECT<a: {type_pattern(DRAFT)}, z: STRING>$") & F.col("__alone"))
+    loose = F.col("__fits") & F.contains("__kind", F.lit("VARIANT"))
+    rows = worked_out(rows, draft=F.when(F.col("__fits"), F.try_variant_get("__whole", "$.a", ddl(DRAFT))), __loose=F.when(loose, F.try_variant_get("__whole", "$.a", ddl(DRAFT, "variant"))))
     d = F.col("draft")
     reqs = d["requirementAssessments"]
     bad_value = F.exists(d["subfactorJudgements"], lambda s: s["value"].isNull() | ~s["value"].between(0, 4))
-    ids = F.transform(reqs, lambda r: r["id"])
+    ids = reqs["id"]
+    missing = lambda r: r["status"].isNull() | r["importance"].isNull() | r["criticality"].isNull() | r["primaryCategory"].isNull()
 
     def row_reason(r: Column, i: Column) -> Column:
         repeated = F.coalesce(F.array_position(ids, r["id"]) <= i, F.lit(False))
-        missing = r["status"].isNull() | r["importance"].isNull() | r["criticality"].isNull() | r["primaryCategory"].isNull()
-        return F.when(_blank(r["id"]) | repeated, "requirement-id").when(_blank(r["requirementText"]), "requirement-text").when(missing, "requirement-fields")
+        return F.when(_blank(r["id"]) | repeated, "requirement-id").when(_blank(r["requirementText"]), "requirement-text").when(missing(r), "requirement-fields")
 
-    first = F.get(F.array_compact(F.transform(reqs, row_reason)), 0)
+    # Which row comes first is only asked where some row has a fault.
+    faulty = F.exists(reqs, lambda r: _blank(r["id"]) | _blank(r["requirementText"]) | missing(r)) | (F.size(F.array_distinct(ids)) < F.size(ids))
+    rows = worked_out(rows, __first=F.when(faulty, F.get(F.array_compact(F.transform(reqs, row_reason)), 0)))
+    first = F.col("__first")
     mismatch = F.exists(reqs, lambda r: F.exists(r["evidence"], lambda e: ~e["requirementId"].eqNullSafe(r["id"])))
     outlook = d["opportunityValue"]["companyOutlook"]
     reason = (
-        F.when(_blank(raw), "empty-response")
+        F.when(F.col("__empty"), "empty-response")
         .when(d.isNull() | (F.col("__loose").isNotNull() & F.expr(_mixed("__loose", DRAFT))) | F.expr(_breaks("draft", DRAFT)) | _no(bad_value), "unreadable")
         .when(~d["schemaVersion"].eqNullSafe(F.lit(VERSION)), "schema-version")
         .when(~F.size(reqs).between(1, MAX_REQUIREMENTS), "requirement-count")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fitloom.operators import evaluation, grounding, validation
+from fitloom.plans.steps import met
 from fitloom.queries.scoring import REQUIREMENT_SQL
 from fitloom.sources import views
 from fitloom.sources.views import table
@@ -51,7 +52,8 @@ def drafts(requirement: DataFrame) -> DataFrame:
         F.when(claimed, F.array(quote)).otherwise(F.array().cast(QUOTE_LIST)).alias("evidence"),
         F.when((k == 41) & first, "@list").alias("rationale"), F.when((k == 13) & first, 4.5).alias("matchPercentage"),
     )
-    rows = requirement.withColumn("row", row).groupBy("analysis_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "row")))["row"].alias("rows"))
+    rows = met(requirement.select("analysis_id", F.struct("ordinal", row.alias("row")).alias("r")), "analysis_id", rows=F.collect_list("r"))
+    rows = rows.select("analysis_id", F.sort_array("rows")["row"].alias("rows"))
     none = F.array().cast("array<string>")
     said = lambda n: F.struct(F.when(k == n + 34, "@object").otherwise("a headline").alias("headline"), F.when(k == n + 28, F.array(F.lit("@object"))).otherwise(none).alias("supportingEvidenceIds"), F.when(k != n + 1, none).alias("concerns"), F.when(k == n, 5).alias("score"))
     rated = lambda n: F.struct(F.when(k == n, "MAGIC").otherwise("MODERATE").alias("rating"), F.when(k == n + 1, "MAGIC").otherwise("STATED_IN_POSTING").alias("basis"), F.when(k == n + 23, "@list").alias("explanation"))

@@ -1,6 +1,7 @@
 """Drafts: the reason of each against a plain reading of its JSON, and drafts written by hand."""
 
 import json
+import re
 
 import pytest
 
@@ -173,3 +174,19 @@ def test_an_accepted_draft_is_read_whole(spark):
     assert r.other == "x" and r.draft.requirementAssessments[0].evidence[1].resumeQuote == "q" and r.draft.interviewPreparation.gapsToExplain[0].gap == "g"
     assert V.validate(rows).columns == ["analysis_id", "raw_json", "other", "draft", "reason"] and V.validate(rows.limit(0)).count() == 0
     assert [x.id for x in V.requirements_of(V.validate(rows)).orderBy("ordinal").collect()] == ["r1", "r2"]
+
+
+def test_a_draft_is_parsed_and_its_kinds_read_once(spark):
+    """Each is a pass over the draft; and only a draft with a faulty row is asked which row comes first."""
+    plan = V.validate(spark.createDataFrame([], "analysis_id long, raw_json string"))._jdf.queryExecution().optimizedPlan().toString()
+    # Within the second check of the loose form it stands for single fields.
+    of_all = [x for x in re.findall(r"schema_?of_?variant\((\w+)", plan, re.I) if x in ("__whole", "__v")]
+    assert len(of_all) == 1
+
+
+def test_a_draft_that_brings_its_own_ending_is_refused(spark):
+    """The draft stands in an object beside its digest; nothing that it holds can pass for that digest or hide what follows."""
+    first = '{"schemaVersion":"analysis-draft/v1"}'
+    ends = ["", "}", ',"z":"x"}', ',"z":"x"', ',"a":{}', ',"b":1', "]", ',"z":null} and more']
+    rows = V.validate(spark.createDataFrame([(i, first + e) for i, e in enumerate(ends)], "analysis_id long, raw_json string"))
+    assert [r.reason for r in rows.orderBy("analysis_id").collect()] == ["unreadable"] * len(ends)
