@@ -93,6 +93,16 @@ def test_words_end_at_letters_beyond_ascii(spark, duck):
     assert column(spark, ["ü5 yearsß", "x5 years"], matching.kind_of) == ["EXPERIENCE", "TECHNICAL"]
 
 
+def test_shown_scores_follow_from_the_row_itself(spark, sf):
+    """EV9 goes through the line items once; a category's score changed behind the total's back is told, one under a ceiling is not."""
+    from fitloom.queries.scoring import QUERIES
+
+    assert QUERIES["ev09_recompute"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("l_linenumber#") == QUERIES["fit_headline"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("l_linenumber#")
+    shape = "capped int, first_cap boolean, second_cap boolean, categories array<struct<score:int,applied:int>>"
+    rows = spark.createDataFrame([(38, False, False, [(40, 6000), (35, 4000)]), (38, False, False, [(40, 6000), (45, 4000)]), (15, True, False, [(40, 10000)])], shape)
+    assert [r[0] for r in rows.select(scoring.off_sum(F.col("categories"))).collect()] == [False, True, False]
+
+
 def test_whole_terms(spark):
     rows = spark.createDataFrame([("uses c++ daily", "c++"), ("abc++", "c++"), (".net, java", ".net"), ("javascript", "java")], "t string, w string")
     assert [r[0] for r in rows.select(T.has_term(F.col("t"), F.col("w"))).collect()] == [True, False, True, False]
