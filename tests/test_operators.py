@@ -103,6 +103,15 @@ def test_shown_scores_follow_from_the_row_itself(spark, sf):
     assert [r[0] for r in rows.select(scoring.off_sum(F.col("categories"))).collect()] == [False, True, False]
 
 
+def test_subfactors_are_weighed_without_a_map(spark):
+    """A weight is looked up for every subfactor of every analysis: a map was gone through for each."""
+    rows = spark.createDataFrame([(1, c, s, 4) for c, s, _ in rubric.SUBFACTORS] + [(1, "OTHER", "depth", 4), (1, None, "depth", 4), (1, "EXPERIENCE_EVIDENCE", None, 4)], "analysis_id long, category string, subfactor string, value int")
+    found = scoring._subfactor_sums(rows)
+    assert "map(" not in found._jdf.queryExecution().analyzed().toString()
+    r = found.first()
+    assert (r.own_items_0, r.own_num_0, r.own_den_0, r.own_items_1, r.lead_items_1, r.lead_num_1) == (5, 400, 400, 5, 1, 40)
+
+
 def test_whole_terms(spark):
     rows = spark.createDataFrame([("uses c++ daily", "c++"), ("abc++", "c++"), (".net, java", ".net"), ("javascript", "java")], "t string, w string")
     assert [r[0] for r in rows.select(T.has_term(F.col("t"), F.col("w"))).collect()] == [True, False, True, False]
