@@ -554,12 +554,13 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, scratch: Scratch) -> D
     short = lists.filter("fits").drop("fits").withColumns({"cell": F.lit(0).cast("long"), "part": F.lit(0).cast("long")})
     pairs = scratch.keep(_candidates(short.unionByName(_dealt(lists.filter("NOT fits").drop("fits")).select(*short.columns)), num, den), "candidates")
 
-    links = families.inside().unionByName(families.across(pairs))
+    # Written one after the other: as one statement with what follows, their plans took the driver the more memory.
+    links = scratch.keep(families.inside(), "links-inside").unionByName(scratch.keep(families.across(pairs), "links-across"))
     # Texts of one doc_id are one node.
     named = rows.filter("n > 0 AND doc_id IS NOT NULL")
     several = named.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("most")).filter("b <> most")
     several = named.select("doc_id", F.col("node").alias("a")).join(several, "doc_id").select("a", "b")
-    joined = components(scratch.keep(links.unionByName(several), "links")).withColumnsRenamed({"component": "class"})
+    joined = components(links.unionByName(several)).withColumnsRenamed({"component": "class"})
     found = rows.select("doc_id", "h", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(joined, "node", "left")
     return scratch.only(found.select("doc_id", "h", "n", F.coalesce("class", "node").alias("class")), "classes")
 
@@ -578,14 +579,16 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     """One row of each class, with the columns of ``docs``: the smallest doc_id (nulls last), then the smallest hash of the text; of
     rows with equal doc_id and text, the one that comes first as JSON. Rows without words all stay."""
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("h")]
-    found = _classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k, num, den, Scratch(docs.sparkSession, "one-of-each"))
+    scratch = Scratch(docs.sparkSession, "one-of-each")
+    found = _classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k, num, den, scratch)
     found = found.filter("n > 0").select(key[0], "h", "class")
     # A null doc_id is the last of its class.
     order = F.struct(F.col("doc") == NO_ID, "doc", "h")
     best = found.groupBy("class").agg(F.min(order).alias("best"), F.count("*").alias("size")).filter("size > 1")
-    several = found.join(best, "class")
-    gone = several.filter(F.struct("doc", "h") != F.struct("best.doc", "best.h")).select("doc", "h").distinct()
-    again = several.groupBy("doc", "h").count().filter("count > 1").select("doc", "h")
+    # One row for each text of a class of several: whether it goes, and whether rows repeat it. Told once, for each is asked of it several times.
+    goes = F.bool_or(F.struct("doc", "h") != F.struct("best.doc", "best.h")).alias("goes")
+    told = scratch.only(found.join(best, "class").groupBy("doc", "h").agg(goes, F.count("*").alias("count")).filter("goes OR count > 1"), "told")
+    gone, again = told.filter("goes").select("doc", "h"), told.filter("count > 1").select("doc", "h")
     rows = _met(packed(docs, doc=key[0], h=key[1]), gone, "left_anti")
     one = _met(rows, again, "left_semi").groupBy("doc", "h").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return spread(_met(rows, again, "left_anti").select("row").union(one.select("row")), docs)
