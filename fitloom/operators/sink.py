@@ -22,8 +22,10 @@ def input_fingerprint(**tables: DataFrame) -> DataFrame:
         digest = F.sha2(F.concat(F.lit(f"{name}\n"), F.to_json(row, {"ignoreNullFields": "false"})), 256)
         mine = rows.filter("analysis_id is not null").select(F.col("analysis_id").cast("long").alias("analysis_id"), digest.alias("digest"))
         digests = mine if digests is None else digests.unionByName(mine)
-    part = lambda at: F.sum(F.conv(F.substring("digest", at, 15), 16, 10).cast("decimal(28,0)")).cast("string")
-    return digests.groupBy("analysis_id").agg(F.concat_ws("-", F.count(F.lit(1)), part(1), part(16), part(31), part(46)).alias("fingerprint"))
+    # 128 bits of each digest, in halves of hashes: sums of 32 bits stay plain longs up to 2^31 rows of an analysis.
+    digests = digests.select("analysis_id", *[F.xxhash64(F.lit(i), "digest").alias(f"h{i}") for i in range(2)])
+    sums = [F.sum(half(F.col(f"h{i}"))) for i in range(2) for half in (lambda h: F.shiftrightunsigned(h, 32), lambda h: h.bitwiseAND(0xFFFFFFFF))]
+    return digests.groupBy("analysis_id").agg(F.concat_ws("-", F.count(F.lit(1)), *sums).alias("fingerprint"))
 
 
 class Sink:
