@@ -87,17 +87,19 @@ def sections(lines: DataFrame) -> DataFrame:
 def items(sectioned: DataFrame) -> DataFrame:
     """doc_id, block_no, section, heading, item_no, text: lines joined with those that continue them; lines that give
     instructions to an automated reader, and what continues those, are left out."""
-    block = W.partitionBy("doc_id", "block_no").orderBy("line_no")
+    # Blocks, islands and items follow each other in the document, so all windows have its one order: lines are sorted once.
+    order = W.partitionBy("doc_id").orderBy("line_no")
+    so_far = order.rowsBetween(W.unboundedPreceding, 0)
+    fresh = F.coalesce(F.col("block_no") != F.lag("block_no").over(order), F.lit(True))
     stripped = T.strip(F.col("text"))
     rows = sectioned.withColumn("bullet", stripped.rlike(BULLET)).withColumn("body", T.strip(F.regexp_replace(stripped, BULLET, "")))
-    rows = rows.withColumn("imperative", T.is_imperative(stripped)).withColumn("continues", ~F.col("bullet") & F.col("body").rlike(r"^\p{Ll}"))
+    rows = rows.withColumn("imperative", T.is_imperative(stripped)).withColumn("continues", ~F.col("bullet") & F.col("body").rlike(r"^\p{Ll}")).withColumn("fresh", fresh)
     # An island is a line that starts something, kept or dropped, and the lines that continue it.
-    rows = rows.withColumn("island", F.sum((~F.col("continues") | F.col("imperative")).cast("int")).over(block))
-    part = W.partitionBy("doc_id", "block_no", "island").orderBy("line_no")
-    rows = rows.withColumn("gone", F.first("imperative").over(part)).filter("not gone")
+    island = F.when(~F.col("continues") | F.col("imperative") | F.col("fresh"), F.col("imperative"))
+    rows = rows.withColumn("gone", F.last(island, True).over(so_far)).filter("not gone").withColumn("fresh", fresh)
     # Lines that go on after a dropped one belong to it; one that continues nothing starts an item.
-    starts = (~F.col("continues") | (F.row_number().over(block) == 1)).cast("int")
-    rows = rows.withColumn("item_no", F.sum(starts).over(block))
+    rows = rows.withColumn("so_far", F.sum((~F.col("continues") | F.col("fresh")).cast("int")).over(so_far))
+    rows = rows.withColumn("item_no", F.col("so_far") - F.last(F.when(F.col("fresh"), F.col("so_far") - 1), True).over(so_far))
     joined = rows.groupBy("doc_id", "block_no", "section", "heading", "item_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "body"))).alias("ls"))
     return joined.withColumn("text", F.array_join("ls.body", " ")).withColumn("line_no", F.col("ls")[0]["line_no"]).drop("ls")
 
