@@ -8,8 +8,9 @@
    doc_id. So every document streams past each automaton that can hold a phrase of it, and past no other: to stream all documents
    past all automata would cost shards times corpus.
 3. Automata. A shard's rows come in chunks. A window is a phrase if two documents have it (by a 64-bit hash of its words). The
-   phrases, each with its first document, are compiled into Aho-Corasick automata of at most ``PHRASES``; in an automaton a word
-   is one character, numbered by its text, so a phrase takes ``window`` nodes. The chunk's distinct segments are streamed through,
+   phrases, each with its first document, are compiled into Aho-Corasick automata of at most ``PHRASES``; in an automaton a phrase
+   is the few grams that cover it (of 13 words: three of five), each numbered by its words themselves and written as
+   ``DIGITS`` characters. The chunk's distinct segments are streamed through, but for those that no earlier document shares a window's hash with,
    and what an automaton matches, word by word, in a later document than the phrase's first is removed. Two
    windows of one anchor whose hashes are equal by chance (odds of pairs over 2^64) would share the earlier one's first document.
 4. The ranges found meet the documents again, and their words are cut out of the whole texts.
@@ -26,6 +27,7 @@ whole texts, up to 1 MB together or one longer text.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -42,11 +44,15 @@ from fitloom.plans.scratch import Scratch
 
 ANCHOR = 5
 PHRASES = 20_000
+#: Characters of a gram in an automaton.
+DIGITS = 3
 CHUNK_ROWS = 20_000
 HOT_SHARE = 20_000
 HOT_LEAST = 2_000
 FILTER_BITS = (1 << 16, 1 << 27)
 SEGMENT = "key bigint, salt int, doc_id bigint, h bigint, at int, words string"
+#: As bytes.split has it.
+WORD = re.compile(rb"\S+")
 RANGE = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 
 
@@ -58,11 +64,12 @@ def runs(t: Texts, powers: Powers, window: int) -> tuple[np.ndarray, np.ndarray,
         none = np.zeros(0, np.int64)
         return none, none, none, none
     g = grams(t.word_hashes(powers), k)
-    best, at = g[starts], starts.copy()
-    for j in range(1, window - k + 1):
-        other = g[starts + j]
-        less = other < best
-        best, at = np.where(less, other, best), np.where(less, starts + j, at)
+    best, at, have = g, np.arange(len(g)), 1
+    while have < window - k + 1:
+        step = min(have, window - k + 1 - have)
+        less = best[step:] < best[:-step]
+        best, at, have = np.where(less, best[step:], best[:-step]), np.where(less, at[step:], at[:-step]), have + step
+    best, at = best[starts], at[starts]
     edge = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (docs[1:] != docs[:-1])]))
     last = np.append(edge[1:], len(at)) - 1
     return best[edge].view(np.int64), starts[edge], starts[last], docs[edge]
@@ -161,25 +168,32 @@ def _spaced(t: Texts) -> tuple[bytes, np.ndarray]:
     return out.tobytes(), ends
 
 
-def _automata(phrases: list[str], first: list[int]) -> Iterator[ahocorasick.Automaton]:
-    """Automata that tell each phrase's first document."""
+def _automata(phrases: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, ahocorasick.Automaton]]:
+    """Automata that tell each phrase's first document. phrases: a row of gram numbers each. With each automaton come the gram numbers
+    that its phrases have, ascending, and the ``DIGITS`` characters of each; any other gram is the characters 0, which no phrase has. A
+    node's edges are searched one by one, so a gram is not one character of many, but a few of few."""
     for at in range(0, len(phrases), PHRASES):
+        used, number = np.unique(phrases[at : at + PHRASES], return_inverse=True)
+        base = int(np.ceil(len(used) ** (1 / DIGITS))) + 1
+        letters = np.stack([np.arange(len(used)) // base**i % base + 1 + base * i for i in range(DIGITS)], axis=1).astype("<u4")
+        text, size = letters[number.reshape(-1)].tobytes().decode("utf-32-le"), DIGITS * phrases.shape[1]
         automaton = ahocorasick.Automaton()
-        for phrase, doc in zip(phrases[at : at + PHRASES], first[at : at + PHRASES]):
-            automaton.add_word(phrase, doc)
+        for i, doc in enumerate(first[at : at + PHRASES].tolist()):
+            automaton.add_word(text[i * size : (i + 1) * size], doc)
         automaton.make_automaton()
-        yield automaton
+        yield used, letters, automaton
 
 
-def _letters(t: Texts) -> str:
-    """All words of the segments as a character each, equal ones for equal words, and a character 0 behind each segment."""
+def _gram_numbers(t: Texts, k: int) -> np.ndarray:
+    """Numbers of each k consecutive words, across the ends of segments too: equal ones for equal words, word by word."""
     ends = np.concatenate([[0], t.word_hi + 1])
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(t.data)])
-    number = words.dictionary_encode().indices.to_numpy().astype(np.uint32) + np.uint32(1)
-    number[number >= 0xD800] += np.uint32(0x800)  # what is no character
-    out = np.zeros(len(number) + len(t.n_words), "<u4")
-    out[np.arange(len(number)) + t.doc_of_word] = number
-    return out.tobytes().decode("utf-32-le")
+    number, have = words.dictionary_encode().indices.to_numpy().astype(np.int64), 1
+    while have < k and len(number):
+        step = min(have, k - have)
+        pairs = (number[:-step] << 32) | number[step:]
+        number, have = pa.array(pairs).dictionary_encode().indices.to_numpy().astype(np.int64), have + step
+    return number
 
 
 def _located(chunk: pa.RecordBatch, carried: dict[int, int], window: int, powers: Powers) -> tuple[pa.RecordBatch, dict[int, int]]:
@@ -212,12 +226,32 @@ def _located(chunk: pa.RecordBatch, carried: dict[int, int], window: int, powers
         kept = carried | kept
 
     recurs = np.flatnonzero(first < latest)
-    text, begins = _letters(t), t.first[:-1] + np.arange(len(distinct))
-    places = starts[where[recurs]] + owner[where[recurs]]
-    hits = [hit for automaton in _automata([text[i : i + window] for i in places.tolist()], first[recurs].tolist()) for hit in automaton.iter(text)]
-    found = np.array(sorted(hits), np.int64).reshape(-1, 2)
-    place, origin = found[:, 0] - window + 1, found[:, 1]
-    of = np.searchsorted(begins, place, "right") - 1
+    # Nothing goes from a segment without a window (by its hash) that an earlier document than the segment's last has; it isn't streamed.
+    later = np.zeros(len(distinct), bool)
+    later[owner[first[same] < high[owner]]] = True
+    # A window is k words every ``step`` words, which cover it; a segment is streamed once for each place to begin, with 0 behind each.
+    k = min(ANCHOR, window)
+    step = max(d for d in range(1, k + 1) if (window - k) % d == 0)
+    numbers, (begin, of) = _gram_numbers(t, k), gram_ok(t.first, k)
+    begin, of = begin[later[of]], of[later[of]]
+    turn = np.where(later, -(-(t.n_words - k + 1) // step) + 1, 0)
+    base = np.cumsum(step * turn) - step * turn
+    slot = base[of] + (begin - t.first[of]) % step * turn[of] + (begin - t.first[of]) // step
+    grams_of = numbers[starts[where[recurs]][:, None] + np.arange(0, window - k + 1, step)] if len(recurs) else np.zeros((0, 1), np.int64)
+    hits = [np.zeros((0, 2), np.int64)]
+    for used, letters, automaton in _automata(grams_of, first[recurs]):
+        character = np.zeros((int(numbers.max()) + 1, DIGITS), "<u4")
+        character[used] = letters
+        streamed = np.zeros((int(step * turn.sum()), DIGITS), "<u4")
+        streamed[slot] = character[numbers[begin]]
+        hits.append(np.array(list(automaton.iter(streamed.tobytes().decode("utf-32-le"))), np.int64).reshape(-1, 2))
+    found = np.concatenate(hits)
+    at_end = found[:, 0] // DIGITS
+    of = np.searchsorted(base, at_end, "right") - 1  # the last that begins there: what isn't streamed takes no room before the next
+    behind = at_end - base[of]
+    place, origin = behind % turn[of] * step + behind // turn[of] - (window - k), found[:, 1]
+    order = np.lexsort((origin, place, of))
+    of, place, origin = of[order], place[order], origin[order]
     edge = np.searchsorted(of, np.arange(len(distinct) + 1))
 
     # Every row of a segment has its hits, but for those of its own or a later document.
@@ -226,7 +260,7 @@ def _located(chunk: pa.RecordBatch, carried: dict[int, int], window: int, powers
     hit = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(edge[segment[rows]], n)
     row = np.repeat(rows, n)
     good = origin[hit] < doc[row]
-    row, lo = row[good], (place[hit] - begins[of[hit]])[good]
+    row, lo = row[good], place[hit][good]
     new = np.concatenate([[True], (row[1:] != row[:-1]) | (lo[1:] > lo[:-1] + window)])[: len(row)]
     edge = np.flatnonzero(new)
     end = np.append(edge[1:], len(row))[: len(edge)] - 1
@@ -285,23 +319,24 @@ def repeated_ranges(docs: DataFrame, window: int = 13) -> DataFrame:
     return scratch.only(found.groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges")
 
 
-def _cut(text: bytes, ranges: list[dict] | None) -> tuple[int, int, bytes, bytes]:
-    """Words, words removed, the kept words joined by spaces, and the text with its own spacing between them."""
+def _cut(text: bytes, ranges: list[tuple[int, int]], spaced: bool) -> tuple[int, int, bytes]:
+    """Words, words removed, and what is kept: the words joined by spaces; with ``spaced``, the text with its own spacing between them."""
     words = text.split()
     if not ranges:
-        return len(words), 0, b" ".join(words), text
-    gone = bytearray(len(words))
-    for r in ranges:
-        gone[r["lo"] : r["hi"]] = b"\1" * (r["hi"] - r["lo"])
-    kept = [w for w, g in zip(words, gone) if not g]
-    spaced, at = [], 0
-    for w, g in zip(words, gone):
-        start = text.index(w, at)
-        if not g:
-            # Of the white space around a cut, what stands before the next kept word stays.
-            spaced.append(text[at:start] + w if spaced else w)
-        at = start + len(w)
-    return len(words), sum(gone), b" ".join(kept), b"".join(spaced)
+        return len(words), 0, text if spaced else b" ".join(words)
+    runs, at = [], 0
+    for lo, hi in sorted(ranges):
+        if lo > at:
+            runs.append((at, lo))
+        at = max(at, hi)
+    if at < len(words):
+        runs.append((at, len(words)))
+    removed = len(words) - sum(hi - lo for lo, hi in runs)
+    if not spaced:
+        return len(words), removed, b" ".join([w for lo, hi in runs for w in words[lo:hi]])
+    # Of the white space around a cut, what stands before the next kept word stays.
+    at = [m.span() for m in WORD.finditer(text)]
+    return len(words), removed, b"".join([text[at[lo - 1][1] if i else at[lo][0] : at[hi - 1][1]] for i, (lo, hi) in enumerate(runs)])
 
 
 def _removed(docs: DataFrame, window: int, spaced: bool) -> DataFrame:
@@ -315,8 +350,12 @@ def _removed(docs: DataFrame, window: int, spaced: bool) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found = [_cut((t or "").encode(), r) for t, r in zip(part.column("row").field("text").to_pylist(), part.column("ranges").to_pylist())]
-                columns = [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[3 if spaced else 2] for f in found], pa.binary()).cast(pa.string())]
+                ranges = part.column("ranges")
+                flat, ends = ranges.flatten(), np.cumsum(ranges.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+                pairs = list(zip(flat.field("lo").to_pylist(), flat.field("hi").to_pylist()))
+                texts = part.column("row").field("text").cast(pa.binary()).to_pylist()
+                found = [_cut(t or b"", pairs[a:b], spaced) for t, a, b in zip(texts, [0, *ends], ends)]
+                columns = [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.binary()).cast(pa.string())]
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.StructArray.from_arrays(columns, fields=list(kind))], ["row", "dedup"])
 
     schema = T.StructType([row_field(docs), T.StructField("dedup", T.StructType.fromDDL("n_words bigint, n_removed bigint, kept string"))])
