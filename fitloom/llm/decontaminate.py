@@ -9,7 +9,8 @@ Lists meet on document and position. The list of a rarest term is repeated for e
 ask beside it: that number follows the test items and not the corpus.
 
 Small tables (terms, pairs, candidate documents) are broadcast up to ``rows.BROADCAST_ROWS`` rows and ``rows.BROADCAST_BYTES`` bytes, counted
-first, and joined by shuffle beyond that. Long documents are spread by their positions.
+first, and joined by shuffle beyond that. Long documents are spread by their positions. Whole texts are shuffled only where the
+documents that are hit may meet them (``sift``).
 
 Defined results: null and empty texts have no words and are clean; an item without words never occurs; items with equal
 words are found together; a null item_id counts its words as hit but isn't listed; rows that repeat an id are told apart
@@ -26,6 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fitloom.llm.rows import packed, small, spread
+from fitloom.llm.sift import sifted
 from fitloom.llm.urlfilter import LOWER, UPPER
 from fitloom.plans.scratch import Scratch
 
@@ -162,5 +164,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """The documents without a word inside an occurrence of a test window, with the columns of ``docs``."""
     hit = contamination(docs.select("doc_id", "text"), items, window).filter("n_hit > 0").select("doc_id", "h").distinct()
-    rows = packed(docs, id=F.col("doc_id"), own=F.xxhash64("text"))
-    return spread(rows.join(hit, rows["id"].eqNullSafe(hit["doc_id"]) & (rows["own"] == hit["h"]), "left_anti"), docs)
+    # Clean texts are not shuffled for it, however many documents are hit.
+    key = {"none": F.col("doc_id").isNull(), "id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0))}
+    hit = hit.select(*[c.alias(n) for n, c in key.items()], "h")
+    return spread(sifted(packed(docs, **key, h=F.xxhash64("text")), hit, ["none", "id", "h"], "left_anti"), docs)

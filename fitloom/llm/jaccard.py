@@ -305,6 +305,7 @@ class Families:
         heads = rows.withColumnRenamed("a", "b").join(near.select("b").distinct(), "b")
         y = _whole(self.docs, heads, self.k).withColumnRenamed("set", "y")
         state = self.scratch.keep(_differences(x.join(y, "b"), ["a", "b"]).dropDuplicates(["a"]), "steps-0")
+        self.scratch.drop("nearest-heads")
         i = 0
         # Heads are smaller than what they head, so every path ends; each round halves it.
         while not state.join(state.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
@@ -322,6 +323,7 @@ class Families:
         size = F.size("diff")
         members = members.withColumn("f", (size * total - F.col("n") * free).cast("long")).withColumn("far", (size * total + F.col("n") * free).cast("long"))
         self.members = self.scratch.keep(members, "members")
+        self.scratch.drop(f"steps-{i}")
         self._told("families")
         self._split()
 
@@ -343,6 +345,7 @@ class Families:
             often = tokens.groupBy("fam", "token").agg(F.count("*").alias("freq"), F.first("size").alias("size")).filter(f"freq >= {pays}").drop("size")
             often = self.scratch.keep(often, f"often-{i}")
             if often.isEmpty():
+                self.scratch.drop(f"often-{i}")
                 return
             chosen = tokens.join(often, ["fam", "token"]).groupBy("fam", "node").agg(F.max(F.struct("freq", "token")).getField("token").alias("by"))
             loose = self.scratch.keep(loose.join(chosen, ["fam", "node"]), f"loose-{i}")
@@ -356,6 +359,7 @@ class Families:
             heads = moved.groupBy("fam", "by").agg(F.count("*").alias("all"), F.first("size").alias("size"), F.min(first).alias("head")).filter(f"all >= {pays}")
             heads = self.scratch.keep(heads.select("fam", "by", F.col("head.node").alias("root"), F.col("head.flip").alias("flip")), f"heads-{i}")
             if heads.isEmpty():
+                self.scratch.drop(*(f"{name}-{i}" for name in ("often", "loose", "moved", "heads")))
                 return
             new = moved.join(heads, ["fam", "by"]).select("node", F.col("root").alias("fam"), "n", "diff", "flip")
             new = new.withColumn("reach", F.size(_xor("diff", "flip")) * total + F.col("n") * free).drop("flip")
@@ -366,6 +370,7 @@ class Families:
             self.members = self.scratch.keep(stay.select(*new.columns).unionByName(new), f"members-{i}")
             self.turned = self.scratch.keep(self.turned.unionByName(heads.select(F.col("root").alias("fam"), "flip")), f"turned-{i}")
             self._told(f"families-{i}")
+            self.scratch.drop(*(f"{name}-{i}" for name in ("often", "loose", "moved", "heads", "new")), *(f"{name}-{i - 1}" if i else name for name in ("members", "turned", "families")))
 
     def _ranked(self, rows: DataFrame, least: str, freq: DataFrame) -> DataFrame:
         """fam, node, f, size and token of the differences that a set must share one of with every partner: those that come first in
@@ -413,6 +418,7 @@ class Families:
         y = _whole(self.docs, rows.join(close.select(F.col("b").alias("node")).distinct(), "node"), self.k).select(F.col("node").alias("b"), F.col("set").alias("y"))
         met = close.join(x.dropDuplicates(["a"]), "a").join(y.dropDuplicates(["b"]), "b")
         met = self.scratch.keep(_differences(met, ["a", "b", "sa", "sb"]), "roots")
+        self.scratch.drop("close")
         sizes = nodes.select("node", "n")
         met = met.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
         met = met.withColumn("linked", F.size("diff") * total <= (F.col("na") + F.col("nb")) * free)
@@ -554,8 +560,12 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, scratch: Scratch) -> D
     short = lists.filter("fits").drop("fits").withColumns({"cell": F.lit(0).cast("long"), "part": F.lit(0).cast("long")})
     pairs = scratch.keep(_candidates(short.unionByName(_dealt(lists.filter("NOT fits").drop("fits")).select(*short.columns)), num, den), "candidates")
 
+    # What lists and families were made of takes room that the next steps need.
+    rows = scratch.keep(rows.select("doc_id", "h", "n", "node"), "rows")
+    scratch.drop("sketches", "who")
     # Written one after the other: as one statement with what follows, their plans took the driver the more memory.
     links = scratch.keep(families.inside(), "links-inside").unionByName(scratch.keep(families.across(pairs), "links-across"))
+    scratch.drop(*(name for name in scratch.names if name not in ("rows", "links-inside", "links-across")))
     # Texts of one doc_id are one node.
     named = rows.filter("n > 0 AND doc_id IS NOT NULL")
     several = named.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("most")).filter("b <> most")
