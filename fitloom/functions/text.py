@@ -45,6 +45,15 @@ def ascii_edges(pattern: str) -> str:
     return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
 
 
+def as_re2(pattern: str) -> str:
+    """``pattern`` with what RE2 takes otherwise than Java: word edges, white space without the vertical tab, the end of the text alone for ``$``, and,
+    where case doesn't matter, the long s and the Kelvin sign as letters. The pattern's letters are small ones, in classes ``A-Za-z``."""
+    java = ascii_edges(pattern).replace(r"\s", r"[\t\n\f\r ]").replace("$", r"\z")
+    if pattern.startswith("(?i)"):
+        java = java.replace("s", "[s\u017f]").replace("k", "[k\u212a]").replace("A-Za-z", "A-Za-z\u017f\u212a").replace(r"[\w-]", "[\\w\u017f\u212a-]")
+    return java
+
+
 def bound(c: Column, use: Callable[[Column], Column]) -> Column:
     """use(c), with ``c`` worked out once however often it is used."""
     return F.get(F.transform(F.array(c), use), 0)
@@ -120,10 +129,15 @@ def speaks_to_a_reader(c: Column) -> Column:
     return c.rlike(ascii_edges("(?i)" + "|".join(IMPERATIVE + DESCRIPTIVE)))
 
 
+def replaced(c: Column, patterns: list[tuple[str, str]]) -> Column:
+    """What the patterns find, in their order, in exchange for their tokens."""
+    for pattern, token in patterns:
+        c = F.regexp_replace(c, pattern, token)
+    return c
+
+
 def redact(c: Column) -> Column:
-    text = c
-    for pattern, token in REDACTIONS:
-        text = F.regexp_replace(text, ascii_edges(pattern), token.replace("$", "\\$"))
+    text = replaced(c, [(ascii_edges(pattern), token) for pattern, token in REDACTIONS])
     return F.when(F.coalesce(strip(c), F.lit("")) == "", "").otherwise(text)
 
 

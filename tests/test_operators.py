@@ -112,6 +112,18 @@ def test_subfactors_are_weighed_without_a_map(spark):
     assert (r.own_items_0, r.own_num_0, r.own_den_0, r.own_items_1, r.lead_items_1, r.lead_num_1) == (5, 400, 400, 5, 1, 40)
 
 
+def test_redaction_equals_its_sql_on_odd_texts(spark, duck, tmp_path):
+    """Numbers a character apart, blank texts, null, the vertical tab, the end of a line, and letters that fold to s and k."""
+    from fitloom.queries.documents import ORACLES, QUERIES
+
+    texts = ["416-555-1234 416-555-1235", "555.123.4567,555.123.4568,555.123.4569", " ", "\n\t", "", None, "5\x0bKing St", "5 King\x0bSt", "5 King ſt", "5 par\u212a St", "5 Kſ creſ", "5 King St apt ſ4",
+             "416-555-1234\n", "+1 (416) 555-1234+1 (416) 555-1235", "5 King STREET Suite 4\u212a", "12 K\u0131ng St", "\u0130 5 A st", "$1 416-555-1234 \\1"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    documents = f"documents AS (SELECT * FROM '{tmp_path}/documents.parquet/*.parquet')"
+    want = dict(duck.sql(f"WITH {documents} {ORACLES['qt06_redaction']}").fetchall())
+    assert {r.doc_id: r.redacted for r in QUERIES["qt06_redaction"](spark, str(tmp_path)).collect()} == want
+
+
 def test_whole_terms(spark):
     rows = spark.createDataFrame([("uses c++ daily", "c++"), ("abc++", "c++"), (".net, java", ".net"), ("javascript", "java")], "t string, w string")
     assert [r[0] for r in rows.select(T.has_term(F.col("t"), F.col("w"))).collect()] == [True, False, True, False]
